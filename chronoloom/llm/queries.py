@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash
-from .common import table
+from . import language, mixing, multiset, ogg, packing, pii, secrets, simhash
+from .common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,5 +53,95 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_mix_sources": op1_mix_sources, "op2_simhash": op2_simhash}
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL}
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.secrets(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+
+
+def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.described(ogg.media_table(table(spark, sf_dir, "documents")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.learn(docs, crc_of_id() % 5 != 0))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.edit_report(table(spark, sf_dir, "documents"))
+
+
+def _lanes(lines: str) -> str:
+    """SQL of the lanes of a column of marked text."""
+    units = f"list_filter(string_split({lines}, chr(10)), lambda u: u <> '')"
+    words = ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)" for i in range(multiset.DENSE))
+    vs = f"list_transform(list_transform({units}, lambda u: sha256(u)), lambda h: [{words}])"
+    level = f"least(CASE WHEN v[8] = 0 THEN 64 ELSE bit_count((v[8] & (-v[8])) - 1) END, {multiset.LEVELS - 1})"
+    cell = f"{level} * {multiset.CELLS} + (v[7] >> 28)"
+    total = lambda xs: f"CAST(coalesce(list_sum({xs}), 0) % {multiset.MODULUS} AS BIGINT)"
+    dense = ", ".join(total(f"list_transform({vs}, lambda v: v[{i + 1}])") for i in range(multiset.DENSE))
+    cells = (
+        f"list_transform(range(0, {multiset.LEVELS * multiset.CELLS}), lambda c: "
+        + total(f"list_transform({vs}, lambda v: CASE WHEN {cell} = c THEN v[1] ELSE 0 END)")
+        + ")"
+    )
+    return f"list_concat([{dense}, CAST(len({units}) AS BIGINT)], {cells})"
+
+
+def _likeness(a: str, b: str) -> str:
+    size = multiset.DENSE + 1
+    seen, share = [], []
+    for k in range(multiset.LEVELS):
+        lo = size + multiset.CELLS * k
+        n = f"len(list_filter(range({lo + 1}, {lo + multiset.CELLS + 1}), lambda i: {a}[i] <> {b}[i]))"
+        cells = float(multiset.CELLS)
+        seen.append(f"CASE WHEN {n} < {multiset.FULL} THEN -{cells} * ln(1 - {n} / {cells}) ELSE 0.0 END")
+        share.append(f"CASE WHEN {n} < {multiset.FULL} THEN CAST({2.0 ** -min(k + 1, multiset.LEVELS - 1)} AS DOUBLE) ELSE 0.0 END")
+    s, w = "(" + " + ".join(seen) + ")", "(" + " + ".join(share) + ")"
+    both, apart = f"CAST({a}[{size}] + {b}[{size}] AS DOUBLE)", f"CAST(abs({a}[{size}] - {b}[{size}]) AS DOUBLE)"
+    d = f"least(greatest(CASE WHEN {w} > 0 THEN {s} / {w} ELSE {both} END, {apart}), {both})"
+    return f"CASE WHEN {a} = {b} OR {both} = 0 THEN CAST(1.0 AS DOUBLE) ELSE ({both} - {d}) / ({both} + {d}) END"
+
+
+_MARKED = "replace(replace(replace({0}, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10))"
+_HEX = "array_to_string(list_transform({0}, lambda x: printf('%08x', x)), '')"
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (
+  SELECT doc_id, text, length(text) AS n, length(text) // 3 AS third,
+    coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text
+  FROM d WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (
+  SELECT doc_id, n, text, next_text, substr(text, 1, n - third) || substr(next_text, 1, third) AS edited FROM n),
+m AS (
+  SELECT doc_id, n, edited, {_MARKED.format("text")} AS own_lines, {_MARKED.format("edited")} AS new_lines,
+    {_MARKED.format("next_text")} AS next_lines FROM e),
+lanes AS (
+  SELECT doc_id, n, edited, {_lanes("own_lines")} AS own, {_lanes("new_lines")} AS new, {_lanes("next_lines")} AS nxt
+  FROM m)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, {_HEX.format("own")} AS fingerprint,
+  {_HEX.format("new")} AS edited_fingerprint, {_likeness("own", "new")} AS near_edited,
+  {_likeness("own", "nxt")} AS near_next
+FROM lanes
+"""
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_simhash": op2_simhash,
+    "op3_secrets": op3_secrets,
+    "op6_ogg": op6_ogg,
+    "op7_language": op7_language,
+    "op8_packing": op8_packing,
+    "op9_multiset": op9_multiset,
+    "op10_pii": op10_pii,
+}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op9_multiset": OP9_SQL}
