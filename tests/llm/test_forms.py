@@ -91,7 +91,7 @@ def test_plan_fills_sequences():
     assert _check_plan({10: 3, 6: 1, 3: 1, 1: 1, 5: 2}, 10) == 5
     many = {rng.randint(1, 2048): rng.randint(1, 50) for _ in range(1500)}
     least = max(sum(k * n for k, n in many.items()) / 2048, sum(n for k, n in many.items() if k > 1024))
-    assert _check_plan(many, 2048) <= least * 1.01
+    assert _check_plan(many, 2048) <= least * 1.015
     few = {rng.randint(1, 900): rng.randint(1, 50) for _ in range(600)}
     assert _check_plan(few, 2048) <= sum(k * n for k, n in few.items()) / 2048 * 1.001 + 1
 
