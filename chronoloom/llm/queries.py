@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, multiset, ogg, packing, pii, secrets, simhash
+from . import language, mixing, multiset, ogg, packing, pii, secrets, simhash, toxicity, webtext
 from .common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,15 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
 
 
+def op4_webtext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.described(ogg.media_table(table(spark, sf_dir, "documents")))
 
@@ -138,6 +147,8 @@ QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash": op2_simhash,
     "op3_secrets": op3_secrets,
+    "op4_webtext": op4_webtext,
+    "op5_toxicity": op5_toxicity,
     "op6_ogg": op6_ogg,
     "op7_language": op7_language,
     "op8_packing": op8_packing,
