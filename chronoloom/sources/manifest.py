@@ -1,0 +1,92 @@
+"""A materialised parse cache: Parquet by provider, with file stamps and time ranges.
+
+A parsed file is valid as long as its size, modification time, parser version and context
+match. Misses are found by an anti-join, so only changed files are read again. Time ranges
+of each file let a windowed read skip the points of files outside it; row-group statistics
+do the rest. Entries of a run are appended and the newest entry of a file wins, so a
+lost or repeated run never leaves a half-written file in use.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .lines import EXACT, KEY, POINT, SESSION, TOKEN, History, local_path
+
+PARSER_VERSION = 1
+RELATIONS = {
+    "sessions": f"{SESSION}, run string",
+    **{k: f"{v}, source_file string, run string" for k, v in (("points", POINT), ("human", POINT), ("exact", EXACT), ("tokens", TOKEN))},
+}
+
+
+def stamps(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(source_file, size, modified) of files below a root, by listing only."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return files.select(local_path(F.col("path")).alias("source_file"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def known_files(spark: SparkSession, cache: str, provider: str) -> DataFrame | None:
+    """The newest entry of each file, or nothing before the first write."""
+    if not _exists(spark, f"{cache}/files"):
+        return None
+    newest = Window.partitionBy("source_file").orderBy(F.col("run").desc())
+    rows = spark.read.parquet(f"{cache}/files").where(F.col("provider") == provider)
+    return rows.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+
+
+def misses(now: DataFrame, known: DataFrame | None, context: str = "") -> DataFrame:
+    """Files without a valid entry."""
+    if known is None:
+        return now
+    valid = known.where((F.col("parser") == PARSER_VERSION) & (F.col("context") == context))
+    return now.join(valid, ["source_file", "size", "modified"], "left_anti")
+
+
+def put(history: History, parsed: DataFrame, cache: str, provider: str, run: str, context: str = "") -> None:
+    """Append a run's relations, then its file entries; unreadable files get no entry."""
+    ranges = history.sessions.select(*KEY, "source_file")
+    times = (
+        history.points.select(*KEY, "ts")
+        .union(history.human.select(*KEY, "ts"))
+        .union(history.tokens.select(*KEY, "ts"))
+        .union(history.exact.select(*KEY, "start"))
+        .union(history.exact.select(*KEY, "end"))
+    )
+    seen = ranges.join(times, KEY).groupBy("source_file").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    for name in RELATIONS:
+        df = getattr(history, name)
+        keyed = df if name == "sessions" else df.join(ranges.distinct(), KEY)
+        keyed.withColumn("run", F.lit(run)).write.mode("append").partitionBy("provider").parquet(f"{cache}/{name}")
+    good = parsed.join(history.diagnostics.where("unreadable_files > 0").select("source_file"), "source_file", "left_anti")
+    entries = good.join(seen, "source_file", "left").select(
+        "source_file", "size", "modified", "first_seen", "last_seen", F.lit(PARSER_VERSION).alias("parser"), F.lit(context).alias("context"), F.lit(run).alias("run"), F.lit(provider).alias("provider")
+    )
+    entries.write.mode("append").partitionBy("provider").parquet(f"{cache}/files")
+
+
+def lookup(spark: SparkSession, cache: str, provider: str, now: DataFrame, since: Column | None = None, until: Column | None = None, context: str = "") -> dict[str, DataFrame]:
+    """Relations of validly cached files; with a window, rows only of files that overlap it.
+
+    Sessions always come back whole: their roles matter to other files' sessions.
+    """
+    known = known_files(spark, cache, provider)
+    if known is None:
+        return {}
+    valid = known.where((F.col("parser") == PARSER_VERSION) & (F.col("context") == context)).join(now, ["source_file", "size", "modified"], "left_semi")
+    near = valid
+    if since is not None:
+        near = near.where(F.col("last_seen") >= since)
+    if until is not None:
+        near = near.where(F.col("first_seen") < until)
+    out = {}
+    for name, schema in RELATIONS.items():
+        rows = spark.read.schema(schema).parquet(f"{cache}/{name}").where(F.col("provider") == provider)
+        out[name] = rows.join((valid if name == "sessions" else near).select("source_file", "run"), ["source_file", "run"], "left_semi")
+    return out
