@@ -156,7 +156,11 @@ _NUMBERS = [
 ]
 
 
-def _parts(act: Activity, dims) -> list[DataFrame]:
+#: Parts of a report: each has metrics of its own, and its relations are read only where it is asked for.
+PARTS = ("intervals", "wall", "human", "signals", "zero", "commits", "files", "agents", "tokens", "days", "names")
+
+
+def _parts(act: Activity, dims, wanted: tuple[str, ...] = PARTS) -> list[DataFrame]:
     """Aggregates of each relation by the dimensions, over disjoint metrics."""
     keys = [f"d_{d}" for d in dims]
     intervals, human = keyed_intervals(act.intervals, dims), keyed_intervals(act.human, dims)
@@ -172,44 +176,48 @@ def _parts(act: Activity, dims) -> list[DataFrame]:
         DataFrame.union,
         [calendar_split(intervals, "day", "__day").select(*keys, "__day").distinct(), day(quiet, "first_seen"), day(commits, "ts"), day(agents, "ts"), day(tokens, "ts")],
     )
-    return [
-        intervals.groupBy(*keys).agg(sum_micros().alias("active_us"), *roles, *range_of("start", "end")),
-        union_micros(intervals, keys).withColumnRenamed("union_us", "wall_us"),
-        human.groupBy(*keys).agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), *range_of("start", "end")),
-        signals.groupBy(*keys).agg(
+    parts = {
+        "intervals": lambda: intervals.groupBy(*keys).agg(sum_micros().alias("active_us"), *roles, *range_of("start", "end")),
+        "wall": lambda: union_micros(intervals, keys).withColumnRenamed("union_us", "wall_us"),
+        "human": lambda: human.groupBy(*keys).agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), *range_of("start", "end")),
+        "signals": lambda: signals.groupBy(*keys).agg(
             _count("ts", "kind", "session_id").alias("human_signal_count"), _count(local_day(F.col("ts"))).alias("human_active_days")
         ),
-        quiet.groupBy(*keys).agg(*roles, *range_of("first_seen", "first_seen")),
-        commits.groupBy(*keys).agg(
+        "zero": lambda: quiet.groupBy(*keys).agg(*roles, *range_of("first_seen", "first_seen")),
+        "commits": lambda: commits.groupBy(*keys).agg(
             _count("sha").alias("commit_count"),
             *[F.sum(c).alias(c) for c in ("additions", "deletions", "ignored_additions", "ignored_deletions")],
             _count("sha", when=F.col("agent_assisted")).alias("ai_assisted_commit_count"),
             _count("sha", when=F.col("autofix_assisted")).alias("autofix_assisted_commit_count"),
             *range_of("ts", "ts"),
         ),
-        files.groupBy(*keys).agg(_count("path").alias("file_count")),
-        agents.groupBy(*keys).agg(
+        "files": lambda: files.groupBy(*keys).agg(_count("path").alias("file_count")),
+        "agents": lambda: agents.groupBy(*keys).agg(
             _count("sha").alias("agent_commit_count"), F.sum("additions").alias("agent_additions"), F.sum("deletions").alias("agent_deletions"), *range_of("ts", "ts")
         ),
-        tokens.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TOKENS], *range_of("ts", "ts")),
-        days.groupBy(*keys).agg(F.count_distinct("__day").alias("active_days")),
-        named.groupBy(*keys).agg(
+        "tokens": lambda: tokens.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TOKENS], *range_of("ts", "ts")),
+        "days": lambda: days.groupBy(*keys).agg(F.count_distinct("__day").alias("active_days")),
+        "names": lambda: named.groupBy(*keys).agg(
             F.array_join(F.sort_array(F.collect_set("provider")), ",").alias("providers"), F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models")
         ),
-    ]
+    }
+    return [parts[name]() for name in PARTS if name in wanted]
 
 
 def _ratio(total: Column, n: Column) -> Column:
     return F.when(n > 0, round3(total / F.lit(1_000_000.0) / n)).otherwise(F.lit(0.0))
 
 
-def grouped_report(act: Activity, dims: tuple[str, ...]) -> DataFrame:
-    """One row for each combination of dimension values with anything in it."""
+def grouped_report(act: Activity, dims: tuple[str, ...], parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """One row for each combination of dimension values with anything in it.
+
+    With some ``parts`` only, metrics of the others are 0 and their rows are not there.
+    """
     keys = [f"d_{d}" for d in dims]
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _parts(act, dims))
-    for c in (*_NUMBERS, "first_seen", "last_seen", "providers", "models"):
-        if c not in whole.columns:
-            raise AssertionError(c)
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), _parts(act, dims, parts))
+    kinds = {"first_seen": "timestamp", "last_seen": "timestamp", "providers": "string", "models": "string"}
+    absent = [c for c in (*_NUMBERS, *kinds) if c not in whole.columns]
+    whole = whole.withColumns({c: F.lit(None).cast(kinds.get(c, "long")) for c in absent}) if absent else whole
     n = whole.groupBy(*keys).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in _NUMBERS],
         F.min("first_seen").alias("first"),

@@ -37,7 +37,7 @@ def _windowed() -> dict[str, str]:
     }
 
 
-def report_sql(dims: tuple[str, ...], tail: str = "", columns: str = "*", **more: str) -> str:
+def report_sql(dims: tuple[str, ...], tail: str = "", columns: str = "*", wanted: tuple[str, ...] = report.PARTS, **more: str) -> str:
     unit = next((x for x in dims if x in ("day", "month")), None)
     fmt = {"day": "%Y-%m-%d", "month": "%Y-%m"}
 
@@ -83,7 +83,9 @@ def report_sql(dims: tuple[str, ...], tail: str = "", columns: str = "*", **more
     ]
     numbers = report._NUMBERS
     plain = [c for c in numbers if not c.endswith("_us")]
-    total = " UNION ALL BY NAME ".join(f"SELECT * FROM ({p})" for p in parts)
+    every = ", ".join([*(f"NULL::BIGINT AS {c}" for c in numbers), "NULL::TIMESTAMP AS first", "NULL::TIMESTAMP AS last", "NULL::VARCHAR AS providers", "NULL::VARCHAR AS models"])
+    chosen = [p for name, p in zip(report.PARTS, parts) if name in wanted]
+    total = " UNION ALL BY NAME ".join([f"SELECT {every} WHERE false", *(f"SELECT * FROM ({p})" for p in chosen)])
     ratio = lambda us, n: f"CASE WHEN {n} > 0 THEN {r3(f'CAST({us} AS DOUBLE) / 1000000.0 / {n}')} ELSE 0.0 END"
     cal = "CAST(coalesce(date_diff('day', CAST(first AS DATE), CAST(last AS DATE)) + 1, 0) AS BIGINT)"
     merged = (
@@ -111,22 +113,26 @@ query("AGG01_report_day", report_sql(("day",)))(_report(("day",)))
 query("AGG01_report_window", report_sql(("root", "cwd"), **_windowed()))(_report(("root", "cwd"), True))
 
 
-def _columns(name: str, columns: list[str], dims=("repo",)):
-    query(name, report_sql(dims, columns=", ".join([*dims, *columns])))(lambda spark, d: _report(dims)(spark, d).select(*dims, *columns))
+def _columns(name: str, columns: list[str], dims, *parts: str):
+    query(name, report_sql(dims, columns=", ".join([*dims, *columns]), wanted=parts))(
+        lambda spark, d: report.grouped_report(_activity(spark, d), dims, parts).select(*dims, *columns)
+    )
 
 
-_columns("AGG02_active_seconds", ["active_seconds", "parallel_agent_seconds"])
-_columns("AGG03_wall_seconds", ["ai_wall_seconds"], ("provider",))
-_columns("AGG04_human", ["human_estimated_seconds", "work_block_count", "human_signal_count", "human_active_days"])
-_columns("AGG05_sessions", ["session_count", "foreground_session_count", "subagent_session_count"])
-_columns("AGG07_commits", ["commit_count", "additions", "deletions", "ignored_additions", "ignored_deletions", "net_lines"])
-_columns("AGG08_files", ["file_count"], ("root",))
-_columns("AGG09_agent_commits", ["agent_commit_count", "agent_additions", "agent_deletions", "active_days"])
-_columns("AGG11_tokens", [*report.TOKENS, "total_tokens"], ("model",))
-_columns("AGG12_active_days", ["active_days"], ("provider",))
-_columns("AGG14_row_range", ["first_seen", "last_seen"], ("provider",))
-_columns("AGG16_averages", ["average_human_seconds_per_active_day", "average_active_seconds_per_active_day", "average_active_seconds_per_calendar_day"])
-_columns("AGG18_names", ["providers", "models"])
+_R, _P = ("repo",), ("provider",)
+_DATED = ("intervals", "zero", "commits", "agents", "tokens", "days")
+_columns("AGG02_active_seconds", ["active_seconds", "parallel_agent_seconds"], _R, "intervals")
+_columns("AGG03_wall_seconds", ["ai_wall_seconds"], _P, "wall")
+_columns("AGG04_human", ["human_estimated_seconds", "work_block_count", "human_signal_count", "human_active_days"], _R, "human", "signals")
+_columns("AGG05_sessions", ["session_count", "foreground_session_count", "subagent_session_count"], _R, "intervals", "zero")
+_columns("AGG07_commits", ["commit_count", "additions", "deletions", "ignored_additions", "ignored_deletions", "net_lines"], _R, "commits")
+_columns("AGG08_files", ["file_count"], ("root",), "files")
+_columns("AGG09_agent_commits", ["agent_commit_count", "agent_additions", "agent_deletions"], _R, "agents")
+_columns("AGG11_tokens", [*report.TOKENS, "total_tokens"], ("model",), "tokens")
+_columns("AGG12_active_days", ["active_days"], _P, "days")
+_columns("AGG14_row_range", ["first_seen", "last_seen"], _P, "intervals", "human", "zero", "commits", "agents", "tokens")
+_columns("AGG16_averages", ["average_human_seconds_per_active_day", "average_active_seconds_per_active_day", "average_active_seconds_per_calendar_day"], _R, *report.PARTS[:4], "days", *_DATED)
+_columns("AGG18_names", ["providers", "models"], _R, "names")
 
 query("AGG06_zero_sessions", oracle("SELECT provider, session_id, model, is_subagent FROM zero"))(
     lambda spark, d: report.zero_sessions(_activity(spark, d)).select(*KEY, "model", "is_subagent"))
@@ -196,8 +202,8 @@ query("AGG26_trend", f"SELECT day, {r3('sum(human_estimated_seconds)')} AS human
     lambda spark, d: report.trend(report.ranked_report(_report(("day", "repo"))(spark, d), ("day", "repo")), "day"))
 query("AGG27_ranked_models", oracle("SELECT CASE WHEN model IN ('', 'unknown', '<synthetic>', '—') THEN '(no model)' ELSE model END AS model, CAST(sum(epoch_us(e) - epoch_us(s)) AS BIGINT) AS us, CAST(row_number() OVER (ORDER BY sum(epoch_us(e) - epoch_us(s)) DESC, 1) AS INTEGER) AS rank, greatest(count(*) OVER () - 3, 0) AS omitted FROM ivs GROUP BY 1 QUALIFY row_number() OVER (ORDER BY sum(epoch_us(e) - epoch_us(s)) DESC, 1) <= 3"))(
     lambda spark, d: report.ranked_models(_activity(spark, d).intervals.groupBy("model").agg(I.sum_micros().alias("us")), "us", 3))
-query("AGG29_concurrency", f"SELECT provider, CASE WHEN ai_wall_seconds > 0 THEN {r3('active_seconds / ai_wall_seconds')} ELSE 0.0 END AS concurrency FROM (" + report_sql(("provider",)) + ")")(
-    lambda spark, d: report.concurrency(_report(("provider",))(spark, d)).select("provider", "concurrency"))
+query("AGG29_concurrency", f"SELECT provider, CASE WHEN ai_wall_seconds > 0 THEN {r3('active_seconds / ai_wall_seconds')} ELSE 0.0 END AS concurrency FROM (" + report_sql(("provider",), wanted=("intervals", "wall")) + ")")(
+    lambda spark, d: report.concurrency(report.grouped_report(_activity(spark, d), ("provider",), ("intervals", "wall"))).select("provider", "concurrency"))
 
 # Joins.
 
@@ -218,8 +224,8 @@ query("JON03_interval_role", oracle(f"SELECT is_subagent, count(*) AS n, {sec('s
     lambda spark, d: _activity(spark, d).intervals.groupBy("is_subagent").agg(F.count("*").alias("n"), seconds(I.sum_micros()).alias("seconds")))
 query("JON04_token_records", oracle("SELECT provider, session_id, repo, root, cwd, model, epoch_us(ts) AS ts_us, input_tokens, output_tokens FROM tokr"))(
     lambda spark, d: _activity(spark, d).tokens.select(*KEY, "repo", "root", "cwd", "model", F.unix_micros("ts").alias("ts_us"), "input_tokens", "output_tokens"))
-query("JON05_seconds_by_label", f"SELECT cwd, c.repo, coalesce(round(active_seconds, 3), 0.0) AS active_seconds FROM ({oracle('SELECT DISTINCT cwd, repo FROM com')}) c LEFT JOIN (SELECT repo, sum(active_seconds) AS active_seconds FROM ({report_sql(('repo', 'root'))}) GROUP BY repo) r ON r.repo = c.repo")(
-    lambda spark, d: (lambda act: joins.seconds_by_label(act.commits.unionByName(act.agent_commits).select("cwd", "repo").distinct(), report.grouped_report(act, ("repo", "root")), ["active_seconds"]).withColumn("active_seconds", F.round("active_seconds", 3)))(_activity(spark, d)))
+query("JON05_seconds_by_label", f"SELECT cwd, c.repo, coalesce(round(active_seconds, 3), 0.0) AS active_seconds FROM ({oracle('SELECT DISTINCT cwd, repo FROM com')}) c LEFT JOIN (SELECT repo, sum(active_seconds) AS active_seconds FROM ({report_sql(('repo', 'root'), wanted=('intervals',))}) GROUP BY repo) r ON r.repo = c.repo")(
+    lambda spark, d: (lambda act: joins.seconds_by_label(act.commits.unionByName(act.agent_commits).select("cwd", "repo").distinct(), report.grouped_report(act, ("repo", "root"), ("intervals",)), ["active_seconds"]).withColumn("active_seconds", F.round("active_seconds", 3)))(_activity(spark, d)))
 query("JON06_two_key_lookup", "SELECT o_orderkey, coalesce(a.c_name, b.c_name) AS name FROM orders LEFT JOIN customer a ON a.c_custkey = CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END LEFT JOIN customer b ON b.c_custkey = o_orderkey")(
     lambda spark, d: joins.first_match(bindings.load(spark, d, "orders").withColumn("k1", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey"))), bindings.load(spark, d, "customer"), [("k1", "c_custkey"), ("o_orderkey", "c_custkey")], ["c_name"]).select("o_orderkey", F.col("c_name").alias("name")))
 query("JON08_legacy_unless_new", oracle("SELECT session_id, ord FROM ev WHERE event_type = 'view' AND session_id NOT IN (SELECT session_id FROM ev WHERE event_type = 'signup')"))(
