@@ -93,10 +93,9 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changed files with ``is_ignored`` and ``category``; paths are classified once each."""
-    raw = raw_files(spark, sf_dir)
-    known = with_category(raw.select("path").distinct().withColumn("is_ignored", is_ignored(F.col("path"))))
-    return raw.join(known, "path").select("sha", "path", "additions", "deletions", "is_ignored", "category")
+    """Changed files with ``is_ignored`` and ``category``, row by row: a narrow step needs no shuffle."""
+    kept = raw_files(spark, sf_dir).withColumn("is_ignored", is_ignored(F.col("path")))
+    return with_category(kept).select("sha", "path", "additions", "deletions", "is_ignored", "category")
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:

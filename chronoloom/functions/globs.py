@@ -58,16 +58,30 @@ def any_glob(globs: list[str] | tuple[str, ...]) -> str:
     return f"(?s)^(?:{'|'.join(map(glob_regex, globs))})$"
 
 
+_PLAIN = r"[^*?\[\]{}\\]+"
+
+
 def path_globs(globs: list[str] | tuple[str, ...]) -> str:
-    """For repository paths: a glob also holds with a slash before it, and ``*/x`` at the root."""
-    out = []
+    """For repository paths: a glob also holds with a slash before it, and ``*/x`` at the root.
+
+    Globs of the common forms are gathered, so that a path is scanned once for each form
+    and not once for each glob.
+    """
+    folders, ends, names, rest = [], [], [], []
     for g in globs:
-        out.append(g)
-        if not g.startswith("/"):
-            out.append(f"/{g}")
-        if g.startswith("*/"):
-            out.append(g[2:])
-    return any_glob(out)
+        if m := re.fullmatch(rf"\*/({_PLAIN})/\*", g):
+            folders.append(re.escape(m[1]))
+        elif m := re.fullmatch(rf"\*({_PLAIN})", g):
+            ends.append(re.escape(m[1]))
+            rest += [g[2:]] if g.startswith("*/") else []
+        elif re.fullmatch(_PLAIN, g) and not g.startswith("/"):
+            names.append(re.escape(g))
+        else:
+            rest += [g] + ([] if g.startswith("/") else [f"/{g}"]) + ([g[2:]] if g.startswith("*/") else [])
+    forms = [f"(?:.*/)?(?:{'|'.join(folders)})/.*"] if folders else []
+    forms += [f".*(?:{'|'.join(ends)})"] if ends else []
+    forms += [f"/?(?:{'|'.join(names)})"] if names else []
+    return f"(?s)^(?:{'|'.join([*forms, *map(glob_regex, rest)])})$"
 
 
 def matches(path: Column, globs: list[str] | tuple[str, ...]) -> Column:

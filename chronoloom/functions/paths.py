@@ -71,19 +71,23 @@ def source_root(path: Column, rules: list[RootRule] | tuple[RootRule, ...] = (),
 
 
 def path_parts(path: Column) -> dict[str, Column]:
-    """What path rules look at: directories, name, stem, extension, and the stem as written."""
-    pieces = F.filter(F.split(F.lower(path), r"[/\\]"), lambda p: ~p.isin("", ".", ".."))
-    name = F.try_element_at(pieces, F.lit(-1))
-    directories = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    written = F.element_at(F.split(path, r"[/\\]"), -1)
-    stem = lambda n: F.regexp_replace(n, r"(?s)\.[^.]*$", "")
-    return {
-        "directories": directories,
-        "name": name,
-        "stem": stem(name),
-        "extension": F.when(name.contains("."), F.substring_index(name, ".", -1)).otherwise(""),
-        "cased_stem": stem(written),
-    }
+    """What path rules look at: folders, name, stem, extension, and the stem as written.
+
+    ``folders`` is the directories' text with a slash before and after each, so rules on
+    directories are plain regular expressions. Empty, ``.`` and ``..`` parts are dropped.
+    """
+    slashed = F.translate(path, "\\", "/")
+    whole = F.regexp_replace(F.concat(F.lit("/"), F.lower(slashed), F.lit("/")), r"/(?:\.{0,2}/)+", "/")
+    name = F.substring_index(F.substring_index(whole, "/", -2), "/", 1)
+    folders = F.left(whole, F.length(whole) - F.length(name) - F.when(name == "", 0).otherwise(1))
+    written = F.substring_index(slashed, "/", -1)
+    extension = lambda n: F.when(n.contains("."), F.substring_index(n, ".", -1)).otherwise("")
+    stem = lambda n: F.when(n.contains("."), F.left(n, F.length(n) - F.length(extension(n)) - 1)).otherwise(n)
+    return {"folders": folders, "name": name, "stem": stem(name), "extension": extension(name), "cased_stem": stem(written)}
+
+
+def directories(folders: Column) -> Column:
+    return F.filter(F.split(folders, "/"), lambda p: p != "")
 
 
 def percent_decoded(c: Column) -> Column:

@@ -145,12 +145,12 @@ def registry(config: Mapping[str, Mapping] | None = None, mode: str = "extend")
 
 def _hit(kind: str, rule: str, path: Column, parts: dict[str, Column]) -> Column:
     """Whether one rule holds."""
-    dirs = parts["directories"]
+    folders = parts["folders"]
     return {
         "globs": lambda: path.rlike(any_glob([rule])),
-        "directories": lambda: F.array_contains(dirs, rule),
-        "directory_prefixes": lambda: F.exists(dirs, lambda d: d.startswith(rule)),
-        "directory_suffixes": lambda: F.exists(dirs, lambda d: d.endswith(rule)),
+        "directories": lambda: folders.contains(f"/{rule}/"),
+        "directory_prefixes": lambda: folders.contains(f"/{rule}"),
+        "directory_suffixes": lambda: folders.contains(f"{rule}/"),
         "names": lambda: parts["name"] == rule,
         "name_prefixes": lambda: parts["name"].startswith(rule),
         "name_suffixes": lambda: parts["name"].endswith(rule),
@@ -164,12 +164,12 @@ def _hit(kind: str, rule: str, path: Column, parts: dict[str, Column]) -> Column
 
 def _any_hit(kind: str, rules: tuple[str, ...], path: Column, parts: dict[str, Column]) -> Column:
     """Whether any rule of a kind holds, as one expression."""
-    dirs, text = parts["directories"], "|".join(map(re.escape, rules))
+    folders, text = parts["folders"], "|".join(map(re.escape, rules))
     return {
         "globs": lambda: path.rlike(any_glob(rules)),
-        "directories": lambda: F.arrays_overlap(dirs, F.array(*map(F.lit, rules))),
-        "directory_prefixes": lambda: F.exists(dirs, lambda d: d.rlike(f"^(?:{text})")),
-        "directory_suffixes": lambda: F.exists(dirs, lambda d: d.rlike(f"(?:{text})$")),
+        "directories": lambda: folders.rlike(f"/(?:{text})/"),
+        "directory_prefixes": lambda: folders.rlike(f"/(?:{text})"),
+        "directory_suffixes": lambda: folders.rlike(f"(?:{text})/"),
         "names": lambda: parts["name"].isin(*rules),
         "name_prefixes": lambda: parts["name"].rlike(f"^(?:{text})"),
         "name_suffixes": lambda: parts["name"].rlike(f"(?:{text})$"),
@@ -255,10 +255,8 @@ def change_shapes(files: DataFrame, categories: tuple[Category, ...] = BUILTIN)
 
 def composition(files: DataFrame, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Per category: distinct paths, lines and their share; categories with nothing are left out."""
-    paths = files.where(~F.col("is_ignored")).groupBy(*keys, "category").agg(F.count_distinct("path").alias("files"))
-    lines = category_lines(files, keys)
-    on = [*keys, "category"]
-    both = paths.join(lines, on, "left").fillna(0, ["additions", "deletions"])
+    by_path = files.where(~F.col("is_ignored")).groupBy(*keys, "category", "path").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
+    both = by_path.groupBy(*keys, "category").agg(F.count("path").alias("files"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"))
     touched = F.col("additions") + F.col("deletions")
     total = F.sum(touched).over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1)))
     share = F.when(total == 0, F.lit(0.0)).otherwise(round3(touched / total))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings
 from ..functions import globs, names
-from ..functions.paths import path_parts
+from ..functions.paths import directories, path_parts
 from ..operators import classify as C
 from ..operators import explore, filters, report
 from .base import oracle, query, r3
@@ -29,7 +29,7 @@ def _stats(spark, d):
     f"SELECT path, list_filter(string_split_regex(lower(path), '[/\\\\]'), lambda x: x NOT IN ('', '.', '..')) AS p FROM ({_PATHS})))"))
 def prj08(spark, d):
     p = path_parts(F.col("path"))
-    return _paths(spark, d).select("path", p["name"].alias("name"), p["stem"].alias("stem"), p["extension"].alias("extension"), F.array_join(p["directories"], "/").alias("directories"))
+    return _paths(spark, d).select("path", p["name"].alias("name"), p["stem"].alias("stem"), p["extension"].alias("extension"), F.array_join(directories(p["folders"]), "/").alias("directories"))
 
 
 query("PRJ09_commit_description", oracle(
