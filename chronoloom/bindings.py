@@ -32,6 +32,12 @@ class Tables:
     files: DataFrame
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a table is too small to be read by as many tasks; large tables stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; timestamps without a zone are taken as UTC, the session's zone."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -46,7 +52,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = F.get(F.array(*map(F.lit, ("claude", "codex", "gemini", "pi"))), (user % 4).cast("int"))
     root = F.concat(F.lit("root"), user % 3)
     repo = F.concat(F.lit("repo"), user % 10)
-    return load(spark, sf_dir, "events").select(
+    return spread(load(spark, sf_dir, "events")).select(
         provider.alias("provider"),
         F.concat(F.lit("u"), user, F.lit("-"), slot.cast("long")).alias("session_id"),
         F.concat(F.lit("/work/"), root, F.lit("/"), repo).alias("cwd"),
@@ -84,7 +90,7 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = [p.split("{}") for p in PATHS]
     kind = (F.col("l_partkey") % len(PATHS)).cast("int")
     at = lambda i: F.get(F.array(*[F.lit(h[i]) for h in halves]), kind)
-    return load(spark, sf_dir, "lineitem").select(
+    return spread(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount")).select(
         F.md5(F.col("l_orderkey").cast("string")).alias("sha"),
         F.concat(at(0), F.col("l_suppkey").cast("string"), at(1)).alias("path"),
         F.col("l_quantity").cast("long").alias("additions"),

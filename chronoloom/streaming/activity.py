@@ -32,10 +32,14 @@ def daily_activity(events: DataFrame, late: str = LATE) -> DataFrame:
     return counted.agg(F.count("*").alias("records"), prompts.alias("prompts")).select(F.date_format("day.start", "yyyy-MM-dd").alias("day"), "provider", "cwd", "records", "prompts")
 
 
-def work_blocks(events: DataFrame, idle: str = "1 hour", late: str = LATE) -> DataFrame:
-    """Blocks of prompts: a session window that closes after ``idle`` without one, as in the batch."""
+def work_blocks(events: DataFrame, idle: str = "1 hour", late: str = LATE, by: tuple[str, ...] = ("provider",)) -> DataFrame:
+    """Blocks of prompts of each ``by``: a session window that closes after ``idle`` without one, as in the batch.
+
+    Streaming session windows need a key, so the one timeline over all providers stays a
+    batch operator.
+    """
     prompts = events.where(F.col("prompt") & ~F.col("is_subagent")).withWatermark("ts", late)
-    return prompts.groupBy(F.session_window("ts", idle).alias("block")).agg(F.count("*").alias("signals"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("block")
+    return prompts.groupBy(*by, F.session_window("ts", idle).alias("block")).agg(F.count("*").alias("signals"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("block")
 
 
 _TOTALS = "provider string, session_id string, ts timestamp, total long, delta long"
