@@ -93,6 +93,9 @@ _ADDRESS = re.compile(
     rf"(?:(?:{_AT}){_LABEL}(?:(?:{_DOT}|[\s_]+dot[\s_]+|\.){_LABEL}){{1,6}}"
     rf"|(?:@|[\s_]+at[\s_]+){_LABEL}(?:\.{_LABEL}){{0,4}}(?:(?:{_DOT}|[\s_]+dot[\s_]+){_LABEL})(?:(?:{_DOT}|[\s_]+dot[\s_]+|\.){_LABEL}){{0,4}})"
 )
+#: Whether a text can hold a disguised sign: any of the brackets of _AT and _DOT, or a bare "dot", which also makes a bare "at" count.
+_DISGUISED_SIGN = re.compile(rf"(?i){_AT.removeprefix(r'\s*')}|{_DOT.removeprefix(r'\s*')}|dot")
+_LETTER = re.compile("[A-Za-z]")
 _BRACKET_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])")
 _ADDRESS_PIECE = re.compile(rf"(?i){_AT}|[\s_]+at[\s_]+|{_DOT}|[\s_]+dot[\s_]+")
 
@@ -138,12 +141,14 @@ def _disguised(text: str) -> bool:
     """Whether anything in the text can be a disguise; cheap tests come first."""
     if not text.isascii() and _DISGUISED_CHAR.search(text):
         return True
-    lower = text.lower()
-    if "dot" in lower or any(s in lower for s in ("at]", "at)", "at}", "at>", "at ]", "at )", "[@", "(@", "@]", "@)", "[.]", "(.)")):
+    if _DISGUISED_SIGN.search(text):
         return True
-    return any(w in lower for w in ("zero", "three", "four", "five", "seven", "eight", "nine")) and bool(
-        _SPELLED_RUN.search(text)
-    )
+    lower = text.lower()
+    if not any(w in lower for w in (*_DIGITS, "plus")):
+        return False
+    # Plain numbers with separators are runs too; they count beside a word that is rarely part of another.
+    rare = any(w in lower for w in ("zero", "three", "four", "five", "seven", "eight", "nine"))
+    return any(rare or _LETTER.search(run[0]) for run in _SPELLED_RUN.finditer(text))
 
 
 class Normalised:

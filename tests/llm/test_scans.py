@@ -69,6 +69,26 @@ def test_disguises_map_back():
         assert (kind, source) in found, (text, found)
 
 
+def test_every_disguise_passes_the_gate():
+    ends = [(a, b) for a in "[({<" for b in "])}>"]
+    gap = ("", " ", "  ", "\t")
+    ats = [f"{s}{a}{s}{w}{e}{b}{s}" for a, b in ends for w in ("at", "AT", "@") for s in gap for e in gap]
+    dots = [f"{s}{a}{s}{w}{e}{b}{s}" for a, b in ends for w in ("dot", "Dot", ".") for s in gap for e in gap] + [" dot ", "_dot_"]
+    texts = [f"john{at}example.com" for at in ats] + [f"john@example{dot}com" for dot in dots]
+    texts += [f"john{at}example{dot}com" for at in (" at ", "_at_") for dot in dots] + [f"host 10{dot}0{dot}0{dot}7" for dot in dots[:-2]]
+    for text in texts:
+        found = pii.identifiers(pii.normalise(text).text)
+        assert found and pii.find(text)[1], text
+    rng = random.Random(4)
+    for words in (["one", "two", "six", "oh"], list(pii._DIGITS)):
+        for _ in range(200):
+            text = "call plus " + rng.choice([" ", ", ", "-"]).join(rng.choice(words) for _ in range(11))
+            assert pii.identifiers(pii.normalise(text).text)
+            assert [(k, text[a:b]) for k, a, b in pii.find(text)[1] if k == 3] == [(3, text[5:])], text
+    assert pii.find("call plus 1 555 234 5678 now")[1] == [(3, 5, 24)]
+    assert pii.find("one of the years 2018, 2019, 2020, 2021") == ([], [])
+
+
 def test_clean_texts_have_no_disguise():
     for text in ("we met at noon dot", "see the dot com bubble", "one two three", "at one point seven of nine", "Éléphant à Noël"):
         assert pii.find(text) == ([], [])
