@@ -112,8 +112,11 @@ def dominant_category(files: DataFrame, registry: tuple[Category, ...] = BUILTIN
     return by.select("sha", F.when(F.col("n") > 0, F.col("category")).otherwise(registry[-1].name).alias("category"))
 
 
-def search_targets(commits: DataFrame, files: DataFrame, limit: int = MAX_TARGETS) -> DataFrame:
-    """(kind, label, key, ord): repositories, then commits newest first, each path once with its newest commit."""
+def search_targets(commits: DataFrame, files: DataFrame, limit: int | None = MAX_TARGETS) -> DataFrame:
+    """(kind, label, key, ord): repositories, then commits newest first, each path once with its newest commit.
+
+    Without a limit all of them, in no order.
+    """
     known = described(commits, files)
     repos = commits.groupBy("cwd").agg(F.min("repo").alias("repo"), F.min("root").alias("root"))
     a = repos.select(F.lit("repo").alias("kind"), F.concat("repo", F.lit(" ("), "root", F.lit(")")).alias("label"), F.col("cwd").alias("key"), F.lit(None).cast("timestamp").alias("ts"))
@@ -122,6 +125,8 @@ def search_targets(commits: DataFrame, files: DataFrame, limit: int = MAX_TARGET
     c = newest.select(F.lit("file").alias("kind"), F.col("path").alias("label"), "key", "ts")
     rank = F.when(F.col("kind") == "repo", 0).otherwise(1)
     whole = a.unionByName(b).unionByName(c)
+    if limit is None:
+        return whole
     return whole.orderBy(rank, F.col("ts").desc_nulls_last(), "key", "kind", "label").limit(limit)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import bindings
@@ -49,7 +50,7 @@ _TARGETS = (
     "UNION ALL SELECT 'commit', left(c.sha, 9) || ' ' || coalesce(t.summary, 'no counted files'), c.sha FROM mine c LEFT JOIN told t USING (sha) "
     "UNION ALL SELECT 'file', path, arg_max(sha, row(ts, sha)) FROM mfiles WHERE NOT is_ignored GROUP BY cwd, path"
 )
-query("EXP09_search_targets", oracle(_TARGETS))(_at(lambda c, f: explore.search_targets(c, f).select("kind", "label", "key")))
+query("EXP09_search_targets", oracle(_TARGETS))(_at(lambda c, f: explore.search_targets(c, f, None).select("kind", "label", "key")))
 query("EXP10_dominant_category", oracle("SELECT sha, CASE WHEN sum(n) > 0 THEN arg_max(category, row(n, list_position(['test', 'docs', 'config', 'assets', 'source', 'other'], category))) ELSE 'other' END AS category FROM (SELECT sha, category, sum(additions + deletions) AS n FROM cf WHERE NOT is_ignored GROUP BY sha, category) GROUP BY sha"))(
     lambda spark, d: explore.dominant_category(bindings.commit_files(spark, d)))
 query("EXP13_headline", oracle(f"SELECT (SELECT count(DISTINCT sha) FROM mine) AS commits, (SELECT count(*) FROM sess) AS sessions, (SELECT CAST(sum(additions) AS BIGINT) FROM mine) AS additions, (SELECT {sec('sum(epoch_us(e) - epoch_us(s))')} FROM hiv) AS human_seconds, (SELECT {sec('sum(epoch_us(e) - epoch_us(s))')} FROM ivs) AS ai_seconds"))(
@@ -59,9 +60,15 @@ query("ORD03_explorer_sort", oracle("SELECT cwd, CAST(row_number() OVER (ORDER B
 
 
 def _placed(commits):
+    """Places from each sorted partition's own numbers and the sizes of those before it."""
     rows = explore.sorted_rows(commits.select("cwd", "repo").distinct(), "repo", True)
-    ordered = rows.agg(F.collect_list("cwd").alias("all"))
-    return ordered.select(F.posexplode("all").alias("place", "cwd")).select("cwd", (F.col("place") + 1).cast("long").alias("place"))
+    numbered = rows.select("cwd", F.monotonically_increasing_id().alias("id")).persist()
+    part = F.shiftright("id", 33)
+    sizes = numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("part", ahead.alias("ahead")))
+    place = F.col("id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("ahead") + 1
+    return numbered.join(offsets, part == F.col("part")).select("cwd", place.cast("long").alias("place"))
 
 
-query("ORD04_search_top")(_at(lambda c, f: explore.search(explore.search_targets(c, f), "srcfile1")))
+query("ORD04_search_top")(_at(lambda c, f: explore.search(explore.search_targets(c, f, None), "srcfile1")))

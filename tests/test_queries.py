@@ -52,3 +52,25 @@ def test_contract(spark):
 
 def test_blocks_are_more_than_one(spark):
     assert QUERIES["INT12_block_ids"](spark, SF).count() > 1
+
+
+def test_search_takes_every_target(spark, sql, monkeypatch):
+    from chronoloom.operators import explore
+
+    monkeypatch.setattr(explore.search_targets, "__defaults__", (5,))
+    want = sql.execute(f"SELECT count(*) FROM ({ORACLES['EXP09_search_targets']})").fetchone()[0]
+    assert QUERIES["EXP09_search_targets"](spark, SF).count() == want > 5
+    assert QUERIES["ORD04_search_top"](spark, SF).count() == min(explore.MAX_HITS, _hits(spark, explore)) > 5
+
+
+def _hits(spark, explore):
+    from chronoloom.functions.fuzzy import fuzzy_score
+    from pyspark.sql import functions as F
+
+    return QUERIES["EXP09_search_targets"](spark, SF).where(fuzzy_score(F.col("label"), "srcfile1").isNotNull()).count()
+
+
+def test_explorer_sort_gathers_no_list(spark, sql):
+    df = QUERIES["ORD03_explorer_sort"](spark, SF)
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(sql.execute(ORACLES["ORD03_explorer_sort"]).fetchall())
