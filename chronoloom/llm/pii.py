@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -79,25 +80,39 @@ def _char_class(codes) -> str:
 
 
 _DISGUISED_CHAR = re.compile(_char_class([*_FOLD, *map(ord, _INVISIBLE)]))
-_WORD = "|".join(_DIGITS)
-_SPELLED_RUN = re.compile(
-    rf"(?i)(?<![A-Za-z])(?:plus[\s-]+)?(?:{_WORD}|[0-9]+)(?:(?:\s*[\[({{<]\s*dot\s*[\])}}>]\s*|\s+dot\s+|[\s,.()-]{{0,3}})(?:{_WORD}|[0-9])){{3,}}(?![A-Za-z])"
+# The patterns below start at the first of a run of white space only and give no character
+# back, so that each passes over a text once, however long its runs are.
+_AT_SIGN = r"[\[({<]\s*+(?:at|@)\s*+[\])}>]\s*+"
+_DOT_SIGN = r"[\[({<]\s*+(?:dot|\.)\s*+[\])}>]\s*+"
+_AT, _DOT = rf"(?<!\s)\s*+{_AT_SIGN}", rf"(?<!\s)\s*+{_DOT_SIGN}"
+_BARE_AT, _BARE_DOT = r"(?<![\s_])[\s_]++at[\s_]++", r"(?<![\s_])[\s_]++dot[\s_]++"
+#: Digits, one by one or spelled, and what may stand between two of a run.
+_WORD = f"(?ai:{'|'.join(_DIGITS)})"
+_DIGIT = re.compile(rf"{_WORD}|[0-9]")
+_DIGIT_GAP = re.compile(r"(?i)\s*+[\[({<]\s*+dot\s*+[\])}>]\s*+|\s++dot\s++|[\s,.()-]{0,3}")
+#: Without one of these no run has a spelled digit or "plus"; a gap with a "dot" has a sign of its own.
+_NEAR_DIGITS = re.compile(rf"{_WORD}[\s,.()-]{{0,3}}(?:{_WORD}|[0-9])|[0-9][\s,.()-]{{0,3}}{_WORD}|(?ai:plus)[\s-]++(?:{_WORD}|[0-9])")
+_PLUS = re.compile(r"(?i)(?<![A-Za-z])plus[\s-]++")
+_DOT_WORD = re.compile("(?i)dot")
+#: Digits of a run at least.
+LEAST_DIGITS = 4
+#: What separates an address's local part from its domain, and labels from each other.
+_AT_MARK = re.compile(rf"(?i)(?P<sure>{_AT})|@|{_BARE_AT}")
+_DOT_MARK = re.compile(rf"(?i){_DOT}|{_BARE_DOT}")
+_MARK = re.compile(rf"(?i)(?P<at>{_AT}|@|{_BARE_AT})|{_DOT}|{_BARE_DOT}")
+_LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]++")
+_LABEL = r"[A-Za-z0-9-]++"
+_ANY_DOT = rf"(?:{_DOT}|{_BARE_DOT}|\.)"
+_DOMAIN_AFTER_SURE = re.compile(rf"(?i){_LABEL}(?:{_ANY_DOT}{_LABEL}){{1,6}}")
+#: A bare "at" or a plain "@" is a disguise only where the domain has a disguised dot.
+_DOMAIN_AFTER_BARE = re.compile(
+    rf"(?i){_LABEL}(?:\.{_LABEL}){{0,4}}(?:{_DOT}|{_BARE_DOT}){_LABEL}(?:{_ANY_DOT}{_LABEL}){{0,4}}"
 )
-_SPELLED_PIECE = re.compile(rf"(?i)plus[\s-]+|{_WORD}|\s*[\[({{<]\s*dot\s*[\])}}>]\s*|\s+dot\s+|[\s,]+")
-_AT = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*"
-_DOT = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*"
-_LABEL = r"[A-Za-z0-9-]+"
-#: A disguised address: a bare "at" counts only where the domain has a disguised dot too.
-_ADDRESS = re.compile(
-    rf"(?i)[A-Za-z0-9._%+-]+(?:(?:{_DOT}|[\s_]+dot[\s_]+)[A-Za-z0-9._%+-]+){{0,4}}?"
-    rf"(?:(?:{_AT}){_LABEL}(?:(?:{_DOT}|[\s_]+dot[\s_]+|\.){_LABEL}){{1,6}}"
-    rf"|(?:@|[\s_]+at[\s_]+){_LABEL}(?:\.{_LABEL}){{0,4}}(?:(?:{_DOT}|[\s_]+dot[\s_]+){_LABEL})(?:(?:{_DOT}|[\s_]+dot[\s_]+|\.){_LABEL}){{0,4}})"
-)
-#: Whether a text can hold a disguised sign: any of the brackets of _AT and _DOT, or a bare "dot", which also makes a bare "at" count.
-_DISGUISED_SIGN = re.compile(rf"(?i){_AT.removeprefix(r'\s*')}|{_DOT.removeprefix(r'\s*')}|dot")
-_LETTER = re.compile("[A-Za-z]")
+#: Labels with disguised dots that a local part may have before its last one.
+LOCAL_LABELS = 4
+#: Whether a text can hold a disguised sign: any bracket of the marks, or a bare "dot", without which a bare "at" does not count.
+_DISGUISED_SIGN = re.compile(rf"(?i){_AT_SIGN}|{_DOT_SIGN}|dot")
 _BRACKET_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])")
-_ADDRESS_PIECE = re.compile(rf"(?i){_AT}|[\s_]+at[\s_]+|{_DOT}|[\s_]+dot[\s_]+")
 
 
 def _luhn(digits: str) -> bool:
@@ -138,17 +153,10 @@ def identifiers(text: str) -> list[tuple[int, int, int]]:
 
 
 def _disguised(text: str) -> bool:
-    """Whether anything in the text can be a disguise; cheap tests come first."""
+    """Whether anything in the text can be a disguise: all that ``normalise`` could rewrite passes."""
     if not text.isascii() and _DISGUISED_CHAR.search(text):
         return True
-    if _DISGUISED_SIGN.search(text):
-        return True
-    lower = text.lower()
-    if not any(w in lower for w in (*_DIGITS, "plus")):
-        return False
-    # Plain numbers with separators are runs too; they count beside a word that is rarely part of another.
-    rare = any(w in lower for w in ("zero", "three", "four", "five", "seven", "eight", "nine"))
-    return any(rare or _LETTER.search(run[0]) for run in _SPELLED_RUN.finditer(text))
+    return bool(_DISGUISED_SIGN.search(text) or _NEAR_DIGITS.search(text))
 
 
 class Normalised:
@@ -172,23 +180,93 @@ class Normalised:
         self.text = "".join(text)
 
 
+def _digit_runs(text: str):
+    """Runs of digits of which at least one is spelled, each as its edits: (start, end, sign).
+
+    A run stands free of letters at both ends and may begin with "plus". Runs of plain
+    digits are no disguise and stay as they are.
+    """
+    if not (_NEAR_DIGITS.search(text) or _DOT_WORD.search(text)):
+        return
+    run: list[tuple[int, int]] = []
+    plus = {m.end(): m.start() for m in _PLUS.finditer(text)}
+    letter = lambda i: 0 <= i < len(text) and text[i].isascii() and text[i].isalpha()
+
+    def edits() -> list[tuple[int, int, str]] | None:
+        first, last = 0, len(run)
+        while first < last and letter(run[first][0] - 1):
+            first += 1
+        while last > first and letter(run[last - 1][1]):
+            last -= 1
+        if last - first < LEAST_DIGITS:
+            return None
+        start, out, end = plus.get(run[first][0]), [], None
+        if start is not None:
+            out.append((start, run[first][0], "+"))
+        for a, b in run[first:last]:
+            if end is not None and a > end:
+                gap = text[end:a]
+                sign = "." if _DOT_WORD.search(gap) else "".join(c for c in gap if c in ".()-")
+                if sign != gap:
+                    out.append((end, a, sign))
+            if b - a > 1:
+                out.append((a, b, _DIGITS[text[a:b].lower()]))
+            end = b
+        spelled = start is not None or any(b - a > 1 for a, b in run[first:last]) or any(_DOT_WORD.search(text[a:b]) for a, b, _ in out)
+        return out if spelled else None
+
+    for m in _DIGIT.finditer(text):
+        if run and not _DIGIT_GAP.fullmatch(text, run[-1][1], m.start()):
+            if found := edits():
+                yield found
+            run = []
+        run.append(m.span())
+    if run and (found := edits()):
+        yield found
+
+
+def _addresses(text: str):
+    """(start, end) of addresses with a disguised sign, leftmost and non-overlapping."""
+    marks = list(_AT_MARK.finditer(text))
+    if not marks:
+        return
+    runs = [m.span() for m in _LOCAL_RUN.finditer(text)]
+    starts = [a for a, _ in runs]
+    dots = {m.end(): m.start() for m in _DOT_MARK.finditer(text)}
+    taken = 0
+
+    def label_before(end: int) -> int:
+        """Where the run of local characters that ends at ``end`` starts; ``end`` if none does."""
+        at = bisect_right(starts, end - 1) - 1
+        return max(starts[at], taken) if at >= 0 and end <= runs[at][1] else end
+
+    for m in marks:
+        if m.start() < taken:
+            continue
+        start = label_before(m.start())
+        if start >= m.start():
+            continue
+        domain = (_DOMAIN_AFTER_SURE if m["sure"] else _DOMAIN_AFTER_BARE).match(text, m.end())
+        if not domain:
+            continue
+        for _ in range(LOCAL_LABELS):
+            before = dots.get(start)
+            if before is None or before <= taken or label_before(before) >= before:
+                break
+            start = label_before(before)
+        taken = domain.end()
+        yield start, taken
+
+
 def normalise(text: str) -> Normalised:
     out = Normalised(text)
     if not text.isascii():
         out.text = text.translate(_FOLD)
         out.rewrite([(m.start(), m.end(), "") for m in re.finditer(f"[{_INVISIBLE}]+", out.text)])
+    out.rewrite([edit for run in _digit_runs(out.text) for edit in run])
     edits = []
-    for run in _SPELLED_RUN.finditer(out.text):
-        for m in _SPELLED_PIECE.finditer(run[0]):
-            word = m[0].strip().lower()
-            new = _DIGITS.get(word) or ("+" if word.startswith("plus") else "." if "dot" in word else "")
-            edits.append((run.start() + m.start(), run.start() + m.end(), new))
-    out.rewrite(edits)
-    edits = []
-    for run in _ADDRESS.finditer(out.text):
-        for m in _ADDRESS_PIECE.finditer(run[0]):
-            at = "at" in m[0].lower() or "@" in m[0]
-            edits.append((run.start() + m.start(), run.start() + m.end(), "@" if at else "."))
+    for start, end in _addresses(out.text):
+        edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _MARK.finditer(out.text, start, end)]
     out.rewrite(edits)
     out.rewrite([(m.start(), m.end(), ".") for m in _BRACKET_DOT.finditer(out.text)])
     return out
@@ -203,7 +281,9 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     more = set()
     for kind, a, b in identifiers(norm.text):
         start, end = norm.start[a], norm.end[b - 1]
-        if not any(k == kind and s <= start and end <= e for k, s, e in base):
+        # Base spans of a kind do not overlap: only the last that starts by then can hold this one.
+        at = bisect_right(base, (kind, start, len(text))) - 1
+        if at < 0 or base[at][0] != kind or end > base[at][2]:
             more.add((kind, start, end))
     return base, sorted(more)
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from chronoloom.llm import pii, secrets
 from hypothesis import given, settings
@@ -89,6 +90,39 @@ def test_every_disguise_passes_the_gate():
     assert pii.find("one of the years 2018, 2019, 2020, 2021") == ([], [])
 
 
+disguises = st.lists(
+    st.sampled_from(
+        ["john", "jane.doe", "@", " at ", "_at_", "[at]", " ( @ ) ", "example", "com", ".", "[.]", " dot ", "_dot_", " {dot} ", "one", "Two", "seven", "oh",
+         "1", "22", "4111", " ", ", ", "-", "(", "plus ", "PLUS-", "+", "a_b", "phone", "a1", "é", "а", "\u200b", "\n"]
+    ),
+    max_size=16,
+).map("".join)
+
+
+@settings(max_examples=600, deadline=None)
+@given(disguises)
+def test_the_gate_lets_all_rewritten_texts_through(text):
+    norm = pii.normalise(text)
+    assert norm.text == text or pii._disguised(text)
+    assert len(norm.text) == len(norm.start) == len(norm.end)
+    assert all(0 <= a < b <= len(text) for a, b in zip(norm.start, norm.end)) and norm.start == sorted(norm.start)
+
+
+def test_plain_numbers_are_no_disguise():
+    card = "4111, 1111, 1111, 1111"
+    assert pii.find(f"two cards {card} or three") == ([], [])
+    assert pii.find(f"card {card[:-1]}one")[1] == [(2, 5, 5 + len(card) + 2)]
+
+
+def test_long_runs_take_one_pass():
+    parts = ("x", "1", "a_", " ", "a_at_", "a.b@c.", "[ ", "one", "plus", "(dot)", "one dot ", "x@", "._-", "at dot ")
+    began = time.process_time()
+    for sign in ("dot ", "zero ", "(at) "):
+        for part in parts:
+            pii.find(sign + part * (300_000 // len(part)) + "!")
+    assert time.process_time() - began < 90
+
+
 def test_clean_texts_have_no_disguise():
     for text in ("we met at noon dot", "see the dot com bubble", "one two three", "at one point seven of nine", "Éléphant à Noël"):
         assert pii.find(text) == ([], [])
