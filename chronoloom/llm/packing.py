@@ -1,16 +1,19 @@
 """Best-fit packing of tokenised documents by exact-complement hashing.
 
 Documents become pieces of at most ``capacity`` tokens. Only the histogram of piece
-lengths (at most ``capacity`` rows, whatever the corpus) reaches the driver. There,
-lengths are matched with single, pair and triple sums of available lengths that fill
-their gap exactly, under their counts; what is left is placed by best fit. The plan says, for
+lengths (at most ``capacity`` rows, whatever the corpus) reaches the driver. There, an
+index of single, pair and triple sums of lengths gives, for a gap, combinations that fill
+it exactly; they are consumed under the counts, and what is left is placed by best fit.
+Pairs and triples for long pieces can spend the short ones that others need, so two plans
+are made, with and without them, and the one with fewer sequences is taken. The plan says, for
 every length, which ranks of its pieces go to which sequences at which offset. On the
 cluster each piece gets its rank within its length by a two-step count over salted
 groups, and looks its place up in the plan.
 
 Defined results: null text counts as empty and gives one piece of one token (the end
 mark); rows that repeat an id or text are documents of their own; an empty table gives an
-empty table; extra columns are ignored; special-token strings in a text are ordinary text.
+empty table; extra columns are ignored; a special-token string in a text becomes its own
+id, as the tokenizer's default settings do.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ from .common import checkpointed
 CAPACITY = 2048
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Ranks within a length are counted in salted groups of about this many pieces.
-RANK_GROUP, MAX_GROUPS = 512, 4096
+#: Ranks within a length are counted in salted groups of about this many pieces. From
+#: RANK_GROUP * MAX_GROUPS pieces of one length on (5e8), groups grow with their number.
+RANK_GROUP, MAX_GROUPS = 512, 1 << 20
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -55,19 +59,26 @@ def encoder(vocabulary: str = VOCABULARY):
     path = vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary)
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     chars = _byte_of_char()
     ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
+def ids_of(text: str | None, vocabulary: str = VOCABULARY) -> list[int]:
+    """The token ids of a text; strings of special tokens are those tokens."""
+    encoding = encoder(vocabulary)
+    if any(sign in (text or "") for sign in encoding.special_tokens_set):
+        return encoding.encode(text, allowed_special="all")
+    return encoding.encode_ordinary(text or "")
 
 
 def pieces_udf(capacity: int = CAPACITY, vocabulary: str = VOCABULARY):
     @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
     def cut(texts: pd.Series) -> pd.Series:
-        encode = encoder(vocabulary).encode_ordinary
         out = []
         for text in texts:
-            ids = array("I", encode(text or ""))
+            ids = array("I", ids_of(text, vocabulary))
             ids.append(END)
             data, n = memoryview(ids).cast("B"), len(ids)
             size = ids.itemsize
@@ -91,19 +102,71 @@ def pieces(
     return cut.select("doc_id", F.inline("p"))
 
 
+class Sums:
+    """Which lengths fill a gap exactly: singles, pairs and triples hashed by their sum.
+
+    The larger length of every pair is indexed by the sum (built when a sum is first asked
+    for); a triple is a length and a pair of the rest. Counts are checked at each use.
+    """
+
+    def __init__(self, lengths: list[int], capacity: int):
+        self.there = np.zeros(capacity + 1, bool)
+        self.there[lengths] = True
+        self.found = np.array(sorted(lengths, reverse=True), np.int64)
+        self.larger: dict[int, np.ndarray] = {}
+
+    def _pairs(self, total: int) -> np.ndarray:
+        if total not in self.larger:
+            a = self.found[(self.found < total) & (2 * self.found >= total)]
+            self.larger[total] = a[self.there[total - a]]
+        return self.larger[total]
+
+    def _pair(self, total: int, left: np.ndarray, besides: tuple[int, ...], most: int) -> tuple[int, int] | None:
+        a = self._pairs(total)
+        a = a[(a <= most) & (left[a] > 0) & (left[total - a] > 0)]
+        return next(((x, total - x) for x in a.tolist() if enough(left, (*besides, x, total - x))), None)
+
+    def of(self, gap: int, left: np.ndarray, besides: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """The first combination with this sum that the counts allow; fewest and largest first."""
+        if gap == 0:
+            return ()
+        if enough(left, (*besides, gap)):
+            return (gap,)
+        if pair := self._pair(gap, left, besides, gap):
+            return pair
+        firsts = self.found[(self.found <= gap - 2) & (3 * self.found >= gap)]
+        for a in firsts[left[firsts] > 0].tolist():
+            if pair := self._pair(gap - a, left, (*besides, a), a):
+                return (a, *pair)
+        return None
+
+
+def enough(left: np.ndarray, lengths: tuple[int, ...]) -> bool:
+    return all(left[x] >= lengths.count(x) for x in set(lengths))
+
+
 class Plan:
-    """Slots of every length: ranks from .. to, the first sequence, and the offset."""
+    """Slots of every length: ranks from .. to, the first sequence, and the offset.
+
+    Every length above half of the capacity needs a sequence of its own, which a single
+    fills first. With ``exact_long`` pairs and triples fill the rest of those; without it
+    they serve lengths up to a third of the capacity only, when best fit has no gap for them.
+    ``filled`` counts the sequences that each kind of combination filled.
+    """
 
-    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY):
+    def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, exact_long: bool = False, sums: Sums | None = None):
         self.capacity = capacity
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
+        self.sums = sums or Sums([k for k, n in counts.items() if n], capacity)
         self.used = np.zeros(capacity + 1, np.int64)
         self.slots: dict[int, list[tuple[int, int, int, int]]] = {}
         self.sequences = 0
-        self._exact()
+        self.filled = {"whole": 0, "single": 0, "pair": 0, "triple": 0, "best fit": 0}
+        self._exact(exact_long)
         self._best_fit()
+        self.filled["best fit"] = self.sequences - sum(self.filled.values())
 
     def _put(self, length: int, n: int, first: int, offset: int) -> None:
         start = int(self.used[length])
@@ -119,46 +182,26 @@ class Plan:
             self._put(length, n, self.sequences, offset)
             offset += length
         self.sequences += n
-
-    def _enough(self, lengths: tuple[int, ...]) -> bool:
-        return all(self.left[x] >= lengths.count(x) for x in set(lengths))
-
-    def _pair(self, total: int, besides: tuple[int, ...]) -> tuple[int, int] | None:
-        """Two available lengths with this sum, the larger one as large as can be."""
-        larger = np.arange(total - 1, (total - 1) // 2, -1)
-        for a in larger[(self.left[larger] > 0) & (self.left[total - larger] > 0)].tolist():
-            if self._enough((*besides, a, total - a)):
-                return a, total - a
-        return None
+        self.filled[("whole", "single", "pair", "triple")[len(lengths) - 1]] += n
 
     def _complement(self, length: int) -> tuple[int, ...] | None:
-        gap = self.capacity - length
-        if gap == 0:
-            return ()
-        if self._enough((length, gap)):
-            return (gap,)
-        if pair := self._pair(gap, (length,)):
-            return pair
-        firsts = np.arange(gap - 2, (gap - 1) // 3, -1)
-        for a in firsts[self.left[firsts] > 0].tolist():
-            if pair := self._pair(gap - a, (length, a)):
-                return (a, *pair)
-        return None
+        return self.sums.of(self.capacity - length, self.left, (length,))
 
-    def _exact(self) -> None:
-        """Single complements of the lengths that need a sequence of their own anyway."""
+    def _exact(self, long: bool) -> None:
         for length in range(self.capacity, self.capacity // 2, -1):
             gap = self.capacity - length
             fill = (gap,) if gap else ()
-            while self.left[length] > 0 and self._enough((length, *fill)):
+            while self.left[length] > 0 and enough(self.left, (length, *fill)):
                 self._consume((length, *fill))
+        for length in range(self.capacity - 1, self.capacity // 3, -1) if long else ():
+            while self.left[length] > 0 and (more := self._complement(length)) is not None:
+                self._consume((length, *more))
 
     def _best_fit(self) -> None:
         """Largest first into the smallest gap that takes it; equal sequences move as one.
 
         Where no gap takes a short length, it opens sequences that a single, pair or triple
-        fills exactly, if one does. (Pairs and triples for long lengths would spend the
-        short pieces that other long ones need: 3 % more sequences on uniform lengths.)
+        fills exactly, if one does.
         """
         gaps: list[int] = []
         open_: dict[int, list[tuple[int, int]]] = {}
@@ -183,8 +226,8 @@ class Plan:
                     self._put(length, take, first, self.capacity - gap)
                     add(gap - length, first, take)
                     add(gap, first + take, n - take)
-                elif length <= self.capacity // 3 and (fill := self._complement(length)) is not None:
-                    self._consume((length, *fill))
+                elif length <= self.capacity // 3 and (more := self._complement(length)) is not None:
+                    self._consume((length, *more))
                 else:
                     each = self.capacity // length
                     full, rest = divmod(want, each)
@@ -196,6 +239,12 @@ class Plan:
                             self.sequences += n
 
 
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan with fewer sequences of the two orders; pairs and triples for long pieces on a tie."""
+    sums = Sums([k for k, n in counts.items() if n], capacity)
+    return min((Plan(counts, capacity, long, sums) for long in (True, False)), key=lambda p: p.sequences)
+
+
 def placer(plan: Plan):
     """A column function (length, rank) -> (sequence_id, offset); the plan is bounded by the capacity."""
     table = {
@@ -244,5 +293,5 @@ def pack(
     """Every piece with its sequence and offset."""
     cut = checkpointed(pieces(docs, capacity, vocabulary, id_col, text_col))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    placed = ranked(cut, counts).withColumn("at", placer(Plan(counts, capacity))("length", "rank"))
+    placed = ranked(cut, counts).withColumn("at", placer(best_plan(counts, capacity))("length", "rank"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")

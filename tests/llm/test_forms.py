@@ -1,9 +1,12 @@
 """Ogg round trips, packing invariants, multiset hashes and language ID."""
 
 import hashlib
+import itertools
 import random
+import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from chronoloom.llm import language, multiset, ogg, packing
@@ -55,15 +58,51 @@ def test_ogg_rows(spark):
 
 def test_tokens_are_those_of_tokenizers():
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    t.encode_special_tokens = True
-    ours = packing.encoder()
-    texts = ["", " ", "Hello world!\n\n  x", "Éàü ß naïve 12345 ½ ٣", "a\tb\r\n  z", "it's we'll I'D", "👩‍👩‍👧 日本語テスト", "<|endoftext|>x", "é​", "\x00\x1f"]
+    texts = ["", " ", "Hello world!\n\n  x", "Éàü ß naïve 12345 ½ ٣", "a\tb\r\n  z", "it's we'll I'D", "👩‍👩‍👧 日本語テスト", "é​", "\x00\x1f"]
+    texts += ["<|endoftext|>x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", "<|endoftext|", "x<|ENDOFTEXT|>"]
     for text in texts:
-        assert ours.encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids, text
+        assert packing.ids_of(text) == t.encode(text, add_special_tokens=False).ids, text
+    assert 50256 in packing.ids_of("a <|endoftext|> b")
+
+
+def test_pieces_hold_the_tokens_of_table_texts(spark):
+    t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()} | {-1: "tail <|endoftext|>" * 900}
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, texts[-1])], "doc_id long, text string"))
+    got = {}
+    for r in packing.pieces(docs).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    for doc_id, text in texts.items():
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        want = [(i, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+        assert sorted(got[doc_id]) == want
 
 
 def _check_plan(counts, capacity):
-    plan = packing.Plan(counts, capacity)
+    plans = [packing.Plan(counts, capacity, long) for long in (False, True)]
+    best = packing.best_plan(counts, capacity)
+    assert best.sequences == min(p.sequences for p in plans)
+    return [_check_places(p, counts, capacity) for p in (*plans, best)][-1]
+
+
+def test_sums_fill_gaps_exactly():
+    rng = random.Random(14)
+    for _ in range(200):
+        capacity = rng.choice([8, 20, 40])
+        counts = {rng.randint(1, capacity): rng.randint(1, 3) for _ in range(rng.randint(1, 9))}
+        sums = packing.Sums(list(counts), capacity)
+        left = np.array([counts.get(k, 0) for k in range(capacity + 1)])
+        enough = lambda xs: all(counts.get(x, 0) >= xs.count(x) for x in xs)
+        for gap in range(1, capacity + 1):
+            ways = [xs for n in (1, 2, 3) for xs in itertools.combinations_with_replacement(sorted(counts), n) if sum(xs) == gap and enough(xs)]
+            got = sums.of(gap, left)
+            assert (tuple(sorted(got)) in ways if got else not ways), (counts, gap, got, ways)
+
+
+def _check_places(plan, counts, capacity):
     filled, seen = {}, {}
     for length, slots in plan.slots.items():
         for start, stop, first, offset in slots:
@@ -77,7 +116,7 @@ def _check_plan(counts, capacity):
             assert offset == at
             at += length
         assert at <= capacity
-    assert len(filled) == plan.sequences
+    assert len(filled) == plan.sequences == sum(plan.filled.values())
     return plan.sequences
 
 
@@ -102,7 +141,7 @@ def test_packed_rows(spark):
     docs = spark.createDataFrame([(i % 1400, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("rank", F.lit(1))
     got = packing.pack(docs).collect()
     t = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    want = sum(len(t.encode(x or "").ids) + 1 for x in texts)
+    want = sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for x in texts)
     assert sum(r.length for r in got) == want
     by = {}
     for r in got:
