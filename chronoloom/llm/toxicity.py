@@ -2,10 +2,11 @@
 
 Labels are given per document. Word forms (whole words and word beginnings) whose document
 counts differ strongly between toxic and clean labelled documents label tokens of toxic
-documents; a two-state field is trained on token sequences around them. In a text, tokens
-that carry a learned form are located, the tokens between them are stepped over by powers
-of the transition matrix, and forward-backward gives each one's marginal. The marginals
-aggregate to a document score, calibrated on the labelled rows, and to offending offsets.
+documents; a two-state field is trained on the windows of tokens around them, over whole
+texts. In a text, tokens that carry learned forms are located (each form is a feature of
+its token), the tokens between them are stepped over by powers of the transition matrix,
+and forward-backward gives each one's marginal. The marginals aggregate to a document
+score, calibrated on the labelled rows, and to offending offsets.
 
 Defined results: null and empty texts, and texts without a learned form, have the score of
 a text without evidence; without any usable label, or with labels of one kind only, every
@@ -33,8 +34,9 @@ MAX_FORMS = 4000
 #: A form needs this many toxic documents, this log-likelihood ratio and this odds factor.
 LEAST_DOCS, LEAST_EVIDENCE, LEAST_FACTOR = 4, 16.0, 4.0
 THRESHOLD = 0.7
-#: Steps between two located tokens beyond which a token no longer bears on the next.
-MEMORY = 64
+#: Tokens without a form on each side of a located one in a training window, and the steps
+#: at which a longer window is cut into several.
+MARGIN, WINDOW = 4, 64
 _PREFIXES = range(3, 9)
 
 
@@ -101,35 +103,71 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def locate(text: str, forms: tuple[str, ...]) -> list[tuple[int, int, int]]:
-    """(start, end, form) of each word with a form: the whole word's, else the longest beginning."""
+Located = list[tuple[int, int, tuple[int, ...]]]
+
+
+def locate(text: str, forms: tuple[str, ...]) -> Located:
+    """(start, end, forms) of each word with forms: the whole word's and its beginnings'."""
     if not forms or not text:
         return []
     low = _lower(text)
-    best: dict[int, tuple[int, int]] = {}
+    found: dict[int, list[int]] = {}
     for last, (size, ids) in _automaton(forms).iter(low):
         start = last - size + 1
         if start and low[start - 1].isalpha():
             continue
         ends = last + 1 == len(low) or not low[last + 1].isalpha()
-        form, rank = (ids[True], 1000) if ends and True in ids else (ids.get(False), size)
-        if form is not None and not (ends and True not in ids) and rank > best.get(start, (0, 0))[0]:
-            best[start] = (rank, form)
+        form = ids.get(ends)
+        if form is not None:
+            found.setdefault(start, []).append(form)
     out = []
-    for start, (_, form) in sorted(best.items()):
+    for start, own in sorted(found.items()):
         end = start
         while end < len(low) and low[end].isalpha():
             end += 1
-        out.append((start, end, form))
+        out.append((start, end, tuple(sorted(own))))
     return out
 
 
-def gaps(text: str, found: list[tuple[int, int, int]]) -> list[int]:
-    """White-space tokens before, between and after the located words, up to MEMORY each."""
+def gaps(text: str, found: Located) -> list[int]:
+    """White-space tokens before, between and after the located words."""
     marks = [0, *[x for s in found for x in s[:2]], len(text)]
-    out = []
-    for a, b in zip(marks[::2], marks[1::2]):
-        out.append(min(MEMORY, len(text[a : min(b, a + 64 * MEMORY)].split())))
+    return [len(text[a:b].split()) for a, b in zip(marks[::2], marks[1::2])]
+
+
+def windows(tokens: list[tuple[int, list[int]]], after: int, label: int, other: int) -> list[tuple[list[list[int]], list[int]]]:
+    """Training sequences of one text: (gap before, forms) of its located tokens, and the gap at its end.
+
+    Stretches further than MARGIN from every located token are left out, for they hold
+    plain tokens alone; nothing else is.
+    """
+    out: list[tuple[list[list[int]], list[int]]] = []
+    xs: list[list[int]] = []
+    ys: list[int] = []
+
+    def plain(n: int) -> None:
+        xs.extend([[other]] * n)
+        ys.extend([0] * n)
+
+    def end() -> None:
+        for at in range(0, len(xs), WINDOW):
+            out.append((xs[at : at + WINDOW], ys[at : at + WINDOW]))
+        xs.clear()
+        ys.clear()
+
+    for i, (gap, forms) in enumerate(tokens):
+        if gap > 2 * MARGIN or not i:
+            if i:
+                plain(MARGIN)
+            end()
+            plain(min(gap, MARGIN))
+        else:
+            plain(gap)
+        xs.append(list(forms))
+        ys.append(label)
+    if tokens:
+        plain(min(after, MARGIN))
+    end()
     return out
 
 
@@ -142,30 +180,49 @@ class Model:
     calibration: np.ndarray
     base: float
 
-    def marginals(self, found: list[tuple[int, int, int]], between: list[int]) -> list[float]:
+    def __post_init__(self):
+        if not self.forms:
+            return
+        self.odds, self.pull = np.exp(np.clip(self.weights, -50, 50)), np.exp(self.moves)
+        step = self.pull * np.array([1.0, self.odds[-1]])
+        self.powers = {0: np.eye(2), 1: step / np.abs(np.linalg.eigvals(step)).max()}
+
+    def _over(self, gap: int) -> np.ndarray:
+        """The scaled transition over so many plain tokens; short gaps are kept, they recur."""
+        power = self.powers.get(gap)
+        if power is None:
+            power = np.linalg.matrix_power(self.powers[1], gap)
+            if gap < 4096:
+                self.powers[gap] = power
+        return power
+
+    def _emits(self, forms: tuple[int, ...]) -> np.ndarray:
+        return np.array([1.0, np.prod(self.odds[list(forms)])])
+
+    def marginals(self, found: Located, between: list[int]) -> list[float]:
         """P(toxic) of every located token, by forward-backward with powers over the gaps."""
-        step = np.exp(self.moves) * np.array([1.0, np.exp(self.weights[-1])])
-        step /= np.abs(np.linalg.eigvals(step)).max()
-        power = [np.linalg.matrix_power(step, g) for g in between]
+        emits = [self._emits(forms) for _, _, forms in found]
         state, forward = np.exp(self.starts - self.starts.max()), []
-        moves = np.exp(self.moves)
-        for i, (_, _, form) in enumerate(found):
-            state = state @ power[i]
-            if i or between[0]:
-                state = state @ moves
-            state = state * np.array([1.0, np.exp(self.weights[form])])
+        for i, own in enumerate(emits):
+            if not i and between[0]:
+                # The first plain token starts the chain and so has no move before it.
+                state = state * np.array([1.0, self.odds[-1]])
+                state = state @ self._over(between[0] - 1) @ self.pull
+            elif i:
+                state = state @ self._over(between[i]) @ self.pull
+            state = state * own
             state = state / state.sum()
             forward.append(state)
         back, out = np.ones(2), [0.0] * len(found)
         for i in range(len(found) - 1, -1, -1):
-            back = power[i + 1] @ back
+            back = self._over(between[i + 1]) @ back
             both = forward[i] * back
             out[i] = float(both[1] / both.sum())
-            back = moves @ (np.array([1.0, np.exp(self.weights[found[i][2]])]) * back)
+            back = self.pull @ (emits[i] * back)
             back = back / back.sum()
         return out
 
-    def evidence(self, text: str | None) -> tuple[list[float], list[tuple[int, int, int]], list[float]]:
+    def evidence(self, text: str | None) -> tuple[list[float], Located, list[float]]:
         found = locate(text or "", self.forms)
         if not found:
             return [1.0, 0.0, 0.0, 0.0], found, []
@@ -197,8 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         out = []
         for text in texts:
             found = locate(text, forms)
-            # Calibration and field see at most this many located tokens of one text.
-            out.append([[g, f[2]] for g, f in zip(gaps(text, found), found)][:200])
+            out.append([[g, *f] for g, f in zip(gaps(text, found), [*[f[2] for f in found], ()])])
         return pd.Series(out, dtype="object")
 
     seen = sample.select("toxic", F.pandas_udf(located, "array<array<int>>")("text").alias("at")).collect()
@@ -210,13 +266,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     other = len(forms)
     sequences = []
     for r in seen:
-        xs, ys = [], []
-        for gap, form in r["at"]:
-            xs += [[other]] * min(gap, 4) + [[form]]
-            ys += [0] * min(gap, 4) + [r["toxic"]]
-        if not xs and len(sequences) % 7 == 0:
-            xs, ys = [[other]] * 4, [0] * 4
-        sequences.append((xs[:60] + [[other]], ys[:60] + [0]))
+        tokens = [(t[0], t[1:]) for t in r["at"]]
+        sequences += windows(tokens[:-1], tokens[-1][0], r["toxic"], other)
+        if len(tokens) == 1 and tokens[0][0]:
+            sequences.append(([[other]] * MARGIN, [0] * MARGIN))
     field = crf.train(sequences, len(forms) + 1)
     weights = field.weights[:, 1] - field.weights[:, 0]
     model = Model(forms, weights, field.moves, field.starts, none, base)

@@ -51,6 +51,47 @@ def test_marginals_and_viterbi_by_enumeration():
             assert abs(nodes[0, t, 1] - want) < 1e-9
 
 
+def test_text_marginals_by_enumeration():
+    """The located tokens' marginals, gaps stepped over, against all paths over all tokens."""
+    rng = np.random.default_rng(7)
+    forms = ("bad$", "bad", "vile", "foul$", "vilen")
+    text_of = {(0,): "bad", (1,): "badly", (2,): "viler", (2, 4): "vileness", (3,): "foul"}
+    for _ in range(40):
+        model = toxicity.Model(forms, rng.normal(size=6), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(0), 0.5)
+        words = [("plain", ()) if rng.random() < 0.6 else next((w, f) for f, w in [list(text_of.items())[rng.integers(5)]]) for _ in range(int(rng.integers(1, 10)))]
+        text = " ".join(w for w, _ in words)
+        found = toxicity.locate(text, forms)
+        assert [f for _, _, f in found] == [f for _, f in words if f]
+        scores = {}
+        for y in itertools.product((0, 1), repeat=len(words)):
+            e = sum(s * sum(model.weights[i] for i in (f or (5,))) for s, (_, f) in zip(y, words))
+            scores[y] = model.starts[y[0]] + e + sum(model.moves[a, b] for a, b in zip(y, y[1:]))
+        z = np.logaddexp.reduce(list(scores.values()))
+        want = [sum(np.exp(v - z) for y, v in scores.items() if y[t]) for t, (_, f) in enumerate(words) if f]
+        assert np.allclose(model.marginals(found, toxicity.gaps(text, found)), want) if found else not want
+
+
+def test_windows_hold_every_located_token():
+    rng = random.Random(2)
+    for _ in range(200):
+        tokens = [(rng.choice([0, 0, 1, 3, 8, 9, 500]), [rng.randrange(5)]) for _ in range(rng.randint(0, 150))]
+        after = rng.choice([0, 2, 700])
+        got = toxicity.windows(tokens, after, 1, 9)
+        assert all(len(xs) == len(ys) <= toxicity.WINDOW for xs, ys in got)
+        assert [x for xs, _ in got for x in xs if x != [9]] == [f for _, f in tokens]
+        assert all(y == (x != [9]) for xs, ys in got for x, y in zip(xs, ys))
+        near = sum(g if g <= 8 else 8 for g, _ in tokens[1:]) + sum(min(g, 4) for g in ([tokens[0][0], after] if tokens else []))
+        assert sum(x == [9] for xs, _ in got for x in xs) == near
+
+
+def test_repeated_sequences_count_as_often(tables):
+    rng = random.Random(6)
+    some = [([[rng.randrange(4)] for _ in range(n)], [rng.randrange(2) for _ in range(n)]) for n in (1, 3, 3, 9, 30)]
+    many = crf.train([s for s in some for _ in range(3)], 4, settled=0)
+    assert np.allclose(many.weights, crf.train(some, 4, settled=0).weights)
+    assert np.allclose(many.moves, crf.train(some, 4, weights=[2.0] * 5, settled=0).moves)
+
+
 def test_held_out_rows(tables, model):
     docs, _, texts, toxic = tables
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
