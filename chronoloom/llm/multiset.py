@@ -5,6 +5,7 @@ wide vector: dense lanes, one count lane, and a sketch of levels and cells in wh
 unit fills one cell of the level that its hash falls on. A document's fingerprint is the
 sum of its units' vectors, lane by lane, modulo 2 ** 32. So units may come in any order,
 and inserting or deleting text adds or subtracts the vectors of the units concerned.
+Levels of zeros at the end of a vector are not stored, so a short text has a short one.
 
 Equal dense and count lanes mean equal multisets. The number of units by which two texts
 differ is estimated from how many cells differ at the levels that are not full, which
@@ -12,8 +13,9 @@ gives their likeness.
 
 Defined results: null text counts as empty and has the zero vector; two empty texts are
 alike (1.0); texts that hold the same units in any order have equal fingerprints; rows
-that repeat an id are ordered by a hash of their text; a null id comes after all others;
-extra columns are ignored; an empty table gives an empty table.
+that repeat an id are ordered by a hash of their text; a null id comes after all others
+(as the least id there can be); extra columns are ignored; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -23,13 +25,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DENSE, LEVELS, CELLS = 8, 7, 16
+from .common import checkpointed
+
+#: The last level has one unit in 2 ** 25, so it is not full below some 5e8 differing units.
+DENSE, LEVELS, CELLS = 8, 26, 16
 MODULUS = 1 << 32
-LANES = DENSE + 1 + LEVELS * CELLS
+#: Lanes before the sketch: the dense ones and the count.
+HEAD = DENSE + 1
 #: A level with this many differing cells or more counts as full.
 FULL = 14
-#: Documents of one window bucket, and the most buckets whose bounds the driver keeps.
-BUCKET_ROWS, MAX_BUCKETS = 400, 4096
+#: Documents of one window bucket. Buckets lie in at most CHUNKS chunks of at most CHUNKS
+#: each, so up to 1e8 documents keep that size; 5e10 documents give buckets of 190,000.
+BUCKET_ROWS, CHUNKS = 400, 512
 
 
 def marked(text: Column) -> Column:
@@ -53,6 +60,13 @@ def _unit_vectors(lines: Column) -> Column:
     return F.transform(lanes, entry)
 
 
+def trimmed(vector: Column) -> Column:
+    """The vector without the levels of zeros at its end."""
+    last = F.array_max(F.transform(vector, lambda x, i: F.when(x != 0, i)))
+    levels = F.greatest(F.ceil((F.coalesce(last, F.lit(0)) - DENSE) / F.lit(float(CELLS))), F.lit(0))
+    return F.slice(vector, F.lit(1), (HEAD + CELLS * levels).cast("int"))
+
+
 def vector_of_units(units: Column) -> Column:
     """Sum of unit vectors modulo 2 ** 32: dense lanes, count, sketch."""
 
@@ -69,12 +83,10 @@ def vector_of_units(units: Column) -> Column:
             lambda c: F.aggregate(own, zero, lambda s, u: s + F.when(u["cell"] == c, u["value"]).otherwise(zero)) % MODULUS,
         )
 
-    def at_level(k: int) -> Column:
-        return F.filter(units, lambda u: u["level"] == k)
-
-    by_level = F.array(*map(at_level, range(LEVELS)))
+    top = F.array_max(F.transform(units, lambda u: u["level"]))
+    by_level = F.transform(F.sequence(F.lit(0), F.coalesce(top, F.lit(0))), lambda k: F.filter(units, lambda u: u["level"] == k))
     sketch = F.flatten(F.transform(by_level, cells))
-    return F.concat(F.array(*dense, F.size(units).cast("long")), sketch)
+    return trimmed(F.concat(F.array(*dense, F.size(units).cast("long")), sketch))
 
 
 def with_vector(df: DataFrame, lines: str, name: str) -> DataFrame:
@@ -83,14 +95,20 @@ def with_vector(df: DataFrame, lines: str, name: str) -> DataFrame:
     return df.withColumn(units, _unit_vectors(F.col(lines))).withColumn(name, vector_of_units(F.col(units))).drop(units)
 
 
+def _lanes(a: Column, b: Column, of) -> Column:
+    """Lane by lane; lanes that one vector does not store are zero."""
+    zero = F.lit(0).cast("long")
+    return F.zip_with(a, b, lambda x, y: of(F.coalesce(x, zero), F.coalesce(y, zero)))
+
+
 def plus(a: Column, b: Column) -> Column:
     """Insertion: the vector of both multisets together."""
-    return F.zip_with(a, b, lambda x, y: (x + y) % MODULUS)
+    return trimmed(_lanes(a, b, lambda x, y: (x + y) % MODULUS))
 
 
 def minus(a: Column, b: Column) -> Column:
     """Deletion: the vector of what is in the first and not in the second."""
-    return F.zip_with(a, b, lambda x, y: (x - y + MODULUS) % MODULUS)
+    return trimmed(_lanes(a, b, lambda x, y: (x - y + MODULUS) % MODULUS))
 
 
 def hex_of(vector: Column) -> Column:
@@ -99,23 +117,29 @@ def hex_of(vector: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two unit multisets, 1.0 exactly for equal vectors."""
-    differs = F.zip_with(a, b, lambda x, y: (x != y).cast("int"))
-    counts = [
-        F.aggregate(F.slice(differs, DENSE + 2 + CELLS * k, CELLS), F.lit(0), lambda s, x: s + x) for k in range(LEVELS)
-    ]
     both = (a[DENSE] + b[DENSE]).cast("double")
     apart = F.abs(a[DENSE] - b[DENSE]).cast("double")
+    cells = F.lit(float(CELLS))
+
+    def counted(differs: Column) -> Column:
+        """How many cells differ, by level, as far as a vector has levels."""
+        last = F.floor((F.size(differs) - HEAD) / CELLS).cast("int") - 1
+        each = F.transform(
+            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+            lambda k: F.aggregate(F.slice(differs, k * CELLS + HEAD + 1, CELLS), F.lit(0), lambda s, x: s + x),
+        )
+        return each
 
     def estimate(n: Column) -> Column:
-        seen = share = F.lit(0.0)
-        for k in range(LEVELS):
-            usable = n[k] < FULL
-            cells = -float(CELLS) * F.log(1 - n[k] / F.lit(float(CELLS)))
-            seen = seen + F.when(usable, cells).otherwise(0.0)
-            share = share + F.when(usable, F.lit(2.0 ** -min(k + 1, LEVELS - 1))).otherwise(0.0)
+        """Differing units: those of the levels that are not full, over the share of units that fall there."""
+        seen = F.aggregate(n, F.lit(0.0), lambda s, x: s + F.when(x < FULL, -cells * F.log(1 - x / cells)).otherwise(0.0))
+        full = F.transform(n, lambda x, k: F.when(x >= FULL, F.pow(F.lit(0.5), F.least(k + 1, F.lit(LEVELS - 1)))).otherwise(0.0))
+        share = F.aggregate(full, F.lit(1.0), lambda s, x: s - x)
         return F.when(share > 0, seen / share).otherwise(both)
 
-    found = F.transform(F.array(F.array(*counts)), estimate)[0]
+    differs = _lanes(a, b, lambda x, y: (x != y).cast("int"))
+    counts = F.transform(F.array(differs), counted)
+    found = F.transform(counts, estimate)[0]
     change = F.transform(F.array(found), lambda d: F.least(F.greatest(d, apart), both))[0]
     alike = F.transform(F.array(change), lambda d: (both - d) / (both + d))[0]
     return F.when(a == b, F.lit(1.0)).when(both == 0, F.lit(1.0)).otherwise(alike)
@@ -127,58 +151,68 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return with_vector(lines, "lines", "vector").select("doc_id", "vector", hex_of(F.col("vector")).alias("fingerprint"))
 
 
-def _bounds(docs: DataFrame, id_col: str) -> list[int]:
-    n = docs.count()
-    parts = max(1, min(MAX_BUCKETS, -(-n // BUCKET_ROWS)))
-    if parts == 1:
-        return []
-    cuts = [i / parts for i in range(1, parts)]
-    row = docs.agg(F.percentile_approx(F.col(id_col), cuts, 20 * MAX_BUCKETS).alias("q")).first()
-    return sorted(set(row["q"] or []))
-
+def _place(order: Column, share: Column, cuts: Column) -> tuple[Column, Column]:
+    """Between which sorted cuts a row lies, and its share of what lies there.
 
-def _bucket(id_: Column, bounds: list[int]) -> Column:
-    """How many bounds are below the id (null: -1), by two short scans."""
-    if not bounds:
-        return F.when(id_.isNull(), -1).otherwise(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    chunks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    below = lambda xs: F.size(F.filter(xs, lambda b: b < id_))
-    top = F.greatest(below(longs([c[0] for c in chunks])), F.lit(1))
-    inner = below(F.element_at(F.array(*map(longs, chunks)), top))
-    return F.when(id_.isNull(), -1).otherwise((top - 1) * step + inner)
+    Where several cuts are equal, one id holds that many buckets' rows; its rows are dealt
+    to them by their share.
+    """
+    below = F.size(F.filter(cuts, lambda c: c < order))
+    same = F.size(F.filter(cuts, lambda c: c == order))
+    step = F.floor(share * same).cast("int")
+    return below + step, F.when(same > 0, share * same - step).otherwise(share)
+
+
+def _bucketed(docs: DataFrame, order: Column, tie: Column) -> DataFrame:
+    """Adds ``__order``, ``__tie`` and ``__bucket``; buckets ascend with both and hold like numbers of rows."""
+    # Not quite 1.0 for the largest hash.
+    share = F.least(tie / F.lit(2.0**64) + 0.5, F.lit(1 - 2.0**-53))
+    rows = docs.withColumns({"__order": order, "__tie": tie, "__share": share})
+    parts = max(1, min(CHUNKS * CHUNKS, -(-docs.count() // BUCKET_ROWS)))
+    if parts == 1:
+        return rows.withColumn("__bucket", F.lit(0)).drop("__share")
+    outer = max(2, round(parts**0.5))
+    inner = max(2, -(-parts // outer))
+    cuts = lambda n: F.percentile_approx("__order", [i / n for i in range(1, n)], 20 * CHUNKS)
+    outer_cuts = F.lit(list(rows.agg(cuts(outer).alias("c")).first()["c"])).cast("array<long>")
+    chunk, rest = _place(F.col("__order"), F.col("__share"), outer_cuts)
+    dealt = rows.withColumn("__rest", rest).withColumn("__chunk", chunk).drop("__share")
+    # Written down: another run over the same rows may cut elsewhere. At most CHUNKS rows of CHUNKS ids.
+    inner_cuts = checkpointed(dealt.groupBy("__chunk").agg(cuts(inner).alias("__cuts")))
+    within, _ = _place(F.col("__order"), F.col("__rest"), F.col("__cuts"))
+    placed = dealt.join(F.broadcast(inner_cuts), "__chunk").withColumn("__bucket", F.col("__chunk") * CHUNKS + within)
+    return placed.drop("__chunk", "__rest", "__cuts")
 
 
 def with_next(docs: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
     """Adds ``next_<column>`` of the row that follows by descending id (after the last: the first).
 
-    Rows are dealt to buckets of adjacent ids. The first row of every bucket is also sent
-    to the bucket above, the first of all to the lowest, so every bucket finds each of its
-    rows' successors within itself. Only ids and bounds, at most ``MAX_BUCKETS``, are
-    driver data.
+    Rows are dealt to buckets of adjacent ids; rows that repeat an id follow a hash of the
+    first carried column. The first row of every bucket is also sent to the bucket before,
+    the first of all to the last, so every bucket finds its rows' successors within itself.
     """
-    spark = docs.sparkSession
-    tagged = docs.withColumn("__bucket", _bucket(F.col(id_col), _bounds(docs, id_col))).withColumn(
-        "__tie", F.xxhash64(*carried)
-    )
-    first = F.min(F.struct((-F.col(id_col)).alias("i"), F.col("__tie").alias("t")))
-    heads = sorted(tagged.groupBy("__bucket").agg(first.alias("f")).collect(), key=lambda r: r["__bucket"])
-    below = {r["__bucket"]: (heads[i + 1] if i + 1 < len(heads) else heads[0])["__bucket"] for i, r in enumerate(heads)}
-    sends = spark.createDataFrame(
-        [(r["__bucket"], r["f"]["i"], r["f"]["t"], below[r["__bucket"]]) for r in heads],
-        "hb int, hi long, ht long, to int",
+    order = F.bitwise_not(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")))
+    tagged = _bucketed(docs, order, F.xxhash64(carried[0]))
+    first = F.min(F.struct("__order", "__tie")).alias("f")
+    every = Window.partitionBy().orderBy("hb")
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = (
+        tagged.groupBy(F.col("__bucket").alias("hb"))
+        .agg(first)
+        .withColumn("to", F.coalesce(F.lag("hb").over(every), F.max("hb").over(whole)))
+        .select("hb", "to", F.col("f.__order").alias("ho"), F.col("f.__tie").alias("ht"))
     )
-    key = (F.col("__bucket") == F.col("hb")) & (-F.col(id_col)).eqNullSafe(F.col("hi")) & (F.col("__tie") == F.col("ht"))
-    both = tagged.join(F.broadcast(sends), key, "left").drop("hb", "hi", "ht")
+    key = (F.col("__bucket") == F.col("hb")) & (F.col("__order") == F.col("ho")) & (F.col("__tie") == F.col("ht"))
+    # At most CHUNKS * CHUNKS short rows.
+    both = tagged.join(F.broadcast(heads), key, "left").drop("hb", "ho", "ht")
     own = F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("lent"))
     lent = F.struct(F.col("to").alias("b"), F.lit(1).alias("lent"))
     dealt = both.withColumn("__at", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, lent))))
     dealt = dealt.withColumn("__bucket", F.col("__at.b")).withColumn("__lent", F.col("__at.lent")).drop("__at", "to")
-    order = Window.partitionBy("__bucket").orderBy("__lent", F.col(id_col).desc_nulls_last(), "__tie")
+    in_order = Window.partitionBy("__bucket").orderBy("__lent", "__order", "__tie")
     for c in carried:
-        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
-    return dealt.where("__lent = 0").drop("__bucket", "__tie", "__lent")
+        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(in_order))
+    return dealt.where("__lent = 0").drop("__bucket", "__order", "__tie", "__lent")
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

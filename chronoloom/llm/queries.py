@@ -84,40 +84,60 @@ def op9_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edit_report(table(spark, sf_dir, "documents"))
 
 
-def _lanes(lines: str) -> str:
-    """SQL of the lanes of a column of marked text."""
+def _units(lines: str) -> str:
+    """SQL of the hashed units of a column of marked text: eight 32-bit words, level and cell of each."""
     units = f"list_filter(string_split({lines}, chr(10)), lambda u: u <> '')"
     words = ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)" for i in range(multiset.DENSE))
+    level = f"CAST(least(CASE WHEN v[8] = 0 THEN 64 ELSE bit_count((v[8] & (-v[8])) - 1) END, {multiset.LEVELS - 1}) AS BIGINT)"
     vs = f"list_transform(list_transform({units}, lambda u: sha256(u)), lambda h: [{words}])"
-    level = f"least(CASE WHEN v[8] = 0 THEN 64 ELSE bit_count((v[8] & (-v[8])) - 1) END, {multiset.LEVELS - 1})"
-    cell = f"{level} * {multiset.CELLS} + (v[7] >> 28)"
+    return f"list_transform({vs}, lambda v: list_concat(v, [{level} * {multiset.CELLS} + (v[7] >> 28)]))"
+
+
+def _lanes(vs: str) -> str:
+    """SQL of the lanes of a list of hashed units, up to the last level that has one."""
     total = lambda xs: f"CAST(coalesce(list_sum({xs}), 0) % {multiset.MODULUS} AS BIGINT)"
     dense = ", ".join(total(f"list_transform({vs}, lambda v: v[{i + 1}])") for i in range(multiset.DENSE))
+    last = f"coalesce(list_max(list_transform({vs}, lambda v: v[9])), -1)"
     cells = (
-        f"list_transform(range(0, {multiset.LEVELS * multiset.CELLS}), lambda c: "
-        + total(f"list_transform({vs}, lambda v: CASE WHEN {cell} = c THEN v[1] ELSE 0 END)")
+        f"list_transform(range(0, ({last} // {multiset.CELLS} + 1) * {multiset.CELLS}), lambda c: "
+        + total(f"list_transform({vs}, lambda v: CASE WHEN v[9] = c THEN v[1] ELSE 0 END)")
         + ")"
     )
-    return f"list_concat([{dense}, CAST(len({units}) AS BIGINT)], {cells})"
+    return f"list_concat([{dense}, CAST(len({vs}) AS BIGINT)], {cells})"
 
 
-def _likeness(a: str, b: str) -> str:
-    size = multiset.DENSE + 1
+def _differing(a: str, b: str) -> str:
+    """SQL of how many cells differ, by level."""
+    at = f"{multiset.HEAD} + {multiset.CELLS} * k"
+    return (
+        f"list_transform(range(0, {multiset.LEVELS}), lambda k: "
+        f"len(list_filter(range({at} + 1, {at} + {multiset.CELLS + 1}), lambda i: coalesce({a}[i], 0) <> coalesce({b}[i], 0))))"
+    )
+
+
+def _likeness(a: str, b: str, n: str) -> str:
+    """SQL of the likeness of two lists of lanes of which ``n`` lists the differing cells by level."""
+    size, cells = multiset.HEAD, float(multiset.CELLS)
     seen, share = [], []
     for k in range(multiset.LEVELS):
-        lo = size + multiset.CELLS * k
-        n = f"len(list_filter(range({lo + 1}, {lo + multiset.CELLS + 1}), lambda i: {a}[i] <> {b}[i]))"
-        cells = float(multiset.CELLS)
-        seen.append(f"CASE WHEN {n} < {multiset.FULL} THEN -{cells} * ln(1 - {n} / {cells}) ELSE 0.0 END")
-        share.append(f"CASE WHEN {n} < {multiset.FULL} THEN CAST({2.0 ** -min(k + 1, multiset.LEVELS - 1)} AS DOUBLE) ELSE 0.0 END")
+        usable = f"CASE WHEN {n}[{k + 1}] < {multiset.FULL} THEN"
+        seen.append(f"{usable} -{cells} * ln(1 - {n}[{k + 1}] / {cells}) ELSE 0.0 END")
+        share.append(f"{usable} CAST({2.0 ** -min(k + 1, multiset.LEVELS - 1)!r} AS DOUBLE) ELSE 0.0 END")
     s, w = "(" + " + ".join(seen) + ")", "(" + " + ".join(share) + ")"
     both, apart = f"CAST({a}[{size}] + {b}[{size}] AS DOUBLE)", f"CAST(abs({a}[{size}] - {b}[{size}]) AS DOUBLE)"
     d = f"least(greatest(CASE WHEN {w} > 0 THEN {s} / {w} ELSE {both} END, {apart}), {both})"
-    return f"CASE WHEN {a} = {b} OR {both} = 0 THEN CAST(1.0 AS DOUBLE) ELSE ({both} - {d}) / ({both} + {d}) END"
+    return f"CASE WHEN {a}_hex = {b}_hex OR {both} = 0 THEN CAST(1.0 AS DOUBLE) ELSE ({both} - {d}) / ({both} + {d}) END"
+
+
+def _hex(lanes: str) -> str:
+    """SQL of the stored lanes: levels of zeros at the end are left out."""
+    text = "array_to_string(list_transform({0}, lambda x: printf('%08x', x)), '')"
+    head, sketch = text.format(f"{lanes}[1:{multiset.HEAD}]"), text.format(f"{lanes}[{multiset.HEAD + 1}:]")
+    level = 8 * multiset.CELLS
+    return f"{head} || substr({sketch}, 1, CAST(ceil(length(rtrim({sketch}, '0')) / {float(level)}) AS BIGINT) * {level})"
 
 
 _MARKED = "replace(replace(replace({0}, '. ', '.' || chr(10)), '! ', '!' || chr(10)), '? ', '?' || chr(10))"
-_HEX = "array_to_string(list_transform({0}, lambda x: printf('%08x', x)), '')"
 OP9_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (
@@ -129,13 +149,18 @@ e AS (
 m AS (
   SELECT doc_id, n, edited, {_MARKED.format("text")} AS own_lines, {_MARKED.format("edited")} AS new_lines,
     {_MARKED.format("next_text")} AS next_lines FROM e),
+units AS (
+  SELECT doc_id, n, edited, {_units("own_lines")} AS own_units, {_units("new_lines")} AS new_units,
+    {_units("next_lines")} AS next_units FROM m),
 lanes AS (
-  SELECT doc_id, n, edited, {_lanes("own_lines")} AS own, {_lanes("new_lines")} AS new, {_lanes("next_lines")} AS nxt
-  FROM m)
-SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, {_HEX.format("own")} AS fingerprint,
-  {_HEX.format("new")} AS edited_fingerprint, {_likeness("own", "new")} AS near_edited,
-  {_likeness("own", "nxt")} AS near_next
-FROM lanes
+  SELECT doc_id, n, edited, {_lanes("own_units")} AS own, {_lanes("new_units")} AS new, {_lanes("next_units")} AS nxt
+  FROM units),
+apart AS (
+  SELECT *, {_differing("own", "new")} AS to_new, {_differing("own", "nxt")} AS to_next,
+    {_hex("own")} AS own_hex, {_hex("new")} AS new_hex, {_hex("nxt")} AS nxt_hex FROM lanes)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, own_hex AS fingerprint, new_hex AS edited_fingerprint,
+  {_likeness("own", "new", "to_new")} AS near_edited, {_likeness("own", "nxt", "to_next")} AS near_next
+FROM apart
 """
 
 

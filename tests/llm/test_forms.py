@@ -5,6 +5,7 @@ import itertools
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -163,7 +164,7 @@ def test_multiset_algebra(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("vector", F.lit(0))
     v = {r.doc_id: r for r in multiset.fingerprints(docs).collect()}
     assert v[1].fingerprint == v[2].fingerprint != v[3].fingerprint
-    assert v[5].fingerprint == v[6].fingerprint == "0" * 8 * multiset.LANES
+    assert v[5].fingerprint == v[6].fingerprint == "0" * 8 * multiset.HEAD
     pair = spark.createDataFrame([(v[3].vector, v[4].vector, v[1].vector)], "a array<long>, b array<long>, c array<long>")
     r = pair.select(multiset.plus(F.col("a"), F.col("b")).alias("p"), multiset.minus(F.col("c"), F.col("b")).alias("m")).first()
     assert r.p == v[1].vector and r.m == v[3].vector
@@ -188,6 +189,40 @@ def test_multiset_edits_match_recomputation(spark):
         assert 0 <= got[k].near_edited <= 1 and 0 <= got[k].near_next <= 1
 
 
+def test_likeness_is_near_the_true_one(spark):
+    """Texts of up to 100,000 units: the estimate against the similarity of the unit multisets."""
+    rng = random.Random(18)
+    rows, want = [], {}
+    for n in (3, 40, 900, 10_000, 100_000):
+        for share in (0.0, 0.1, 0.34, 0.8):
+            lines = [f"unit {n} {i}" for i in range(n)]
+            other = [f"other {x}" if rng.random() < share else x for x in lines] + lines[: n // 50]
+            a, b = Counter(lines), Counter(other)
+            want[len(rows)] = sum((a & b).values()) / sum((a | b).values())
+            rng.shuffle(other)
+            rows.append((len(rows), "\n".join(lines), "\n".join(other)))
+    pairs = spark.createDataFrame(rows, "k int, a string, b string").repartition(8)
+    for c in "ab":
+        pairs = multiset.with_vector(pairs, c, f"{c}v")
+    got = {r.k: r.near for r in pairs.select("k", multiset.likeness(F.col("av"), F.col("bv")).alias("near")).collect()}
+    for k, true in want.items():
+        assert abs(got[k] - true) < 0.17, (k, got[k], true)
+
+
+def test_next_rows_with_hot_and_null_ids(spark, monkeypatch):
+    """A third of the rows share an id and some have none: one ring in the order of id and text hash."""
+    monkeypatch.setattr(multiset, "BUCKET_ROWS", 7)
+    rng = random.Random(5)
+    ids = [5] * 150 + [None] * 60 + [rng.randint(-50, 900) for _ in range(240)]
+    docs = spark.createDataFrame([(i, f"t{k % 400}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(5)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(((i, t) for i, t in docs.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    got = Counter((r.doc_id, r.text, r.next_text) for r in multiset.with_next(docs, "doc_id", ["text"]).collect())
+    assert got == Counter((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+    sizes = [r["count"] for r in multiset._bucketed(docs, F.coalesce("doc_id", F.lit(-99)), F.xxhash64("text")).groupBy("__bucket").count().collect()]
+    assert max(sizes) < 60
+
+
 def test_multiset_small_tables(spark):
     one = spark.createDataFrame([(5, "abc")], "doc_id long, text string")
     r = multiset.edit_report(one).first()
