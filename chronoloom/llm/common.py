@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch that carries whole texts to Python, where the session leaves Spark's default of 10,000.
+BATCH_ROWS = 2000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(docs: DataFrame) -> DataFrame:
+    """The rows; their session sends at most ``BATCH_ROWS`` at once to Python unless it says otherwise.
+
+    Spark also ends a batch at 64 MB, so neither many nor long texts fill a worker's memory.
+    """
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == "10000":
+        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+    return docs
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of its own only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where one machine runs all tasks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or tempfile.mkdtemp(prefix="chronoloom-")
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="chronoloom-")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -26,11 +47,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``.
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a ``written`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.search(r"/chronoloom-[0-9a-f]{32}$", folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    A folder of its own is taken only where the session names none, as in tests.
-    """
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:

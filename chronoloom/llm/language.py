@@ -20,10 +20,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id
+from .common import bounded, crc_of_id
 
 #: Documents of each language that its dictionary may be drawn from, and its bytes.
 SAMPLE_DOCS, DICTIONARY_BYTES = 1000, 200_000
+#: Languages that a model may have; more are an error, for every one costs a compression of each text.
+MAX_LANGUAGES = 1000
 #: Texts are compressed in chunks of this many bytes, each by itself, so that the
 #: dictionary and not the text before explains a chunk.
 CHUNK_BYTES = 4096
@@ -31,7 +33,7 @@ CHUNK_BYTES = 4096
 #: separate the best language from the next.
 SOFTNESS, LEAST_MARGIN = 8.0, 0.01
 
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -40,6 +42,11 @@ def words_of(text: str) -> str:
     return _OTHER.sub(" ", text.lower())
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter; number forms such as ½ or Ⅷ are none."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def learn(
     docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
     sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES,
@@ -50,11 +57,14 @@ def learn(
     taken from a hashed place within them.
     """
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{lang_col} names more than {MAX_LANGUAGES} languages")
+    if not counts:
+        return {}
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col(lang_col) == r["lang"]) & (draw < min(1.0, 0.9 * sample_docs / r["n"])))
+    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 0.9 * sample_docs / r["n"]))])
+    wanted = draw < shares[F.col(lang_col)]
     share = max(64, 2 * dictionary_bytes // sample_docs)
     place = F.pmod(F.xxhash64(F.col(text_col)), F.greatest(F.length(text_col) - share, F.lit(1))).cast("int") + 1
     sampled = rows.where(wanted).select(
@@ -89,7 +99,7 @@ def predictor(model: dict[str, bytes], level: int = 6):
         squeeze = [c.compress for c in _compressors(frozen, level)]
         out = []
         for text in texts:
-            if not names or text is None or not _LETTER.search(text):
+            if not names or text is None or not has_letter(text):
                 out.append(("und", 0.0, True, 0.0))
                 continue
             data = words_of(text).encode("utf-8")
@@ -113,6 +123,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, model: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(
+    return bounded(docs).select(
         F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), predictor(model)(F.col(text_col)).alias("p")
     ).select("doc_id", "held_out", "p.*")

@@ -22,6 +22,8 @@ from .common import checkpointed, id_text, unit_hash
 MAX_MEAN = 32.0
 #: The per-source table is broadcast up to this many rows; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 20_000
+#: Kinds of columns that tell rows of one id apart.
+_HASHED = {"string", "bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "decimal", "binary"}
 
 
 def source_rates(
@@ -89,7 +91,7 @@ def mix(
     """The documents, each repeated by its draw, in a globally shuffled order.
 
     Adds ``copy`` (1..n_copies), ``n_copies`` and ``shuffle_key``. The shuffle deals rows
-    by a hash of id and copy, so no source, however large, meets in one task.
+    by a hash of id, copy and content, so no source and no repeated id, however large, meets in one task.
     """
     rates = source_rates(docs, weights, temperature, total, source_col)
     draws = F.greatest(F.ceil(F.col("__rate") / F.lit(MAX_MEAN)), F.lit(1)).cast("int")
@@ -110,4 +112,6 @@ def mix(
         F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), id_text(id_col), F.col("copy").cast("string"))), 1, 15), 16, 10
     ).cast("long")
     out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies")))).withColumn("shuffle_key", key)
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    # Rows that repeat an id have one key; what else tells them apart deals them to different tasks.
+    plain = [c for c, kind in docs.dtypes if kind.split("(")[0] in _HASHED and c in out.columns]
+    return out.repartition("shuffle_key", F.xxhash64(*plain)).sortWithinPartitions("shuffle_key")

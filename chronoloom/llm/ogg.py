@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 BLOCK = 192
 #: Samples of one packet; its ten blocks need eight lacing values, so packets span pages.
 PACKET = 10 * BLOCK
@@ -218,7 +220,7 @@ def decode(media: pd.Series) -> pd.Series:
 
 def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): the stored form of every text."""
-    return docs.select(
+    return bounded(docs).select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
         F.pandas_udf(encode, "binary")(F.col(text_col)).alias("media"),

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import bounded, checkpointed
 
 CAPACITY = 2048
 END = 0
@@ -98,7 +98,7 @@ def pieces(
     docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32); the first piece of a long document is the short one."""
-    cut = docs.select(F.col(id_col).alias("doc_id"), pieces_udf(capacity, vocabulary)(F.col(text_col)).alias("p"))
+    cut = bounded(docs).select(F.col(id_col).alias("doc_id"), pieces_udf(capacity, vocabulary)(F.col(text_col)).alias("p"))
     return cut.select("doc_id", F.inline("p"))
 
 

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 KINDS = ("email", "ip", "card", "phone")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -322,9 +324,9 @@ def redacted(texts: pd.Series) -> pd.Series:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.pandas_udf(scan, _SCHEMA)(F.col(text_col)).alias("s")).select("doc_id", "s.*")
+    return bounded(docs).select(F.col(id_col).alias("doc_id"), F.pandas_udf(scan, _SCHEMA)(F.col(text_col)).alias("s")).select("doc_id", "s.*")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; null stays null."""
-    return docs.withColumn(text_col, F.pandas_udf(redacted, "string")(F.col(text_col)))
+    return bounded(docs).withColumn(text_col, F.pandas_udf(redacted, "string")(F.col(text_col)))

@@ -2,12 +2,12 @@
 
 Candidates are found in every whole text by patterns. The hash of each candidate's value
 is counted over the corpus by distinct repositories and owners: values that several
-owners share are copied examples, values that one owner alone has and that look random
-are live-looking credentials.
+owners share, or that very many repositories of one owner hold, are copied examples;
+random-looking values of one owner's few repositories are live-looking credentials.
 
 Defined results: null text counts as empty; rows without a candidate have zero counts and
 an empty ``spans``; a null repository or owner counts as one of its own; rows that repeat
-an id are judged each by its own spans; extra columns are ignored; an empty table gives
+an id are judged each by its own values; extra columns are ignored; an empty table gives
 an empty table.
 """
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import bounded, checkpointed
 
 BASE_KINDS = ("assign", "access", "hex")
 #: Kinds in the order in which spans of one start are listed; the base kinds come first.
@@ -111,43 +111,45 @@ def secrets(
     repo: Column | None = None,
     owner: Column | None = None,
     max_owners: int = 1,
+    max_repos: int = 3,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: base counts and digest, all spans, and how they were judged.
 
-    ``live`` lists random-looking values that at most ``max_owners`` owners have,
-    ``examples`` those that more have.
+    ``live`` lists random-looking values that at most ``max_owners`` owners have in at most
+    ``max_repos`` repositories, ``examples`` those that more have.
     """
     repo = F.col("source") if repo is None else repo
     owner = F.col("source") if owner is None else owner
     scanned = checkpointed(
-        docs.select(
+        bounded(docs).select(
             F.col(id_col).alias("doc_id"),
             F.coalesce(repo.cast("string"), F.lit("")).alias("repo"),
             F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
             F.pandas_udf(scan, _SCHEMA)(F.col(text_col)).alias("s"),
-        ).select("doc_id", "repo", "owner", "s.*")
+        )
+        .select("doc_id", "repo", "owner", "s.*")
+        .withColumn("values", F.md5(F.array_join("candidates.hash", "")))
     )
     plain = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     hit = scanned.where(F.size("candidates") > 0)
     each = hit.select("doc_id", "spans", "repo", "owner", F.explode("candidates").alias("c"))
     counts = ownership(each.select("c.hash", "repo", "owner"))
-    once = hit.dropDuplicates(["doc_id", "spans"]).select("doc_id", "spans", F.posexplode("candidates").alias("i", "c"))
+    once = hit.dropDuplicates(["doc_id", "spans", "values"]).select("doc_id", "spans", "values", F.posexplode("candidates").alias("i", "c"))
     judged = once.join(counts, F.col("c.hash") == counts["hash"])
     listed = lambda cond: F.array_join(
         F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("i", "c.at")))), lambda x: x["at"]), ","
     )
-    shared = F.col("owners") > max_owners
-    verdicts = judged.groupBy(F.col("doc_id").alias("id2"), F.col("spans").alias("spans2")).agg(
+    shared = (F.col("owners") > max_owners) | (F.col("repos") > max_repos)
+    verdicts = judged.groupBy(F.col("doc_id").alias("id2"), F.col("spans").alias("spans2"), F.col("values").alias("values2")).agg(
         listed(~shared & F.col("c.random")).alias("live"),
         listed(shared).alias("examples"),
         F.max("owners").alias("most_owners"),
         F.max("repos").alias("most_repos"),
     )
-    met = hit.select(*plain).join(
-        verdicts, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("spans") == F.col("spans2"))
-    )
+    same = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("spans") == F.col("spans2")) & (F.col("values") == F.col("values2"))
+    met = hit.select(*plain, "values").join(verdicts, same)
     rest = scanned.where(F.size("candidates") == 0).select(
         *plain, F.lit("").alias("live"), F.lit("").alias("examples"), F.lit(0).cast("long").alias("most_owners"), F.lit(0).cast("long").alias("most_repos")
     )

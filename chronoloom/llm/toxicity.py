@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import checkpointed, crc_of_id
+from .common import bounded, checkpointed, crc_of_id
 
 #: The model is fitted on about this many labelled rows at most, drawn by a hash.
 SAMPLE_ROWS = 12_000
@@ -247,7 +247,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.02, rounds: int = 60)
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Learn forms, the field and the calibration from the bounded labelled sample."""
-    sample = labelled_sample(docs, labels, rows)
+    sample = labelled_sample(bounded(docs), labels, rows)
     forms = tuple(word_forms(sample))
 
     def located(texts: pd.Series) -> pd.Series:
@@ -295,7 +295,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return pd.DataFrame(out, columns=["score", "spans"])
 
     s = F.pandas_udf(scored, "score double, spans string")(F.col(text_col))
-    return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), s.alias("s")).select(
+    return bounded(docs).select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), s.alias("s")).select(
         "doc_id", "held_out", "s.score", (F.col("s.score") >= THRESHOLD).cast("int").alias("predicted"), "s.spans"
     )
 
@@ -306,4 +306,4 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     def keep(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(model.evidence(t)[0]) < THRESHOLD for t in texts], dtype="bool")
 
-    return docs.where(F.pandas_udf(keep, "boolean")(F.col(text_col)))
+    return bounded(docs).where(F.pandas_udf(keep, "boolean")(F.col(text_col)))

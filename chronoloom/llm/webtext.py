@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 from html import unescape
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
+from .common import bounded
 
 # Element kinds of HTML.
 _BLOCK_TAGS = frozenset(
@@ -55,12 +57,27 @@ _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label)(?:\s*
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Path(NamedTuple):
+    """What the features take from an element and its ancestors; grows with the kinds of marks, not with the depth."""
+
+    marks: tuple[str, ...] = ()  # different ones of all, outermost first
+    own: tuple[str, ...] = ()
+    tags: tuple[str, ...] = ()  # the two innermost block tags
+    titled: bool = False
+
+    def within(self, name: str, own: tuple[str, ...]) -> Path:
+        new = tuple(x for x in own if x not in self.marks)
+        block = name in _BLOCK_TAGS and name not in ("html", "body")
+        tags = (*self.tags[-1:], name) if block else self.tags
+        return Path(self.marks + new if new else self.marks, own, tags, self.titled or name == "h1")
+
+
 class Block:
     """A leaf block: its text, its characters within links, and its ancestors' marks."""
 
     __slots__ = ("linked", "links", "path", "text")
 
-    def __init__(self, text: str, linked: int, links: int, path: tuple):
+    def __init__(self, text: str, linked: int, links: int, path: Path):
         self.text, self.linked, self.links, self.path = text, linked, links, path
 
 
@@ -89,9 +106,10 @@ def _marks(name: str, attrs: str) -> tuple[str, ...]:
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path]] = []
+    open_: dict[str, int] = {}
     parts: list[str] = []
-    state = {"linked": 0, "links": 0, "path": (), "in_a": 0}
+    state = {"linked": 0, "links": 0, "path": Path(), "in_a": 0}
 
     def flush() -> None:
         if parts:
@@ -108,7 +126,7 @@ def blocks(page: str | None) -> list[Block]:
         if not parts:
             if not text.strip():
                 return
-            state["path"] = tuple(stack)
+            state["path"] = stack[-1][1] if stack else Path()
         parts.append(text)
         if state["in_a"]:
             state["linked"] += len(text.strip())
@@ -116,11 +134,14 @@ def blocks(page: str | None) -> list[Block]:
     def close(at: int) -> None:
         for name, _ in stack[at:]:
             state["in_a"] -= name == "a"
+            open_[name] -= 1
         del stack[at:]
 
     def last(names: str, barriers: tuple = ()) -> int:
         """Where the innermost open element of these names stands, -1 if none before a barrier."""
-        wanted = names.split()
+        wanted = [n for n in names.split() if open_.get(n)]
+        if not wanted:
+            return -1
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in wanted:
                 return i
@@ -178,7 +199,8 @@ def blocks(page: str | None) -> list[Block]:
         if name == "a":
             state["links"] += 1
             state["in_a"] += 1
-        stack.append((name, _marks(name, attrs)))
+        stack.append((name, (stack[-1][1] if stack else Path()).within(name, _marks(name, attrs))))
+        open_[name] = open_.get(name, 0) + 1
     write(page[at:])
     flush()
     return out
@@ -198,17 +220,15 @@ def _bucket(n: float, cuts: tuple) -> int:
 
 
 @lru_cache(maxsize=50_000)
-def _path_features(path: tuple) -> tuple[str, ...]:
-    seen = dict.fromkeys(x for _, marks in path for x in marks)
-    own = [f"own:{x}" for x in path[-1][1]] if path else ["own:none"]
-    tags = [n for n, _ in path if n in _BLOCK_TAGS and n not in ("html", "body")]
-    return (*seen, *own, f"in:{tags[-2] if len(tags) > 1 else '-'}>{tags[-1] if tags else '-'}")
+def _path_features(path: Path) -> tuple[str, ...]:
+    own = [f"own:{x}" for x in path.own] or ["own:none"]
+    return (*path.marks, *own, f"in:{path.tags[-2] if len(path.tags) > 1 else '-'}>{path.tags[-1] if path.tags else '-'}")
 
 
 def features(found: list[Block]) -> list[tuple[str, ...]]:
     """Feature names of every block."""
     out = []
-    titles = [i for i, b in enumerate(found) if any(n == "h1" for n, _ in b.path)]
+    titles = [i for i, b in enumerate(found) if b.path.titled]
     first = titles[0] if titles else -1
     for i, b in enumerate(found):
         words = b.text.split()
@@ -279,7 +299,7 @@ def extract(
     def main_text(html: pd.Series) -> pd.Series:
         return pd.Series(["\n".join(model.content(h)) for h in html], dtype="object")
 
-    out = pages.select(
+    out = bounded(pages).select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), main_text(F.col(html_col)).alias("text")
     )
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import struct
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from chronoloom.llm import language, multiset, ogg, packing
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -243,5 +245,42 @@ def test_language(spark):
     assert all(got[k].lang_pred == lang for k, t, lang in rows[:300])
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k, _, _ in rows[:300])
     assert {got[k].lang_pred for k in (900, 901, 902)} == {"und"} and got[None].lang_pred == rows[0][2]
+    marks = spark.createDataFrame([(1, "½ ² Ⅷ ① 42"), (2, "ª"), (3, "_"), (4, "ö½")], "doc_id long, text string")
+    assert {r.doc_id for r in language.identify(marks, model).collect() if r.lang_pred == "und"} == {1, 3}
     assert language.learn(docs.limit(0), F.lit(True)) == {}
     assert language.identify(docs, {}).first().lang_pred == "und"
+
+
+def test_language_sizes_are_the_plain_ones(spark):
+    """Every text compressed anew with every dictionary; ties go to the commonest language."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language.learn(docs, ~language.held_out())
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    names = list(model)
+    assert len(got) == docs.count() and len(names) > 2
+    for row in docs.collect():
+        r = got[row.doc_id]
+        if not any(c.isalpha() for c in row.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        data = language.words_of(row.text).encode()
+        sizes = []
+        for name in names:
+            d = zstandard.ZstdCompressionDict(model[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(data[i : i + language.CHUNK_BYTES])) for i in range(0, len(data), language.CHUNK_BYTES)))
+        assert r.lang_pred == names[sizes.index(min(sizes))]
+        assert abs(r.score - 1 / sum(math.exp((min(sizes) - x) / language.SOFTNESS) for x in sizes)) < 1e-12
+        assert r.rejected == (sorted(sizes)[1] - min(sizes) < language.LEAST_MARGIN * max(sizes))
+
+
+def test_equal_languages_tie(spark):
+    rows = [(i, "same words in both", "bb" if i % 3 else "aa") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, F.lit(True))
+    assert list(model) == ["bb", "aa"]
+    same = {k: model["bb"] for k in model}
+    assert {(r.lang_pred, r.score, r.rejected) for r in language.identify(docs, same).collect()} == {("bb", 0.5, True)}
+    many = spark.range(1200).selectExpr("id AS doc_id", "'a' AS text", "'l' || id AS lang")
+    with pytest.raises(ValueError):
+        language.learn(many, F.lit(True))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 from chronoloom.llm import pii, secrets
 from hypothesis import given, settings
@@ -154,3 +155,17 @@ def test_secret_ownership(spark):
     assert by[101].spans == "" and by[102].n_hex == 0
     assert by[102].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secrets.secrets(docs.limit(0)).count() == 0
+
+
+def test_secrets_of_repeated_ids_and_many_repositories(spark):
+    """Rows of one id, or of none, with like spans and other values are judged each by its own."""
+    own, held, spread = "q7rmz0vhk2p9xw4t", "z81nfq6ylc3vbd5s", "k4w9tgq2xm7rpz6h"
+    rows = [(1, f"token={own}", "a", "r"), (1, f"token={held}", "a", "r"), (None, f"token={own}", "a", "r"), (None, f"token={held}", "b", "r")]
+    rows += [(10 + i, f"token={held}", f"o{i}", "r") for i in range(3)] + [(20 + i, f"token={spread}", "one", f"r{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string").withColumn("values", F.lit(1))
+    found = secrets.secrets(docs, repo=F.col("repo"), owner=F.col("owner"))
+    got = Counter((r.doc_id, r.live, r.examples, r.most_owners, r.most_repos) for r in found.collect())
+    span = f"assign:0:{6 + 16}"
+    live, shared, wide = (span, "", 1, 1), ("", span, 5, 1), ("", span, 1, 5)
+    want = [(1, *live), (1, *shared), (None, *live), (None, *shared), *[(10 + i, *shared) for i in range(3)], *[(20 + i, *wide) for i in range(5)]]
+    assert got == Counter(want)

@@ -1,5 +1,7 @@
 """HTML extraction: labelled pages that were not learned from, and hand-written markup."""
 
+import time
+
 import pytest
 from chronoloom.llm import webpages, webtext
 from pyspark.sql import functions as F
@@ -28,6 +30,11 @@ def test_leaf_blocks_of_damaged_markup():
         assert isinstance(texts(odd), list)
     deep = "<div>" * 3000 + "core" + "</div>" * 3000
     assert texts(deep) == ["core"]
+    began = time.process_time()
+    steps = "".join(f"<div class='a{i % 7}'>word {i} " for i in range(30_000))
+    assert len(texts(steps + "</p></li>" * 30_000)) == 30_000
+    assert len(texts("<span>" * 60_000 + "<p>x</p></table>" * 20_000)) == 20_000
+    assert time.process_time() - began < 20
 
 
 def test_parts_of_a_page(model):
