@@ -94,40 +94,34 @@ def int08(spark, d):
     return I.one_per_instant(_signals(spark, d)).select(I.us("ts").alias("ts_us"), *KEY, "kind", "model")
 
 
-#: A thin slice of prompts keeps more than one block (see the survey's note on degenerate blocks).
-_THIN = {
-    "sig": "SELECT provider, session_id, ts, model, provider || '_prompt' AS kind, 0 AS late, 0 AS part, ord, cwd, repo, root "
-    "FROM ev WHERE event_type = 'click' AND user_id < 8"
-}
-
-
-def _thin(spark, d):
-    ev = bindings.events(spark, d).where("event_type = 'click' AND user_id < 8")
-    return ev.withColumn("kind", F.concat("provider", F.lit("_prompt"))).withColumn(
-        "load", F.struct(F.lit(0).alias("late"), *KEY, F.lit(0).alias("part"), "ord")
-    )
-
-
 @query("INT09_work_blocks", oracle(
-    "SELECT CAST(block AS BIGINT) AS block, count(*) AS signals, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM blocks GROUP BY block", **_THIN))
+    "SELECT CAST(block AS BIGINT) AS block, count(*) AS signals, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM blocks GROUP BY block"))
 def int09(spark, d):
-    return I.work_blocks(_thin(spark, d), IDLE).groupBy("block").agg(
+    return I.work_blocks(_signals(spark, d), IDLE).groupBy("block").agg(
         F.count("*").alias("signals"), I.us(F.min("ts")).alias("first_us"), I.us(F.max("ts")).alias("last_us")
     )
 
 
-def _human(rows, spark, d):
-    return _in_us(I.human_intervals(rows(spark, d), IDLE, CREDIT), "session_id", "repo", "provider")
+def _human(spark, d):
+    return I.human_intervals(_signals(spark, d), IDLE, CREDIT)
+
+
+@query("INT10_midpoint_attribution", oracle(
+    "SELECT session_id, repo, provider, epoch_us(s) AS start_us, epoch_us(e) AS end_us FROM hiv"))
+def int10(spark, d):
+    return _in_us(_human(spark, d), "session_id", "repo", "provider")
 
 
-_HIV = "SELECT session_id, repo, provider, epoch_us(s) AS start_us, epoch_us(e) AS end_us FROM hiv"
-query("INT10_midpoint_attribution", oracle(_HIV))(lambda spark, d: _human(_signals, spark, d))
-query("INT11_edge_credit", oracle(_HIV, **_THIN))(lambda spark, d: _human(_thin, spark, d))
+@query("INT11_edge_credit", oracle(
+    "SELECT session_id, epoch_us(min(s)) AS start_us, epoch_us(max(e)) AS end_us FROM hiv GROUP BY session_id"))
+def int11(spark, d):
+    """Where each block begins and ends with its credit."""
+    return _in_us(_human(spark, d).groupBy("session_id").agg(F.min("start").alias("start"), F.max("end").alias("end")), "session_id")
 
 
-@query("INT12_block_ids", oracle("SELECT DISTINCT session_id AS work_block FROM hiv", **_THIN))
+@query("INT12_block_ids", oracle("SELECT DISTINCT session_id AS work_block FROM hiv"))
 def int12(spark, d):
-    return I.human_intervals(_thin(spark, d), IDLE, CREDIT).select(F.col("session_id").alias("work_block")).distinct()
+    return _human(spark, d).select(F.col("session_id").alias("work_block")).distinct()
 
 
 @query("INT13_session_extent", oracle(
