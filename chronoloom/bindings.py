@@ -52,7 +52,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     provider = F.get(F.array(*map(F.lit, ("claude", "codex", "gemini", "pi"))), (user % 4).cast("int"))
     root = F.concat(F.lit("root"), user % 3)
     repo = F.concat(F.lit("repo"), user % 10)
-    return spread(load(spark, sf_dir, "events")).select(
+    return load(spark, sf_dir, "events").select(
         provider.alias("provider"),
         F.concat(F.lit("u"), user, F.lit("-"), slot.cast("long")).alias("session_id"),
         F.concat(F.lit("/work/"), root, F.lit("/"), repo).alias("cwd"),
@@ -90,9 +90,11 @@ def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     halves = [p.split("{}") for p in PATHS]
     kind = (F.col("l_partkey") % len(PATHS)).cast("int")
     at = lambda i: F.get(F.array(*[F.lit(h[i]) for h in halves]), kind)
-    return spread(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount")).select(
+    lines = spread(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount"))
+    # A generator of one row: filters by path rules stay above it, after the rows are dealt out.
+    return lines.withColumn("path", F.explode(F.array(F.concat(at(0), F.col("l_suppkey").cast("string"), at(1))))).select(
         F.md5(F.col("l_orderkey").cast("string")).alias("sha"),
-        F.concat(at(0), F.col("l_suppkey").cast("string"), at(1)).alias("path"),
+        "path",
         F.col("l_quantity").cast("long").alias("additions"),
         F.round(F.col("l_discount") * 100).cast("long").alias("deletions"),
     )

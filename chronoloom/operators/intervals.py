@@ -235,39 +235,34 @@ def one_per_instant(signals: DataFrame) -> DataFrame:
     return signals.groupBy("ts").agg(best.alias("s")).select("ts", *[F.col(f"s.{c}").alias(c) for c in names])
 
 
-def on_timeline(rows: DataFrame, unit: str = BUCKET) -> DataFrame:
-    """Adds the previous and next instant of a global timeline of distinct ``ts``.
+def work_blocks(signals: DataFrame, idle_us: int, unit: str = BUCKET) -> DataFrame:
+    """One row per instant with its block's number, in time order, and the instants beside it.
 
-    Ordered within calendar buckets; a table of one row per bucket links their ends.
+    A block ends where the next signal comes more than ``idle_us`` later. Instants are
+    ordered within calendar buckets; a table of one row per bucket (its ends and the blocks
+    that open within it) links the buckets and carries the numbers on.
     """
-    dealt = rows.withColumn("__b", F.date_trunc(unit, "ts"))
+    dealt = one_per_instant(signals).withColumn("__b", F.date_trunc(unit, "ts"))
     order = Window.partitionBy("__b").orderBy("ts")
     near = dealt.withColumn("prev_ts", F.lag("ts").over(order)).withColumn("next_ts", F.lead("ts").over(order))
-    buckets = dealt.groupBy("__b").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    opens = F.coalesce(us("ts") - us("prev_ts") > idle_us, F.lit(False))
+    run = F.sum(opens.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    near = near.withColumn("__run", run)
+    buckets = near.groupBy("__b").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.max("__run").alias("n"))
     chain = Window.orderBy("__b")
-    linked = buckets.select("__b", F.lag("hi").over(chain).alias("__before"), F.lead("lo").over(chain).alias("__after"))
-    met = near.join(linked, "__b")
-    return met.withColumn("prev_ts", F.coalesce("prev_ts", "__before")).withColumn("next_ts", F.coalesce("next_ts", "__after")).drop("__before", "__after", "__b")
-
-
-def work_blocks(signals: DataFrame, idle_us: int, unit: str = BUCKET) -> DataFrame:
-    """One row per instant with its block's number, in time order, and the instants beside it.
-
-    A block ends where the next signal comes more than ``idle_us`` later.
-    """
-    near = on_timeline(one_per_instant(signals), unit)
-    gap = us("ts") - us("prev_ts")
-    opened = near.withColumn("opens", F.coalesce(gap > idle_us, F.lit(True))).withColumn(
-        "closes", F.coalesce(us("next_ts") - us("ts") > idle_us, F.lit(True))
+    linked = buckets.withColumn("__before", F.lag("hi").over(chain)).withColumn("__after", F.lead("lo").over(chain))
+    # A bucket's first instant goes on with the block of the last one before it, or opens one.
+    first = F.coalesce((us("lo") - us("__before") > idle_us).cast("long"), F.lit(1))
+    opened = linked.withColumn("__first", first)
+    through = F.sum(F.col("__first") + F.col("n")).over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bases = opened.select("__b", "__before", "__after", (through - F.col("n") - 1).alias("__base"))
+    met = near.join(bases, "__b").withColumn("block", F.col("__base") + F.col("__run"))
+    met = met.withColumn("prev_ts", F.coalesce("prev_ts", "__before")).withColumn("next_ts", F.coalesce("next_ts", "__after"))
+    return (
+        met.withColumn("opens", F.coalesce(us("ts") - us("prev_ts") > idle_us, F.lit(True)))
+        .withColumn("closes", F.coalesce(us("next_ts") - us("ts") > idle_us, F.lit(True)))
+        .drop("__before", "__after", "__base", "__run", "__b")
     )
-    dealt = opened.withColumn("__b", F.date_trunc(unit, "ts"))
-    counts = dealt.groupBy("__b").agg(F.sum(F.col("opens").cast("long")).alias("n"))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    within = Window.partitionBy("__b").orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = F.sum(F.col("opens").cast("long")).over(within)
-    numbered = dealt.withColumn("__run", run).join(bases, "__b")
-    return numbered.withColumn("block", F.col("__base") + F.col("__run") - 1).drop("__base", "__run", "__b")
 
 
 def human_intervals(signals: DataFrame, idle_us: int, credit_us: int, unit: str = BUCKET) -> DataFrame:

@@ -7,15 +7,14 @@ every exchange carries partial sums. Distinct counts are exact.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bounded_key, display_model
 from ..functions.times import calendar_days, iso, local_day, local_month, round3, seconds
+from ..session import kept, released
 from . import filters, joins
 from .intervals import (
     KEY,
@@ -29,8 +28,6 @@ from .intervals import (
     union_micros,
 )
 
-#: Relations that many aggregates read are computed once; lost blocks are computed again.
-KEPT = StorageLevel.MEMORY_AND_DISK
 TOKENS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"]
 
 
@@ -47,61 +44,86 @@ def commit_stats(commits: DataFrame, files: DataFrame) -> DataFrame:
 def one_row_per_commit(commits: DataFrame) -> DataFrame:
     """One row for each sha; the agent's side wins over the human one."""
     names = [c for c in commits.columns if c != "sha"]
-    best = F.max_by(F.struct(*names), F.col("agent_authored"))
+    best = F.max_by(F.struct(*names), F.struct("agent_authored", *[c for c in ("cwd", "repo", "root", "ts") if c in names]))
     return commits.groupBy("sha").agg(best.alias("c")).select("sha", *[F.col(f"c.{n}").alias(n) for n in names]).select(commits.columns)
 
 
-@dataclass
 class Activity:
-    """A report's relations after window and filters."""
-
-    sessions: DataFrame
-    seen: DataFrame
-    intervals: DataFrame
-    human: DataFrame
-    signals: DataFrame
-    commits: DataFrame
-    agent_commits: DataFrame
-    files: DataFrame
-    tokens: DataFrame
-    points: DataFrame
-    idle_us: int
-    since: Column | None = None
-    until: Column | None = None
-
-    def unpersist(self) -> None:
-        for df in (self.intervals, self.human, self.signals):
-            df.unpersist()
+    """A report's relations after window and filters, each computed when it is first asked for.
+
+    Signals are cut to the window before blocks are built. ``release`` frees what is kept.
+    """
+
+    def __init__(self, tables, cap_us: int, idle_us: int, credit_us: int, since: Column | None = None, until: Column | None = None):
+        self.tables, self.points = tables, tables.points
+        self.cap_us, self.idle_us, self.credit_us = cap_us, idle_us, credit_us
+        self.since, self.until = since, until
+        self._held: list[DataFrame] = []
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._held.append(kept(df))
+        return self._held[-1]
+
+    def release(self) -> None:
+        for df in self._held:
+            released(df)
+
+    def _inside(self, df: DataFrame, ts: str = "ts") -> DataFrame:
+        return filters.in_window(df, self.since, self.until, ts)
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self._keep(self.tables.sessions.select(*KEY, "cwd", "repo", "root", "is_subagent"))
+
+    @cached_property
+    def seen(self) -> DataFrame:
+        return self._keep(self.sessions.join(extents(self.points, self.tables.exact, self.tables.human), KEY))
+
+    @cached_property
+    def intervals(self) -> DataFrame:
+        raw = clipped(session_intervals(self.points, self.tables.exact, self.cap_us), self.since, self.until)
+        return self._keep(joins.with_role(raw, self.sessions))
+
+    @cached_property
+    def all_commits(self) -> DataFrame:
+        return self._keep(self._inside(commit_stats(one_row_per_commit(self.tables.commits), self.tables.files)))
+
+    @cached_property
+    def commits(self) -> DataFrame:
+        return self.all_commits.where(~F.col("agent_authored"))
+
+    @cached_property
+    def agent_commits(self) -> DataFrame:
+        return self.all_commits.where("agent_authored")
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return self.tables.files.join(self.commits.select("sha", "ts", "repo", "cwd", "root"), "sha")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        return self._keep(self._inside(human_signals(self.sessions, self.points, self.tables.exact, self.tables.human, self.commits)))
+
+    @cached_property
+    def human(self) -> DataFrame:
+        return self._keep(clipped(human_intervals(self.signals, self.idle_us, self.credit_us), self.since, self.until))
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return self._keep(self._inside(joins.token_records(self.tables.tokens, self.sessions)))
+
+    @cached_property
+    def quiet(self) -> DataFrame:
+        """Sessions first seen in the window that have no interval in it, with their first point's own model."""
+        first = self.points.groupBy(*KEY).agg(F.min_by("model", "ord").alias("model"))
+        without = self._inside(self.seen, "first_seen").join(self.intervals.select(*KEY).distinct(), KEY, "left_anti")
+        return self._keep(without.join(first, KEY, "left").withColumn("model", F.coalesce("model", F.lit("unknown"))))
 
 
 def activity(
     tables, cap_us: int, idle_us: int, credit_us: int, since: Column | None = None, until: Column | None = None
 ) -> Activity:
-    """Relations as a report sees them: signals are cut to the window before blocks are built.
-
-    ``unpersist`` frees what is kept.
-    """
-    place = tables.sessions.select(*KEY, "cwd", "repo", "root", "is_subagent")
-    raw = clipped(session_intervals(tables.points, tables.exact, cap_us), since, until)
-    commits = filters.in_window(commit_stats(one_row_per_commit(tables.commits), tables.files), since, until).persist(KEPT)
-    mine, agents = filters.split_by(commits, ~F.col("agent_authored"))
-    signals = filters.in_window(human_signals(tables.sessions, tables.points, tables.exact, tables.human, mine), since, until).persist(KEPT)
-    seen = extents(tables.points, tables.exact, tables.human)
-    return Activity(
-        sessions=place,
-        seen=place.join(seen, KEY),
-        intervals=joins.with_role(raw, place).persist(KEPT),
-        human=clipped(human_intervals(signals, idle_us, credit_us), since, until).persist(KEPT),
-        signals=signals,
-        commits=mine,
-        agent_commits=agents,
-        files=tables.files.join(mine.select("sha", "ts", "repo", "cwd", "root"), "sha"),
-        tokens=filters.in_window(joins.token_records(tables.tokens, place), since, until),
-        points=tables.points,
-        idle_us=idle_us,
-        since=since,
-        until=until,
-    )
+    return Activity(tables, cap_us, idle_us, credit_us, since, until)
 
 
 def _keyed(df: DataFrame, dims, **values: Column) -> DataFrame:
@@ -129,10 +151,7 @@ def keyed_moments(df: DataFrame, dims, ts: str = "ts") -> DataFrame:
 
 
 def zero_sessions(act: Activity) -> DataFrame:
-    """Sessions first seen in the window that have no interval in it, with their first point's own model."""
-    first = act.points.groupBy(*KEY).agg(F.min_by("model", "ord").alias("model"))
-    quiet = filters.in_window(act.seen, act.since, act.until, "first_seen").join(act.intervals.select(*KEY).distinct(), KEY, "left_anti")
-    return quiet.join(first, KEY, "left").withColumn("model", F.coalesce("model", F.lit("unknown")))
+    return act.quiet
 
 
 def eligible_sessions(act: Activity) -> DataFrame:
@@ -142,10 +161,9 @@ def eligible_sessions(act: Activity) -> DataFrame:
     return act.seen.join(keys, KEY, "left_semi")
 
 
-def _count(*cols: str | Column, when: Column | None = None) -> Column:
-    parts = [F.col(c) if isinstance(c, str) else c for c in cols]
-    whole = parts[0] if len(parts) == 1 else F.struct(*parts)
-    return F.count_distinct(whole if when is None else F.when(when, whole))
+def _count(*cols: str) -> Column:
+    parts = [F.col(c) for c in cols]
+    return F.count_distinct(parts[0] if len(parts) == 1 else F.struct(*parts))
 
 
 _NUMBERS = [
@@ -163,41 +181,49 @@ PARTS = ("intervals", "wall", "human", "signals", "zero", "commits", "files", "a
 def _parts(act: Activity, dims, wanted: tuple[str, ...] = PARTS) -> list[DataFrame]:
     """Aggregates of each relation by the dimensions, over disjoint metrics."""
     keys = [f"d_{d}" for d in dims]
-    intervals, human = keyed_intervals(act.intervals, dims), keyed_intervals(act.human, dims)
-    signals, quiet = keyed_moments(act.signals, dims), keyed_moments(zero_sessions(act), dims, "first_seen")
-    commits, agents, tokens = keyed_commits(act.commits, dims), keyed_commits(act.agent_commits, dims), keyed_moments(act.tokens, dims)
-    files = keyed_commits(act.files, dims).where(~F.col("is_ignored"))
+    reads = lambda *of: not {*of}.isdisjoint(wanted)
+    intervals = keyed_intervals(act.intervals, dims) if reads("intervals", "wall", "days", "names") else None
+    human = keyed_intervals(act.human, dims) if reads("human") else None
+    signals = keyed_moments(act.signals, dims) if reads("signals") else None
+    quiet = keyed_moments(zero_sessions(act), dims, "first_seen") if reads("zero", "days", "names") else None
+    commits = keyed_commits(act.commits, dims) if reads("commits", "days") else None
+    agents = keyed_commits(act.agent_commits, dims) if reads("agents", "days") else None
+    tokens = keyed_moments(act.tokens, dims) if reads("tokens", "days") else None
+    files = keyed_commits(act.files, dims).where(~F.col("is_ignored")) if reads("files") else None
     sub = F.col("is_subagent")
-    roles = [_count(*KEY).alias("session_count"), _count(*KEY, when=~sub).alias("foreground_session_count"), _count(*KEY, when=sub).alias("subagent_session_count")]
+    roles = [F.count("*").alias("session_count"), F.count_if(~sub).alias("foreground_session_count"), F.count_if(sub).alias("subagent_session_count")]
     range_of = lambda a, b: [F.min(a).alias("first_seen"), F.max(b).alias("last_seen")]
-    named = intervals.select(*keys, "provider", "model").union(quiet.select(*keys, "provider", "model")).distinct()
+    # Counts of different things: by that thing first, so that no aggregate has several distinct ones.
+    each = lambda df, *by: df.groupBy(*keys, *by)
+    named = lambda: intervals.select(*keys, "provider", "model").union(quiet.select(*keys, "provider", "model")).distinct()
     day = lambda df, ts: df.select(*keys, local_day(F.col(ts)).alias("day")).distinct()
-    days = reduce(
+    days = lambda: reduce(
         DataFrame.union,
         [calendar_split(intervals, "day", "__day").select(*keys, "__day").distinct(), day(quiet, "first_seen"), day(commits, "ts"), day(agents, "ts"), day(tokens, "ts")],
     )
     parts = {
-        "intervals": lambda: intervals.groupBy(*keys).agg(sum_micros().alias("active_us"), *roles, *range_of("start", "end")),
+        "intervals": lambda: each(intervals, *KEY, sub.alias("is_subagent")).agg(sum_micros().alias("us"), F.min("start").alias("start"), F.max("end").alias("end"))
+        .groupBy(*keys).agg(F.sum("us").alias("active_us"), *roles, *range_of("start", "end")),
         "wall": lambda: union_micros(intervals, keys).withColumnRenamed("union_us", "wall_us"),
         "human": lambda: human.groupBy(*keys).agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), *range_of("start", "end")),
-        "signals": lambda: signals.groupBy(*keys).agg(
-            _count("ts", "kind", "session_id").alias("human_signal_count"), _count(local_day(F.col("ts"))).alias("human_active_days")
-        ),
-        "zero": lambda: quiet.groupBy(*keys).agg(*roles, *range_of("first_seen", "first_seen")),
+        "signals": lambda: each(signals, local_day(F.col("ts")).alias("__day")).agg(_count("ts", "kind", "session_id").alias("n"))
+        .groupBy(*keys).agg(F.sum("n").alias("human_signal_count"), F.count("*").alias("human_active_days")),
+        "zero": lambda: each(quiet, *KEY, sub.alias("is_subagent")).agg(F.min("first_seen").alias("start"), F.max("first_seen").alias("end"))
+        .groupBy(*keys).agg(*roles, *range_of("start", "end")),
         "commits": lambda: commits.groupBy(*keys).agg(
-            _count("sha").alias("commit_count"),
+            F.count("*").alias("commit_count"),
             *[F.sum(c).alias(c) for c in ("additions", "deletions", "ignored_additions", "ignored_deletions")],
-            _count("sha", when=F.col("agent_assisted")).alias("ai_assisted_commit_count"),
-            _count("sha", when=F.col("autofix_assisted")).alias("autofix_assisted_commit_count"),
+            F.count_if("agent_assisted").alias("ai_assisted_commit_count"),
+            F.count_if("autofix_assisted").alias("autofix_assisted_commit_count"),
             *range_of("ts", "ts"),
         ),
         "files": lambda: files.groupBy(*keys).agg(_count("path").alias("file_count")),
         "agents": lambda: agents.groupBy(*keys).agg(
-            _count("sha").alias("agent_commit_count"), F.sum("additions").alias("agent_additions"), F.sum("deletions").alias("agent_deletions"), *range_of("ts", "ts")
+            F.count("*").alias("agent_commit_count"), F.sum("additions").alias("agent_additions"), F.sum("deletions").alias("agent_deletions"), *range_of("ts", "ts")
         ),
         "tokens": lambda: tokens.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TOKENS], *range_of("ts", "ts")),
-        "days": lambda: days.groupBy(*keys).agg(F.count_distinct("__day").alias("active_days")),
-        "names": lambda: named.groupBy(*keys).agg(
+        "days": lambda: days().groupBy(*keys).agg(F.count_distinct("__day").alias("active_days")),
+        "names": lambda: named().groupBy(*keys).agg(
             F.array_join(F.sort_array(F.collect_set("provider")), ",").alias("providers"), F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models")
         ),
     }
@@ -267,7 +293,6 @@ def summary(act: Activity) -> DataFrame:
     sub = F.col("is_subagent")
     eligible = eligible_sessions(act)
     foreground = eligible.where(~sub)
-    signal = ("ts", "kind", "session_id")
     kind = F.col("kind")
     day = lambda df, ts: df.select(local_day(F.col(ts)).alias("day")).distinct()
     days = reduce(
@@ -282,24 +307,26 @@ def summary(act: Activity) -> DataFrame:
         act.intervals.agg(sum_micros().alias("active_us")),
         union_micros(act.intervals).withColumnRenamed("union_us", "wall_us"),
         act.human.agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count")),
-        act.signals.agg(
-            _count(*signal).alias("human_signal_count"),
-            _count(*signal, when=kind.endswith("_prompt")).alias("prompt_signal_count"),
-            _count(*signal, when=kind.endswith("_session_edge")).alias("foreground_session_edge_signal_count"),
-            _count(*signal, when=kind == "commit").alias("commit_signal_count"),
-            _count(local_day(F.col("ts"))).alias("human_active_days"),
+        act.signals.groupBy(local_day(F.col("ts")).alias("day"), "kind").agg(_count("ts", "session_id").alias("n")).agg(
+            F.sum("n").alias("human_signal_count"),
+            F.sum(F.when(kind.endswith("_prompt"), F.col("n"))).alias("prompt_signal_count"),
+            F.sum(F.when(kind.endswith("_session_edge"), F.col("n"))).alias("foreground_session_edge_signal_count"),
+            F.sum(F.when(kind == "commit", F.col("n"))).alias("commit_signal_count"),
+            F.count_distinct("day").alias("human_active_days"),
+        ),
+        eligible.select(*KEY, "is_subagent").distinct().agg(
+            F.count_distinct(F.struct(*KEY)).alias("session_count"), F.count_if(~sub).alias("foreground_session_count"), F.count_if(sub).alias("subagent_session_count")
         ),
-        eligible.agg(_count(*KEY).alias("session_count"), _count(*KEY, when=~sub).alias("foreground_session_count"), _count(*KEY, when=sub).alias("subagent_session_count")),
         joins.with_output(foreground, act.commits, act.idle_us).agg(_count(*KEY).alias("foreground_sessions_with_commits")),
         joins.comparable(foreground, act.commits).agg(_count(*KEY).alias("comparable")),
         act.commits.agg(
-            _count("sha").alias("commit_count"),
+            F.count("*").alias("commit_count"),
             *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("additions", "deletions", "ignored_additions", "ignored_deletions")],
-            _count("sha", when=F.col("agent_assisted")).alias("ai_assisted_commit_count"),
-            _count("sha", when=F.col("autofix_assisted")).alias("autofix_assisted_commit_count"),
+            F.count_if("agent_assisted").alias("ai_assisted_commit_count"),
+            F.count_if("autofix_assisted").alias("autofix_assisted_commit_count"),
         ),
         act.agent_commits.agg(
-            _count("sha").alias("agent_commit_count"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"agent_{c}") for c in ("additions", "deletions")]
+            F.count("*").alias("agent_commit_count"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"agent_{c}") for c in ("additions", "deletions")]
         ),
         act.tokens.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOKENS]),
         days.agg(F.count_distinct("day").alias("active_days")),

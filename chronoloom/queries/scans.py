@@ -20,12 +20,14 @@ def _lines(spark, d):
         F.when(F.col("event_type") == "purchase", ts).alias("started_at"), F.when(F.col("event_type") == "purchase", done).alias("completed_at"),
         F.when(k == 3, "secret words").alias("content"),
     )
-    good = F.to_json(record)
+    # Made once, by a generator of one row, for several kinds of lines are made of it.
+    rows = bindings.events(spark, d).select("user_id", "ord", F.explode(F.array(F.to_json(record))).alias("good"))
+    good = F.col("good")
     value = (
         F.when(k == 0, "").when(k == 1, F.lit("{broken")).when(k == 2, F.regexp_replace(good, '"session_id":"[^"]*"', '"session_id":5'))
         .when(k == 4, F.regexp_replace(good, '^\\{', '{"api_key":null,')).when(k == 5, F.regexp_replace(good, '"cwd":"[^"]*"', '"cwd":"  "')).otherwise(good)
     )
-    return bindings.events(spark, d).select(F.concat(F.lit("file"), F.col("user_id") % 4).alias("file"), "ord", value.alias("value"))
+    return bindings.spread(rows.select(F.concat(F.lit("file"), F.col("user_id") % 4).alias("file"), "ord", value.alias("value")))
 
 
 query("SRC09_bounded_lines", oracle("SELECT 'file' || (user_id % 4) AS source_file, count(*) FILTER (WHERE ord % 20 IN (0, 1, 2)) AS malformed_lines, count(*) FILTER (WHERE ord % 20 IN (3, 4)) AS content_rejections FROM ev GROUP BY 1"))(

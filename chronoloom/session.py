@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+from functools import cache
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any scale; cluster size, memory and partition counts are the deployer's.
 SETTINGS = {
@@ -23,3 +31,38 @@ def session(app: str = "chronoloom", zone: str = "UTC", **settings: str) -> Spar
     spark = builder.getOrCreate()
     spark.conf.set("spark.sql.session.timeZone", zone)
     return spark
+
+
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="chronoloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Rows that many later steps read, computed once; what is planned over them starts anew.
+
+    They are Parquet in the folder that ``spark.checkpoint.dir`` names, and so outlive lost
+    executors. Without that setting one machine's tasks write to a folder of their own, and
+    a cluster keeps them in its memory and disks, where lost blocks are computed again.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        folder = f"file://{_own_folder()}"
+    if not folder:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(df: DataFrame) -> None:
+    """Free what ``kept`` holds; the rows are gone after."""
+    spark = df.sparkSession
+    df.unpersist()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if re.search(r"/kept-[0-9a-f]{32}$", folder):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

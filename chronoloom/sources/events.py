@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.json import holds_content
 from ..functions.names import UNKNOWN, safe_model, safe_provider
 from ..functions.times import rfc3339
+from ..session import kept
 from .lines import LINE_CAP, History, diagnostics, history, parsed, read_lines
 
 SCHEMA = "timestamp string, provider string, session_id string, cwd string, model string, event string, role string, started_at string, completed_at string"
@@ -51,8 +52,9 @@ def valid(scanned_: DataFrame) -> DataFrame:
 
 
 def from_lines(lines: DataFrame, cap: int = LINE_CAP) -> History:
+    """The relations of event lines; usable records are parsed once and kept, they are few columns of each line."""
     seen = scanned(lines, cap)
-    good = valid(seen)
+    good = kept(valid(seen))
     sessions = good.groupBy("provider", "session_id", "cwd", "is_subagent").agg(F.min("file").alias("source_file")).withColumn("approximate_cwd", F.lit(False))
     return history(
         sessions, good, good.where(F.col("prompt") & ~F.col("is_subagent")), diagnostics(seen, F.col("sensitive")), good.where(F.col("end") > F.col("start"))

@@ -62,20 +62,34 @@ def kind_at(value: Column, path: str) -> Column:
 
 
 def well_formed(value: Column, kinds: dict[str, str], cap: int = LINE_CAP) -> Column:
-    """Whether a line within the cap is a JSON object whose declared fields have their types."""
-    ok = (F.octet_length(value) <= cap) & value.rlike(r"^\s*\{") & F.try_parse_json(value).isNotNull()
-    for path, kind in kinds.items():
-        here = kind_at(value, path)
-        required = kind.startswith("required")
-        ok = ok & (F.coalesce(here, F.lit("" if required else "VOID")).rlike(_KINDS[kind]))
-    return F.coalesce(ok, F.lit(False))
+    """Whether a line within the cap is a JSON object whose declared fields have their types.
+
+    The line is parsed once, as the only item of an array whose items are tested: a filter
+    that Spark moves down repeats a column's expression wherever it names the column.
+    """
+
+    def typed(record: Column) -> Column:
+        ok = record.isNotNull()
+        for path, kind in kinds.items():
+            here = F.schema_of_variant(F.try_variant_get(record, path, "variant"))
+            ok = ok & F.coalesce(here, F.lit("" if kind.startswith("required") else "VOID")).rlike(_KINDS[kind])
+        return ok
+
+    small = (F.octet_length(value) <= cap) & value.rlike(r"^\s*\{")
+    return F.coalesce(small & F.exists(F.array(F.try_parse_json(value)), typed), F.lit(False))
 
 
 def parsed(lines: DataFrame, schema: str, kinds: dict[str, str], cap: int = LINE_CAP, **more: Column) -> DataFrame:
-    """(file, ord, ok, r): records with only the declared fields; ``more`` are derived flags."""
-    return lines.select(
-        "file", "ord", well_formed(F.col("value"), kinds, cap).alias("ok"), F.from_json("value", schema).alias("r"), *[c.alias(k) for k, c in more.items()]
+    """(file, ord, ok, r): records with only the declared fields; ``more`` are derived flags.
+
+    They come out of a generator of one row, so that later filters on them are not moved
+    below it, where each would parse the line again.
+    """
+    found = F.struct(
+        well_formed(F.col("value"), kinds, cap).alias("ok"), F.from_json("value", schema).alias("r"), *[c.alias(k) for k, c in more.items()]
     )
+    rows = lines.select("file", "ord", F.explode(F.array(found)).alias("x"))
+    return rows.select("file", "ord", "x.*")
 
 
 def diagnostics(lines: DataFrame, rejected: Column | None = None) -> DataFrame:

@@ -156,7 +156,7 @@ def test_report_invariants(spark):
     t.commits = t.commits.where("NOT agent_authored")
     again = report.summary(report.activity(t, 5 * MINUTE, 60 * MINUTE, 30 * MINUTE)).first()
     assert again.human_estimated_seconds == total.human_estimated_seconds and again.human_signal_count == total.human_signal_count
-    act.unpersist()
+    act.release()
 
 
 def test_empty_report(spark):
