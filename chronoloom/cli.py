@@ -9,13 +9,16 @@ import sys
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sinks
+from .functions.times import iso
 from .operators import classify
+from .operators.report import trend
 from .plans.build import build, relations
 from .plans.spec import ReportSpec, bound_date, grouping, month_span, year_span
 from .session import session
-from .sources import databases, discover, events, git, inventory, records, transcripts
+from .sources import databases, discover, events, git, inventory, manifest, records, transcripts
 from .sources.lines import DIAGNOSTIC, EXACT, POINT, SESSION, TOKEN, History, empty, union
 
 _READERS = {
@@ -31,20 +34,33 @@ def load_config(path: str | None) -> dict:
         return json.load(file)
 
 
-def read_histories(spark: SparkSession, places: dict[str, list[str]]) -> History:
-    """Every named place that exists, read and united."""
-    found = [_READERS[name](spark, p) for name, paths in places.items() for p in paths if os.path.exists(p)]
+def read_histories(spark: SparkSession, places: dict[str, list[str]], cache: str | None = None, until: date | None = None) -> History:
+    """Every named place that exists, read and united.
+
+    With a cache, a place whose files did not change is not parsed again; a database is
+    always read, for its journal can change alone. Rollouts dated past the window are not opened.
+    """
+
+    def one(name: str, path: str) -> History:
+        late = until.isoformat() if until and name == "codex" and not cache else None
+        read = lambda: _READERS[name](spark, path, **({"until": late} if late else {}))
+        return manifest.materialised(spark, cache, name, path, read) if cache and name != "opencode" else read()
+
+    found = [one(name, p) for name, paths in places.items() for p in paths if os.path.exists(p)]
     if not found:
         return History(*[empty(spark, s) for s in (SESSION, POINT, POINT, EXACT, TOKEN, DIAGNOSTIC)])
     return union(found)
 
 
-def git_relations(spark: SparkSession, roots: list[str], authors: list[str], agents: list[str], categories) -> tuple[DataFrame, DataFrame]:
-    """Commits of one's own and of agents, placed, and their files."""
-    mine, theirs = git.read_log(spark, roots, authors), git.read_log(spark, roots, agents)
-    commits = git.commit_rows(mine, False).unionByName(git.commit_rows(theirs, True))
+def git_relations(
+    spark: SparkSession, roots: list[str], authors: list[str], agents: list[str], categories,
+    window: tuple[str | None, str | None] = (None, None), includes: list[str] | tuple = (), ignores: list[str] | tuple = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Commits of one's own and of agents within the window, placed, and their files."""
+    mine, theirs = git.read_log(spark, roots, authors, *window), git.read_log(spark, roots, agents, *window)
+    commits = git.commit_rows(mine, False, includes).unionByName(git.commit_rows(theirs, True, includes))
     placed = discover.placed(commits.withColumnRenamed("repo_path", "cwd"))
-    files = git.changed_files(mine.unionByName(theirs), categories=categories).dropDuplicates(["sha", "path"])
+    files = git.changed_files(mine.unionByName(theirs), includes, ignores, categories=categories).dropDuplicates(["sha", "path"])
     return placed, files.select("sha", "path", "additions", "deletions", "is_ignored", "category")
 
 
@@ -65,6 +81,9 @@ def parser() -> argparse.ArgumentParser:
     rep.add_argument("--exclude-provider", action="append", default=[])
     rep.add_argument("--repo")
     rep.add_argument("--exact-repo")
+    rep.add_argument("--include", action="append", default=[], help="count only changed files that match a glob")
+    rep.add_argument("--ignore", action="append", default=[], help="also ignore changed files that match a glob")
+    rep.add_argument("--cache", help="folder of parsed histories")
     rep.add_argument("--gap-cap", default="5m")
     rep.add_argument("--human-idle", default="1h")
     rep.add_argument("--review-credit", default="30m")
@@ -75,7 +94,9 @@ def parser() -> argparse.ArgumentParser:
     cls = sub.add_parser("classify")
     cls.add_argument("paths", nargs="+")
     cls.add_argument("--config")
-    sub.add_parser("sources")
+    src = sub.add_parser("sources")
+    for listing in (cls, src):
+        listing.add_argument("--format", choices=["table", "json", "csv"], default="table")
     rec = sub.add_parser("record")
     for name in ("provider", "session", "cwd"):
         rec.add_argument(f"--{name}", required=True)
@@ -101,6 +122,13 @@ def report_spec(a: argparse.Namespace, today: date) -> ReportSpec:
     )
 
 
+def git_window(spark: SparkSession, spec: ReportSpec) -> tuple[str | None, str | None]:
+    """The window as ``git log`` takes it: instants of local midnights with their offset."""
+    bounds = [b for b in spec.window]
+    told = [iso(b).alias(f"b{i}") if b is not None else F.lit(None).cast("string").alias(f"b{i}") for i, b in enumerate(bounds)]
+    return tuple(spark.range(1).select(*told).first())
+
+
 def run(argv: list[str], spark: SparkSession | None = None, today: date | None = None) -> str:
     a = parser().parse_args(argv)
     if a.command == "record":
@@ -110,21 +138,26 @@ def run(argv: list[str], spark: SparkSession | None = None, today: date | None =
         return json.dumps(r, ensure_ascii=False)
     spark = spark or session()
     if a.command == "sources":
-        return "\n".join("\t".join(str(x) for x in r) for r in inventory.inventory(spark).collect())
+        return sinks.listing(inventory.inventory(spark), a.format)
     config = load_config(a.config)
     categories = classify.registry(config.get("categories"), config.get("category_mode", "extend"))
     if a.command == "classify":
         rows = classify.explain(spark.createDataFrame([(i, p) for i, p in enumerate(a.paths)], "n int, path string"), categories=categories)
-        return "\n".join("\t".join((r["path"], r["category"], r["rule"], r["pattern"])) for r in rows.orderBy("n").collect())
+        return sinks.listing(rows.orderBy("n").select("path", "category", "rule", "pattern"), a.format)
     spec = report_spec(a, today or date.today())
-    history = read_histories(spark, inventory.overrides(a.history) if a.history else inventory.history_paths())
+    places = inventory.overrides(a.history) if a.history else inventory.history_paths()
+    history = read_histories(spark, places, a.cache, spec.until)
     roots = sorted({r for base in a.git for r in discover.repositories(base)} | set(discover.scan_roots(history.sessions)))
     from .functions.names import AGENT_AUTHORS, basic_regex_literal
 
-    commits, files = git_relations(spark, roots, a.author, a.agent_author or [basic_regex_literal(x) for x in AGENT_AUTHORS], categories)
+    agents = a.agent_author or [basic_regex_literal(x) for x in AGENT_AUTHORS]
+    commits, files = git_relations(spark, roots, a.author, agents, categories, git_window(spark, spec), a.include, a.ignore)
     rep = build(relations(history, discover.placed(history.sessions), commits, files), spec)
     if a.format == "json":
-        return sinks.report_document(rep.printed, rep.summary, spec.dims)
+        more = {"composition": rep.composition, "change_shapes": rep.shapes, "diagnostics": history.diagnostics.where("malformed_lines + content_rejections + unreadable_files > 0")}
+        if spec.calendar:
+            more["trend"] = trend(rep.printed, spec.calendar).orderBy(spec.calendar)
+        return sinks.report_document(rep.printed, rep.summary, spec.dims, **more)
     if a.format == "csv":
         sinks.write_csv(rep.rows, a.output or "report.csv", spec.dims)
         return a.output or "report.csv"

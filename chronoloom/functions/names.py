@@ -34,6 +34,12 @@ def provider_name(c: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), plain), plain)
 
 
+def plain_provider_name(name: str) -> str:
+    """The same for a parameter."""
+    plain = name.strip(" ").lower().replace("_", "-")
+    return PROVIDER_ALIASES.get(plain, plain)
+
+
 def is_model(c: Column) -> Column:
     return ((F.octet_length(c) <= 128) & c.rlike(_MODEL)) | (c == "<synthetic>")
 

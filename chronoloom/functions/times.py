@@ -28,7 +28,7 @@ def plus_micros(ts: Column, delta: Column | int) -> Column:
     """A timestamp moved by microseconds, held within the range that dates can show."""
     low, high = -62_135_596_800_000_000, 253_402_300_799_999_999
     moved = F.try_add(F.unix_micros(ts), delta if isinstance(delta, Column) else F.lit(delta).cast("long"))
-    past = F.lit(high) if not isinstance(delta, Column) and delta > 0 else F.lit(low)
+    past = F.when((delta if isinstance(delta, Column) else F.lit(delta)) > 0, F.lit(high)).otherwise(F.lit(low))
     return F.timestamp_micros(F.greatest(F.least(F.coalesce(moved, past), F.lit(high)), F.lit(low)))
 
 

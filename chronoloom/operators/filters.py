@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import provider_name
+from ..functions.names import plain_provider_name
 
 
 def in_window(df: DataFrame, since: Column | None = None, until: Column | None = None, ts: str = "ts") -> DataFrame:
@@ -16,16 +16,9 @@ def in_window(df: DataFrame, since: Column | None = None, until: Column | None =
     return df
 
 
-def _names(df: DataFrame, wanted: list[str]) -> list[str]:
-    """Names of a parameter, normalised as the provider column is."""
-    one = df.sparkSession.range(1).select(F.array(*[provider_name(F.lit(w)) for w in wanted]).alias("n"))
-    return list(one.first()["n"])
-
-
 def by_provider(df: DataFrame, include: list[str] | tuple[str, ...] = (), exclude: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Included and not excluded providers; ``all`` includes, or excludes, every one."""
-    wanted = _names(df, list(include)) if include else []
-    unwanted = _names(df, list(exclude)) if exclude else []
+    wanted, unwanted = [*map(plain_provider_name, include)], [*map(plain_provider_name, exclude)]
     if "all" in unwanted:
         return df.where(F.lit(False))
     if wanted and "all" not in wanted:

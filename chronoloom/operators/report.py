@@ -286,8 +286,6 @@ def ranked_report(report: DataFrame, dims: tuple[str, ...], top: int = 30) -> Da
     return ordered.limit(top) if top else ordered
 
 
-
-
 def summary(act: Activity) -> DataFrame:
     """The same metrics over everything, in one row. Active days leave token days out here."""
     sub = F.col("is_subagent")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import classify, filters, report
+from ..operators import classify, filters, joins, report
 from ..operators.intervals import KEY
 from ..sources.lines import History
 from .spec import ReportSpec, duration_us
@@ -32,7 +32,11 @@ def relations(history: History, placed: DataFrame, commits: DataFrame, files: Da
 
 
 def filtered(r: Relations, spec: ReportSpec) -> Relations:
-    """Sessions by provider and repository, their records, and commits by repository."""
+    """Sessions by provider and repository, their records, and commits by repository.
+
+    A repository filter may match only a directory within a checkout: commits of checkouts
+    that the remaining sessions ran in stay, whatever their repository is called.
+    """
     sessions = filters.by_provider(r.sessions, spec.providers, spec.without_providers)
     commits = r.commits
     if spec.repo_text:
@@ -41,11 +45,21 @@ def filtered(r: Relations, spec: ReportSpec) -> Relations:
         sessions, commits = filters.by_exact_repo(sessions, spec.exact_repo), filters.by_exact_repo(commits, spec.exact_repo)
     if sessions is r.sessions and commits is r.commits:
         return r
+    if commits is not r.commits:
+        commits = r.commits.join(commits.select("sha").union(_of_checkouts(sessions, r.commits)).distinct(), "sha", "left_semi")
     keys = sessions.select(*KEY).distinct()
     of = lambda df: df.join(keys, KEY, "left_semi")
     return Relations(sessions, of(r.points), of(r.human), of(r.exact), of(r.tokens), commits, r.files)
 
 
+def _of_checkouts(sessions: DataFrame, commits: DataFrame) -> DataFrame:
+    """Hashes of the commits whose checkout encloses the directory of a session."""
+    sure = sessions.where("NOT approximate_cwd") if "approximate_cwd" in sessions.columns else sessions
+    roots = commits.select(F.col("cwd").alias("root_path")).distinct()
+    met = joins.longest_prefix(sure.select("cwd").distinct(), roots).select(F.col("root_path").alias("cwd")).where("cwd IS NOT NULL").distinct()
+    return commits.join(met, "cwd", "left_semi").select("sha")
+
+
 @dataclass
 class Report:
     spec: ReportSpec

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 
 from pyspark.sql import DataFrame
@@ -62,13 +64,33 @@ def write_json(report: DataFrame, path: str) -> None:
     report.write.mode("error").json(path)
 
 
-def report_document(rows: DataFrame, summary: DataFrame, dims: tuple[str, ...], top: int = 0) -> str:
-    """One pretty document of a report that was already cut to a printable number of rows."""
+def listing(df: DataFrame, form: str = "table") -> str:
+    """A short table as tab-separated lines, as JSON, or as CSV with a head and neutral cells."""
+    rows = df.collect()
+    if form == "json":
+        return json.dumps([r.asDict() for r in rows], ensure_ascii=False, indent=2)
+    if form == "csv":
+        text = {c for c, kind in df.dtypes if kind == "string"}
+        safe = df.select(*[neutral_cell(safe_text(F.col(c))).alias(c) if c in text else F.col(c) for c in df.columns]).collect()
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([df.columns, *safe])
+        return out.getvalue().rstrip("\n")
+    return "\n".join("\t".join(str(x) for x in r) for r in rows)
+
+
+def report_document(rows: DataFrame, summary: DataFrame, dims: tuple[str, ...], top: int = 0, **more: DataFrame) -> str:
+    """One pretty document of a report that was already cut to a printable number of rows.
+
+    ``more`` are short tables that follow, each under its name.
+    """
     shown = rows.limit(top) if top else rows
     row = lambda r: {"key": {d: r[d] for d in dims}} | {k: v for k, v in r.asDict().items() if k not in dims}
     head = summary.first()
     return json.dumps(
-        {"group_by": list(dims), "summary": head.asDict() if head else {}, "rows": [row(r) for r in shown.collect()]}, ensure_ascii=False, indent=2
+        {"group_by": list(dims), "summary": head.asDict() if head else {}, "rows": [row(r) for r in shown.collect()]}
+        | {name: [r.asDict() for r in df.collect()] for name, df in more.items()},
+        ensure_ascii=False,
+        indent=2,
     )
 
 

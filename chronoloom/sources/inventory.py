@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.names import plain_provider_name
+
 # Sources with their names, formats and support.
 SOURCES = (
     ("claude", "Claude Code", "JSONL transcripts", "built-in", ".claude/projects"),
@@ -35,13 +37,17 @@ def history_paths(home: str | None = None, environment: dict[str, str] | None =
 
 
 def overrides(values: list[str]) -> dict[str, list[str]]:
-    """``PROVIDER=PATH`` settings, by provider."""
+    """Settings of the form ``name=path``, by source; other spellings of a name are taken."""
+    known = {"events", *(key for key, *_ in SOURCES)}
     out: dict[str, list[str]] = {}
     for value in values:
         name, sign, path = value.partition("=")
-        if not sign or not name.strip() or not path:
-            raise ValueError("a history must be PROVIDER=PATH")
-        out.setdefault(name.strip().lower().replace("_", "-"), []).append(os.path.expanduser(path))
+        key = plain_provider_name(name)
+        if not sign or not path.strip():
+            raise ValueError(f"not a source and a path joined by an equals sign: {value!r}")
+        if key not in known:
+            raise ValueError(f"no reader for {name.strip()!r}; there are {', '.join(sorted(known))}")
+        out.setdefault(key, []).append(os.path.expanduser(path))
     return out
 
 

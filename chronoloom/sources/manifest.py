@@ -1,5 +1,9 @@
 """A materialised parse cache: Parquet by provider, with file stamps and time ranges.
 
+``materialised`` is what a report uses: all relations of a source's root, kept under a
+digest of its files' stamps, so an unchanged root is not parsed again. The functions by
+file below it serve callers whose sessions do not span files.
+
 A parsed file is valid as long as its size, modification time, parser version and context
 match. Misses are found by an anti-join, so only changed files are read again. Time ranges
 of each file let a windowed read skip the points of files outside it; row-group statistics
@@ -9,6 +13,10 @@ lost or repeated run never leaves a half-written file in use.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +40,31 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def digest(now: DataFrame, context: str = "") -> str:
+    """Names a set of file stamps, whatever their order; one row reaches the driver."""
+    mark = F.xxhash64("source_file", "size", "modified")
+    folded = [F.coalesce(F.sum(F.shiftright(mark, n).bitwiseAND(F.lit((1 << 31) - 1))), F.lit(0)) for n in (0, 32)]
+    seen = now.agg(F.count("*"), *folded).first()
+    return hashlib.sha256(repr((PARSER_VERSION, context, *seen)).encode()).hexdigest()[:32]
+
+
+def materialised(spark: SparkSession, cache: str, provider: str, root: str, read: Callable[[], History], context: str = "") -> History:
+    """The relations of a source's root: from the cache if no file changed, else parsed and written to it.
+
+    The diagnostics are written last and complete the entry; one that a lost run left
+    without them is written again. Files that could not be read leave no entry.
+    """
+    at = f"{cache.rstrip('/')}/whole/{provider}/{digest(stamps(spark, root), f'{root}|{context}')}"
+    names = [f.name for f in fields(History)]
+    if not _exists(spark, f"{at}/{names[-1]}/_SUCCESS"):
+        found = read()
+        if not found.diagnostics.where("unreadable_files > 0").isEmpty():
+            return found
+        for name in names:
+            getattr(found, name).write.mode("overwrite").parquet(f"{at}/{name}")
+    return History(*[spark.read.parquet(f"{at}/{name}") for name in names])
+
+
 def known_files(spark: SparkSession, cache: str, provider: str) -> DataFrame | None:
     """The newest entry of each file, or nothing before the first write."""
     if not _exists(spark, f"{cache}/files"):

@@ -7,7 +7,7 @@ import subprocess
 from datetime import datetime
 
 import pytest
-from chronoloom import cli
+from chronoloom import cli, views
 from chronoloom.operators.intervals import gap_intervals, union_micros
 from chronoloom.sources import databases, discover, events, git, inventory, manifest, records, transcripts
 from chronoloom.sources.lines import read_lines, warnings
@@ -278,10 +278,53 @@ def test_command_line(spark, tmp_path, checkout):
     assert spark.read.option("header", "true").csv(out).first().repo == "app"
     assert cli.run(["classify", "src/a.py", "x/README"], spark).split("\n")[0] == "src/a.py\tsource\textension\tpy"
     assert "claude" in cli.run(["sources"], spark)
+    assert json.loads(cli.run(["classify", "src/a.py", "--format", "json"], spark))[0]["rule"] == "extension"
+    assert cli.run(["classify", "=x.py", "--format", "csv"], spark).split("\n") == ["path,category,rule,pattern", "'=x.py,source,extension,py"]
+    assert {"composition", "change_shapes", "diagnostics"} <= set(doc) and doc["composition"][0]["category"]
+    cache = ["--cache", str(tmp_path / "cache")]
+    assert [json.loads(cli.run([*args, *cache, "--format", "json"], spark)) for _ in range(2)] == [doc, doc]
+    assert len(os.listdir(tmp_path / "cache/whole/events")) == 1
+    assert json.loads(cli.run([*args[:-1], "2025-12", "--format", "json"], spark))["rows"] == []
+    only = json.loads(cli.run([*args, "--include", "*.md", "--format", "json"], spark))
+    assert only["rows"][0]["commit_count"] == 1 and only["summary"]["additions"] == 1
     with pytest.raises(ValueError):
         cli.run(["report", "--group-by", "nope"], spark)
 
 
+def test_a_filter_on_a_nested_directory_keeps_the_checkout(spark, tmp_path, checkout):
+    nested, log = f"{checkout}/packages/api", str(tmp_path / "events.jsonl")
+    os.makedirs(nested)
+    cli.run(["record", "--provider", "pi", "--session", "s", "--cwd", nested, "--event", "prompt", "--timestamp", T.format("09:50:00"), "--file", log], spark)
+    doc = json.loads(cli.run(["report", "--history", f"events={log}", "--author", "ann@x.org", "--repo", "api", "--format", "json"], spark))
+    assert doc["summary"]["session_count"] == 1 and doc["summary"]["commit_count"] == 2
+    none = json.loads(cli.run(["report", "--history", f"events={log}", "--author", "ann@x.org", "--repo", "elsewhere", "--format", "json"], spark))
+    assert none["summary"]["session_count"] == 0 and none["summary"]["commit_count"] == 0
+
+
+def test_views_and_replay(spark, tmp_path):
+    at = str(tmp_path / "deep/views.json")
+    assert views.load(at) == []
+    saved = views.inserted([], views.View("first", ["/w/app", "2026-01"]))
+    saved = views.inserted(saved, views.View("first", ["/w/app"], "day"))
+    views.save(saved, at)
+    assert views.load(at) == saved == [views.View("first", ["/w/app"], "day")] and views.removed(saved, 0) == []
+    assert os.listdir(tmp_path / "deep") == ["views.json"]
+    full = [views.View(f"v{i}") for i in range(views.MAX_VIEWS)]
+    for some, view in ((full, views.View("one more")), ([], views.View(" ")), ([], views.View("x" * 129)), ([], views.View("x", [], "week"))):
+        with pytest.raises(ValueError):
+            views.inserted(some, view)
+    write(at, {"views": 5})
+    assert views.load(at) == []
+    commits = spark.createDataFrame([("a1", "/w/app", "app", "w", 3, 0), ("b2", "/w/lib", "lib", "w", 1, 0)], "sha string, cwd string, repo string, root string, additions long, deletions long")
+    commits = commits.withColumn("ts", F.lit("2026-01-05 10:00:00").cast("timestamp"))
+    files = spark.createDataFrame([("a1", "src/a.py", 3, 0, False, "source"), ("b2", "README", 1, 0, False, "docs")], "sha string, path string, additions long, deletions long, is_ignored boolean, category string")
+    whole = views.Place(("/w/app", "2026-01", "source", "a1", "src/a.py"))
+    assert views.replayed(commits, files, whole) == (whole, None)
+    assert [r.key for r in views.rows_at(commits, files, whole).collect()] == ["a1"]
+    assert views.replayed(commits, files, views.Place(("/w/app", "2026-02", "source"))) == (views.Place(("/w/app",)), "2026-02")
+    assert whole.toggled() == views.Place(("/w/app",), "day")
+
+
 def test_records():
     r = records.event_record("Codex", "s", "/w", started_at=T.format("00:00:00"), completed_at=T.format("00:01:00"))
     assert r["timestamp"].startswith("2026-01-01T00:01:00")
@@ -314,7 +357,8 @@ def test_inventory_and_overrides(spark, tmp_path):
     os.makedirs(tmp_path / ".claude/projects")
     got = {r.id: r.detected for r in inventory.inventory(spark, str(tmp_path), {}).collect()}
     assert got["claude"] and not got["codex"] and set(got) >= {"pi", "events", "opencode"}
-    assert inventory.overrides(["Open_Code=/x"]) == {"open-code": ["/x"]}
-    with pytest.raises(ValueError):
-        inventory.overrides(["nope"])
+    assert inventory.overrides(["Open_Code=/x", "claude-code=/y"]) == {"opencode": ["/x"], "claude": ["/y"]}
+    for bad in ("nope", "all=/x", "someone=/x", "=/x", "pi= "):
+        with pytest.raises(ValueError):
+            inventory.overrides([bad])
     assert inventory.history_paths("/h", {"PI_CODING_AGENT_DIR": "/pi"})["pi"] == ["/pi/sessions"]
