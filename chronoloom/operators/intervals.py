@@ -100,6 +100,18 @@ def priority_sweep(ranges: DataFrame, exact: DataFrame) -> DataFrame:
     return coalesced(quiet.unionByName(swept))
 
 
+def stabbed(ranges: DataFrame, points: DataFrame) -> DataFrame:
+    """(KEY, range_ord, point_ord): which points lie in which half-open ranges of their session.
+
+    Ranges are cut at bucket boundaries and met by the point's bucket, so neither a long
+    session nor a long range meets a session's points whole.
+    """
+    cut = _pieces(ranges.where(F.col("end") > F.col("start")).select(*KEY, "start", "end", F.col("ord").alias("range_ord")))
+    marks = points.select(*KEY, "ts", F.col("ord").alias("point_ord"), F.date_trunc(BUCKET, "ts").alias("bucket"))
+    met = cut.join(marks, [*KEY, "bucket"]).where((F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("end")))
+    return met.select(*KEY, "range_ord", "point_ord")
+
+
 def session_intervals(points: DataFrame, exact: DataFrame, cap_us: int) -> DataFrame:
     return priority_sweep(gap_intervals(points, cap_us), exact)
 

@@ -231,7 +231,7 @@ query("JON06_two_key_lookup", "SELECT o_orderkey, coalesce(a.c_name, b.c_name) A
 query("JON08_legacy_unless_new", oracle("SELECT session_id, ord FROM ev WHERE event_type = 'view' AND session_id NOT IN (SELECT session_id FROM ev WHERE event_type = 'signup')"))(
     lambda spark, d: (lambda ev: joins.legacy_unless_new(ev.where("event_type = 'view'"), ev.where("event_type = 'signup'")).select("session_id", "ord"))(bindings.events(spark, d)))
 query("JON09_stabbing_join", oracle("SELECT r.provider, r.session_id, r.ord AS range_ord, p.ord AS point_ord FROM ranges r JOIN pts p ON p.provider = r.provider AND p.session_id = r.session_id AND p.ts >= r.s AND p.ts < r.e WHERE r.kind = 1"))(
-    lambda spark, d: (lambda t: t.exact.where("end > start").withColumnRenamed("ord", "range_ord").join(t.points.select(*KEY, "ts", F.col("ord").alias("point_ord")), KEY).where("ts >= start AND ts < end").select(*KEY, "range_ord", "point_ord"))(bindings.tables(spark, d)))
+    lambda spark, d: (lambda t: I.stabbed(t.exact, t.points))(bindings.tables(spark, d)))
 query("JON11_model_at", oracle("SELECT h.provider, h.session_id, h.ord, f.fm AS model FROM hum h JOIN (SELECT provider, session_id, ts, arg_max(fm, ord) AS fm FROM filled GROUP BY ALL) f USING (provider, session_id, ts)"))(
     lambda spark, d: (lambda t: I.model_at(t.human, t.points).select(*KEY, "ord", "model"))(bindings.tables(spark, d)))
 query("PRJ02_nearest_repo", oracle("SELECT path, (SELECT arg_max(r, length(r)) FROM (VALUES ('src'), ('src/core'), ('tests'), ('pkg1'), ('Arc.Core.Specs/for_Thing')) v(r) WHERE starts_with(p.path, r || '/')) AS root_path FROM (SELECT DISTINCT path FROM cf) p"))(

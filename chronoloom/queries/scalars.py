@@ -65,8 +65,8 @@ _BODIES = ['{"c":"hi"}', '{"c":[{"type":"text"}]}', '{"c":[{"type":"tool_result"
 query("FN22_content_kinds", "SELECT o_orderkey, o_orderkey % 7 IN (0, 1, 5) AS human, o_orderkey % 7 = 4 AS is_object FROM orders")(
     _select("orders", lambda: dict(o_orderkey=F.col("o_orderkey"), human=json.human_content(_pick(_BODIES), "$.c"), is_object=json.is_object(_pick(_BODIES), "$.c"))))
 query("FN23_fuzzy_score")(lambda spark, d: load(spark, d, "part").select("p_partkey", fuzzy.fuzzy_score(F.col("p_name"), "pae").alias("score")))
-query("FN23_subsequence", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)p.*a.*1')")(
-    lambda spark, d: load(spark, d, "part").where(fuzzy.fuzzy_score(F.col("p_name"), "pa1").isNotNull()).select("p_partkey"))
+query("FN23_subsequence", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)r.*d.*g')")(
+    lambda spark, d: load(spark, d, "part").where(fuzzy.fuzzy_score(F.col("p_name"), "RdG").isNotNull()).select("p_partkey"))
 query("FLT13_fuzzy_filter", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '(?i)c.*r.*7')")(
     lambda spark, d: load(spark, d, "customer").where(fuzzy.subsequence(F.col("c_name"), "cR7")).select("c_custkey"))
 query("FN24_safe_text", "SELECT doc_id, regexp_replace(text, '[\\x00-\\x1F\\x7F-\\x{9F}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]', '·', 'g') AS text FROM documents")(
