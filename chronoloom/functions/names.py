@@ -80,7 +80,7 @@ def assistance(trailers: Column) -> tuple[Column, Column]:
 
 def basic_regex_literal(identity: str) -> str:
     """An identity escaped for a basic regular expression, where bare ``+?(){}|`` are literals."""
-    return "".join(f"\\{c}" if c in "\\.[]*^$" else c for c in identity)
+    return "".join(f"\\{c}" if c in "\\.[*^$" else c for c in identity)
 
 
 def basic_to_java(pattern: str) -> str:
