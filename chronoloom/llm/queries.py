@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, multiset, ogg, packing, pii, secrets, simhash, toxicity, webtext
+from . import divergence, language, mixing, multiset, ogg, packing, pii, secrets, simhash, toxicity, webtext
 from .common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +168,52 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"), least_docs=10, top_terms=10)
+
+
+_LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source
+  FROM documents),
+tokens AS (
+  SELECT r, lang, source,
+    unnest(regexp_extract_all({_LOWERED.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+vs AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+counts AS (
+  SELECT lang, source, term, count(*) AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grp AS (SELECT DISTINCT lang, source FROM d),
+totals AS (
+  SELECT grp.lang, grp.source, coalesce(sum(n), 0) AS total FROM grp LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + 1000000000 * (CAST(coalesce(c.n, 0) AS HUGEINT) + 2) // (g.total + 2 * v) AS HUGEINT) AS p
+  FROM totals g JOIN kept k USING (lang) JOIN vs USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+lang_total AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+whole AS (
+  SELECT lang, term, CAST(1 + 1000000000 * (CAST(sum(n) AS HUGEINT) + 2) // (any_value(total) + 2 * any_value(v)) AS HUGEINT) AS q
+  FROM counts JOIN vs USING (lang) JOIN lang_total USING (lang) GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (cells x JOIN cells y ON x.lang = y.lang AND x.term = y.term)
+    ON x.lang = a.lang AND x.source = a.source AND y.source = b.source
+  GROUP BY a.lang, a.source, b.source),
+terms AS (
+  SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM cells JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank
+  FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)
+  FROM terms QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 10)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash": op2_simhash,
@@ -179,5 +225,6 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_multiset": op9_multiset,
     "op10_pii": op10_pii,
+    "op11_source_divergence": op11_source_divergence,
 }
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op9_multiset": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op9_multiset": OP9_SQL, "op11_source_divergence": OP11_SQL}
