@@ -72,7 +72,7 @@ def _share(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(UNIT * (count + 2) / (total + 2 * kept)), exact at any size."""
     whole = lambda c: c.cast("decimal(28,0)")
     over = whole(count + F.lit(2)) * F.lit(UNIT).cast("decimal(10,0)")
-    return F.call_function("div", over, whole(total + kept * 2)) + F.lit(1)
+    return F.call_function("div", over, whole(F.greatest(total + kept * 2, F.lit(1)))) + F.lit(1)
 
 
 def _apart(p: Column, q: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, language, mixing, multiset, ogg, packing, pii, secrets, simhash, toxicity, webtext
+from . import divergence, language, lexical, mixing, multiset, neighbours, ogg, packing, pii, secrets, simhash, toxicity, webtext
 from .common import crc_of_id, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -214,6 +214,39 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+_WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, coalesce(text, '') AS text FROM benchmark),
+tokens AS (SELECT r, unnest(regexp_extract_all({_LOWERED.format("text")}, '{_WORD}')) AS term FROM d),
+asked AS (
+  SELECT i, term, count(*) AS times
+  FROM (SELECT i, unnest(regexp_extract_all({_LOWERED.format("text")}, '{_WORD}')) AS term FROM b) GROUP BY i, term),
+sizes AS (SELECT r, count(*) AS n FROM tokens GROUP BY r),
+whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM sizes),
+tfs AS (SELECT r, term, count(*) AS tf FROM tokens SEMI JOIN asked USING (term) GROUP BY r, term),
+dfs AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tfs, whole GROUP BY term, docs),
+gains AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // len))) AS gain
+  FROM tfs JOIN dfs USING (term) JOIN sizes USING (r), whole),
+scores AS (SELECT i, r, CAST(sum(times * gain) AS BIGINT) AS score FROM asked JOIN gains USING (term) GROUP BY i, r)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores JOIN d USING (r) JOIN b USING (i) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 10
+"""
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash": op2_simhash,
@@ -226,5 +259,12 @@ QUERIES: dict[str, Query] = {
     "op9_multiset": op9_multiset,
     "op10_pii": op10_pii,
     "op11_source_divergence": op11_source_divergence,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_nearest_vectors": op13_nearest_vectors,
+}
+ORACLES: dict[str, str] = {
+    "op1_mix_sources": OP1_SQL,
+    "op9_multiset": OP9_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
-ORACLES: dict[str, str] = {"op1_mix_sources": OP1_SQL, "op9_multiset": OP9_SQL, "op11_source_divergence": OP11_SQL}
