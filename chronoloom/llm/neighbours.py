@@ -50,7 +50,7 @@ _SPREAD = math.sqrt(2 * math.pi * math.e) / WIDTH
 
 _HITS = "query long, hits array<struct<minus: double, late: int, vec_id: long, row: long>>"
 _PLACED = "grp long, cell long, row long, vec_id long, vec binary"
-_PROBED = "grp long, row long, cells array<long>, vec binary"
+_PROBED = "grp long, row long, cells array<long>, vec binary, floor double"
 
 
 class Tables:
@@ -204,15 +204,16 @@ def _prober(tables: Tables, width: int, needed: float | None) -> Callable:
                 groups.append(group[order][starts])
                 cells += np.split(cell[order], starts[1:])
             rows = pa.array(at)
-            columns = [pa.array(np.concatenate(groups)), batch["row"].take(rows), pa.array(cells, pa.list_(pa.int64())), batch["vec"].take(rows)]
-            yield pa.RecordBatch.from_arrays(columns, ["grp", "row", "cells", "vec"])
+            own = [batch[c].take(rows) for c in ("row", "vec", "floor")]
+            columns = [pa.array(np.concatenate(groups)), own[0], pa.array(cells, pa.list_(pa.int64())), *own[1:]]
+            yield pa.RecordBatch.from_arrays(columns, ["grp", "row", "cells", "vec", "floor"])
 
     return probe
 
 
 def _ranker(k: int, width: int) -> Callable:
     def rank(key: tuple, members: pa.Table, queries: pa.Table) -> pa.Table:
-        """Each query's k best of the cells that it visits in one block of one group."""
+        """Each query's k best, not below its floor, of the cells that it visits in one block of one group."""
         hits = pa.schema([("query", pa.int64()), ("hits", pa.list_(pa.struct([("minus", pa.float64()), ("late", pa.int32()), ("vec_id", pa.int64()), ("row", pa.int64())])))])
         if not members.num_rows or not queries.num_rows:
             return hits.empty_table()
@@ -221,7 +222,7 @@ def _ranker(k: int, width: int) -> Callable:
         vectors, rows = _matrix(members["vec"], width)[order], members["row"].to_numpy()[order]
         ids = pc.fill_null(members["vec_id"], np.iinfo(np.int64).max).to_numpy()[order]
         late = np.asarray(pc.is_null(members["vec_id"]))[order].astype(np.int32)
-        asked, asking = _matrix(queries["vec"], width), queries["row"].to_numpy()
+        asked, asking, floors = _matrix(queries["vec"], width), queries["row"].to_numpy(), queries["floor"].to_numpy()
         listed = queries["cells"].combine_chunks()
         who = np.asarray(pc.list_parent_indices(listed), np.int64)
         visits = pc.list_flatten(listed).to_numpy()
@@ -238,11 +239,12 @@ def _ranker(k: int, width: int) -> Callable:
                 q = who[c : min(c + AT_ONCE, b)]
                 near = asked[q] @ vectors[lo:hi].T
                 near[asking[q][:, None] == rows[None, lo:hi]] = -np.inf
-                if hi - lo > k:  # products of a block may differ in the last bits, so near ties stay
-                    least = np.partition(near, hi - lo - k, axis=1)[:, hi - lo - k]
-                    i, j = np.nonzero(near >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
-                else:
-                    i, j = np.nonzero(near > -np.inf)
+                least = floors[q]
+                if hi - lo > k and np.isneginf(least).any():
+                    least = np.maximum(least, np.partition(near, hi - lo - k, axis=1)[:, hi - lo - k])
+                # Products of a block may differ in the last bits, so near ties stay.
+                least = np.where(np.isfinite(least), least - 1e-9 * (1 + np.abs(least)), -np.finfo(float).max)
+                i, j = np.nonzero(near >= least[:, None])
                 pairs.append((q[i], lo + j))
         if not any(len(q) for q, _ in pairs):
             return hits.empty_table()
@@ -289,8 +291,10 @@ def _met(members: DataFrame, probes: DataFrame, k: int, width: int) -> DataFrame
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
     """The k best different rows of each query; the lists that meet hold at most k each."""
-    merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits"))))
-    return hits.groupBy("query").agg(F.slice(merged, 1, k).alias("hits"))
+    merged = hits.groupBy("query").agg(F.sort_array(F.flatten(F.collect_list("hits"))).alias("all"))
+    # A row that several tables found has one score, so its entries stand together.
+    fresh = F.filter("all", lambda x, i: (i == 0) | (x["row"] != F.get(F.col("all"), i - 1)["row"]))
+    return merged.select("query", F.slice(fresh, 1, k).alias("hits"))
 
 
 def nearest(vectors: DataFrame, asks: Column, k: int = 20, success: float = SUCCESS) -> DataFrame:
@@ -303,15 +307,21 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, success: float = SUCC
     queries = rows.where("asks").select("row", "vec_id", "vec", "norm")
 
     def visited(asking: DataFrame, needed: float | None) -> DataFrame:
-        probes = asking.select("row", "vec", "likeness").mapInArrow(_prober(tables, width, needed), _PROBED)
+        probes = asking.select("row", "vec", "likeness", "floor").mapInArrow(_prober(tables, width, needed), _PROBED)
         return _met(members, checkpointed(probes), k, width)
 
-    first = checkpointed(_best(visited(queries.withColumn("likeness", F.lit(0.7)), None), k))
-    worst = -F.element_at("hits", -1)["minus"] / (F.col("norm") * F.lit(longest))
+    nothing = F.lit(float("-inf"))
+    first = checkpointed(_best(visited(queries.withColumns({"likeness": F.lit(0.7), "floor": nothing}), None), k))
     found = queries.join(first.withColumnRenamed("query", "row"), "row", "left")
+    worst = -F.element_at("hits", -1)["minus"]
+    likeness = worst / (F.col("norm") * F.lit(longest))
     # Fewer than k found so far tell nothing of the k-th: it may be at a right angle.
-    likeness = F.when(F.size("hits") >= min(k, max(n - 1, 1)), worst).otherwise(F.least(F.lit(0.0), worst))
-    second = visited(found.select("row", "vec", F.coalesce(likeness, F.lit(0.0)).alias("likeness")), success)
+    full = F.size("hits") >= min(k, max(n - 1, 1))
+    asking = found.select(
+        "row", "vec", F.coalesce(F.when(full, likeness).otherwise(F.least(F.lit(0.0), likeness)), F.lit(0.0)).alias("likeness"),
+        F.when(full, worst).otherwise(nothing).alias("floor"),
+    )
+    second = visited(asking, success)
     best = _best(first.union(second), k)
     named = queries.select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
     return best.join(named, "query").select("query_id", F.posexplode("hits").alias("at", "hit")).select(
