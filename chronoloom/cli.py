@@ -12,14 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sinks
+from .functions.names import AGENT_AUTHORS, author_matches, basic_regex_literal
+from .functions.paths import MAX_RULES, RootRule
 from .functions.times import iso
 from .operators import classify
 from .operators.report import trend
-from .plans.build import build, relations
+from .plans.build import build, filtered_sessions, relations
 from .plans.spec import ReportSpec, bound_date, grouping, month_span, year_span
-from .session import session
+from .session import kept, scratch, session
 from .sources import databases, discover, events, git, inventory, manifest, records, transcripts
-from .sources.lines import DIAGNOSTIC, EXACT, POINT, SESSION, TOKEN, History, empty, union
+from .sources.lines import DIAGNOSTIC, EXACT, POINT, SESSION, TOKEN, History, empty, literal_paths, union
 
 _READERS = {
     "claude": transcripts.claude, "pi": transcripts.pi, "gemini": transcripts.gemini, "copilot": transcripts.copilot,
@@ -34,17 +36,27 @@ def load_config(path: str | None) -> dict:
         return json.load(file)
 
 
-def read_histories(spark: SparkSession, places: dict[str, list[str]], cache: str | None = None, until: date | None = None) -> History:
+def read_histories(
+    spark: SparkSession, places: dict[str, list[str]], cache: str | None = None, until: date | None = None, counts: manifest.Counts | None = None
+) -> History:
     """Every named place that exists, read and united.
 
-    With a cache, a place whose files did not change is not parsed again; a database is
-    always read, for its journal can change alone. Rollouts dated past the window are not opened.
+    With a cache only files that changed, and those that share a session with one, are parsed;
+    a database is always read, for its journal can change alone. Directories of rollouts dated
+    past the window are not opened.
     """
 
     def one(name: str, path: str) -> History:
-        late = until.isoformat() if until and name == "codex" and not cache else None
-        read = lambda: _READERS[name](spark, path, **({"until": late} if late else {}))
-        return manifest.materialised(spark, cache, name, path, read) if cache and name != "opencode" else read()
+        late = {"until": until.isoformat()} if until and name == "codex" else {}
+        if not cache or name == "opencode":
+            return _READERS[name](spark, path, **late)
+        read = lambda files: _READERS[name](spark, path, **late) if files is None else _READERS[name](spark, path, files=files)
+        if not late:
+            return manifest.materialised(spark, cache, name, path, read, now=manifest.source_stamps(spark, name, path), counts=counts)
+        some = discover.dated_places(spark, path, until).places
+        now = manifest.source_stamps(spark, name, path, literal_paths(some) if some else None)
+        skipped = discover.from_day_on(F.col("source_file"), path, until)
+        return manifest.materialised(spark, cache, name, path, read, now=now.where(~skipped), unlisted=skipped, counts=counts)
 
     found = [one(name, p) for name, paths in places.items() for p in paths if os.path.exists(p)]
     if not found:
@@ -54,13 +66,17 @@ def read_histories(spark: SparkSession, places: dict[str, list[str]], cache: str
 
 def git_relations(
     spark: SparkSession, roots: list[str], authors: list[str], agents: list[str], categories,
-    window: tuple[str | None, str | None] = (None, None), includes: list[str] | tuple = (), ignores: list[str] | tuple = (),
+    window: tuple[str | None, str | None] = (None, None), includes: list[str] | tuple = (), ignores: list[str] | tuple = (), rules: tuple = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Commits of one's own and of agents within the window, placed, and their files."""
-    mine, theirs = git.read_log(spark, roots, authors, *window), git.read_log(spark, roots, agents, *window)
+    """Commits of one's own and of agents within the window, placed, and their files; repositories are read once.
+
+    Without authors all commits are one's own, and agents' commits are agents' all the same.
+    """
+    log = kept(git.read_log(spark, roots, [*authors, *agents] if authors else [], *window))
+    mine, theirs = (log.where(author_matches(F.col("author"), who)) if who else log for who in (authors, agents))
     commits = git.commit_rows(mine, False, includes).unionByName(git.commit_rows(theirs, True, includes))
-    placed = discover.placed(commits.withColumnRenamed("repo_path", "cwd"))
-    files = git.changed_files(mine.unionByName(theirs), includes, ignores, categories=categories).dropDuplicates(["sha", "path"])
+    placed = discover.placed(commits.withColumnRenamed("repo_path", "cwd"), rules)
+    files = git.changed_files(log, includes, ignores, categories=categories).dropDuplicates(["sha", "path"])
     return placed, files.select("sha", "path", "additions", "deletions", "is_ignored", "category")
 
 
@@ -70,6 +86,9 @@ def parser() -> argparse.ArgumentParser:
     rep = sub.add_parser("report")
     rep.add_argument("--history", action="append", default=[], help="PROVIDER=PATH")
     rep.add_argument("--git", action="append", default=[], help="a directory to look for repositories in")
+    rep.add_argument("--depth", type=int, default=4, help="how deep to look for repositories")
+    rep.add_argument("--no-git", action="store_true", help="read no commits")
+    rep.add_argument("--no-ai", action="store_true", help="read no histories")
     rep.add_argument("--author", action="append", default=[])
     rep.add_argument("--agent-author", action="append", default=[])
     rep.add_argument("--group-by", default="repo")
@@ -83,7 +102,9 @@ def parser() -> argparse.ArgumentParser:
     rep.add_argument("--exact-repo")
     rep.add_argument("--include", action="append", default=[], help="count only changed files that match a glob")
     rep.add_argument("--ignore", action="append", default=[], help="also ignore changed files that match a glob")
+    rep.add_argument("--source-rule", action="append", default=[], help="REGEX=NAME, the root of the paths that match")
     rep.add_argument("--cache", help="folder of parsed histories")
+    rep.add_argument("--cache-counts", action="store_true", help="add the cache's counts to a JSON report")
     rep.add_argument("--gap-cap", default="5m")
     rep.add_argument("--human-idle", default="1h")
     rep.add_argument("--review-credit", default="30m")
@@ -145,16 +166,36 @@ def run(argv: list[str], spark: SparkSession | None = None, today: date | None =
         rows = classify.explain(spark.createDataFrame([(i, p) for i, p in enumerate(a.paths)], "n int, path string"), categories=categories)
         return sinks.listing(rows.orderBy("n").select("path", "category", "rule", "pattern"), a.format)
     spec = report_spec(a, today or date.today())
-    places = inventory.overrides(a.history) if a.history else inventory.history_paths()
-    history = read_histories(spark, places, a.cache, spec.until)
-    roots = sorted({r for base in a.git for r in discover.repositories(base)} | set(discover.scan_roots(history.sessions)))
-    from .functions.names import AGENT_AUTHORS, basic_regex_literal
-
+    with scratch():
+        return _report(spark, a, spec, config, categories)
+
+
+def source_rules(config: dict, given: list[str]) -> tuple[RootRule, ...]:
+    """Rules of the command line, then of the configuration's ``source_roots``."""
+    told = [RootRule(r["pattern"], r["replacement"]) for r in config.get("source_roots") or []]
+    rules = (*map(RootRule.parse, given), *told)
+    if len(rules) > MAX_RULES:
+        raise ValueError(f"at most {MAX_RULES} source rules")
+    return rules
+
+
+def _report(spark: SparkSession, a: argparse.Namespace, spec: ReportSpec, config: dict, categories) -> str:
+    rules, counts = source_rules(config, a.source_rule), manifest.Counts()
+    places = {} if a.no_ai else inventory.overrides(a.history) if a.history else inventory.history_paths()
+    history = read_histories(spark, places, a.cache, spec.until, counts)
+    sessions = discover.placed(history.sessions, rules)
+    roots: set[str] = set()
+    if not a.no_git:
+        roots = {r for base in a.git for r in discover.repositories(base, a.depth)}
+        if spec.repo_text or spec.exact_repo:  # a filtered session's checkout may lie elsewhere
+            roots |= set(discover.checkouts(filtered_sessions(sessions, spec)))
     agents = a.agent_author or [basic_regex_literal(x) for x in AGENT_AUTHORS]
-    commits, files = git_relations(spark, roots, a.author, agents, categories, git_window(spark, spec), a.include, a.ignore)
-    rep = build(relations(history, discover.placed(history.sessions), commits, files), spec)
+    commits, files = git_relations(spark, sorted(roots), a.author, agents, categories, git_window(spark, spec), a.include, a.ignore, rules)
+    rep = build(relations(history, sessions, commits, files), spec)
     if a.format == "json":
         more = {"composition": rep.composition, "change_shapes": rep.shapes, "diagnostics": history.diagnostics.where("malformed_lines + content_rejections + unreadable_files > 0")}
+        if a.cache_counts:
+            more["cache"] = vars(counts)
         if spec.calendar:
             more["trend"] = trend(rep.printed, spec.calendar).orderBy(spec.calendar)
         return sinks.report_document(rep.printed, rep.summary, spec.dims, **more)

@@ -37,51 +37,59 @@ class Category:
     rules: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
 
 
-def _words(text: str) -> tuple[str, ...]:
-    return tuple(text.split())
-
-
 # The built-in categories, first match wins.
 BUILTIN = (
     Category("test", "tests", False, {
-        "directories": _words("test tests spec specs testing __tests__ __mocks__ testdata test_data fixtures e2e benches benchmarks given"),
-        "directory_prefixes": _words("for_ when_ given_"),
-        "directory_suffixes": _words(".specs .tests .test -tests -specs"),
-        "name_prefixes": _words("test_ test- when_ given_"),
-        "name_contains": _words(".test. .spec."),
-        "stems": _words("test tests spec specs conftest given"),
-        "stem_suffixes": _words("_test _tests -test -tests _spec _specs -spec -specs"),
-        "cased_stem_suffixes": _words("Test Tests TestCase Spec Specs"),
+        "directories": (
+            "test", "tests", "spec", "specs", "testing", "__tests__", "__mocks__", "testdata", "test_data", "fixtures", "e2e",
+            "benches", "benchmarks", "given",
+        ),
+        "directory_prefixes": ("for_", "when_", "given_"),
+        "directory_suffixes": (".specs", ".tests", ".test", "-tests", "-specs"),
+        "name_prefixes": ("test_", "test-", "when_", "given_"),
+        "name_contains": (".test.", ".spec."),
+        "stems": ("test", "tests", "spec", "specs", "conftest", "given"),
+        "stem_suffixes": ("_test", "_tests", "-test", "-tests", "_spec", "_specs", "-spec", "-specs"),
+        "cased_stem_suffixes": ("Test", "Tests", "TestCase", "Spec", "Specs"),
     }),
     Category("docs", "docs", False, {
-        "directories": _words("doc docs documentation man"),
-        "stems": _words("readme license licence copying notice authors contributors contributing changelog changes history code_of_conduct"),
-        "extensions": _words("md markdown mdx rst adoc asciidoc org texi pod"),
+        "directories": ("doc", "docs", "documentation", "man"),
+        "stems": (
+            "readme", "license", "licence", "copying", "notice", "authors", "contributors", "contributing", "changelog",
+            "changes", "history", "code_of_conduct",
+        ),
+        "extensions": ("md", "markdown", "mdx", "rst", "adoc", "asciidoc", "org", "texi", "pod"),
     }),
     Category("config", "config", False, {
-        "directories": _words(".github .gitlab .circleci .azure .vscode .idea .husky .devcontainer ci"),
-        "names": _words(
-            "dockerfile containerfile makefile gnumakefile cmakelists.txt build workspace procfile vagrantfile rakefile gemfile"
-            " pipfile justfile brewfile codeowners go.mod requirements.txt constraints.txt"
+        "directories": (".github", ".gitlab", ".circleci", ".azure", ".vscode", ".idea", ".husky", ".devcontainer", "ci"),
+        "names": (
+            "dockerfile", "containerfile", "makefile", "gnumakefile", "cmakelists.txt", "build", "workspace", "procfile",
+            "vagrantfile", "rakefile", "gemfile", "pipfile", "justfile", "brewfile", "codeowners", "go.mod", "requirements.txt",
+            "constraints.txt",
         ),
-        "extensions": _words(
-            "json jsonc json5 yaml yml toml ini cfg conf properties plist xml env editorconfig gitignore gitattributes gitmodules"
-            " dockerignore npmrc nvmrc tf tfvars hcl gradle bazel bzl cmake mk csproj fsproj vbproj vcxproj sln props targets nuspec"
-            " podspec gemspec"
+        "extensions": (
+            "json", "jsonc", "json5", "yaml", "yml", "toml", "ini", "cfg", "conf", "properties", "plist", "xml", "env",
+            "editorconfig", "gitignore", "gitattributes", "gitmodules", "dockerignore", "npmrc", "nvmrc", "tf", "tfvars", "hcl",
+            "gradle", "bazel", "bzl", "cmake", "mk", "csproj", "fsproj", "vbproj", "vcxproj", "sln", "props", "targets",
+            "nuspec", "podspec", "gemspec",
         ),
     }),
     Category("assets", "assets", False, {
-        "directories": _words("assets images img fonts media"),
-        "extensions": _words(
-            "png jpg jpeg gif svg webp ico icns bmp tiff avif mp3 mp4 wav ogg webm mov woff woff2 ttf otf eot pdf psd sketch fig zip"
-            " tar gz bz2 xz 7z jar wasm bin dat db sqlite sqlite3"
+        "directories": ("assets", "images", "img", "fonts", "media"),
+        "extensions": (
+            "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "icns", "bmp", "tiff", "avif", "mp3", "mp4", "wav", "ogg",
+            "webm", "mov", "woff", "woff2", "ttf", "otf", "eot", "pdf", "psd", "sketch", "fig", "zip", "tar", "gz", "bz2", "xz",
+            "7z", "jar", "wasm", "bin", "dat", "db", "sqlite", "sqlite3",
         ),
     }),
     Category("source", "source", True, {
-        "extensions": _words(
-            "rs go py pyi js jsx ts tsx mjs cjs mts cts java kt kts scala swift m mm c h cc cpp cxx hpp hh cs fs fsx vb rb php pl pm"
-            " sh bash zsh fish ps1 psm1 lua r jl dart ex exs erl hrl hs elm clj cljs cljc nim zig v sql graphql gql proto vue svelte"
-            " astro css scss sass less styl html htm hbs ejs pug erb haml slim jinja j2 tmpl tpl razor cshtml vim el asm s bat cmd"
+        "extensions": (
+            "rs", "go", "py", "pyi", "js", "jsx", "ts", "tsx", "mjs", "cjs", "mts", "cts", "java", "kt", "kts", "scala",
+            "swift", "m", "mm", "c", "h", "cc", "cpp", "cxx", "hpp", "hh", "cs", "fs", "fsx", "vb", "rb", "php", "pl", "pm",
+            "sh", "bash", "zsh", "fish", "ps1", "psm1", "lua", "r", "jl", "dart", "ex", "exs", "erl", "hrl", "hs", "elm", "clj",
+            "cljs", "cljc", "nim", "zig", "v", "sql", "graphql", "gql", "proto", "vue", "svelte", "astro", "css", "scss",
+            "sass", "less", "styl", "html", "htm", "hbs", "ejs", "pug", "erb", "haml", "slim", "jinja", "j2", "tmpl", "tpl",
+            "razor", "cshtml", "vim", "el", "asm", "s", "bat", "cmd",
         ),
     }),
     Category("other", "other"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import fuzzy_score
+from ..functions.fuzzy import fuzzy_score, may_hold, presence_mask
 from ..functions.times import local_day, local_month, round3
 from . import joins
 from .classify import BUILTIN, Category, category_lines
@@ -130,9 +130,19 @@ def search_targets(commits: DataFrame, files: DataFrame, limit: int | None = MAX
     return whole.orderBy(rank, F.col("ts").desc_nulls_last(), "key", "kind", "label").limit(limit)
 
 
+def search_index(targets: DataFrame) -> DataFrame:
+    """Targets with the mask of their labels' characters; written as a table, it serves every later search."""
+    return targets.withColumn("mask", presence_mask(F.col("label")))
+
+
 def search(targets: DataFrame, needle: str, limit: int = MAX_HITS) -> DataFrame:
-    """The best matches: score, then the shorter label, then the label itself."""
-    scored = targets.withColumn("score", fuzzy_score(F.col("label"), needle)).where("score IS NOT NULL")
+    """The best matches: score, then the shorter label, then the label itself.
+
+    Labels of an index are sorted out by their kept masks before any is scored.
+    """
+    index = targets if "mask" in targets.columns else search_index(targets)
+    near = index.where(may_hold(F.col("mask"), needle))
+    scored = near.withColumn("score", fuzzy_score(F.col("label"), needle, F.col("mask"))).where("score IS NOT NULL").drop("mask")
     return scored.orderBy(F.col("score").desc(), F.length("label"), "label", "key", "kind").limit(limit if needle else 0)
 
 

@@ -25,13 +25,46 @@ def us(ts: Column | str) -> Column:
 # Sessions: models and gap-capped intervals.
 
 
-def nearest_models(points: DataFrame) -> DataFrame:
-    """Each point's model: the last known at or before it, else the next known, else unknown."""
-    order = Window.partitionBy(*KEY).orderBy("ts", "ord")
+#: Calendar unit of the chunks of a session that are folded side by side.
+CHUNK = "day"
+
+
+def _told(points: DataFrame, unit: str) -> DataFrame:
+    """Points with their filled model and ``__next``, the instant of the point after.
+
+    A session is folded in calendar chunks, each by itself; one row a chunk (its first instant,
+    its first and last known model) carries what the chunks hand to each other. So a session
+    that never ends is as many tasks as it has days.
+    """
     known = F.when(F.col("model") != UNKNOWN, F.col("model"))
-    before = F.last(known, True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(known, True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return points.withColumn("model", F.coalesce(before, after, F.lit(UNKNOWN)))
+    dealt = points.withColumn("__b", F.date_trunc(unit, "ts"))
+    order = Window.partitionBy(*KEY, "__b").orderBy("ts", "ord")
+    near = dealt.withColumns(
+        {
+            "__before": F.last(known, True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "__after": F.first(known, True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+            "__next": F.lead("ts").over(order),
+        }
+    )
+    place = F.when(known.isNotNull(), F.struct("ts", "ord"))
+    chunks = dealt.groupBy(*KEY, "__b").agg(
+        F.min("ts").alias("lo"), F.min_by("model", place).alias("first_known"), F.max_by("model", place).alias("last_known")
+    )
+    chain = Window.partitionBy(*KEY).orderBy("__b")
+    handed = chunks.select(
+        *KEY, "__b",
+        F.last("last_known", True).over(chain.rowsBetween(Window.unboundedPreceding, -1)).alias("__from"),
+        F.first("first_known", True).over(chain.rowsBetween(1, Window.unboundedFollowing)).alias("__to"),
+        F.lead("lo").over(chain).alias("__ahead"),
+    )
+    met = near.join(handed, [*KEY, "__b"])
+    filled = met.withColumns({"model": F.coalesce("__before", "__from", "__after", "__to", F.lit(UNKNOWN)), "__next": F.coalesce("__next", "__ahead")})
+    return filled.drop("__b", "__before", "__from", "__after", "__to", "__ahead")
+
+
+def nearest_models(points: DataFrame, unit: str = CHUNK) -> DataFrame:
+    """Each point's model: the last known at or before it, else the next known, else unknown."""
+    return _told(points, unit).drop("__next").select(points.columns)
 
 
 def model_at(human: DataFrame, points: DataFrame) -> DataFrame:
@@ -41,14 +74,12 @@ def model_at(human: DataFrame, points: DataFrame) -> DataFrame:
     return met.withColumn("model", F.coalesce("__model", "model")).drop("__model")
 
 
-def gap_intervals(points: DataFrame, cap_us: int) -> DataFrame:
+def gap_intervals(points: DataFrame, cap_us: int, unit: str = CHUNK) -> DataFrame:
     """From each point to the next, at most ``cap_us`` long, with the point's filled model.
 
     Of points at one instant only the last opens an interval. ``idx`` ranks the ranges.
     """
-    order = Window.partitionBy(*KEY).orderBy("ts", "ord")
-    led = nearest_models(points).withColumn("__next", F.lead("ts").over(order))
-    ranged = led.where(F.col("__next") > F.col("ts"))
+    ranged = _told(points, unit).where(F.col("__next") > F.col("ts"))
     return ranged.select(
         *KEY,
         F.col("ts").alias("start"),
@@ -165,6 +196,30 @@ def calendar_split(intervals: DataFrame, unit: str, name: str | None = None) ->
     return cut.withColumn(name, F.date_format("__d", pattern)).drop("__d")
 
 
+#: Widths of the cells of ``dyadic_cells``: the widest is 2 ** (LEVELS - 1).
+LEVELS = 20
+
+
+def dyadic_cells(low: Column, high: Column, levels: int = LEVELS) -> Column:
+    """The range [low, high) of whole numbers as (level, cell)s; a cell is ``cell << level`` and as wide as ``1 << level``.
+
+    At most two cells a width, so a range has about twice the logarithm of its length.
+    """
+    up = lambda k: F.negate(F.call_function("shiftright", F.negate(low), k))
+    down = lambda k: F.call_function("shiftright", high, k)
+    odd = lambda c: F.pmod(c, F.lit(2)) == 1
+    cell = lambda k, c: F.struct(k.cast("int").alias("level"), c.cast("long").alias("cell"))
+
+    def at(k: Column) -> Column:
+        left, right = F.when(odd(up(k)), cell(k, up(k))), F.when(odd(down(k)), cell(k, down(k) - 1))
+        return F.when(up(k) < down(k), F.array_compact(F.array(left, right))).otherwise(F.array().cast("array<struct<level:int,cell:bigint>>"))
+
+    last = F.lit(levels - 1)
+    rest = F.when(up(last) < down(last), F.transform(F.sequence(up(last), down(last) - 1), lambda c: cell(last, c)))
+    most = F.coalesce(rest, F.array().cast("array<struct<level:int,cell:bigint>>"))
+    return F.concat(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 2)), at)), most)
+
+
 # Sessions' extents and edges.
 
 

@@ -6,22 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import plus_micros
-from .intervals import KEY
+from .intervals import KEY, LEVELS, dyadic_cells
+
+
+_HOUR_US = 3_600_000_000
 
 
 def with_output(extended: DataFrame, commits: DataFrame, idle_us: int) -> DataFrame:
     """Sessions with a commit in their repository from ``idle_us`` before to ``idle_us`` after them.
 
-    ``extended`` has ``repo, first_seen, last_seen``. Both sides are spread over the
-    calendar hours they can meet in, so a repository that holds most commits is met hour
-    by hour and not whole.
+    ``extended`` has ``repo, first_seen, last_seen``. The whole hours of a session's reach are
+    a few cells of several widths, where any commit will do; in the two hours that it takes
+    in part (level -1) commits are met by their instants. Commits are known to each width by
+    the distinct cells of their repository, so neither a session of years nor a repository
+    that holds most commits is met row by row.
     """
-    hour = lambda c: F.date_trunc("hour", c)
-    reach = extended.withColumn("__a", plus_micros(F.col("first_seen"), -idle_us)).withColumn("__z", plus_micros(F.col("last_seen"), idle_us))
-    hours = reach.withColumn("__h", F.explode(F.sequence(hour("__a"), hour("__z"), F.expr("INTERVAL 1 HOUR"))))
-    times = commits.select(F.col("repo").alias("__repo"), F.col("ts").alias("__ts"), hour("ts").alias("__ch")).distinct()
-    on = (F.col("repo") == F.col("__repo")) & (F.col("__h") == F.col("__ch")) & F.col("__ts").between(F.col("__a"), F.col("__z"))
-    hit = hours.join(times, on, "left_semi").select(*KEY).distinct()
+    hour = lambda c: F.floor(F.unix_micros(c) / F.lit(_HOUR_US)).cast("long")
+    reach = extended.withColumns({"__a": plus_micros(F.col("first_seen"), -idle_us), "__z": plus_micros(F.col("last_seen"), idle_us)})
+    first, last = hour(F.col("__a")), hour(F.col("__z"))
+    part = lambda c: F.struct(F.lit(-1).alias("level"), c.alias("cell"))
+    cells = F.concat(F.array_distinct(F.array(part(first), part(last))), dyadic_cells(first + 1, last))
+    asked = reach.select(*KEY, F.col("repo").alias("__repo"), "__a", "__z", F.inline(cells))
+    when = commits.select("repo", "ts", hour(F.col("ts")).alias("h")).distinct()
+    level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))
+    wide = when.select("repo", "h").distinct().select("repo", "h", level.alias("level"))
+    wide = wide.select("repo", "level", F.call_function("shiftright", F.col("h"), F.col("level")).alias("cell"), F.lit(None).cast("timestamp").alias("ts"))
+    held = wide.distinct().unionByName(when.select("repo", F.lit(-1).alias("level"), F.col("h").alias("cell"), "ts"))
+    held = held.toDF("__r", "__l", "__c", "__ts")
+    on = (F.col("__repo") == F.col("__r")) & (F.col("level") == F.col("__l")) & (F.col("cell") == F.col("__c"))
+    hit = asked.join(held, on & ((F.col("level") >= 0) | F.col("__ts").between(F.col("__a"), F.col("__z"))), "left_semi").select(*KEY).distinct()
     return extended.join(hit, KEY, "left_semi")
 
 

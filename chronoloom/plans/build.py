@@ -31,18 +31,25 @@ def relations(history: History, placed: DataFrame, commits: DataFrame, files: Da
     return Relations(placed, history.points, history.human, history.exact, history.tokens, commits, files)
 
 
+def filtered_sessions(sessions: DataFrame, spec: ReportSpec) -> DataFrame:
+    """Sessions by provider and repository."""
+    sessions = filters.by_provider(sessions, spec.providers, spec.without_providers)
+    if spec.repo_text:
+        sessions = filters.by_repo_text(sessions, spec.repo_text)
+    return filters.by_exact_repo(sessions, spec.exact_repo) if spec.exact_repo else sessions
+
+
 def filtered(r: Relations, spec: ReportSpec) -> Relations:
     """Sessions by provider and repository, their records, and commits by repository.
 
     A repository filter may match only a directory within a checkout: commits of checkouts
     that the remaining sessions ran in stay, whatever their repository is called.
     """
-    sessions = filters.by_provider(r.sessions, spec.providers, spec.without_providers)
-    commits = r.commits
+    sessions, commits = filtered_sessions(r.sessions, spec), r.commits
     if spec.repo_text:
-        sessions, commits = filters.by_repo_text(sessions, spec.repo_text), filters.by_repo_text(commits, spec.repo_text)
+        commits = filters.by_repo_text(commits, spec.repo_text)
     if spec.exact_repo:
-        sessions, commits = filters.by_exact_repo(sessions, spec.exact_repo), filters.by_exact_repo(commits, spec.exact_repo)
+        commits = filters.by_exact_repo(commits, spec.exact_repo)
     if sessions is r.sessions and commits is r.commits:
         return r
     if commits is not r.commits:

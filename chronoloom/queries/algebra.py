@@ -249,4 +249,4 @@ def _carry(spark, d):
     from ..sources.folds import carried
 
     rows = bindings.events(spark, d).withColumn("m", F.when(F.col("event_type") == "purchase", F.col("model")))
-    return carried(rows, KEY, ["ts", "ord"], {"carried": F.col("m")}).select(*KEY, "ord", "carried")
+    return carried(rows, KEY, ["ts", "ord"], {"carried": F.col("m")}, chunk=F.date_trunc("day", "ts")).select(*KEY, "ord", "carried")

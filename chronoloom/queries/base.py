@@ -183,6 +183,27 @@ def union_sql(name: str, keys: str = "") -> str:
     )
 
 
+def fuzzy_sql(labels: str, column: str, needle: str) -> str:
+    """(label, score) of the labels that hold a needle of plain characters, by every path from its first character on."""
+    steps = [f"SELECT {column} AS label, unnest(range(1, length({column}) + 1)) AS p1 FROM ({labels})"]
+    for n, c in enumerate(needle.lower()[1:], 2):
+        steps.append(f"SELECT *, CASE WHEN strpos(substr(lower(label), p{n - 1} + 1), '{c}') > 0 THEN p{n - 1} + strpos(substr(lower(label), p{n - 1} + 1), '{c}') END AS p{n} FROM ({{}})")
+    paths = steps[0]
+    for step in steps[1:]:
+        paths = step.format(paths)
+    m, at = len(needle), lambda i: f"substr(label, {i}, 1)"
+    plain = lambda i: f"regexp_matches({at(i)}, '[\\p{{L}}\\p{{N}}]')"
+    upper = lambda i: f"regexp_matches({at(i)}, '\\p{{Lu}}')"
+    gain = lambda i: f"(CASE WHEN {i} = 1 OR NOT {plain(f'({i} - 1)')} THEN 10 WHEN {upper(i)} AND NOT {upper(f'({i} - 1)')} THEN 6 ELSE 0 END)"
+    step = lambda a, b: f"(CASE WHEN {b} = {a} + 1 THEN 8 ELSE {gain(b)} - 5 - ({b} - {a} - 2) END)"
+    worth = f"{16 * m} + 2 * {gain('p1')} - least(p1 - 1, 12) + " + " + ".join(step(f"p{n - 1}", f"p{n}") for n in range(2, m + 1))
+    return (
+        f"SELECT label, CAST(max({worth}) AS BIGINT) AS score FROM (SELECT *, dense_rank() OVER (PARTITION BY label ORDER BY p{m}) AS e, "
+        f"row_number() OVER (PARTITION BY label, p{m} ORDER BY p1) AS first, row_number() OVER (PARTITION BY label, p{m} ORDER BY p1 DESC) AS last "
+        f"FROM ({paths}) WHERE substr(lower(label), p1, 1) = '{needle[0].lower()}' AND p{m} IS NOT NULL) WHERE e <= 4 AND (first = 1 OR last = 1) GROUP BY label"
+    )
+
+
 def oracle(body: str, **more: str) -> str:
     """The body with the relations that it uses before it."""
     known = {**RELATIONS, **more}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings
 from ..operators import explore, report
-from .base import CAP, CREDIT, IDLE, oracle, query, r3, sec
+from .base import CAP, CREDIT, IDLE, fuzzy_sql, oracle, query, r3, sec
 
 REPO, PERIOD, DAY = "/work/root1/repo3", "2024-01", "2024-01-10"
 
@@ -71,4 +71,12 @@ def _placed(commits):
     return numbered.join(offsets, part == F.col("part")).select("cwd", place.cast("long").alias("place"))
 
 
-query("ORD04_search_top")(_at(lambda c, f: explore.search(explore.search_targets(c, f, None), "srcfile1")))
+_TOLD = (
+    "SELECT 'repo' AS kind, min(repo) || ' (' || min(root) || ')' AS label, cwd AS key, NULL AS ts FROM mine GROUP BY cwd "
+    "UNION ALL SELECT 'commit', left(c.sha, 9) || ' ' || coalesce(t.summary, 'no counted files'), c.sha, c.ts FROM mine c LEFT JOIN told t USING (sha) "
+    "UNION ALL SELECT 'file', path, arg_max(sha, row(ts, sha)), max(ts) FROM mfiles WHERE NOT is_ignored GROUP BY cwd, path"
+)
+query("ORD04_search_top", oracle(
+    f"SELECT kind, label, key, ts, score FROM targets JOIN hits USING (label) ORDER BY score DESC, length(label), label, key, kind LIMIT {explore.MAX_HITS}",
+    targets=_TOLD, hits=fuzzy_sql("SELECT DISTINCT label FROM targets", "label", "srcfile1"),
+))(_at(lambda c, f: explore.search(explore.search_index(explore.search_targets(c, f, None)), "srcfile1")))

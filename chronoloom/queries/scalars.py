@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import bindings
 from ..functions import fuzzy, json, names, paths, text, times
 from ..operators import report
-from .base import oracle, query, r3
+from .base import fuzzy_sql, oracle, query, r3
 
 load = bindings.load
 
@@ -64,7 +64,8 @@ query("FN21_json_model", f"SELECT o_orderkey, {_sql_pick(['p/m', 'q/n', 'only',
 _BODIES = ['{"c":"hi"}', '{"c":[{"type":"text"}]}', '{"c":[{"type":"tool_result"}]}', '{"c":null}', '{"c":{"type":"text"}}', '{"c":[1,{"type":"image"}]}', "{}"]
 query("FN22_content_kinds", "SELECT o_orderkey, o_orderkey % 7 IN (0, 1, 5) AS human, o_orderkey % 7 = 4 AS is_object FROM orders")(
     _select("orders", lambda: dict(o_orderkey=F.col("o_orderkey"), human=json.human_content(_pick(_BODIES), "$.c"), is_object=json.is_object(_pick(_BODIES), "$.c"))))
-query("FN23_fuzzy_score")(lambda spark, d: load(spark, d, "part").select("p_partkey", fuzzy.fuzzy_score(F.col("p_name"), "pae").alias("score")))
+query("FN23_fuzzy_score", f"SELECT p_partkey, h.score FROM part LEFT JOIN ({fuzzy_sql('SELECT DISTINCT p_name AS label FROM part', 'label', 'pae')}) h ON h.label = p_name")(
+    lambda spark, d: load(spark, d, "part").select("p_partkey", fuzzy.fuzzy_score(F.col("p_name"), "pae").alias("score")))
 query("FN23_subsequence", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '(?i)r.*d.*g')")(
     lambda spark, d: load(spark, d, "part").where(fuzzy.fuzzy_score(F.col("p_name"), "RdG").isNotNull()).select("p_partkey"))
 query("FLT13_fuzzy_filter", "SELECT c_custkey FROM customer WHERE regexp_matches(c_name, '(?i)c.*r.*7')")(

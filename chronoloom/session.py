@@ -7,6 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark import StorageLevel
@@ -17,6 +19,7 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.python.filterPushdown.enabled": "true",
     "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,parquet,text",
 }
 
@@ -40,22 +43,59 @@ def _own_folder() -> str:
     return path
 
 
+@cache
+def _shared_folder(base: str, application: str) -> str:
+    """The application's own folder in a shared one; the file system deletes it when the driver ends."""
+    path = f"{base.rstrip('/')}/chronoloom-{application}"
+    spark = SparkSession.active()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)
+    system.deleteOnExit(hadoop)
+    return path
+
+
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Everything that is ``kept`` inside is freed at the end, so results must be complete by then."""
+    held: list[DataFrame] = []
+    _scopes.append(held)
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for df in held:
+            released(df)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Rows that many later steps read, computed once; what is planned over them starts anew.
 
-    They are Parquet in the folder that ``spark.checkpoint.dir`` names, and so outlive lost
-    executors. Without that setting one machine's tasks write to a folder of their own, and
-    a cluster keeps them in its memory and disks, where lost blocks are computed again.
+    They are Parquet in a folder of the application below the one that ``spark.checkpoint.dir``
+    names, and so outlive lost executors; it goes with the application, or before by ``scratch``
+    and ``released``. Without that setting one machine's tasks write to a folder of their own,
+    and a cluster keeps rows in its memory and disks, where lost blocks are computed again.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        folder = _shared_folder(base, spark.sparkContext.applicationId)
+    elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         folder = f"file://{_own_folder()}"
-    if not folder:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder.rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    else:
+        folder = None
+    if folder:
+        path = f"{folder}/kept-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        rows = spark.read.schema(df.schema).parquet(path)
+    else:
+        rows = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if _scopes:
+        _scopes[-1].append(rows)
+    return rows
 
 
 def released(df: DataFrame) -> None:

@@ -78,7 +78,7 @@ def listing(df: DataFrame, form: str = "table") -> str:
     return "\n".join("\t".join(str(x) for x in r) for r in rows)
 
 
-def report_document(rows: DataFrame, summary: DataFrame, dims: tuple[str, ...], top: int = 0, **more: DataFrame) -> str:
+def report_document(rows: DataFrame, summary: DataFrame, dims: tuple[str, ...], top: int = 0, **more: DataFrame | dict) -> str:
     """One pretty document of a report that was already cut to a printable number of rows.
 
     ``more`` are short tables that follow, each under its name.
@@ -88,7 +88,7 @@ def report_document(rows: DataFrame, summary: DataFrame, dims: tuple[str, ...],
     head = summary.first()
     return json.dumps(
         {"group_by": list(dims), "summary": head.asDict() if head else {}, "rows": [row(r) for r in shown.collect()]}
-        | {name: [r.asDict() for r in df.collect()] for name, df in more.items()},
+        | {name: df if isinstance(df, dict) else [r.asDict() for r in df.collect()] for name, df in more.items()},
         ensure_ascii=False,
         indent=2,
     )

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
+from dataclasses import dataclass
 from datetime import date
+from fnmatch import fnmatch
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import repo_label, source_root
+from .lines import literal_paths
 
 # Directories that hold no repositories of their own.
 SKIPPED = (".git", "node_modules", "bin", "obj", "dist", "build", "vendor", ".cache")
@@ -57,7 +61,10 @@ def vscode_files(root: str) -> list[str]:
 
 def dated(path: str, root: str) -> date | None:
     """The date of a directory ``<root>/YYYY/MM/DD``."""
-    parts = os.path.relpath(path, root).split(os.sep)
+    return _date_of(tuple(os.path.relpath(path, root).split(os.sep)))
+
+
+def _date_of(parts: tuple[str, ...]) -> date | None:
     if len(parts) != 3 or not all(p.isdigit() for p in parts):
         return None
     try:
@@ -66,18 +73,63 @@ def dated(path: str, root: str) -> date | None:
         return None
 
 
-def dated_files(spark: SparkSession, root: str, until: str | date | None = None) -> list[str]:
-    """Rollouts whose date directory is before ``until``; other directories are not pruned.
+@dataclass
+class Places:
+    """Where rollouts may be: directories to list whole, files by name, and how many directories were opened to tell."""
+
+    directories: list[str]
+    files: list[str]
+    opened: int
+
+    @property
+    def places(self) -> list[str]:
+        return self.directories + self.files
 
-    The listing goes through Spark's reader, so it also works on remote storage; only
-    paths reach the driver, and no file is opened.
+
+def dated_places(spark: SparkSession, root: str, until: str | date | None = None) -> Places:
+    """What below a root is to be listed when days from ``until`` on are of no interest.
+
+    Only the root, its years and its months are opened here, through Spark's file system,
+    so it also works on remote storage. Day directories are told by their names: those from
+    ``until`` on are never opened, the others are left to Spark's parallel listing. There is no
+    lower bound: a session may have begun on any day before.
     """
     end = date.fromisoformat(until) if isinstance(until, str) else until
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "rollout-*.jsonl").load(root)
-    day = F.regexp_extract("path", r"/(\d{4})/(\d{2})/(\d{2})/[^/]+$", 0)
-    at = F.try_to_date(F.regexp_extract(day, r"/(\d{4}/\d{2}/\d{2})/", 1), "yyyy/MM/dd")
-    kept = listed if end is None else listed.where(F.coalesce(at < F.lit(end), F.lit(True)))
-    return sorted(r["path"] for r in kept.select("path").collect())
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, level = Places([], [], 0), [(top, ())]
+    while level:
+        deeper = []
+        for folder, parts in level:
+            found.opened += 1
+            for entry in system.listStatus(folder):
+                name = entry.getPath().getName()
+                if name.startswith((".", "_")):
+                    continue
+                if not entry.isDirectory():
+                    if fnmatch(name, "rollout-*.jsonl"):
+                        found.files.append(entry.getPath().toString())
+                elif len(parts) < 2:
+                    deeper.append((entry.getPath(), (*parts, name)))
+                elif end is None or (day := _date_of((*parts, name))) is None or day < end:
+                    found.directories.append(entry.getPath().toString())
+        level = deeper
+    return Places(sorted(found.directories), sorted(found.files), found.opened)
+
+
+def from_day_on(path: Column, root: str, until: date) -> Column:
+    """Whether a path lies in a date directory that ``dated_places`` does not open."""
+    day = F.regexp_extract(path, "^" + re.escape(root.rstrip("/")) + r"/(\d+/\d+/\d+)/", 1)
+    return F.coalesce(F.try_to_date(day, "y/M/d") >= F.lit(until), F.lit(False))
+
+
+def dated_files(spark: SparkSession, root: str, until: str | date | None = None) -> list[str]:
+    """Rollouts whose date directory is before ``until``; other directories are not pruned."""
+    places = dated_places(spark, root, until).places
+    if not places:
+        return []
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "rollout-*.jsonl").load(literal_paths(places))
+    return sorted(r["path"] for r in listed.select("path").collect())
 
 
 def repositories(base: str, depth: int = 4) -> list[str]:
@@ -134,9 +186,13 @@ def placed(sessions: DataFrame, rules: tuple = (), home: str | None = None) -> D
     return sessions.join(known, "cwd").drop("cwd").withColumnRenamed("cwd2", "cwd")
 
 
-def scan_roots(sessions: DataFrame, most: int = 10_000) -> list[str]:
-    """Checkouts that sessions ran in, as roots of a repository scan."""
-    rows = sessions.where("NOT approximate_cwd").select("cwd").distinct().orderBy("cwd").limit(most).collect()
-    return sorted({r for row in rows if os.path.exists(os.path.join(r := nearest_repository(row["cwd"]), ".git"))})
+def checkouts(sessions: DataFrame) -> list[str]:
+    """Repositories that sessions ran in, found in tasks; each is one partition of the log's scan."""
 
+    @F.pandas_udf("string")
+    def enclosing(cwds: pd.Series) -> pd.Series:
+        roots = cwds.map(lambda c: nearest_repository(c) if os.path.isdir(c) else None)
+        return roots.map(lambda r: r if r and os.path.exists(os.path.join(r, ".git")) else None)
 
+    found = sessions.where("NOT approximate_cwd").select("cwd").distinct().select(enclosing("cwd").alias("root"))
+    return sorted(r[0] for r in found.where("root IS NOT NULL").distinct().collect())

@@ -9,7 +9,7 @@ from ..functions.json import holds_content
 from ..functions.names import UNKNOWN, safe_model, safe_provider
 from ..functions.times import rfc3339
 from ..session import kept
-from .lines import LINE_CAP, History, diagnostics, history, parsed, read_lines
+from .lines import LINE_CAP, History, diagnostics, history, literal_paths, parsed, read_lines
 
 SCHEMA = "timestamp string, provider string, session_id string, cwd string, model string, event string, role string, started_at string, completed_at string"
 KINDS = {f"$.{k}": "required string" for k in ("timestamp", "provider", "session_id", "cwd")} | {
@@ -56,12 +56,15 @@ def from_lines(lines: DataFrame, cap: int = LINE_CAP) -> History:
     seen = scanned(lines, cap)
     good = kept(valid(seen))
     sessions = good.groupBy("provider", "session_id", "cwd", "is_subagent").agg(F.min("file").alias("source_file")).withColumn("approximate_cwd", F.lit(False))
+    owners = good.select("provider", "session_id", F.col("file").alias("source_file")).distinct()
     return history(
-        sessions, good, good.where(F.col("prompt") & ~F.col("is_subagent")), diagnostics(seen, F.col("sensitive")), good.where(F.col("end") > F.col("start"))
+        sessions, good, good.where(F.col("prompt") & ~F.col("is_subagent")), diagnostics(seen, F.col("sensitive")), good.where(F.col("end") > F.col("start")), owners=owners
     )
 
 
-def read(spark: SparkSession, path: str | list[str], cap: int = LINE_CAP) -> History:
-    """A file is taken as it is, a directory's ``*.jsonl`` files are read."""
+def read(spark: SparkSession, path: str | list[str], cap: int = LINE_CAP, files: list[str] | None = None) -> History:
+    """A file is taken as it is, a directory's ``*.jsonl`` files are read; of them only ``files``, if given."""
+    if files is not None:
+        return from_lines(read_lines(spark, literal_paths(files), None), cap)
     is_file = isinstance(path, str) and path.endswith((".jsonl", ".json", ".log", ".txt"))
     return from_lines(read_lines(spark, path, None if is_file else "*.jsonl"), cap)

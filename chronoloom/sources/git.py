@@ -1,8 +1,13 @@
-"""Commit history as a Spark data source: one partition for each repository.
+"""Commit history as a Spark data source: partitions are ranges of a repository's commits.
 
 ``spark.read.format("gitlog").option("repositories", json list).load()`` gives one row for
-each changed file. Only hashes, dates, paths, line counts and co-author trailers are asked
-for; messages and contents are not read.
+each changed file. Only hashes, dates, authors, paths, line counts and co-author trailers are
+asked for; messages and contents are not read.
+
+A plan pins each repository's head and counts the commits that the options select, which
+reads no trees. Tasks then walk from that head to their own range and take the differences,
+the dear part, of that range alone; a repeated task finds the same commits. Bounds on ``ts``
+reach ``git log`` where the session pushes filters to Python sources.
 """
 
 from __future__ import annotations
@@ -10,18 +15,23 @@ from __future__ import annotations
 import json
 import subprocess
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions.globs import is_ignored, is_included
 from ..functions.names import assistance
 from ..operators.classify import BUILTIN, Category, with_category
 
-SCHEMA = "repo_path string, sha string, ts timestamp, trailers string, path string, additions long, deletions long, error string"
-FORMAT = "W%x09%H%x09%cI%x09%(trailers:key=Co-authored-by,valueonly,separator=%x02)"
+SCHEMA = "repo_path string, sha string, ts timestamp, author string, trailers string, path string, additions long, deletions long, error string"
+FORMAT = "W%x09%H%x09%cI%x09%(trailers:key=Co-authored-by,valueonly,separator=%x02)%x03%aN <%aE>"
+#: Commits of a partition, and repositories that are planned at once.
+SPLIT_COMMITS, PLANNERS = 5000, 16
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 
 def numstat_rows(fields: Iterator[bytes]) -> Iterator[tuple]:
@@ -74,8 +84,14 @@ def _fields(stream, size: int = 1 << 16) -> Iterator[bytes]:
         yield rest
 
 
-class _Repository(InputPartition):
-    pass
+@dataclass
+class _Span(InputPartition):
+    """``count`` commits of a repository after the first ``skip``; all, where the head is not known."""
+
+    repo: str
+    head: str | None = None
+    skip: int = 0
+    count: int = 0
 
 
 class _Reader(DataSourceReader):
@@ -83,22 +99,54 @@ class _Reader(DataSourceReader):
         self.repositories = json.loads(options.get("repositories", "[]"))
         self.authors = json.loads(options.get("authors", "[]"))
         self.since, self.until = options.get("since"), options.get("until")
+        self.split = int(options.get("split_commits", SPLIT_COMMITS))
+        self.bounds: list[str] = []
+
+    def _chosen(self) -> list[str]:
+        """Options of the commits that are wanted."""
+        chosen = ["--no-merges", "--regexp-ignore-case", *[f"--author={a}" for a in self.authors], *self.bounds]
+        chosen += [f"--since={self.since}"] if self.since else []
+        return chosen + ([f"--until={self.until}"] if self.until else [])
+
+    def _spans(self, repo: str) -> list[_Span]:
+        asked = lambda *args: subprocess.run(["git", "-C", repo, *args], capture_output=True, text=True)
+        head = asked("rev-parse", "--verify", "-q", "HEAD").stdout.strip()
+        told = asked("rev-list", "--count", *self._chosen(), head).stdout.strip() if head else ""
+        if not told.isdigit():
+            return [_Span(repo)]
+        return [_Span(repo, head, at, self.split) for at in range(0, int(told), self.split)]
 
     def partitions(self):
-        return [_Repository(r) for r in self.repositories]
+        with ThreadPoolExecutor(PLANNERS) as pool:
+            return [span for spans in pool.map(self._spans, self.repositories) for span in spans]
 
     def read(self, partition):
-        repo = partition.value
-        command = ["git", "-C", repo, "-c", "core.quotepath=off", "log", "--no-merges", "--numstat", "-z", "--regexp-ignore-case", f"--format={FORMAT}"]
-        command += [f"--author={a}" for a in self.authors]
-        command += [f"--since={self.since}"] if self.since else []
-        command += [f"--until={self.until}"] if self.until else []
+        if partition is None:  # no commit is wanted anywhere
+            return
+        repo = partition.repo
+        command = ["git", "-C", repo, "-c", "core.quotepath=off", "log", "--numstat", "-z", f"--format={FORMAT}", *self._chosen()]
+        if partition.head:
+            command += [f"--skip={partition.skip}", f"--max-count={partition.count}", partition.head]
         child = subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.PIPE)
-        for sha, ts, trailers, path, added, removed in numstat_rows(_fields(child.stdout)):
-            yield (repo, sha, ts, trailers, path, added, removed, None)
+        for sha, ts, told, path, added, removed in numstat_rows(_fields(child.stdout)):
+            trailers, _, author = told.partition("\x03")
+            yield (repo, sha, ts, author, trailers.strip(), path, added, removed, None)
         said = child.stderr.read(4096).decode("utf-8", "replace")
         if child.wait() and "does not have any commits yet" not in said:
-            yield (repo, None, None, None, None, None, None, said.strip() or "git log failed")
+            yield (repo, None, None, None, None, None, None, None, said.strip() or "git log failed")
+
+
+class _PushingReader(_Reader):
+    def pushFilters(self, filters):
+        """Bounds on ``ts`` narrow the log; Spark tests them again, for the log's are of whole seconds."""
+        for f in filters:
+            at = getattr(f, "value", None)
+            if getattr(f, "attribute", None) == ("ts",) and isinstance(at, datetime) and at.tzinfo:
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.bounds.append(f"--since-as-filter={at.replace(microsecond=0).isoformat()}")
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.bounds.append(f"--until={(at.replace(microsecond=0) + timedelta(seconds=1)).isoformat()}")
+            yield f
 
 
 class GitLog(DataSource):
@@ -110,12 +158,14 @@ class GitLog(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return (_PushingReader if self.options.get("push") == "true" else _Reader)(self.options)
 
 
-def read_log(spark: SparkSession, repositories: list[str], authors: list[str] | tuple = (), since: str | None = None, until: str | None = None) -> DataFrame:
+def read_log(spark: SparkSession, repositories: list[str], authors: list[str] | tuple = (), since: str | None = None, until: str | None = None, split_commits: int = SPLIT_COMMITS) -> DataFrame:
     spark.dataSource.register(GitLog)
-    reader = spark.read.format("gitlog").option("repositories", json.dumps(list(repositories))).option("authors", json.dumps(list(authors)))
+    push = spark.conf.get(PUSHDOWN, "false")
+    reader = spark.read.format("gitlog").option("push", push).option("repositories", json.dumps(list(repositories))).option("authors", json.dumps(list(authors)))
+    reader = reader.option("split_commits", str(split_commits))
     if since:
         reader = reader.option("since", since)
     if until:

@@ -6,6 +6,7 @@ parsed to declared fields in the projection that reads them and go no further.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,8 @@ class History:
     exact: DataFrame
     tokens: DataFrame
     diagnostics: DataFrame
+    #: (provider, session_id, source_file) where sessions are folded from several files; else each session names its own.
+    owners: DataFrame | None = None
 
 
 SESSION = "provider string, session_id string, cwd string, is_subagent boolean, approximate_cwd boolean, source_file string"
@@ -56,6 +59,11 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = "*
     )
 
 
+def literal_paths(files: list[str]) -> list[str]:
+    """Paths that Spark's readers take as they are, not as patterns."""
+    return [re.sub(r"([\\\[\]{}*?,])", r"\\\1", f) for f in files]
+
+
 def kind_at(value: Column, path: str) -> Column:
     """The JSON type at a path; VOID for null, null where there is nothing."""
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(value), path, "variant"))
@@ -152,13 +160,16 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def history(sessions: DataFrame, points: DataFrame, human: DataFrame, diagnostics_: DataFrame, exact: DataFrame | None = None, tokens: DataFrame | None = None) -> History:
+def history(
+    sessions: DataFrame, points: DataFrame, human: DataFrame, diagnostics_: DataFrame,
+    exact: DataFrame | None = None, tokens: DataFrame | None = None, owners: DataFrame | None = None,
+) -> History:
     spark = sessions.sparkSession
     return History(
         conform(sessions, SESSION), conform(points, POINT), conform(human, POINT),
         conform(exact, EXACT) if exact is not None else empty(spark, EXACT),
         conform(tokens, TOKEN) if tokens is not None else empty(spark, TOKEN),
-        conform(diagnostics_, DIAGNOSTIC),
+        conform(diagnostics_, DIAGNOSTIC), owners,
     )
 
 

@@ -13,6 +13,7 @@ from ..functions.names import UNKNOWN, safe_model
 from ..functions.paths import dashed_path, wrapped_dashed_path
 from ..functions.times import epoch_ms, plus_micros, rfc3339
 from ..operators.intervals import model_at, nearest_models
+from .documents import SMALL, large, scanned
 from .folds import carried, changed_totals, last_write_first_place
 from .lines import (
     KEY,
@@ -21,6 +22,7 @@ from .lines import (
     diagnostics,
     history,
     last_name,
+    literal_paths,
     local_path,
     minus_cached,
     nonzero,
@@ -79,8 +81,13 @@ _CLAUDE = (
 _CLAUDE_KINDS = {f"$.{k}": "string" for k in ("type", "timestamp", "cwd", "sessionId", "requestId", "version")} | {f"$.{k}": "boolean" for k in ("isMeta", "isSidechain", "isCompactSummary", "isVisibleInTranscriptOnly")}
 
 
-def claude(spark: SparkSession, root: str, cap: int = LINE_CAP) -> History:
-    return claude_lines(read_lines(spark, root), root, cap)
+def _lines_of(spark: SparkSession, root: str, glob: str, files: list[str] | None) -> DataFrame:
+    """Lines below the root, or of the files given."""
+    return read_lines(spark, root, glob) if files is None else read_lines(spark, literal_paths(files), None)
+
+
+def claude(spark: SparkSession, root: str, cap: int = LINE_CAP, files: list[str] | None = None) -> History:
+    return claude_lines(_lines_of(spark, root, "*.jsonl", files), root, cap)
 
 
 def claude_lines(lines: DataFrame, root: str, cap: int = LINE_CAP) -> History:
@@ -133,8 +140,8 @@ def _message_start(value: Column) -> Column:
     return F.substring(F.coalesce(first, content), 1, 64)
 
 
-def pi(spark: SparkSession, root: str, cap: int = LINE_CAP) -> History:
-    return pi_lines(read_lines(spark, root, "*.[jJ][sS][oO][nN][lL]"), root, cap)
+def pi(spark: SparkSession, root: str, cap: int = LINE_CAP, files: list[str] | None = None) -> History:
+    return pi_lines(_lines_of(spark, root, "*.[jJ][sS][oO][nN][lL]", files), root, cap)
 
 
 def pi_lines(lines: DataFrame, root: str, cap: int = LINE_CAP) -> History:
@@ -190,11 +197,17 @@ _CODEX_KINDS = {"$.type": "string", "$.timestamp": "string"} | {f"$.payload.{k}"
 METADATA = "id string, rollout_path string, cwd string, model string"
 
 
-def codex(spark: SparkSession, root: str, metadata: DataFrame | None = None, until: str | None = None, cap: int = LINE_CAP) -> History:
-    """``until`` (a date) prunes date directories from it on before their files are read."""
-    from .discover import dated_files
+def codex(
+    spark: SparkSession, root: str, metadata: DataFrame | None = None, until: str | None = None, cap: int = LINE_CAP, files: list[str] | None = None
+) -> History:
+    """``until`` (a date) prunes date directories from it on before they are listed."""
+    from .discover import dated_places
 
-    lines = read_lines(spark, dated_files(spark, root, until), None) if until else read_lines(spark, root, "rollout-*.jsonl")
+    if files is None and until:
+        places = dated_places(spark, root, until).places
+        lines = read_lines(spark, literal_paths(places), "rollout-*.jsonl") if places else read_lines(spark, root, "rollout-*.jsonl").limit(0)
+    else:
+        lines = _lines_of(spark, root, "rollout-*.jsonl", files)
     return codex_lines(lines, metadata, cap)
 
 
@@ -275,10 +288,10 @@ _GEMINI_KINDS = {f"$.{k}": "string" for k in ("type", "timestamp", "model", "ses
 
 
 def documents(spark: SparkSession, path: str | list[str], glob: str, most: int) -> DataFrame:
-    """(file, ord, value, ok): whole files up to a size; larger ones are not opened."""
+    """(file, ord, value): whole small files, and larger ones than ``most``, which are not opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    small = F.col("length") <= most
-    return files.select(F.col("path").alias("file"), F.lit(0).cast("long").alias("ord"), F.when(small, F.decode("content", "UTF-8")).alias("value"))
+    small = F.col("length") <= SMALL
+    return files.where(small | (F.col("length") > most)).select(F.col("path").alias("file"), F.lit(0).cast("long").alias("ord"), F.when(small, F.decode("content", "UTF-8")).alias("value"))
 
 
 def project_markers(directories: DataFrame, most: int = 32 * 1024) -> DataFrame:
@@ -310,21 +323,33 @@ def project_markers(directories: DataFrame, most: int = 32 * 1024) -> DataFrame:
     return directories.select("directory", marked("directory").alias("marked")).where("marked IS NOT NULL")
 
 
-def gemini(spark: SparkSession, root: str, cap: int = LINE_CAP, roots: DataFrame | None = None) -> History:
+def gemini(spark: SparkSession, root: str, cap: int = LINE_CAP, roots: DataFrame | None = None, files: list[str] | None = None) -> History:
     """Files below a ``chats`` directory. ``roots`` (directory, cwd) are the project markers, read if not given."""
     chats = lambda df: df.where(F.lower(local_path(F.col("file"))).rlike("(^|/)chats/"))
-    lines, docs = chats(read_lines(spark, root, "*.jsonl")), chats(documents(spark, root, "*.json", MAX_DOCUMENT))
+    of = lambda end: root if files is None else literal_paths([f for f in files if f.endswith(end)])
+    none = lambda end: files is not None and not of(end)
+    lines = read_lines(spark, root if none(".jsonl") else of(".jsonl"), "*.jsonl")
+    docs = documents(spark, root if none(".json") else of(".json"), "*.json", MAX_DOCUMENT)
+    big = large(spark, root if none(".json") else of(".json"), "*.json", MAX_DOCUMENT)
+    lines, docs, big = (chats(df).limit(0) if none(end) else chats(df) for df, end in ((lines, ".jsonl"), (docs, ".json"), (big, ".json")))
     if roots is None:
-        here = lines.select("file").union(docs.select("file")).distinct().select(parent(local_path(F.col("file"))).alias("directory")).distinct()
+        here = lines.select("file").union(docs.select("file")).union(big.select("file")).distinct().select(parent(local_path(F.col("file"))).alias("directory")).distinct()
         roots = project_markers(here)
-    return gemini_records(lines, docs, root, roots, cap)
+    return gemini_records(lines, docs, root, roots, cap, big)
 
 
-def gemini_records(lines: DataFrame, docs: DataFrame, root: str, roots: DataFrame | None = None, cap: int = LINE_CAP) -> History:
+def gemini_records(
+    lines: DataFrame, docs: DataFrame, root: str, roots: DataFrame | None = None, cap: int = LINE_CAP, big: DataFrame | None = None
+) -> History:
+    """``docs`` hold small documents' texts, ``big`` names those that are scanned where they lie."""
     seen = parsed(lines, _GEMINI, _GEMINI_KINDS, cap)
     whole = docs.select("file", F.try_parse_json("value").isNotNull().alias("ok"), F.from_json("value", _GEMINI_DOC).alias("d"))
+    each = whole.where("ok").select("file", F.posexplode("d.messages").alias("ord", "m")).withColumn("ord", F.col("ord").cast("long"))
+    if big is not None:
+        heads, items = scanned(big, _GEMINI_DOC, "messages")
+        whole, each = whole.unionByName(heads), each.unionByName(items.withColumnRenamed("item", "m"))
     a = seen.where("ok").select("file", "ord", "r.type", "r.timestamp", "r.model", "r.tokens")
-    b = whole.where("ok").select("file", F.posexplode("d.messages").alias("ord", "m")).select("file", F.col("ord").cast("long"), "m.type", "m.timestamp", "m.model", "m.tokens")
+    b = each.select("file", "ord", "m.type", "m.timestamp", "m.model", "m.tokens")
     heads = _first(seen.where("ok"), sid=F.col("r.sessionId"), kind=F.col("r.kind")).unionByName(whole.where("ok").select("file", F.col("d.sessionId").alias("sid"), F.col("d.kind").alias("kind")))
     turns = a.unionByName(b).where(F.col("type").isin("user", "gemini"))
     state = carried(turns.withColumn("said", F.when(F.col("model").isNotNull(), safe_model(F.col("model")))), FILE, ORDER, {"model": F.col("said")})
@@ -358,8 +383,8 @@ STORE = "id string, cwd string, repository string, branch string, host_type stri
 _TURNS = ("user.message", "assistant.message", "assistant.turn_start", "assistant.turn_end", "tool.execution_start", "tool.execution_complete")
 
 
-def copilot(spark: SparkSession, root: str, store: DataFrame | None = None, cap: int = LINE_CAP) -> History:
-    return copilot_lines(read_lines(spark, root, "[eE][vV][eE][nN][tT][sS].[jJ][sS][oO][nN][lL]"), store, cap)
+def copilot(spark: SparkSession, root: str, store: DataFrame | None = None, cap: int = LINE_CAP, files: list[str] | None = None) -> History:
+    return copilot_lines(_lines_of(spark, root, "[eE][vV][eE][nN][tT][sS].[jJ][sS][oO][nN][lL]", files), store, cap)
 
 
 def copilot_lines(lines: DataFrame, store: DataFrame | None = None, cap: int = LINE_CAP) -> History:
@@ -430,31 +455,34 @@ _VSCODE = "version double, sessionId string, requests array<struct<timestamp: do
 MAX_CHAT, NEWEST_CHAT = 64 << 20, 3
 
 
-def vscode(spark: SparkSession, root: str) -> History:
+def vscode(spark: SparkSession, root: str, files: list[str] | None = None) -> History:
     """``<root>/<workspace>/chatSessions/*.json``, with the workspace's folder beside it."""
     base = root.rstrip("/")
-    docs = spark.read.format("binaryFile").load(f"{base}/*/chatSessions/*.json").select(
-        F.col("path").alias("file"), F.lit(0).cast("long").alias("ord"), F.when(F.col("length") <= MAX_CHAT, F.decode("content", "UTF-8")).alias("value")
-    )
+    chats = f"{base}/*/chatSessions/*.json" if files is None else literal_paths(files)
+    docs, big = documents(spark, chats, "*.json", MAX_CHAT), large(spark, chats, "*.json", MAX_CHAT)
     try:
         marks = spark.read.format("binaryFile").load(f"{base}/*/workspace.json").where("length <= 65536").select("path", F.decode("content", "UTF-8").alias("value"))
     except Exception as missing:  # no workspace file at all
         if "PATH_NOT_FOUND" not in str(missing):
             raise
         marks = spark.createDataFrame([], "path string, value string")
-    return vscode_documents(docs, marks)
+    return vscode_documents(docs, marks, big)
 
 
-def vscode_documents(docs: DataFrame, marks: DataFrame) -> History:
+def vscode_documents(docs: DataFrame, marks: DataFrame, big: DataFrame | None = None) -> History:
     from ..functions.paths import file_url_path
 
     space = F.from_json("value", "folder string, folders array<struct<uri: string, path: string>>")
     named = F.filter(F.transform(space["folders"], lambda f: F.coalesce(f["uri"], f["path"])), lambda f: f.isNotNull())
     folders = marks.select(parent(local_path(F.col("path"))).alias("space"), file_url_path(F.coalesce(space["folder"], F.get(named, F.lit(0)))).alias("folder"))
     whole = docs.select("file", F.try_parse_json("value").isNotNull().alias("ok"), F.from_json("value", _VSCODE).alias("d"))
+    each = whole.select("file", F.posexplode("d.requests").alias("ord", "q")).withColumn("ord", F.col("ord").cast("long"))
+    if big is not None:
+        heads, items = scanned(big, _VSCODE, "requests")
+        whole, each = whole.unionByName(heads), each.unionByName(items.withColumnRenamed("item", "q"))
     newer = F.coalesce(F.col("d.version") > NEWEST_CHAT, F.lit(False))
     read = whole.where(F.col("ok") & ~newer)
-    each = read.select("file", F.posexplode("d.requests").alias("ord", "q")).withColumn("ord", F.col("ord").cast("long"))
+    each = each.join(read.select("file"), "file", "left_semi")
     model = F.when(F.col("q.modelId").isNotNull(), safe_model(F.regexp_replace("q.modelId", "^copilot/", "")))
     state = carried(each, FILE, ORDER, {"model": model}).withColumn("model", F.coalesce("model", F.lit(UNKNOWN))).withColumn("ts", epoch_ms(F.col("q.timestamp"))).where("ts IS NOT NULL")
     ms = F.col("q.result.timings.totalElapsed")

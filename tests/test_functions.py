@@ -150,3 +150,53 @@ def test_diagnostics_and_models(spark):
     totals = spark.createDataFrame([("unknown", 1), ("—", 2), ("a", 9)] + [(f"m{i:02}", 4) for i in range(12)], "model string, us long")
     ranked = report.ranked_models(totals, "us").orderBy("rank").collect()
     assert len(ranked) == 12 and ranked[0].model == "a" and ranked[0].omitted == 2
+
+
+def _every_path(needle, label):
+    """All increasing places of the needle's characters, in order."""
+    low = [c.lower()[:1] or c for c in label]
+    found = [()]
+    for c in needle.lower():
+        found = [(*p, i) for p in found for i in range(p[-1] + 1 if p else 0, len(low)) if low[i] == c]
+    return sorted(found)
+
+
+def _by_the_rule(needle, label):
+    """Four times: the first path from a place, and the first one from the latest start that ends as it does."""
+    paths, at, best = _every_path(needle, label), 0, []
+    for _ in range(4):
+        ahead = [p for p in paths if p[0] >= at]
+        if not ahead:
+            break
+        start = max(p[0] for p in ahead if p[-1] == ahead[0][-1])
+        best += [ahead[0], min(p for p in ahead if p[0] == start)]
+        at = start + 1
+
+    def worth(p):
+        def bonus(i):
+            if i == 0 or not label[i - 1].isalnum():
+                return 10
+            return 6 if label[i].isupper() and not label[i - 1].isupper() else 0
+
+        total = 16 * len(p) + 2 * bonus(p[0]) - min(p[0], 12)
+        for a, b in zip(p, p[1:]):
+            total += 8 if b == a + 1 else bonus(b) - 5 - (b - a - 2)
+        return total
+
+    return max(map(worth, best), default=None)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text("abAB_/", min_size=1, max_size=4), st.text("abAB_/é", max_size=14))
+def test_fuzzy_is_the_rule(needle, label):
+    assert fuzzy.score(needle, label) == _by_the_rule(needle, label)
+
+
+def test_masks_never_reject_a_hit(spark):
+    labels = ["src/Main.rs", "İstanbul", "ΣΑΣ", "Kelvin K", "", "a~!9", "日本語", "ẞß", "tab\tand\nline", None]
+    needles = ["smr", "i", "σ", "k", "9", "~!", "本", "ß", "zz", "\t"]
+    df = spark.createDataFrame([(x,) for x in labels], "label string").withColumn("mask", fuzzy.presence_mask(F.col("label")))
+    for needle in needles:
+        rows = df.select("label", fuzzy.may_hold(F.col("mask"), needle).alias("may"), fuzzy.fuzzy_score(F.col("label"), needle, F.col("mask")).alias("s")).collect()
+        assert [r.s for r in rows] == [fuzzy.score(needle, r.label) for r in rows]
+        assert any(not r.may for r in rows if r.label is not None)
