@@ -19,14 +19,14 @@ BATCH_ROWS = 2000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bounded(docs: DataFrame) -> DataFrame:
-    """The rows; their session sends at most ``BATCH_ROWS`` at once to Python unless it says otherwise.
+def bounded(docs: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """The rows; their session sends at most so many at once to Python unless it says otherwise.
 
     Spark also ends a batch at 64 MB, so neither many nor long texts fill a worker's memory.
     """
     conf = docs.sparkSession.conf
     if conf.get(_BATCH_SETTING) == "10000":
-        conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+        conf.set(_BATCH_SETTING, str(rows))
     return docs
 
 
