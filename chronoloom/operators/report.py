@@ -26,6 +26,7 @@ from .intervals import (
     session_intervals,
     sum_micros,
     union_micros,
+    us,
 )
 
 TOKENS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens"]
@@ -49,9 +50,11 @@ def one_row_per_commit(commits: DataFrame) -> DataFrame:
 
 
 class Activity:
-    """A report's relations after window and filters, each computed when it is first asked for.
+    """A report's relations after window and filters, each planned when it is first asked for.
 
-    Signals are cut to the window before blocks are built. ``release`` frees what is kept.
+    Intervals, commits, signals and quiet sessions are read by several exchanges each and so
+    computed once and kept; all others stay plans. Signals are cut to the window before blocks
+    are built. ``release`` frees what is kept.
     """
 
     def __init__(self, tables, cap_us: int, idle_us: int, credit_us: int, since: Column | None = None, until: Column | None = None):
@@ -73,11 +76,11 @@ class Activity:
 
     @cached_property
     def sessions(self) -> DataFrame:
-        return self._keep(self.tables.sessions.select(*KEY, "cwd", "repo", "root", "is_subagent"))
+        return self.tables.sessions.select(*KEY, "cwd", "repo", "root", "is_subagent")
 
     @cached_property
     def seen(self) -> DataFrame:
-        return self._keep(self.sessions.join(extents(self.points, self.tables.exact, self.tables.human), KEY))
+        return self.sessions.join(extents(self.points, self.tables.exact, self.tables.human), KEY)
 
     @cached_property
     def intervals(self) -> DataFrame:
@@ -106,11 +109,11 @@ class Activity:
 
     @cached_property
     def human(self) -> DataFrame:
-        return self._keep(clipped(human_intervals(self.signals, self.idle_us, self.credit_us), self.since, self.until))
+        return clipped(human_intervals(self.signals, self.idle_us, self.credit_us), self.since, self.until)
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self._keep(self._inside(joins.token_records(self.tables.tokens, self.sessions)))
+        return self._inside(joins.token_records(self.tables.tokens, self.sessions))
 
     @cached_property
     def quiet(self) -> DataFrame:
@@ -178,56 +181,95 @@ _NUMBERS = [
 PARTS = ("intervals", "wall", "human", "signals", "zero", "commits", "files", "agents", "tokens", "days", "names")
 
 
+def _session_days(act: Activity, dims, keys: list[str], wanted: tuple[str, ...]) -> DataFrame:
+    """(keys, KEY, is_subagent, model, day, quiet, us, start, end): each session's days, those of quiet sessions too.
+
+    One exchange of partial sums, which sessions, days and names are all taken from.
+    """
+    at = [*keys, *KEY, "is_subagent", "model"]
+    pieces = []
+    if not {"intervals", "days", "names"}.isdisjoint(wanted):
+        split = calendar_split(keyed_intervals(act.intervals, dims), "day", "__day")
+        pieces.append(split.select(*at, "__day", F.lit(False).alias("quiet"), (us("end") - us("start")).alias("us"), "start", "end"))
+    if not {"zero", "days", "names"}.isdisjoint(wanted):
+        seen = keyed_moments(zero_sessions(act), dims, "first_seen")
+        day = local_day(F.col("first_seen")).alias("__day")
+        pieces.append(seen.select(*at, day, F.lit(True).alias("quiet"), F.lit(0).cast("long").alias("us"), F.col("first_seen").alias("start"), F.col("first_seen").alias("end")))
+    rows = reduce(DataFrame.unionByName, pieces)
+    return rows.groupBy(*at, "__day", "quiet").agg(F.sum("us").alias("us"), F.min("start").alias("start"), F.max("end").alias("end"))
+
+
+_LINES = ("additions", "deletions", "ignored_additions", "ignored_deletions")
+
+
+def _commit_sums(own: Column, agents: Column) -> list[Column]:
+    """Counts and lines of commits, one's own and agents' apart."""
+    of = lambda c, who: F.sum(F.when(who, F.col(c)))
+    return [
+        F.count_if(own).alias("commit_count"), *[of(c, own).alias(c) for c in _LINES],
+        F.count_if(own & F.col("agent_assisted")).alias("ai_assisted_commit_count"),
+        F.count_if(own & F.col("autofix_assisted")).alias("autofix_assisted_commit_count"),
+        F.count_if(agents).alias("agent_commit_count"), *[of(c, agents).alias(f"agent_{c}") for c in ("additions", "deletions")],
+    ]
+
+
 def _parts(act: Activity, dims, wanted: tuple[str, ...] = PARTS) -> list[DataFrame]:
-    """Aggregates of each relation by the dimensions, over disjoint metrics."""
+    """Aggregates of each relation by the dimensions, over disjoint metrics.
+
+    Parts that read one relation share one exchange of partial sums by day, which Spark finds
+    and reuses.
+    """
     keys = [f"d_{d}" for d in dims]
     reads = lambda *of: not {*of}.isdisjoint(wanted)
-    intervals = keyed_intervals(act.intervals, dims) if reads("intervals", "wall", "days", "names") else None
-    human = keyed_intervals(act.human, dims) if reads("human") else None
-    signals = keyed_moments(act.signals, dims) if reads("signals") else None
-    quiet = keyed_moments(zero_sessions(act), dims, "first_seen") if reads("zero", "days", "names") else None
-    commits = keyed_commits(act.commits, dims) if reads("commits", "days") else None
-    agents = keyed_commits(act.agent_commits, dims) if reads("agents", "days") else None
-    tokens = keyed_moments(act.tokens, dims) if reads("tokens", "days") else None
-    files = keyed_commits(act.files, dims).where(~F.col("is_ignored")) if reads("files") else None
-    sub = F.col("is_subagent")
-    roles = [F.count("*").alias("session_count"), F.count_if(~sub).alias("foreground_session_count"), F.count_if(sub).alias("subagent_session_count")]
     range_of = lambda a, b: [F.min(a).alias("first_seen"), F.max(b).alias("last_seen")]
-    # Counts of different things: by that thing first, so that no aggregate has several distinct ones.
-    each = lambda df, *by: df.groupBy(*keys, *by)
-    named = lambda: intervals.select(*keys, "provider", "model").union(quiet.select(*keys, "provider", "model")).distinct()
-    day = lambda df, ts: df.select(*keys, local_day(F.col(ts)).alias("day")).distinct()
-    days = lambda: reduce(
-        DataFrame.union,
-        [calendar_split(intervals, "day", "__day").select(*keys, "__day").distinct(), day(quiet, "first_seen"), day(commits, "ts"), day(agents, "ts"), day(tokens, "ts")],
-    )
-    parts = {
-        "intervals": lambda: each(intervals, *KEY, sub.alias("is_subagent")).agg(sum_micros().alias("us"), F.min("start").alias("start"), F.max("end").alias("end"))
-        .groupBy(*keys).agg(F.sum("us").alias("active_us"), *roles, *range_of("start", "end")),
-        "wall": lambda: union_micros(intervals, keys).withColumnRenamed("union_us", "wall_us"),
-        "human": lambda: human.groupBy(*keys).agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), *range_of("start", "end")),
-        "signals": lambda: each(signals, local_day(F.col("ts")).alias("__day")).agg(_count("ts", "kind", "session_id").alias("n"))
-        .groupBy(*keys).agg(F.sum("n").alias("human_signal_count"), F.count("*").alias("human_active_days")),
-        "zero": lambda: each(quiet, *KEY, sub.alias("is_subagent")).agg(F.min("first_seen").alias("start"), F.max("first_seen").alias("end"))
-        .groupBy(*keys).agg(*roles, *range_of("start", "end")),
-        "commits": lambda: commits.groupBy(*keys).agg(
-            F.count("*").alias("commit_count"),
-            *[F.sum(c).alias(c) for c in ("additions", "deletions", "ignored_additions", "ignored_deletions")],
-            F.count_if("agent_assisted").alias("ai_assisted_commit_count"),
-            F.count_if("autofix_assisted").alias("autofix_assisted_commit_count"),
-            *range_of("ts", "ts"),
-        ),
-        "files": lambda: files.groupBy(*keys).agg(_count("path").alias("file_count")),
-        "agents": lambda: agents.groupBy(*keys).agg(
-            F.count("*").alias("agent_commit_count"), F.sum("additions").alias("agent_additions"), F.sum("deletions").alias("agent_deletions"), *range_of("ts", "ts")
-        ),
-        "tokens": lambda: tokens.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TOKENS], *range_of("ts", "ts")),
-        "days": lambda: days().groupBy(*keys).agg(F.count_distinct("__day").alias("active_days")),
-        "names": lambda: named().groupBy(*keys).agg(
-            F.array_join(F.sort_array(F.collect_set("provider")), ",").alias("providers"), F.array_join(F.sort_array(F.collect_set("model")), ",").alias("models")
-        ),
-    }
-    return [parts[name]() for name in PARTS if name in wanted]
+    sub, out, days = F.col("is_subagent"), [], []
+    if reads("intervals", "zero", "days", "names"):
+        by_day = _session_days(act, dims, keys, wanted)
+        shown = [quiet for part, quiet in (("intervals", False), ("zero", True)) if part in wanted]
+        if shown:
+            each = by_day.where(F.col("quiet").isin(shown)).groupBy(*keys, *KEY, "is_subagent").agg(
+                F.sum("us").alias("us"), F.min("start").alias("start"), F.max("end").alias("end")
+            )
+            roles = [F.count("*").alias("session_count"), F.count_if(~sub).alias("foreground_session_count"), F.count_if(sub).alias("subagent_session_count")]
+            active = [F.sum("us").alias("active_us")] if "intervals" in wanted else []
+            out.append(each.groupBy(*keys).agg(*active, *roles, *range_of("start", "end")))
+        if "names" in wanted:
+            named = by_day.groupBy(*keys, "provider", "model").agg(F.lit(1).alias("one"))
+            set_of = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
+            out.append(named.groupBy(*keys).agg(set_of("provider").alias("providers"), set_of("model").alias("models")))
+        days.append(by_day.select(*keys, "__day"))
+    if "wall" in wanted:
+        out.append(union_micros(keyed_intervals(act.intervals, dims), keys).withColumnRenamed("union_us", "wall_us"))
+    if "human" in wanted:
+        human = keyed_intervals(act.human, dims)
+        out.append(human.groupBy(*keys).agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), *range_of("start", "end")))
+    if "signals" in wanted:
+        # Distinct signals by day first, so that no aggregate has several distinct counts.
+        by_day = keyed_moments(act.signals, dims).groupBy(*keys, local_day(F.col("ts")).alias("__day")).agg(_count("ts", "kind", "session_id").alias("n"))
+        out.append(by_day.groupBy(*keys).agg(F.sum("n").alias("human_signal_count"), F.count("*").alias("human_active_days")))
+    if reads("commits", "agents", "days"):
+        agent = F.col("agent_authored")
+        both = keyed_commits(act.all_commits, dims).withColumn("__day", local_day(F.col("ts")))
+        own, theirs = (who & F.lit(part in wanted) for who, part in ((~agent, "commits"), (agent, "agents")))
+        by_day = both.groupBy(*keys, "agent_authored", "__day").agg(*_commit_sums(own, theirs), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+        shown = [who for part, who in (("commits", False), ("agents", True)) if part in wanted]
+        if shown:
+            sums = [c.name for c in by_day.schema.fields if c.name in _NUMBERS]
+            of_shown = by_day.where(F.col("agent_authored").isin(shown))
+            out.append(of_shown.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums], *range_of("first_seen", "last_seen")))
+        days.append(by_day.select(*keys, "__day"))
+    if "files" in wanted:
+        files = keyed_commits(act.files, dims).where(~F.col("is_ignored"))
+        out.append(files.groupBy(*keys).agg(_count("path").alias("file_count")))
+    if reads("tokens", "days"):
+        tokens = keyed_moments(act.tokens, dims).groupBy(*keys, local_day(F.col("ts")).alias("__day"))
+        by_day = tokens.agg(*[F.sum(c).alias(c) for c in TOKENS], F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+        if "tokens" in wanted:
+            out.append(by_day.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in TOKENS], *range_of("first_seen", "last_seen")))
+        days.append(by_day.select(*keys, "__day"))
+    if "days" in wanted:
+        out.append(reduce(DataFrame.union, days).groupBy(*keys).agg(F.count_distinct("__day").alias("active_days")))
+    return out
 
 
 def _ratio(total: Column, n: Column) -> Column:
@@ -291,48 +333,44 @@ def summary(act: Activity) -> DataFrame:
     sub = F.col("is_subagent")
     eligible = eligible_sessions(act)
     foreground = eligible.where(~sub)
-    kind = F.col("kind")
-    day = lambda df, ts: df.select(local_day(F.col(ts)).alias("day")).distinct()
-    days = reduce(
-        DataFrame.union,
-        [calendar_split(act.intervals, "day", "day").select("day").distinct(), day(zero_sessions(act), "first_seen"), day(act.commits, "ts"), day(act.agent_commits, "ts")],
+    kind, agent = F.col("kind"), F.col("agent_authored")
+    by_day = act.intervals.transform(calendar_split, "day", "day").groupBy("day").agg(
+        sum_micros().alias("us"), F.min("start").alias("a"), F.max("end").alias("b")
     )
-    observed = reduce(
-        DataFrame.union,
-        [df.agg(F.min(a).alias("a"), F.max(b).alias("b")) for df, a, b in ((act.intervals, "start", "end"), (act.human, "start", "end"), (act.signals, "ts", "ts"), (act.agent_commits, "ts", "ts"))],
+    commits = act.all_commits.groupBy("agent_authored", local_day(F.col("ts")).alias("day")).agg(
+        *_commit_sums(~agent, agent), F.min("ts").alias("a"), F.max("ts").alias("b")
     )
+    signals = act.signals.groupBy(local_day(F.col("ts")).alias("day"), "kind").agg(
+        _count("ts", "session_id").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")
+    )
+    quiet = zero_sessions(act).select(local_day(F.col("first_seen")).alias("day")).distinct()
+    days = reduce(DataFrame.union, [by_day.select("day"), quiet, commits.select("day")])
+    ends = lambda what=None: [F.min("a" if what is None else F.when(what, F.col("a"))).alias("first"), F.max("b" if what is None else F.when(what, F.col("b"))).alias("last")]
     parts = [
-        act.intervals.agg(sum_micros().alias("active_us")),
+        by_day.agg(F.coalesce(F.sum("us"), F.lit(0)).cast("long").alias("active_us"), *ends()),
         union_micros(act.intervals).withColumnRenamed("union_us", "wall_us"),
-        act.human.agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count")),
-        act.signals.groupBy(local_day(F.col("ts")).alias("day"), "kind").agg(_count("ts", "session_id").alias("n")).agg(
+        act.human.agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), F.min("start").alias("first"), F.max("end").alias("last")),
+        signals.agg(
             F.sum("n").alias("human_signal_count"),
             F.sum(F.when(kind.endswith("_prompt"), F.col("n"))).alias("prompt_signal_count"),
             F.sum(F.when(kind.endswith("_session_edge"), F.col("n"))).alias("foreground_session_edge_signal_count"),
             F.sum(F.when(kind == "commit", F.col("n"))).alias("commit_signal_count"),
             F.count_distinct("day").alias("human_active_days"),
+            *ends(),
         ),
         eligible.select(*KEY, "is_subagent").distinct().agg(
             F.count_distinct(F.struct(*KEY)).alias("session_count"), F.count_if(~sub).alias("foreground_session_count"), F.count_if(sub).alias("subagent_session_count")
         ),
         joins.with_output(foreground, act.commits, act.idle_us).agg(_count(*KEY).alias("foreground_sessions_with_commits")),
         joins.comparable(foreground, act.commits).agg(_count(*KEY).alias("comparable")),
-        act.commits.agg(
-            F.count("*").alias("commit_count"),
-            *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("additions", "deletions", "ignored_additions", "ignored_deletions")],
-            F.count_if("agent_assisted").alias("ai_assisted_commit_count"),
-            F.count_if("autofix_assisted").alias("autofix_assisted_commit_count"),
-        ),
-        act.agent_commits.agg(
-            F.count("*").alias("agent_commit_count"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"agent_{c}") for c in ("additions", "deletions")]
-        ),
+        # Commits of one's own are seen through their signals; agents' are not.
+        commits.agg(*[F.coalesce(F.sum(c.name), F.lit(0)).cast("long").alias(c.name) for c in commits.schema.fields if c.name in _NUMBERS], *ends(agent)),
         act.tokens.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOKENS]),
         days.agg(F.count_distinct("day").alias("active_days")),
-        observed.agg(F.min("a").alias("first"), F.max("b").alias("last")),
     ]
     # Every part is one row; they are laid side by side through one union and one aggregate.
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    n = whole.agg(*[F.max(c).alias(c) for c in whole.columns])
+    n = whole.agg(*[(F.min if c == "first" else F.max)(c).alias(c) for c in whole.columns])
     plain = [c for c in whole.columns if not c.endswith("_us") and c not in ("comparable", "first", "last")]
     return n.select(
         seconds(F.coalesce("active_us", F.lit(0))).alias("parallel_agent_seconds"),
