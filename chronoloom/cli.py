@@ -179,18 +179,24 @@ def source_rules(config: dict, given: list[str]) -> tuple[RootRule, ...]:
     return rules
 
 
+def scan_roots(a: argparse.Namespace, spec: ReportSpec, sessions: DataFrame) -> list[str]:
+    """Repositories below the directories given; under a repository filter also checkouts of the sessions that match it."""
+    if a.no_git:
+        return []
+    roots = {r for base in a.git for r in discover.repositories(base, a.depth)}
+    if spec.repo_text or spec.exact_repo:  # a session's checkout may lie elsewhere
+        roots |= set(discover.checkouts(filtered_sessions(sessions, spec)))
+    return sorted(roots)
+
+
 def _report(spark: SparkSession, a: argparse.Namespace, spec: ReportSpec, config: dict, categories) -> str:
     rules, counts = source_rules(config, a.source_rule), manifest.Counts()
     places = {} if a.no_ai else inventory.overrides(a.history) if a.history else inventory.history_paths()
     history = read_histories(spark, places, a.cache, spec.until, counts)
     sessions = discover.placed(history.sessions, rules)
-    roots: set[str] = set()
-    if not a.no_git:
-        roots = {r for base in a.git for r in discover.repositories(base, a.depth)}
-        if spec.repo_text or spec.exact_repo:  # a filtered session's checkout may lie elsewhere
-            roots |= set(discover.checkouts(filtered_sessions(sessions, spec)))
+    roots = scan_roots(a, spec, sessions)
     agents = a.agent_author or [basic_regex_literal(x) for x in AGENT_AUTHORS]
-    commits, files = git_relations(spark, sorted(roots), a.author, agents, categories, git_window(spark, spec), a.include, a.ignore, rules)
+    commits, files = git_relations(spark, roots, a.author, agents, categories, git_window(spark, spec), a.include, a.ignore, rules)
     rep = build(relations(history, sessions, commits, files), spec)
     if a.format == "json":
         more = {"composition": rep.composition, "change_shapes": rep.shapes, "diagnostics": history.diagnostics.where("malformed_lines + content_rejections + unreadable_files > 0")}

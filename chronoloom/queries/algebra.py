@@ -9,7 +9,7 @@ from .. import bindings
 from ..functions.times import calendar_days, iso, seconds
 from ..operators import intervals as I
 from ..operators.report import keyed_intervals
-from .base import CAP, CREDIT, IDLE, iso as iso_sql, oracle, query, sec, split_sql, union_sql
+from .base import CAP, CREDIT, IDLE, RELATIONS, iso as iso_sql, oracle, query, sec, split_sql, union_sql
 
 KEY = ["provider", "session_id"]
 
@@ -94,16 +94,21 @@ def int08(spark, d):
     return I.one_per_instant(_signals(spark, d)).select(I.us("ts").alias("ts_us"), *KEY, "kind", "model")
 
 
+#: An idle time that the tables' dense signals do exceed, so that there are many blocks.
+SHORT = 60_000_000
+_SHORT = {name: RELATIONS[name].replace(str(IDLE), str(SHORT)) for name in ("blocks", "hiv")}
+
+
 @query("INT09_work_blocks", oracle(
-    "SELECT CAST(block AS BIGINT) AS block, count(*) AS signals, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM blocks GROUP BY block"))
+    "SELECT CAST(block AS BIGINT) AS block, count(*) AS signals, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM blocks GROUP BY block", **_SHORT))
 def int09(spark, d):
-    return I.work_blocks(_signals(spark, d), IDLE).groupBy("block").agg(
+    return I.work_blocks(_signals(spark, d), SHORT).groupBy("block").agg(
         F.count("*").alias("signals"), I.us(F.min("ts")).alias("first_us"), I.us(F.max("ts")).alias("last_us")
     )
 
 
-def _human(spark, d):
-    return I.human_intervals(_signals(spark, d), IDLE, CREDIT)
+def _human(spark, d, idle=IDLE):
+    return I.human_intervals(_signals(spark, d), idle, CREDIT)
 
 
 @query("INT10_midpoint_attribution", oracle(
@@ -113,15 +118,15 @@ def int10(spark, d):
 
 
 @query("INT11_edge_credit", oracle(
-    "SELECT session_id, epoch_us(min(s)) AS start_us, epoch_us(max(e)) AS end_us FROM hiv GROUP BY session_id"))
+    "SELECT session_id, epoch_us(min(s)) AS start_us, epoch_us(max(e)) AS end_us FROM hiv GROUP BY session_id", **_SHORT))
 def int11(spark, d):
     """Where each block begins and ends with its credit."""
-    return _in_us(_human(spark, d).groupBy("session_id").agg(F.min("start").alias("start"), F.max("end").alias("end")), "session_id")
+    return _in_us(_human(spark, d, SHORT).groupBy("session_id").agg(F.min("start").alias("start"), F.max("end").alias("end")), "session_id")
 
 
-@query("INT12_block_ids", oracle("SELECT DISTINCT session_id AS work_block FROM hiv"))
+@query("INT12_block_ids", oracle("SELECT DISTINCT session_id AS work_block FROM hiv", **_SHORT))
 def int12(spark, d):
-    return _human(spark, d).select(F.col("session_id").alias("work_block")).distinct()
+    return _human(spark, d, SHORT).select(F.col("session_id").alias("work_block")).distinct()
 
 
 @query("INT13_session_extent", oracle(

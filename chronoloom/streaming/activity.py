@@ -35,13 +35,19 @@ def daily_activity(events: DataFrame, late: str = LATE) -> DataFrame:
 def work_blocks(events: DataFrame, idle: str = "1 hour", late: str = LATE, by: tuple[str, ...] = ("provider",)) -> DataFrame:
     """Blocks of prompts of each ``by``: a session window that closes after ``idle`` without one, as in the batch.
 
-    Streaming session windows need a key, so the one timeline over all providers stays a
-    batch operator.
+    Streaming session windows need a key; ``timeline`` makes blocks over all of them.
     """
     prompts = events.where(F.col("prompt") & ~F.col("is_subagent")).withWatermark("ts", late)
     return prompts.groupBy(*by, F.session_window("ts", idle).alias("block")).agg(F.count("*").alias("signals"), F.min("ts").alias("first"), F.max("ts").alias("last")).drop("block")
 
 
+def sliding_activity(events: DataFrame, width: str = "1 hour", step: str = "15 minutes", late: str = LATE) -> DataFrame:
+    """Records and prompts of each provider in overlapping windows."""
+    counted = events.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("w"), "provider")
+    prompts = F.count_if(F.col("prompt") & ~F.col("is_subagent"))
+    return counted.agg(F.count("*").alias("records"), prompts.alias("prompts")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "provider", "records", "prompts")
+
+
 _TOTALS = "provider string, session_id string, ts timestamp, total long, delta long"
 
 

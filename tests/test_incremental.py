@@ -240,19 +240,25 @@ def test_only_a_filter_widens_the_scan(spark, tmp_path):
     _one_commit(project)
     os.makedirs(other)
     log = write(f"{tmp_path}/e.jsonl", [{"provider": "fixture", "session_id": "s", "cwd": project, "timestamp": "2026-01-01T00:00:00Z", "event": "prompt"}])
-    run = lambda *more: json.loads(cli.run(["report", "--history", f"events={log}", "--git", other, "--author", "f@x.org", "--format", "json", *more], spark))["summary"]
-    assert run()["commit_count"] == 0
-    assert run("--exact-repo", "project")["commit_count"] == 1
-    assert run("--exact-repo", "project", "--provider", "pi")["commit_count"] == 0
-    assert run("--exact-repo", "project", "--no-git")["commit_count"] == 0
-    assert run("--git", str(tmp_path), "--depth", "1")["commit_count"] == 0 and run("--git", str(tmp_path), "--depth", "2")["commit_count"] == 1
-    assert run("--no-ai", "--git", project)["session_count"] == 0
-
-
-def test_source_rules(spark, tmp_path):
-    log = write(f"{tmp_path}/e.jsonl", [{"provider": "p", "session_id": "s", "cwd": "/srv/team/app", "timestamp": "2026-01-01T00:00:00Z"}])
-    config = write(f"{tmp_path}/c.json", [{"source_roots": [{"pattern": "^/srv/([a-z]+)/.*$", "replacement": "srv:\\1"}]}])
-    run = lambda *more: json.loads(cli.run(["report", "--no-git", "--history", f"events={log}", "--group-by", "root", "--format", "json", *more], spark))["rows"][0]["key"]["root"]
-    assert run("--config", config) == "srv:team" and run("--config", config, "--source-rule", "^/srv/.*$=mine") == "mine"
+    sessions = discover.placed(events.read(spark, log).sessions)
+
+    def roots(*more):
+        a = cli.parser().parse_args(["report", "--git", other, *more])
+        return cli.scan_roots(a, cli.report_spec(a, date(2026, 1, 5)), sessions)
+
+    here = [os.path.realpath(project)]
+    assert roots() == [] and roots("--exact-repo", "project") == here and roots("--repo", "PROJ") == here
+    assert roots("--exact-repo", "project", "--provider", "pi") == roots("--exact-repo", "project", "--no-git") == []
+    assert roots("--git", str(tmp_path), "--depth", "1") == [] and roots("--git", str(tmp_path), "--depth", "2") == here
+    doc = json.loads(cli.run(["report", "--history", f"events={log}", "--git", other, "--author", "f@x.org", "--exact-repo", "project", "--format", "json"], spark))
+    assert doc["summary"]["commit_count"] == 1 and doc["summary"]["session_count"] == 1
+    doc = json.loads(cli.run(["report", "--no-ai", "--git", project, "--author", "f@x.org", "--format", "json"], spark))
+    assert doc["summary"]["commit_count"] == 1 and doc["summary"]["session_count"] == 0
+
+
+def test_source_rules(spark):
+    rules = cli.source_rules({"source_roots": [{"pattern": "^/srv/([a-z]+)/.*$", "replacement": "srv:\\1"}]}, ["^/opt/.*$=mine"])
+    df = spark.createDataFrame([("/srv/team/app",), ("/opt/x",), ("/other/y",)], "cwd string")
+    assert {r.cwd: r.root for r in discover.placed(df, rules).collect()} == {"/srv/team/app": "srv:team", "/opt/x": "mine", "/other/y": "other"}
     with pytest.raises(ValueError):
         cli.source_rules({}, [f"a{i}=b" for i in range(33)])
