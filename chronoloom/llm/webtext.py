@@ -15,6 +15,7 @@ space; repeated rows are judged alone; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
@@ -50,9 +51,12 @@ _ENDS = {
 #: Start tags of blocks that may stand in a paragraph's place end an open paragraph.
 _ENDS_P = _BLOCK_TAGS - {"button", "body", "head", "html", "legend", "caption", "td", "th", "tr", "option", "optgroup"}
 
-_TAG = re.compile(
-    r"""<(?:!--(?P<note>)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(?P<odd>[!?/])|(?P<loose>[a-zA-Z])[^>]*+>)"""
-)
+_SIGN = re.compile(r"<(?:(?P<note>!--)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*+)|(?P<odd>[!?/]))")
+#: The same where no ``>`` follows, so that no name can be a tag's.
+_LATE = re.compile(r"<(?:(?P<note>!--)|(?P<end>(?!))?(?P<name>(?!))|(?P<odd>[!?/]))")
+_PLAIN = re.compile(r"""[^>"']*+""")
+#: Attributes as they mostly are; it looks no farther than the next sign, so it costs little where it fails.
+_USUAL = re.compile(r"""[^>"'<]*+(?:"[^"<>]*+"[^>"'<]*+)*+>""")
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -103,13 +107,70 @@ def _marks(name: str, attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+class Tags:
+    """The tags of a page from left to right, each place read a bounded number of times.
+
+    A tag ends at the first ``>`` outside quotes. Where none follows, or a quote does not end,
+    it is loose and ends at the first ``>`` at all. A search that failed is kept: a later one
+    that starts where it stood outside quotes would go the same way. There are only as many
+    different ways as states (outside, and in either quote), so few searches reach far.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.failed: list[tuple[list[int], list[int], int]] = []  # starts and ends outside quotes, and where it gave up
+        self.unpaired: dict[str, int] = {}
+
+    def _hopeless(self, at: int) -> bool:
+        for starts, ends, stop in self.failed:
+            i = bisect_right(starts, at) - 1
+            if at < stop and i >= 0 and at <= ends[i]:
+                return True
+        return False
+
+    def end(self, at: int) -> int:
+        """Where the attributes that start here end, -1 if they do not."""
+        if (usual := _USUAL.match(self.page, at)) is not None:
+            return usual.end() - 1
+        if at > self.last or self._hopeless(at):
+            return -1
+        page, starts, ends = self.page, [], []
+        while True:
+            starts.append(at)
+            at = _PLAIN.match(page, at).end()
+            ends.append(at)
+            sign = page[at : at + 1]
+            if sign == ">":
+                return at
+            # No second quote of a kind after a place is none after a later place.
+            over = -1 if not sign or at >= self.unpaired.get(sign, len(page)) else page.find(sign, at + 1)
+            if over < 0:
+                if sign:
+                    self.unpaired[sign] = min(at, self.unpaired.get(sign, len(page)))
+                self.failed.append((starts, ends, at + 1))
+                return -1
+            at = over + 1
+
+    def next(self, at: int) -> tuple[re.Match, int, bool] | None:
+        """(sign, where the tag ends, whether it counts) of the next tag from a place on."""
+        m = _SIGN.search(self.page, at, self.last + 1) or _LATE.search(self.page, max(at, self.last + 1))
+        if m is None or m["name"] is None:
+            return None if m is None else (m, m.end(), True)
+        stop = self.end(m.end())
+        return (m, stop, True) if stop >= 0 else (m, self.page.find(">", m.end()), False)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The leaf blocks of a page, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, Path]] = []
-    open_: dict[str, int] = {}
+    open_: dict[str, list[int]] = {}  # places of the open elements of a name
     parts: list[str] = []
-    state = {"linked": 0, "links": 0, "path": Path(), "in_a": 0}
+    # Equal paths are one object, so an element deep in others of its kind costs no more than the first.
+    outer = Path()
+    paths: dict[Path, Path] = {outer: outer}
+    within: dict[tuple[int, str, str], Path] = {}
+    state = {"linked": 0, "links": 0, "path": outer, "in_a": 0}
 
     def flush() -> None:
         if parts:
@@ -126,34 +187,31 @@ def blocks(page: str | None) -> list[Block]:
         if not parts:
             if not text.strip():
                 return
-            state["path"] = stack[-1][1] if stack else Path()
+            state["path"] = stack[-1][1] if stack else outer
         parts.append(text)
         if state["in_a"]:
             state["linked"] += len(text.strip())
 
     def close(at: int) -> None:
-        for name, _ in stack[at:]:
+        for name, _ in reversed(stack[at:]):
             state["in_a"] -= name == "a"
-            open_[name] -= 1
+            open_[name].pop()
         del stack[at:]
 
+    def innermost(names) -> int:
+        return max((open_[n][-1] for n in names if open_.get(n)), default=-1)
+
     def last(names: str, barriers: tuple = ()) -> int:
         """Where the innermost open element of these names stands, -1 if none before a barrier."""
-        wanted = [n for n in names.split() if open_.get(n)]
-        if not wanted:
-            return -1
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in wanted:
-                return i
-            if stack[i][0] in barriers:
-                return -1
-        return -1
+        at = innermost(names.split())
+        return at if at >= innermost(barriers) else -1
 
     page, at = page or "", 0
-    lower = None
-    while (m := _TAG.search(page, at)) is not None:
+    lower, tags = None, Tags(page)
+    while (found := tags.next(at)) is not None:
+        m, stop, counts = found
         write(page[at : m.start()])
-        at = m.end()
+        at = stop + 1
         if m["note"] is not None:
             stop = page.find("-->", m.start() + 2)
             at = len(page) if stop < 0 else stop + 3
@@ -162,7 +220,7 @@ def blocks(page: str | None) -> list[Block]:
             stop = page.find(">", m.start())
             at = len(page) if stop < 0 else stop + 1
             continue
-        if m["loose"] is not None:
+        if not counts:
             continue
         name = m["name"].lower()
         if m["end"]:
@@ -172,7 +230,7 @@ def blocks(page: str | None) -> list[Block]:
             if (i := last(name, () if block else ("td", "th", "li", "div", "section", "article", "body"))) >= 0:
                 close(i)
             continue
-        attrs = m["attrs"]
+        attrs = page[m.end() : stop]
         if name in _SILENT_TAGS:
             if attrs.endswith("/") and name in ("svg", "math"):
                 continue
@@ -199,8 +257,12 @@ def blocks(page: str | None) -> list[Block]:
         if name == "a":
             state["links"] += 1
             state["in_a"] += 1
-        stack.append((name, (stack[-1][1] if stack else Path()).within(name, _marks(name, attrs))))
-        open_[name] = open_.get(name, 0) + 1
+        open_.setdefault(name, []).append(len(stack))
+        above = stack[-1][1] if stack else outer
+        if (path := within.get((id(above), name, attrs))) is None:
+            path = above.within(name, _marks(name, attrs))
+            path = within[id(above), name, attrs] = paths.setdefault(path, path)
+        stack.append((name, path))
     write(page[at:])
     flush()
     return out
@@ -253,17 +315,19 @@ class Model:
     def __init__(self, names: dict[str, int], field: crf.Crf):
         self.names, self.field = names, field
 
-    def content(self, page: str | None) -> list[str]:
-        found = blocks(page)
-        if not found:
-            return []
+    def emissions(self, found: list[Block]) -> np.ndarray:
+        """Scores of the blocks by state."""
         numbers, weights = self.names.get, self.field.weights
-        emissions = np.zeros((len(found), 2))
+        out = np.zeros((len(found), 2))
         for i, fs in enumerate(features(found)):
             ids = [n for n in map(numbers, fs) if n is not None]
             if ids:
-                emissions[i] = weights[ids].sum(axis=0)
-        return [b.text for b, y in zip(found, self.field.viterbi(emissions)) if y]
+                out[i] = weights[ids].sum(axis=0)
+        return out
+
+    def content(self, page: str | None) -> list[str]:
+        found = blocks(page)
+        return [b.text for b, y in zip(found, self.field.viterbi(self.emissions(found))) if y] if found else []
 
 
 def train(pages: list[tuple[str, list[str]]], least: int = 3) -> Model:

@@ -1,7 +1,11 @@
 """HTML extraction: labelled pages that were not learned from, and hand-written markup."""
 
+import itertools
+import random
+import re
 import time
 
+import numpy as np
 import pytest
 from chronoloom.llm import webpages, webtext
 from pyspark.sql import functions as F
@@ -60,3 +64,63 @@ def test_rows(spark, model):
     want = [(1, "u", n, "Title"), (1, "u", n, "Title"), (2, None, 0, ""), (None, "v", 0, ""), (3, "w", n + 5 * 60_000 - 5, "Title")]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert webtext.extract(pages.limit(0), model).count() == 0
+
+
+def test_decoding_is_the_best_of_all_labellings(model):
+    """Viterbi over real emissions of pages against every labelling."""
+    seen = 0
+    for html, _ in webpages.labelled_pages(40, seed=91):
+        found = webtext.blocks(html)[:11]
+        e, field = model.emissions(found), model.field
+        worth = lambda ys: field.starts[ys[0]] + sum(e[i][y] for i, y in enumerate(ys)) + sum(field.moves[a][b] for a, b in zip(ys, ys[1:]))  # noqa: B023, E731
+        if found:
+            path = field.viterbi(e)
+            assert np.isclose(worth(path), max(map(worth, itertools.product((0, 1), repeat=len(found)))))
+            seen += 0 < sum(path) < len(path)
+    assert seen > 10
+
+
+_WHOLE_TAG = re.compile(r"""<(?:(?P<note>!--)|/?(?P<name>[a-zA-Z][^\s/>]*+)(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|(?P<odd>[!?/])|(?P<loose>[a-zA-Z])[^>]*+>)""")
+
+
+def _plain_tags(page):
+    """(start, end, counts) of tags by one pattern that looks ahead without bounds."""
+    at, out = 0, []
+    while (m := _WHOLE_TAG.search(page, at)) is not None:
+        at = m.end()
+        if m["note"] or m["odd"]:
+            stop = page.find("-->" if m["note"] else ">", m.start() + (2 if m["note"] else 0))
+            at = len(page) if stop < 0 else stop + (3 if m["note"] else 1)
+        elif m["name"]:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def _tags(page):
+    at, out, tags = 0, [], webtext.Tags(page)
+    while (found := tags.next(at)) is not None:
+        m, stop, counts = found
+        at = stop + 1
+        if m["note"] or m["odd"]:
+            stop = page.find("-->" if m["note"] else ">", m.start() + (2 if m["note"] else 0))
+            at = len(page) if stop < 0 else stop + (3 if m["note"] else 1)
+        elif counts:
+            out.append((m.start(), stop + 1))
+    return out
+
+
+def test_tags_are_the_pattern():
+    rng = random.Random(3)
+    bits = ["<a ", "<p>", "</p>", "<div class=\"x\">", "\"", "'", ">", "<", "text", "<!--", "-->", "</", " ", "=", "/", "<!", "<?"]
+    for _ in range(20_000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 14)))
+        assert _tags(page) == _plain_tags(page), page
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a \"", "<p><td>", "<a \">x\" ", "<a '", "<b>", "<div>", "<a<", "<!--", "</"])
+def test_long_pages_take_time_in_proportion(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    webtext.blocks(page)
+    webtext.blocks(page[:500_000] + ">")
+    assert time.process_time() - began < 8  # the least machine; some 1 to 2 s where nothing else runs
