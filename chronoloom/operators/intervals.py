@@ -295,11 +295,11 @@ def signal_priority(kind: Column) -> Column:
     return F.when(kind.endswith("_prompt"), 3).when(kind == "commit", 2).otherwise(1)
 
 
-def one_per_instant(signals: DataFrame) -> DataFrame:
-    """The strongest signal of each instant; the one loaded first of equals."""
-    names = [c for c in signals.columns if c != "ts"]
+def one_per_instant(signals: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The strongest signal of each instant; the one loaded first of equals. ``by`` is a function of the instant."""
+    names = [c for c in signals.columns if c not in ("ts", *by)]
     best = F.min_by(F.struct(*names), F.struct((-signal_priority(F.col("kind"))).alias("p"), F.col("load").alias("l")))
-    return signals.groupBy("ts").agg(best.alias("s")).select("ts", *[F.col(f"s.{c}").alias(c) for c in names])
+    return signals.groupBy(*by, "ts").agg(best.alias("s")).select(*by, "ts", *[F.col(f"s.{c}").alias(c) for c in names])
 
 
 def work_blocks(signals: DataFrame, idle_us: int, unit: str = BUCKET) -> DataFrame:
@@ -307,9 +307,10 @@ def work_blocks(signals: DataFrame, idle_us: int, unit: str = BUCKET) -> DataFra
 
     A block ends where the next signal comes more than ``idle_us`` later. Instants are
     ordered within calendar buckets; a table of one row per bucket (its ends and the blocks
-    that open within it) links the buckets and carries the numbers on.
+    that open within it) links the buckets and carries the numbers on. The exchange by bucket
+    serves the choice of each instant's signal too.
     """
-    dealt = one_per_instant(signals).withColumn("__b", F.date_trunc(unit, "ts"))
+    dealt = one_per_instant(signals.withColumn("__b", F.date_trunc(unit, "ts")).repartition("__b"), ("__b",))
     order = Window.partitionBy("__b").orderBy("ts")
     near = dealt.withColumn("prev_ts", F.lag("ts").over(order)).withColumn("next_ts", F.lead("ts").over(order))
     opens = F.coalesce(us("ts") - us("prev_ts") > idle_us, F.lit(False))
