@@ -95,11 +95,8 @@ def presence_mask(label: Column) -> Column:
         .when(c.between("0", "9"), code(c) - 48 + _DIGITS)
         .otherwise(_REST + code(c) % (_BEYOND - _REST))
     )
-    held = F.array_distinct(F.split(F.lower(label), ""))
     one = F.lit(1).cast("long")
-    return F.aggregate(
-        F.filter(held, lambda c: c != ""), F.lit(0).cast("long"), lambda mask, c: mask.bitwiseOR(F.call_function("shiftleft", one, bit(c)))
-    )
+    return F.aggregate(F.split(F.lower(label), ""), F.lit(0).cast("long"), lambda mask, c: mask.bitwiseOR(F.call_function("shiftleft", one, bit(c))))
 
 
 def may_hold(mask: Column, needle: str) -> Column:

@@ -7,6 +7,7 @@ every exchange carries partial sums. Distinct counts are exact.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,6 +68,11 @@ class Activity:
         self._held.append(kept(df))
         return self._held[-1]
 
+    def prepared(self, *names: str) -> None:
+        """Compute relations that are kept side by side: none of them fills a cluster to its end."""
+        with ThreadPoolExecutor(max(len(names), 1)) as pool:
+            list(pool.map(lambda name: getattr(self, name), names))
+
     def release(self) -> None:
         for df in self._held:
             released(df)
@@ -82,6 +88,11 @@ class Activity:
     def seen(self) -> DataFrame:
         return self.sessions.join(extents(self.points, self.tables.exact, self.tables.human), KEY)
 
+    @cached_property
+    def known(self) -> DataFrame:
+        """``seen``, for what reads it several times."""
+        return self._keep(self.seen)
+
     @cached_property
     def intervals(self) -> DataFrame:
         raw = clipped(session_intervals(self.points, self.tables.exact, self.cap_us), self.since, self.until)
@@ -119,7 +130,8 @@ class Activity:
     def quiet(self) -> DataFrame:
         """Sessions first seen in the window that have no interval in it, with their first point's own model."""
         first = self.points.groupBy(*KEY).agg(F.min_by("model", "ord").alias("model"))
-        without = self._inside(self.seen, "first_seen").join(self.intervals.select(*KEY).distinct(), KEY, "left_anti")
+        seen = self.__dict__.get("known", self.seen)
+        without = self._inside(seen, "first_seen").join(self.intervals.select(*KEY).distinct(), KEY, "left_anti")
         return self._keep(without.join(first, KEY, "left").withColumn("model", F.coalesce("model", F.lit("unknown"))))
 
 
@@ -159,9 +171,9 @@ def zero_sessions(act: Activity) -> DataFrame:
 
 def eligible_sessions(act: Activity) -> DataFrame:
     """Sessions with an interval in the window, or first seen in it."""
-    inside = filters.in_window(act.seen, act.since, act.until, "first_seen").select(*KEY)
+    inside = filters.in_window(act.known, act.since, act.until, "first_seen").select(*KEY)
     keys = act.intervals.select(*KEY).union(inside).distinct()
-    return act.seen.join(keys, KEY, "left_semi")
+    return act.known.join(keys, KEY, "left_semi")
 
 
 def _count(*cols: str) -> Column:
@@ -222,6 +234,12 @@ def _parts(act: Activity, dims, wanted: tuple[str, ...] = PARTS) -> list[DataFra
     keys = [f"d_{d}" for d in dims]
     reads = lambda *of: not {*of}.isdisjoint(wanted)
     range_of = lambda a, b: [F.min(a).alias("first_seen"), F.max(b).alias("last_seen")]
+    needs = {
+        "intervals": ("intervals", "wall", "zero", "days", "names"), "all_commits": ("commits", "agents", "days", "files", "signals", "human"),
+        "signals": ("signals", "human"), "quiet": ("zero", "days", "names"),
+    }
+    for level in (("intervals", "all_commits"), ("signals", "quiet")):
+        act.prepared(*[name for name in level if reads(*needs[name])])
     sub, out, days = F.col("is_subagent"), [], []
     if reads("intervals", "zero", "days", "names"):
         by_day = _session_days(act, dims, keys, wanted)
@@ -331,6 +349,8 @@ def ranked_report(report: DataFrame, dims: tuple[str, ...], top: int = 30) -> Da
 def summary(act: Activity) -> DataFrame:
     """The same metrics over everything, in one row. Active days leave token days out here."""
     sub = F.col("is_subagent")
+    act.prepared("intervals", "all_commits", "known")
+    act.prepared("signals", "quiet")
     eligible = eligible_sessions(act)
     foreground = eligible.where(~sub)
     kind, agent = F.col("kind"), F.col("agent_authored")
