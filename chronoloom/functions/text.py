@@ -50,13 +50,12 @@ def hours(seconds: Column) -> Column:
     )
 
 
-def compact_count(n: Column) -> Column:
-    """1234 as 1.2k, then M and B."""
+def compact_count(n: Column, most: str = "B") -> Column:
+    """1234 as 1.2k, then M and B; with ``most`` M millions go on without end."""
     x = n.cast("double")
     one = lambda by, sign: F.format_string(f"%.1f{sign}", F.rint(x / by * 10) / 10)
-    return (
-        F.when(x < 1e3, F.format_string("%.0f", x)).when(x < 1e6, one(1e3, "k")).when(x < 1e9, one(1e6, "M")).otherwise(one(1e9, "B"))
-    )
+    shown = F.when(x < 1e3, F.format_string("%.0f", x)).when(x < 1e6, one(1e3, "k"))
+    return shown.otherwise(one(1e6, "M")) if most == "M" else shown.when(x < 1e9, one(1e6, "M")).otherwise(one(1e9, "B"))
 
 
 def separated(n: Column) -> Column:

@@ -78,7 +78,7 @@ query("FN25_neutral_cells", f"SELECT o_orderkey, {_sql_pick([chr(39) + c if c in
 query("FN26_hours", "SELECT o_orderkey, (CAST(round(o_totalprice) AS BIGINT) // 3600) || 'h ' || lpad(CAST(CAST(round(o_totalprice) AS BIGINT) % 3600 // 60 AS VARCHAR), 2, '0') || 'm' AS shown FROM orders")(
     _select("orders", lambda: dict(o_orderkey=F.col("o_orderkey"), shown=text.hours(F.col("o_totalprice")))))
 query("FN26_compact", "SELECT o_orderkey, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN format('{:.1f}k', round_even(n / 1000.0::DOUBLE * 10, 0) / 10) ELSE format('{:.1f}M', round_even(n / 1000000.0::DOUBLE * 10, 0) / 10) END AS shown FROM (SELECT o_orderkey, o_orderkey * o_orderkey // 7 AS n FROM orders)")(
-    _select("orders", lambda: dict(o_orderkey=F.col("o_orderkey"), shown=text.compact_count(F.expr("o_orderkey * o_orderkey div 7")))))
+    _select("orders", lambda: dict(o_orderkey=F.col("o_orderkey"), shown=text.compact_count(F.expr("o_orderkey * o_orderkey div 7"), "M"))))
 query("FN26_separated", "SELECT o_orderkey, format('{:,}', o_orderkey * 7919) || CASE WHEN o_orderkey * 7919 = 1 THEN ' commit' ELSE ' commits' END AS shown FROM orders")(
     _select("orders", lambda: dict(o_orderkey=F.col("o_orderkey"), shown=text.counted(F.col("o_orderkey") * 7919, "commit", "commits"))))
 query("FN26_percent", "SELECT l_orderkey, l_linenumber, CASE WHEN x > 0 AND x < 0.005 THEN '<1%' ELSE CAST(CAST(round_even(x * 100, 0) AS BIGINT) AS VARCHAR) || '%' END AS shown FROM (SELECT l_orderkey, l_linenumber, l_discount / 3 AS x FROM lineitem)")(

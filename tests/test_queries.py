@@ -74,3 +74,12 @@ def test_explorer_sort_gathers_no_list(spark, sql):
     df = QUERIES["ORD03_explorer_sort"](spark, SF)
     assert "collect_list" not in df._jdf.queryExecution().toString()
     assert sorted(tuple(r) for r in df.collect()) == sorted(sql.execute(ORACLES["ORD03_explorer_sort"]).fetchall())
+
+
+def test_compact_counts_beyond_a_billion(spark, sql, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT CAST(unnest([0, 83, 2645, 83667, 149999, 8999999]) AS BIGINT) AS o_orderkey) TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["FN26_compact"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(ORACLES["FN26_compact"]).fetchall())
+    assert dict(got)[149999] == "3214.2M"
