@@ -63,19 +63,25 @@ def categories(commits: DataFrame, files: DataFrame, repo: str = "", period: str
     return _net(rows.where(touched > 0).withColumn("share", round3(touched / total)))
 
 
-def summaries(files: DataFrame, registry: tuple[Category, ...] = BUILTIN) -> DataFrame:
-    """(sha, summary): number of files and the three commonest categories, ties in registry order."""
+def summaries(files: DataFrame, registry: tuple[Category, ...] = BUILTIN, category: str | None = None) -> DataFrame:
+    """(sha, summary): number of files and the three commonest categories, ties in registry order.
+
+    ``touched`` is the changed lines in ``category``. They come out of the same sums: Spark would move a
+    filter on a category to the rows and there work out a path's rules once for each of their uses.
+    """
     order = F.create_map(*[x for i, c in enumerate(registry) for x in (F.lit(c.name), F.lit(i))])
-    n = _counted(files).groupBy("sha", "category").agg(F.count("*").alias("n"))
+    lines = [F.sum(F.when(F.col("category") == category, F.col("additions") + F.col("deletions"))).alias("t")] if category else []
+    n = _counted(files).groupBy("sha", "category").agg(F.count("*").alias("n"), *lines)
     entry = F.struct((-F.col("n")).alias("n"), F.element_at(order, F.col("category")).alias("i"), "category")
-    best = n.groupBy("sha").agg(F.sum("n").alias("files"), F.sort_array(F.collect_list(entry)).alias("top"))
+    touched = [F.coalesce(F.sum("t"), F.lit(0)).alias("touched")] if category else []
+    best = n.groupBy("sha").agg(F.sum("n").alias("files"), F.sort_array(F.collect_list(entry)).alias("top"), *touched)
     names = F.array_join(F.transform(F.slice("top", 1, 3), lambda t: t["category"]), ", ")
     head = F.when(F.col("files") == 1, "1 file · ").otherwise(F.concat(F.col("files").cast("string"), F.lit(" files · ")))
-    return best.select("sha", F.concat(head, names).alias("summary"), F.col("files").alias("file_count"))
+    return best.select("sha", F.concat(head, names).alias("summary"), F.col("files").alias("file_count"), *(["touched"] if category else []))
 
 
-def described(commits: DataFrame, files: DataFrame) -> DataFrame:
-    told = commits.drop("file_count").join(summaries(files), "sha", "left")
+def described(commits: DataFrame, files: DataFrame, category: str | None = None) -> DataFrame:
+    told = commits.drop("file_count").join(summaries(files, category=category), "sha", "left")
     return told.withColumns(
         {"summary": F.coalesce("summary", F.lit("no counted files")), "file_count": F.coalesce("file_count", F.lit(0)), "short_sha": F.substring("sha", 1, 9)}
     )
@@ -83,9 +89,8 @@ def described(commits: DataFrame, files: DataFrame) -> DataFrame:
 
 def commits_touching(commits: DataFrame, files: DataFrame, category: str, repo: str = "", period: str = "", grain: str = "month") -> DataFrame:
     """Commits with changed lines in a category, with whole-commit counts."""
-    lines = category_lines(files).where((F.col("category") == category) & (F.col("additions") + F.col("deletions") > 0))
-    inside = scope(commits, repo, period, grain).join(lines.select("sha"), "sha", "left_semi")
-    return described(inside, files).select("sha", "ts", "short_sha", "summary", "file_count", "additions", "deletions")
+    told = described(scope(commits, repo, period, grain), files, category).where("touched > 0")
+    return told.select("sha", "ts", "short_sha", "summary", "file_count", "additions", "deletions")
 
 
 def files_of(files: DataFrame, sha: str) -> DataFrame:

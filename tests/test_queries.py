@@ -83,3 +83,10 @@ def test_compact_counts_beyond_a_billion(spark, sql, tmp_path):
     got = sorted(tuple(r) for r in QUERIES["FN26_compact"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(ORACLES["FN26_compact"]).fetchall())
     assert dict(got)[149999] == "3214.2M"
+
+
+def test_commits_of_category_work_out_rules_once(spark, sql):
+    df = QUERIES["EXP04_commits_of_category"](spark, SF)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 20
+    order = [c[0] for c in sql.execute(ORACLES["EXP04_commits_of_category"]).description]
+    assert sorted(tuple(r) for r in df.select(*order).collect()) == sorted(sql.execute(ORACLES["EXP04_commits_of_category"]).fetchall())
