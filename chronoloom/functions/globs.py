@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,31 +62,49 @@ def any_glob(globs: list[str] | tuple[str, ...]) -> str:
 _PLAIN = r"[^*?\[\]{}\\]+"
 
 
-def path_globs(globs: list[str] | tuple[str, ...]) -> str:
-    """For repository paths: a glob also holds with a slash before it, and ``*/x`` at the root.
-
-    Globs of the common forms are gathered, so that a path is scanned once for each form
-    and not once for each glob.
-    """
+def _forms(globs: list[str] | tuple[str, ...]) -> tuple[list[str], list[str], list[str], list[str]]:
+    """Plain texts of the common forms (folders, ends, whole paths) and all other globs."""
     folders, ends, names, rest = [], [], [], []
     for g in globs:
         if m := re.fullmatch(rf"\*/({_PLAIN})/\*", g):
-            folders.append(re.escape(m[1]))
+            folders.append(m[1])
         elif m := re.fullmatch(rf"\*({_PLAIN})", g):
-            ends.append(re.escape(m[1]))
+            ends.append(m[1])
             rest += [g[2:]] if g.startswith("*/") else []
         elif re.fullmatch(_PLAIN, g) and not g.startswith("/"):
-            names.append(re.escape(g))
+            names.append(g)
         else:
             rest += [g] + ([] if g.startswith("/") else [f"/{g}"]) + ([g[2:]] if g.startswith("*/") else [])
+    return folders, ends, names, rest
+
+
+def path_globs(globs: list[str] | tuple[str, ...]) -> str:
+    """For repository paths: a glob also holds with a slash before it, and ``*/x`` at the root.
+
+    Globs of the common forms are gathered, so that a path is scanned once for each form
+    and not once for each glob.
+    """
+    *plain, rest = _forms(globs)
+    folders, ends, names = ([re.escape(x) for x in xs] for xs in plain)
     forms = [f"(?:.*/)?(?:{'|'.join(folders)})/.*"] if folders else []
     forms += [f".*(?:{'|'.join(ends)})"] if ends else []
     forms += [f"/?(?:{'|'.join(names)})"] if names else []
     return f"(?s)^(?:{'|'.join([*forms, *map(glob_regex, rest)])})$"
 
 
+#: Plain globs beyond this number are one regular expression: generated code must stay small to be compiled.
+MOST_PLAIN = 64
+
+
 def matches(path: Column, globs: list[str] | tuple[str, ...]) -> Column:
-    return path.rlike(path_globs(globs)) if globs else F.lit(False)
+    """Whether ``path_globs`` holds; the common forms are compared as bytes, without a regular expression."""
+    if not globs or len(globs) > MOST_PLAIN:
+        return path.rlike(path_globs(globs)) if globs else F.lit(False)
+    folders, ends, names, rest = _forms(globs)
+    hits = [path.contains(f"/{x}/") | path.startswith(f"{x}/") for x in folders] + [path.endswith(x) for x in ends]
+    hits += [path.isin([*names, *(f"/{x}" for x in names)])] if names else []
+    hits += [path.rlike(f"(?s)^(?:{'|'.join(map(glob_regex, rest))})$")] if rest else []
+    return reduce(lambda a, b: a | b, hits)
 
 
 def is_ignored(path: Column, more: list[str] | tuple[str, ...] = ()) -> Column:

@@ -37,7 +37,8 @@ def _told(points: DataFrame, unit: str) -> DataFrame:
     that never ends is as many tasks as it has days.
     """
     known = F.when(F.col("model") != UNKNOWN, F.col("model"))
-    dealt = points.withColumn("__b", F.date_trunc(unit, "ts"))
+    # One exchange serves the order within chunks and what they hand on.
+    dealt = points.withColumn("__b", F.date_trunc(unit, "ts")).repartition(*KEY, "__b")
     order = Window.partitionBy(*KEY, "__b").orderBy("ts", "ord")
     near = dealt.withColumns(
         {
@@ -244,20 +245,40 @@ def file_range(points: DataFrame, exact: DataFrame, human: DataFrame, tokens: Da
     return all_.groupBy(*KEY).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-def session_edges(sessions: DataFrame, points: DataFrame, exact: DataFrame, human: DataFrame) -> DataFrame:
-    """First and, if another instant, last moment of each foreground session, as signals."""
+def _end_models() -> list[Column]:
     least = F.struct(us("ts").alias("t"), F.col("rank").alias("r"))
     latest = F.struct((-us("ts")).alias("t"), F.col("rank").alias("r"))
+    return [F.min_by("model", least).alias("first_model"), F.min_by("model", latest).alias("last_model")]
+
+
+def session_ends(points: DataFrame, exact: DataFrame, human: DataFrame) -> DataFrame:
+    """Every session's extent, the models at its ends and ``own_model``, that of its first point in the order of points.
+
+    Moments are dealt by session before they are summed up: most sessions have few of them in a task.
+    """
+    of_point = F.col("rank.k") == 0
+    dealt = moments(points, exact, human).repartition(*KEY)
+    return dealt.groupBy(*KEY).agg(
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), *_end_models(),
+        F.min_by(F.when(of_point, F.col("model")), F.when(of_point, F.col("rank.o"))).alias("own_model"),
+    )
+
+
+def session_edges(sessions: DataFrame, points: DataFrame, exact: DataFrame, human: DataFrame) -> DataFrame:
+    """First and, if another instant, last moment of each foreground session, as signals."""
     foreground = sessions.where(~F.col("is_subagent"))
     ends = (
         moments(points, exact, human)
         .join(foreground.select(*KEY), KEY, "left_semi")
         .groupBy(*KEY)
-        .agg(
-            F.min("ts").alias("first"), F.min_by("model", least).alias("first_model"),
-            F.max("ts").alias("last"), F.min_by("model", latest).alias("last_model"),
-        )
-    )
+        .agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), *_end_models())
+    )
+    return edges_of(ends)
+
+
+def edges_of(ends: DataFrame) -> DataFrame:
+    """The edges of sessions whose extents and models are known."""
+    ends = ends.withColumnsRenamed({"first_seen": "first", "last_seen": "last"})
     edge = lambda place, ts, model: F.struct(F.lit(place).alias("place"), F.col(ts).alias("ts"), F.col(model).alias("model"))
     both = F.when(F.col("first") == F.col("last"), F.array(edge(0, "first", "first_model"))).otherwise(
         F.array(edge(0, "first", "first_model"), edge(1, "last", "last_model"))
@@ -269,23 +290,34 @@ def session_edges(sessions: DataFrame, points: DataFrame, exact: DataFrame, huma
 SIGNAL = ["ts", *KEY, "cwd", "repo", "root", "kind", "model", "load"]
 
 
-def human_signals(sessions: DataFrame, points: DataFrame, exact: DataFrame, human: DataFrame, commits: DataFrame) -> DataFrame:
-    """Prompts and edges of foreground sessions, and human commits.
+def _load(late: int, *cols: str | Column) -> Column:
+    return F.struct(F.lit(late).alias("late"), *[F.col(c) if isinstance(c, str) else c for c in cols]).alias("load")
 
-    ``load`` orders signals as they are loaded: by session, its prompts, its edges, then commits.
-    """
+
+def session_signals(sessions: DataFrame, human: DataFrame, edges: DataFrame) -> DataFrame:
+    """Prompts and edges of foreground sessions."""
     where = sessions.where(~F.col("is_subagent")).select(*KEY, "cwd", "repo", "root")
     prompts = human.select(*KEY, "ts", "model", F.concat("provider", F.lit("_prompt")).alias("kind"), "ord", F.lit(0).alias("part"))
-    edges = session_edges(sessions, points, exact, human).withColumn("part", F.lit(1))
+    edges = edges.withColumn("part", F.lit(1))
     spoken = prompts.unionByName(edges.select(prompts.columns)).join(where, KEY)
-    load = lambda late, *cols: F.struct(F.lit(late).alias("late"), *[F.col(c) if isinstance(c, str) else c for c in cols]).alias("load")
-    of_sessions = spoken.select("ts", *KEY, "cwd", "repo", "root", "kind", "model", load(0, *KEY, "part", "ord"))
-    of_commits = commits.where(~F.col("agent_authored")).select(
+    return spoken.select("ts", *KEY, "cwd", "repo", "root", "kind", "model", _load(0, *KEY, "part", "ord"))
+
+
+def commit_signals(commits: DataFrame) -> DataFrame:
+    """Human commits; a projection of them, which needs no keeping where they are kept."""
+    return commits.where(~F.col("agent_authored")).select(
         "ts", F.lit("git").alias("provider"), F.col("sha").alias("session_id"), "cwd", "repo", "root",
         F.lit("commit").alias("kind"), F.lit("—").alias("model"),
-        load(1, F.lit("git").alias("provider"), F.col("sha").alias("session_id"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord")),
+        _load(1, F.lit("git").alias("provider"), F.col("sha").alias("session_id"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("ord")),
     )
-    return of_sessions.unionByName(of_commits)
+
+
+def human_signals(sessions: DataFrame, points: DataFrame, exact: DataFrame, human: DataFrame, commits: DataFrame) -> DataFrame:
+    """Prompts and edges of foreground sessions, and human commits.
+
+    ``load`` orders signals as they are loaded: by session, its prompts, its edges, then commits.
+    """
+    return session_signals(sessions, human, session_edges(sessions, points, exact, human)).unionByName(commit_signals(commits))
 
 
 # Work blocks.

@@ -21,10 +21,14 @@ from .intervals import (
     KEY,
     calendar_split,
     clipped,
+    commit_signals,
+    edges_of,
     extents,
     human_intervals,
-    human_signals,
+    one_per_instant,
+    session_ends,
     session_intervals,
+    session_signals,
     sum_micros,
     union_micros,
     us,
@@ -53,9 +57,9 @@ def one_row_per_commit(commits: DataFrame) -> DataFrame:
 class Activity:
     """A report's relations after window and filters, each planned when it is first asked for.
 
-    Intervals, commits, signals and quiet sessions are read by several exchanges each and so
-    computed once and kept; all others stay plans. Signals are cut to the window before blocks
-    are built. ``release`` frees what is kept.
+    Sessions with their ends, intervals, commits, sessions' signals and quiet sessions are read by several exchanges each and so
+    computed once and kept; all others stay plans, commits' signals too, which are a projection.
+    Signals are cut to the window before blocks are built. ``release`` frees what is kept.
     """
 
     def __init__(self, tables, cap_us: int, idle_us: int, credit_us: int, since: Column | None = None, until: Column | None = None):
@@ -84,19 +88,29 @@ class Activity:
     def sessions(self) -> DataFrame:
         return self.tables.sessions.select(*KEY, "cwd", "repo", "root", "is_subagent")
 
+    @property
+    def _of_sessions(self) -> DataFrame:
+        """The sessions from where they are kept, if they are."""
+        return self.placed.select(self.sessions.columns) if "placed" in self.__dict__ else self.sessions
+
     @cached_property
     def seen(self) -> DataFrame:
         return self.sessions.join(extents(self.points, self.tables.exact, self.tables.human), KEY)
 
+    @cached_property
+    def placed(self) -> DataFrame:
+        """Sessions with what their moments say, those without any too."""
+        return self._keep(self.sessions.join(session_ends(self.points, self.tables.exact, self.tables.human), KEY, "left"))
+
     @cached_property
     def known(self) -> DataFrame:
         """``seen``, for what reads it several times."""
-        return self._keep(self.seen)
+        return self.placed.where("first_seen IS NOT NULL").drop("first_model", "last_model", "own_model")
 
     @cached_property
     def intervals(self) -> DataFrame:
         raw = clipped(session_intervals(self.points, self.tables.exact, self.cap_us), self.since, self.until)
-        return self._keep(joins.with_role(raw, self.sessions))
+        return self._keep(joins.with_role(raw, self._of_sessions))
 
     @cached_property
     def all_commits(self) -> DataFrame:
@@ -114,25 +128,32 @@ class Activity:
     def files(self) -> DataFrame:
         return self.tables.files.join(self.commits.select("sha", "ts", "repo", "cwd", "root"), "sha")
 
+    @cached_property
+    def spoken(self) -> DataFrame:
+        # Of sessions that share a key each has its place, but the key has one pair of edges.
+        edges = edges_of(self.placed.where("NOT is_subagent AND first_seen IS NOT NULL").dropDuplicates(KEY))
+        return self._keep(self._inside(session_signals(self.placed, self.tables.human, edges)))
+
     @cached_property
     def signals(self) -> DataFrame:
-        return self._keep(self._inside(human_signals(self.sessions, self.points, self.tables.exact, self.tables.human, self.commits)))
+        return self.spoken.unionByName(commit_signals(self.commits))
 
     @cached_property
     def human(self) -> DataFrame:
-        return clipped(human_intervals(self.signals, self.idle_us, self.credit_us), self.since, self.until)
+        # Of commits at one instant one alone can be its signal; it is chosen before any of them moves.
+        signals = self.spoken.unionByName(one_per_instant(commit_signals(self.commits)).select(self.spoken.columns))
+        return clipped(human_intervals(signals, self.idle_us, self.credit_us), self.since, self.until)
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return self._inside(joins.token_records(self.tables.tokens, self.sessions))
+        return self._inside(joins.token_records(self.tables.tokens, self._of_sessions))
 
     @cached_property
     def quiet(self) -> DataFrame:
         """Sessions first seen in the window that have no interval in it, with their first point's own model."""
-        first = self.points.groupBy(*KEY).agg(F.min_by("model", "ord").alias("model"))
-        seen = self.__dict__.get("known", self.seen)
-        without = self._inside(seen, "first_seen").join(self.intervals.select(*KEY).distinct(), KEY, "left_anti")
-        return self._keep(without.join(first, KEY, "left").withColumn("model", F.coalesce("model", F.lit("unknown"))))
+        seen = self._inside(self.placed.where("first_seen IS NOT NULL"), "first_seen")
+        without = seen.join(self.intervals.select(*KEY).distinct(), KEY, "left_anti")
+        return self._keep(without.withColumn("model", F.coalesce("own_model", F.lit("unknown"))).drop("first_model", "last_model", "own_model"))
 
 
 def activity(
@@ -236,9 +257,9 @@ def _parts(act: Activity, dims, wanted: tuple[str, ...] = PARTS) -> list[DataFra
     range_of = lambda a, b: [F.min(a).alias("first_seen"), F.max(b).alias("last_seen")]
     needs = {
         "intervals": ("intervals", "wall", "zero", "days", "names"), "all_commits": ("commits", "agents", "days", "files", "signals", "human"),
-        "signals": ("signals", "human"), "quiet": ("zero", "days", "names"),
+        "spoken": ("signals", "human"), "quiet": ("zero", "days", "names"), "placed": ("signals", "human", "zero", "days", "names"),
     }
-    for level in (("intervals", "all_commits"), ("signals", "quiet")):
+    for level in (("placed", "all_commits"), ("intervals", "spoken"), ("quiet",)):
         act.prepared(*[name for name in level if reads(*needs[name])])
     sub, out, days = F.col("is_subagent"), [], []
     if reads("intervals", "zero", "days", "names"):
@@ -262,9 +283,11 @@ def _parts(act: Activity, dims, wanted: tuple[str, ...] = PARTS) -> list[DataFra
         human = keyed_intervals(act.human, dims)
         out.append(human.groupBy(*keys).agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), *range_of("start", "end")))
     if "signals" in wanted:
-        # Distinct signals by day first, so that no aggregate has several distinct counts.
-        by_day = keyed_moments(act.signals, dims).groupBy(*keys, local_day(F.col("ts")).alias("__day")).agg(_count("ts", "kind", "session_id").alias("n"))
-        out.append(by_day.groupBy(*keys).agg(F.sum("n").alias("human_signal_count"), F.count("*").alias("human_active_days")))
+        # Distinct signals by day first, so that no aggregate has several distinct counts. Commits have one row each.
+        at = [*keys, local_day(F.col("ts")).alias("__day")]
+        spoken = keyed_moments(act.spoken, dims).groupBy(*at).agg(_count("ts", "kind", "session_id").alias("n"))
+        told = keyed_moments(commit_signals(act.commits), dims).groupBy(*at).agg(F.count("*").alias("n"))
+        out.append(spoken.unionByName(told).groupBy(*keys).agg(F.sum("n").alias("human_signal_count"), F.count_distinct("__day").alias("human_active_days")))
     if reads("commits", "agents", "days"):
         agent = F.col("agent_authored")
         both = keyed_commits(act.all_commits, dims).withColumn("__day", local_day(F.col("ts")))
@@ -346,52 +369,81 @@ def ranked_report(report: DataFrame, dims: tuple[str, ...], top: int = 30) -> Da
     return ordered.limit(top) if top else ordered
 
 
-def summary(act: Activity) -> DataFrame:
-    """The same metrics over everything, in one row. Active days leave token days out here."""
-    sub = F.col("is_subagent")
-    act.prepared("intervals", "all_commits", "known")
-    act.prepared("signals", "quiet")
-    eligible = eligible_sessions(act)
-    foreground = eligible.where(~sub)
+_SUMMED = [
+    "active_us", "wall_us", "human_us", "work_block_count", "human_signal_count", "prompt_signal_count", "foreground_session_edge_signal_count",
+    "commit_signal_count", "human_active_days", "session_count", "foreground_session_count", "subagent_session_count",
+    "foreground_sessions_with_commits", "commit_count", *_LINES, "ai_assisted_commit_count", "autofix_assisted_commit_count",
+    "agent_commit_count", "agent_additions", "agent_deletions", *TOKENS, "active_days",
+]
+#: Parts of a summary; as in a report, relations are read only where they are asked for.
+SUMMARY = ("active", "wall", "human", "signals", "sessions", "output", "commits", "tokens", "days")
+
+
+def summary(act: Activity, wanted: tuple[str, ...] = SUMMARY) -> DataFrame:
+    """The same metrics over everything, in one row. Active days leave token days out here.
+
+    With some parts only, metrics of the others are 0 and the first and last instants are of those parts.
+    """
+    sub, reads = F.col("is_subagent"), lambda *of: not {*of}.isdisjoint(wanted)
+    needs = {
+        "intervals": ("active", "wall", "sessions", "output", "days"), "all_commits": ("human", "signals", "output", "commits", "days"),
+        "placed": ("human", "signals", "sessions", "output", "days"), "spoken": ("human", "signals"), "quiet": ("days",),
+    }
+    for level in (("placed", "all_commits"), ("intervals", "spoken"), ("quiet",)):
+        act.prepared(*[name for name in level if reads(*needs[name])])
     kind, agent = F.col("kind"), F.col("agent_authored")
-    by_day = act.intervals.transform(calendar_split, "day", "day").groupBy("day").agg(
-        sum_micros().alias("us"), F.min("start").alias("a"), F.max("end").alias("b")
-    )
-    commits = act.all_commits.groupBy("agent_authored", local_day(F.col("ts")).alias("day")).agg(
-        *_commit_sums(~agent, agent), F.min("ts").alias("a"), F.max("ts").alias("b")
-    )
-    signals = act.signals.groupBy(local_day(F.col("ts")).alias("day"), "kind").agg(
-        _count("ts", "session_id").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b")
-    )
-    quiet = zero_sessions(act).select(local_day(F.col("first_seen")).alias("day")).distinct()
-    days = reduce(DataFrame.union, [by_day.select("day"), quiet, commits.select("day")])
     ends = lambda what=None: [F.min("a" if what is None else F.when(what, F.col("a"))).alias("first"), F.max("b" if what is None else F.when(what, F.col("b"))).alias("last")]
-    parts = [
-        by_day.agg(F.coalesce(F.sum("us"), F.lit(0)).cast("long").alias("active_us"), *ends()),
-        union_micros(act.intervals).withColumnRenamed("union_us", "wall_us"),
-        act.human.agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), F.min("start").alias("first"), F.max("end").alias("last")),
-        signals.agg(
+    parts, days = [], []
+    if reads("active", "days"):
+        by_day = act.intervals.transform(calendar_split, "day", "day").groupBy("day").agg(sum_micros().alias("us"), F.min("start").alias("a"), F.max("end").alias("b"))
+        days.append(by_day.select("day"))
+        if "active" in wanted:
+            parts.append(by_day.agg(F.coalesce(F.sum("us"), F.lit(0)).cast("long").alias("active_us"), *ends()))
+    if "wall" in wanted:
+        parts.append(union_micros(act.intervals).withColumnRenamed("union_us", "wall_us"))
+    if "human" in wanted:
+        parts.append(act.human.agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), F.min("start").alias("first"), F.max("end").alias("last")))
+    if "signals" in wanted:
+        at = [local_day(F.col("ts")).alias("day"), "kind"]
+        range_of = [F.min("ts").alias("a"), F.max("ts").alias("b")]
+        spoken = act.spoken.groupBy(*at).agg(_count("ts", "session_id").alias("n"), *range_of)
+        signals = spoken.unionByName(commit_signals(act.commits).groupBy(*at).agg(F.count("*").alias("n"), *range_of))
+        parts.append(signals.agg(
             F.sum("n").alias("human_signal_count"),
             F.sum(F.when(kind.endswith("_prompt"), F.col("n"))).alias("prompt_signal_count"),
             F.sum(F.when(kind.endswith("_session_edge"), F.col("n"))).alias("foreground_session_edge_signal_count"),
             F.sum(F.when(kind == "commit", F.col("n"))).alias("commit_signal_count"),
             F.count_distinct("day").alias("human_active_days"),
             *ends(),
-        ),
-        eligible.select(*KEY, "is_subagent").distinct().agg(
+        ))
+    if "sessions" in wanted:
+        parts.append(eligible_sessions(act).select(*KEY, "is_subagent").distinct().agg(
             F.count_distinct(F.struct(*KEY)).alias("session_count"), F.count_if(~sub).alias("foreground_session_count"), F.count_if(sub).alias("subagent_session_count")
-        ),
-        joins.with_output(foreground, act.commits, act.idle_us).agg(_count(*KEY).alias("foreground_sessions_with_commits")),
-        joins.comparable(foreground, act.commits).agg(_count(*KEY).alias("comparable")),
-        # Commits of one's own are seen through their signals; agents' are not.
-        commits.agg(*[F.coalesce(F.sum(c.name), F.lit(0)).cast("long").alias(c.name) for c in commits.schema.fields if c.name in _NUMBERS], *ends(agent)),
-        act.tokens.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOKENS]),
-        days.agg(F.count_distinct("day").alias("active_days")),
-    ]
+        ))
+    if "output" in wanted:
+        foreground = eligible_sessions(act).where(~sub)
+        parts.append(joins.with_output(foreground, act.commits, act.idle_us).agg(_count(*KEY).alias("foreground_sessions_with_commits")))
+        parts.append(joins.comparable(foreground, act.commits).agg(_count(*KEY).alias("comparable")))
+    if reads("commits", "days"):
+        commits = act.all_commits.groupBy("agent_authored", local_day(F.col("ts")).alias("day")).agg(
+            *_commit_sums(~agent, agent), F.min("ts").alias("a"), F.max("ts").alias("b")
+        )
+        days.append(commits.select("day"))
+        if "commits" in wanted:
+            # Commits of one's own are seen through their signals; agents' are not.
+            sums = [c.name for c in commits.schema.fields if c.name in _NUMBERS]
+            parts.append(commits.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums], *ends(agent)))
+    if "tokens" in wanted:
+        parts.append(act.tokens.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOKENS]))
+    if "days" in wanted:
+        days.append(zero_sessions(act).select(local_day(F.col("first_seen")).alias("day")).distinct())
+        parts.append(reduce(DataFrame.union, days).agg(F.count_distinct("day").alias("active_days")))
     # Every part is one row; they are laid side by side through one union and one aggregate.
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    absent = [c for c in (*_SUMMED, "comparable", "first", "last") if c not in whole.columns]
+    whole = whole.withColumns({c: F.lit(None).cast("timestamp" if c in ("first", "last") else "long") for c in absent}) if absent else whole
     n = whole.agg(*[(F.min if c == "first" else F.max)(c).alias(c) for c in whole.columns])
-    plain = [c for c in whole.columns if not c.endswith("_us") and c not in ("comparable", "first", "last")]
+    plain = [c for c in _SUMMED if not c.endswith("_us")]
     return n.select(
         seconds(F.coalesce("active_us", F.lit(0))).alias("parallel_agent_seconds"),
         seconds(F.coalesce("wall_us", F.lit(0))).alias("agent_wall_seconds"),

@@ -54,7 +54,7 @@ query("EXP09_search_targets", oracle(_TARGETS))(_at(lambda c, f: explore.search_
 query("EXP10_dominant_category", oracle("SELECT sha, CASE WHEN sum(n) > 0 THEN arg_max(category, row(n, list_position(['test', 'docs', 'config', 'assets', 'source', 'other'], category))) ELSE 'other' END AS category FROM (SELECT sha, category, sum(additions + deletions) AS n FROM cf WHERE NOT is_ignored GROUP BY sha, category) GROUP BY sha"))(
     lambda spark, d: explore.dominant_category(bindings.commit_files(spark, d)))
 query("EXP13_headline", oracle(f"SELECT (SELECT count(DISTINCT sha) FROM mine) AS commits, (SELECT count(*) FROM sess) AS sessions, (SELECT CAST(sum(additions) AS BIGINT) FROM mine) AS additions, (SELECT {sec('sum(epoch_us(e) - epoch_us(s))')} FROM hiv) AS human_seconds, (SELECT {sec('sum(epoch_us(e) - epoch_us(s))')} FROM ivs) AS ai_seconds"))(
-    lambda spark, d: report.summary(report.activity(bindings.tables(spark, d), CAP, IDLE, CREDIT)).select(F.col("commit_count").alias("commits"), F.col("session_count").alias("sessions"), "additions", F.col("human_estimated_seconds").alias("human_seconds"), F.col("parallel_agent_seconds").alias("ai_seconds")))
+    lambda spark, d: report.summary(report.activity(bindings.tables(spark, d), CAP, IDLE, CREDIT), ("active", "human", "sessions", "commits")).select(F.col("commit_count").alias("commits"), F.col("session_count").alias("sessions"), "additions", F.col("human_estimated_seconds").alias("human_seconds"), F.col("parallel_agent_seconds").alias("ai_seconds")))
 query("ORD03_explorer_sort", oracle("SELECT cwd, CAST(row_number() OVER (ORDER BY lower(repo) DESC, cwd) AS BIGINT) AS place FROM (SELECT DISTINCT cwd, repo FROM mine)"))(
     _at(lambda c, f: _placed(c)))
 

@@ -176,9 +176,12 @@ query("AGG21_summary", _summary_sql())(lambda spark, d: report.summary(_activity
 query("AGG21_summary_window", _summary_sql(
     elig=f"SELECT s.*, first_seen, last_seen FROM sess s JOIN seen USING (provider, session_id) WHERE (first_seen >= TIMESTAMP '{SINCE}' AND first_seen < TIMESTAMP '{UNTIL}') OR (s.provider, s.session_id) IN (SELECT provider, session_id FROM iv)", **_windowed()))(
     lambda spark, d: report.summary(_activity(spark, d, True)))
-for _id, _cols in {"AGG13_summary_active_days": ["active_days"], "AGG15_observed": ["first_seen", "last_seen"], "AGG22_signal_kinds": ["human_signal_count", "prompt_signal_count", "foreground_session_edge_signal_count", "commit_signal_count"]}.items():
+for _id, _cols, _of in [
+    ("AGG13_summary_active_days", ["active_days"], ("days",)), ("AGG15_observed", ["first_seen", "last_seen"], ("active", "human", "signals", "commits")),
+    ("AGG22_signal_kinds", ["human_signal_count", "prompt_signal_count", "foreground_session_edge_signal_count", "commit_signal_count"], ("signals",)),
+]:
     query(_id, f"SELECT {', '.join(_cols)} FROM ({_summary_sql()})")(
-        lambda spark, d, c=_cols: report.summary(_activity(spark, d)).select(*c))
+        lambda spark, d, c=_cols, of=_of: report.summary(_activity(spark, d), of).select(*c))
 for _k in ("provider", "model"):
     query(f"AGG17_seconds_by_{_k}", oracle(f"SELECT {_k}, {sec('sum(epoch_us(e) - epoch_us(s))')} AS seconds FROM ivs GROUP BY {_k}"))(
         lambda spark, d, k=_k: report.seconds_by(_activity(spark, d).intervals, k))

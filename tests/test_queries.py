@@ -90,3 +90,27 @@ def test_commits_of_category_work_out_rules_once(spark, sql):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 20
     order = [c[0] for c in sql.execute(ORACLES["EXP04_commits_of_category"]).description]
     assert sorted(tuple(r) for r in df.select(*order).collect()) == sorted(sql.execute(ORACLES["EXP04_commits_of_category"]).fetchall())
+
+
+def test_summary_reads_what_its_parts_ask_for(spark):
+    from chronoloom.operators import report
+    from chronoloom.queries.reports import _activity
+
+    act = _activity(spark, SF)
+    part, whole = report.summary(act, ("signals",)).first(), report.summary(_activity(spark, SF)).first()
+    of = ["human_signal_count", "prompt_signal_count", "foreground_session_edge_signal_count", "commit_signal_count", "human_active_days"]
+    assert [part[c] for c in of] == [whole[c] for c in of] and part.human_signal_count > 0 == part.session_count
+    assert not {"intervals", "quiet"} & set(act.__dict__)
+    # Commits' signals are a projection of the commits, so they are not kept once more.
+    assert len(act._held) == 3 and act.spoken.where("kind = 'commit'").isEmpty()
+    act.release()
+
+
+def test_plain_ignores_are_no_regular_expressions(spark):
+    from chronoloom.functions.globs import is_ignored
+    from pyspark.sql import functions as F
+
+    paths = ["a/dist/b", "dist/b", "dist", "adist/b", "x.lock", "x.lock.y", "go.sum", "/go.sum", "a/go.sum", "bin/x\ny", "s.map\n"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("i", is_ignored(F.col("path")))
+    assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.i for r in df.collect()] == [True, True, False, False, True, False, True, True, False, True, False]
