@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
 
@@ -73,13 +72,22 @@ def ids_of(text: str | None, vocabulary: str = VOCABULARY) -> list[int]:
     return encoding.encode_ordinary(text or "")
 
 
+def closed_ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """``ids_of`` and the end mark as unsigned 32-bit numbers; the tokens of a text are never Python objects."""
+    encoding, text = encoder(vocabulary), text or ""
+    if any(sign in text for sign in encoding.special_tokens_set):
+        ids = np.array(ids_of(text, vocabulary), np.uint32)
+    else:
+        ids = encoding.encode_to_numpy(text, disallowed_special=())
+    return np.append(ids, np.uint32(END)).astype("<u4", copy=False)
+
+
 def pieces_udf(capacity: int = CAPACITY, vocabulary: str = VOCABULARY):
     @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long>>")
     def cut(texts: pd.Series) -> pd.Series:
         out = []
         for text in texts:
-            ids = array("I", ids_of(text, vocabulary))
-            ids.append(END)
+            ids = closed_ids(text, vocabulary)
             data, n = memoryview(ids).cast("B"), len(ids)
             size = ids.itemsize
             stops = list(range(n % capacity or capacity, n + 1, capacity))

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
+import pandas as pd
 from chronoloom.llm import language, multiset, ogg, packing
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -284,3 +285,13 @@ def test_equal_languages_tie(spark):
     many = spark.range(1200).selectExpr("id AS doc_id", "'a' AS text", "'l' || id AS lang")
     with pytest.raises(ValueError):
         language.learn(many, F.lit(True))
+
+
+def test_tokens_are_never_python_objects(monkeypatch):
+    texts = ["plain words", "", None, "ä 漢 \U0001f600 1,234\n\n  x", "a <|endoftext|> b"]
+    want = [[*packing.ids_of(t), packing.END] for t in texts]
+    got = [packing.closed_ids(t) for t in texts]
+    assert [g.tolist() for g in got] == want and all(g.dtype == "<u4" for g in got)
+    monkeypatch.setattr(packing, "ids_of", None)
+    cut = packing.pieces_udf(4).func(pd.Series(texts[:4]))
+    assert [sum(p["length"] for p in c) for c in cut] == [len(w) for w in want[:4]]
