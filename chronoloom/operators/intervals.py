@@ -90,6 +90,20 @@ def gap_intervals(points: DataFrame, cap_us: int, unit: str = CHUNK) -> DataFram
     )
 
 
+def session_spans(points: DataFrame, exact: DataFrame, cap_us: int, unit: str = CHUNK) -> DataFrame:
+    """What ``session_intervals`` covers, without models and not made disjoint: capped ranges and exact intervals.
+
+    Within a chunk the next instant is a row's lead; from a chunk's last instant on it is the next chunk's first.
+    """
+    dealt = points.select(*KEY, "ts", F.date_trunc(unit, "ts").alias("__b")).repartition(*KEY, "__b")
+    inside = dealt.select(*KEY, "ts", F.lead("ts").over(Window.partitionBy(*KEY, "__b").orderBy("ts")).alias("__next"))
+    chunks = dealt.groupBy(*KEY, "__b").agg(F.min("ts").alias("lo"), F.max("ts").alias("ts"))
+    across = chunks.select(*KEY, "ts", F.lead("lo").over(Window.partitionBy(*KEY).orderBy("__b")).alias("__next"))
+    ranges = inside.unionByName(across).where(F.col("__next") > F.col("ts"))
+    capped = ranges.select(*KEY, F.col("ts").alias("start"), F.least("__next", plus_micros(F.col("ts"), cap_us)).alias("end"))
+    return capped.unionByName(exact.where(F.col("end") > F.col("start")).select(*KEY, "start", "end"))
+
+
 def coalesced(intervals: DataFrame) -> DataFrame:
     """Touching intervals of one model in one session become one (input: disjoint in a session)."""
     order = Window.partitionBy(*KEY).orderBy("start")
@@ -173,9 +187,16 @@ def union_islands(intervals: DataFrame, keys: list[str] | tuple[str, ...] = (),
 
 
 def union_micros(intervals: DataFrame, keys: list[str] | tuple[str, ...] = (), unit: str = BUCKET) -> DataFrame:
-    """Length of each key's union. Buckets are disjoint, so their lengths add up exactly."""
-    islands = union_islands(intervals, keys, unit)
-    return islands.groupBy(*keys).agg(F.coalesce(F.sum(us("end") - us("start")), F.lit(0)).cast("long").alias("union_us"))
+    """Length of each key's union. Buckets are disjoint, so their lengths add up exactly.
+
+    In order of starts each interval adds what reaches beyond all before it, so no islands are numbered.
+    """
+    cut = _pieces(intervals.where(F.col("end") > F.col("start")).select(*keys, "start", "end"), unit)
+    order = Window.partitionBy(*keys, "bucket").orderBy("start")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    added = us("end") - us(F.greatest("start", "__reach"))
+    each = cut.withColumn("__reach", reach).select(*keys, F.greatest(added, F.lit(0)).alias("__us"))
+    return each.groupBy(*keys).agg(F.coalesce(F.sum("__us"), F.lit(0)).cast("long").alias("union_us"))
 
 
 def sum_micros() -> Column:

@@ -55,13 +55,14 @@ def with_role(intervals: DataFrame, sessions: DataFrame) -> DataFrame:
     have = [c for c in ("cwd", "repo", "root") if c not in intervals.columns]
     kept = ["is_subagent", *have]
     last = F.max_by(F.struct(*kept), "ord") if "ord" in sessions.columns else F.first(F.struct(*kept))
-    roles = sessions.groupBy(*KEY).agg(last.alias("__s")).select(*KEY, *[F.col(f"__s.{c}") for c in kept])
+    # Dealt by the join's key first, so that one sort serves the choice and the join.
+    roles = sessions.select(*KEY, *kept, *(["ord"] if "ord" in sessions.columns else [])).repartition(*KEY).groupBy(*KEY).agg(last.alias("__s")).select(*KEY, *[F.col(f"__s.{c}") for c in kept])
     met = intervals.join(roles, KEY, "left")
     return met.withColumn("is_subagent", F.coalesce("is_subagent", F.lit(False)))
 
 
 def token_records(tokens: DataFrame, sessions: DataFrame) -> DataFrame:
-    return tokens.join(sessions.select(*KEY, "cwd", "repo", "root").dropDuplicates(KEY), KEY)
+    return tokens.join(sessions.select(*KEY, "cwd", "repo", "root").repartition(*KEY).dropDuplicates(KEY), KEY)
 
 
 def seconds_by_label(repos: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -29,6 +29,7 @@ from .intervals import (
     session_ends,
     session_intervals,
     session_signals,
+    session_spans,
     sum_micros,
     union_micros,
     us,
@@ -57,6 +58,8 @@ def one_row_per_commit(commits: DataFrame) -> DataFrame:
 class Activity:
     """A report's relations after window and filters, each planned when it is first asked for.
 
+    ``spans`` and ``dated_commits`` are intervals without models and commits without lines, for what
+    needs no more; where ``intervals`` or ``all_commits`` are there already, they are those.
     Sessions with their ends, intervals, commits, sessions' signals and quiet sessions are read by several exchanges each and so
     computed once and kept; all others stay plans, commits' signals too, which are a projection.
     Signals are cut to the window before blocks are built. ``release`` frees what is kept.
@@ -112,9 +115,29 @@ class Activity:
         raw = clipped(session_intervals(self.points, self.tables.exact, self.cap_us), self.since, self.until)
         return self._keep(joins.with_role(raw, self._of_sessions))
 
+    @cached_property
+    def spans(self) -> DataFrame:
+        if "intervals" in self.__dict__:
+            return self.intervals
+        raw = clipped(session_spans(self.points, self.tables.exact, self.cap_us), self.since, self.until)
+        return self._keep(joins.with_role(raw, self._of_sessions))
+
     @cached_property
     def all_commits(self) -> DataFrame:
-        return self._keep(self._inside(commit_stats(one_row_per_commit(self.tables.commits), self.tables.files)))
+        # The sort of the join serves the choice of one row.
+        return self._keep(one_row_per_commit(commit_stats(self.tables.commits, self.tables.files)).transform(self._inside))
+
+    @cached_property
+    def dated_commits(self) -> DataFrame:
+        if "all_commits" in self.__dict__:
+            return self.all_commits
+        with_files = self.tables.commits.join(self.tables.files.select("sha").distinct(), "sha", "left_semi")
+        return self._keep(self._inside(one_row_per_commit(with_files)))
+
+    @property
+    def own_commits(self) -> DataFrame:
+        """``commits``, their lines perhaps left out."""
+        return self.dated_commits.where(~F.col("agent_authored"))
 
     @cached_property
     def commits(self) -> DataFrame:
@@ -126,7 +149,7 @@ class Activity:
 
     @cached_property
     def files(self) -> DataFrame:
-        return self.tables.files.join(self.commits.select("sha", "ts", "repo", "cwd", "root"), "sha")
+        return self.tables.files.join(self.own_commits.select("sha", "ts", "repo", "cwd", "root"), "sha")
 
     @cached_property
     def spoken(self) -> DataFrame:
@@ -136,12 +159,12 @@ class Activity:
 
     @cached_property
     def signals(self) -> DataFrame:
-        return self.spoken.unionByName(commit_signals(self.commits))
+        return self.spoken.unionByName(commit_signals(self.own_commits))
 
     @cached_property
     def human(self) -> DataFrame:
         # Of commits at one instant one alone can be its signal; it is chosen before any of them moves.
-        signals = self.spoken.unionByName(one_per_instant(commit_signals(self.commits)).select(self.spoken.columns))
+        signals = self.spoken.unionByName(one_per_instant(commit_signals(self.own_commits)).select(self.spoken.columns))
         return clipped(human_intervals(signals, self.idle_us, self.credit_us), self.since, self.until)
 
     @cached_property
@@ -152,7 +175,7 @@ class Activity:
     def quiet(self) -> DataFrame:
         """Sessions first seen in the window that have no interval in it, with their first point's own model."""
         seen = self._inside(self.placed.where("first_seen IS NOT NULL"), "first_seen")
-        without = seen.join(self.intervals.select(*KEY).distinct(), KEY, "left_anti")
+        without = seen.join(self.spans.select(*KEY).distinct(), KEY, "left_anti")
         return self._keep(without.withColumn("model", F.coalesce("own_model", F.lit("unknown"))).drop("first_model", "last_model", "own_model"))
 
 
@@ -193,7 +216,7 @@ def zero_sessions(act: Activity) -> DataFrame:
 def eligible_sessions(act: Activity) -> DataFrame:
     """Sessions with an interval in the window, or first seen in it."""
     inside = filters.in_window(act.known, act.since, act.until, "first_seen").select(*KEY)
-    keys = act.intervals.select(*KEY).union(inside).distinct()
+    keys = act.spans.select(*KEY).union(inside).distinct()
     return act.known.join(keys, KEY, "left_semi")
 
 
@@ -212,6 +235,8 @@ _NUMBERS = [
 
 #: Parts of a report: each has metrics of its own, and its relations are read only where it is asked for.
 PARTS = ("intervals", "wall", "human", "signals", "zero", "commits", "files", "agents", "tokens", "days", "names")
+#: Parts that only make up the columns of a row order: human and wall time, number of commits, and the rows of all other parts.
+ORDER_PARTS = ("wall", "human", "made", "rows")
 
 
 def _session_days(act: Activity, dims, keys: list[str], wanted: tuple[str, ...]) -> DataFrame:
@@ -255,14 +280,19 @@ def _parts(act: Activity, dims, wanted: tuple[str, ...] = PARTS) -> list[DataFra
     keys = [f"d_{d}" for d in dims]
     reads = lambda *of: not {*of}.isdisjoint(wanted)
     range_of = lambda a, b: [F.min(a).alias("first_seen"), F.max(b).alias("last_seen")]
+    spans = "intervals" if "model" in dims or reads("intervals", "names") else "spans"
+    commits = "all_commits" if reads("commits", "agents") else "dated_commits"
     needs = {
-        "intervals": ("intervals", "wall", "zero", "days", "names"), "all_commits": ("commits", "agents", "days", "files", "signals", "human"),
-        "spoken": ("signals", "human"), "quiet": ("zero", "days", "names"), "placed": ("signals", "human", "zero", "days", "names"),
+        spans: ("intervals", "active", "wall", "zero", "days", "names", "rows"), commits: ("commits", "agents", "days", "files", "signals", "human", "made"),
+        "spoken": ("signals", "human", "rows"), "quiet": ("zero", "days", "names", "rows"), "placed": ("signals", "human", "zero", "days", "names", "rows"),
     }
-    for level in (("placed", "all_commits"), ("intervals", "spoken"), ("quiet",)):
+    for level in (("placed", commits), (spans, "spoken"), ("quiet",)):
         act.prepared(*[name for name in level if reads(*needs[name])])
     sub, out, days = F.col("is_subagent"), [], []
-    if reads("intervals", "zero", "days", "names"):
+    if "active" in wanted:
+        each = union_micros(keyed_intervals(act.spans, dims), [*keys, *KEY])
+        out.append(each.groupBy(*keys).agg(F.sum("union_us").alias("active_us")))
+    if reads("intervals", "zero", "names"):
         by_day = _session_days(act, dims, keys, wanted)
         shown = [quiet for part, quiet in (("intervals", False), ("zero", True)) if part in wanted]
         if shown:
@@ -277,8 +307,12 @@ def _parts(act: Activity, dims, wanted: tuple[str, ...] = PARTS) -> list[DataFra
             set_of = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
             out.append(named.groupBy(*keys).agg(set_of("provider").alias("providers"), set_of("model").alias("models")))
         days.append(by_day.select(*keys, "__day"))
+    elif "days" in wanted:
+        pieces = keyed_intervals(act.spans, dims).transform(calendar_split, "day", "__day")
+        first = keyed_moments(zero_sessions(act), dims, "first_seen").select(*keys, local_day(F.col("first_seen")).alias("__day"))
+        days += [x.select(*keys, "__day").distinct() for x in (pieces, first)]
     if "wall" in wanted:
-        out.append(union_micros(keyed_intervals(act.intervals, dims), keys).withColumnRenamed("union_us", "wall_us"))
+        out.append(union_micros(keyed_intervals(act.spans, dims), keys).withColumnRenamed("union_us", "wall_us"))
     if "human" in wanted:
         human = keyed_intervals(act.human, dims)
         out.append(human.groupBy(*keys).agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), *range_of("start", "end")))
@@ -286,9 +320,17 @@ def _parts(act: Activity, dims, wanted: tuple[str, ...] = PARTS) -> list[DataFra
         # Distinct signals by day first, so that no aggregate has several distinct counts. Commits have one row each.
         at = [*keys, local_day(F.col("ts")).alias("__day")]
         spoken = keyed_moments(act.spoken, dims).groupBy(*at).agg(_count("ts", "kind", "session_id").alias("n"))
-        told = keyed_moments(commit_signals(act.commits), dims).groupBy(*at).agg(F.count("*").alias("n"))
+        told = keyed_moments(commit_signals(act.own_commits), dims).groupBy(*at).agg(F.count("*").alias("n"))
         out.append(spoken.unionByName(told).groupBy(*keys).agg(F.sum("n").alias("human_signal_count"), F.count_distinct("__day").alias("human_active_days")))
-    if reads("commits", "agents", "days"):
+    if "made" in wanted:
+        made = keyed_commits(act.dated_commits, dims).groupBy(*keys)
+        out.append(made.agg(F.count_if(~F.col("agent_authored")).alias("commit_count")))
+    if "rows" in wanted:
+        others = [keyed_moments(act.spoken, dims), keyed_moments(zero_sessions(act), dims, "first_seen"), keyed_moments(act.tokens, dims)]
+        out += [x.select(*keys).distinct() for x in others]
+    if "days" in wanted and not reads("commits", "agents"):
+        days.append(keyed_commits(act.dated_commits, dims).select(*keys, local_day(F.col("ts")).alias("__day")).distinct())
+    if reads("commits", "agents"):
         agent = F.col("agent_authored")
         both = keyed_commits(act.all_commits, dims).withColumn("__day", local_day(F.col("ts")))
         own, theirs = (who & F.lit(part in wanted) for who, part in ((~agent, "commits"), (agent, "agents")))
@@ -385,29 +427,30 @@ def summary(act: Activity, wanted: tuple[str, ...] = SUMMARY) -> DataFrame:
     With some parts only, metrics of the others are 0 and the first and last instants are of those parts.
     """
     sub, reads = F.col("is_subagent"), lambda *of: not {*of}.isdisjoint(wanted)
+    spans, made = "intervals" if "active" in wanted else "spans", "all_commits" if "commits" in wanted else "dated_commits"
     needs = {
-        "intervals": ("active", "wall", "sessions", "output", "days"), "all_commits": ("human", "signals", "output", "commits", "days"),
+        spans: ("active", "wall", "sessions", "output", "days"), made: ("human", "signals", "output", "commits", "days"),
         "placed": ("human", "signals", "sessions", "output", "days"), "spoken": ("human", "signals"), "quiet": ("days",),
     }
-    for level in (("placed", "all_commits"), ("intervals", "spoken"), ("quiet",)):
+    for level in (("placed", made), (spans, "spoken"), ("quiet",)):
         act.prepared(*[name for name in level if reads(*needs[name])])
     kind, agent = F.col("kind"), F.col("agent_authored")
     ends = lambda what=None: [F.min("a" if what is None else F.when(what, F.col("a"))).alias("first"), F.max("b" if what is None else F.when(what, F.col("b"))).alias("last")]
     parts, days = [], []
     if reads("active", "days"):
-        by_day = act.intervals.transform(calendar_split, "day", "day").groupBy("day").agg(sum_micros().alias("us"), F.min("start").alias("a"), F.max("end").alias("b"))
+        by_day = act.spans.transform(calendar_split, "day", "day").groupBy("day").agg(sum_micros().alias("us"), F.min("start").alias("a"), F.max("end").alias("b"))
         days.append(by_day.select("day"))
         if "active" in wanted:
             parts.append(by_day.agg(F.coalesce(F.sum("us"), F.lit(0)).cast("long").alias("active_us"), *ends()))
     if "wall" in wanted:
-        parts.append(union_micros(act.intervals).withColumnRenamed("union_us", "wall_us"))
+        parts.append(union_micros(act.spans).withColumnRenamed("union_us", "wall_us"))
     if "human" in wanted:
         parts.append(act.human.agg(sum_micros().alias("human_us"), _count("session_id").alias("work_block_count"), F.min("start").alias("first"), F.max("end").alias("last")))
     if "signals" in wanted:
         at = [local_day(F.col("ts")).alias("day"), "kind"]
         range_of = [F.min("ts").alias("a"), F.max("ts").alias("b")]
         spoken = act.spoken.groupBy(*at).agg(_count("ts", "session_id").alias("n"), *range_of)
-        signals = spoken.unionByName(commit_signals(act.commits).groupBy(*at).agg(F.count("*").alias("n"), *range_of))
+        signals = spoken.unionByName(commit_signals(act.own_commits).groupBy(*at).agg(F.count("*").alias("n"), *range_of))
         parts.append(signals.agg(
             F.sum("n").alias("human_signal_count"),
             F.sum(F.when(kind.endswith("_prompt"), F.col("n"))).alias("prompt_signal_count"),
@@ -422,17 +465,18 @@ def summary(act: Activity, wanted: tuple[str, ...] = SUMMARY) -> DataFrame:
         ))
     if "output" in wanted:
         foreground = eligible_sessions(act).where(~sub)
-        parts.append(joins.with_output(foreground, act.commits, act.idle_us).agg(_count(*KEY).alias("foreground_sessions_with_commits")))
-        parts.append(joins.comparable(foreground, act.commits).agg(_count(*KEY).alias("comparable")))
-    if reads("commits", "days"):
+        parts.append(joins.with_output(foreground, act.own_commits, act.idle_us).agg(_count(*KEY).alias("foreground_sessions_with_commits")))
+        parts.append(joins.comparable(foreground, act.own_commits).agg(_count(*KEY).alias("comparable")))
+    if "days" in wanted and "commits" not in wanted:
+        days.append(act.dated_commits.select(local_day(F.col("ts")).alias("day")).distinct())
+    if "commits" in wanted:
         commits = act.all_commits.groupBy("agent_authored", local_day(F.col("ts")).alias("day")).agg(
             *_commit_sums(~agent, agent), F.min("ts").alias("a"), F.max("ts").alias("b")
         )
         days.append(commits.select("day"))
-        if "commits" in wanted:
-            # Commits of one's own are seen through their signals; agents' are not.
-            sums = [c.name for c in commits.schema.fields if c.name in _NUMBERS]
-            parts.append(commits.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums], *ends(agent)))
+        # Commits of one's own are seen through their signals; agents' are not.
+        sums = [c.name for c in commits.schema.fields if c.name in _NUMBERS]
+        parts.append(commits.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in sums], *ends(agent)))
     if "tokens" in wanted:
         parts.append(act.tokens.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOKENS]))
     if "days" in wanted:

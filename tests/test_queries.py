@@ -114,3 +114,54 @@ def test_plain_ignores_are_no_regular_expressions(spark):
     df = spark.createDataFrame([(p,) for p in paths], "path string").withColumn("i", is_ignored(F.col("path")))
     assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert [r.i for r in df.collect()] == [True, True, False, False, True, False, True, True, False, True, False]
+
+
+def _same_columns(spark, dims, parts, columns):
+    """A report's columns from some parts, and what they kept; whole rows of the full report must have them too."""
+    from chronoloom.operators import report
+    from chronoloom.queries.reports import _activity
+
+    part, whole = _activity(spark, SF), _activity(spark, SF)
+    rows = lambda act, of: sorted(tuple(r) for r in report.grouped_report(act, dims, of).select(*dims, *columns).collect())
+    got, want = rows(part, parts), rows(whole, report.PARTS)
+    relations = set(part.__dict__)
+    part.release(), whole.release()
+    return got, want, relations
+
+
+def test_days_need_no_models_and_no_lines(spark):
+    got, want, relations = _same_columns(spark, ("provider",), ("days",), ["active_days"])
+    assert got == want and got and not {"intervals", "all_commits", "spoken"} & relations
+
+
+def test_shared_steps_sort_once(spark):
+    """A union is one window over its cut intervals, and commits are not sorted before their join."""
+    from chronoloom import bindings
+    from chronoloom.operators import report
+    from chronoloom.operators.intervals import gap_intervals, union_micros
+
+    t = bindings.tables(spark, SF)
+    rows = t.exact.select("provider", "start", "end")
+    assert union_micros(rows, ["provider"])._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+    assert union_micros(gap_intervals(t.points, 300_000_000).limit(0)).first().union_us == 0
+    twice = spark.sql("SELECT 'a' sha, TIMESTAMP '2024-01-01' ts, 'r' repo, 'c' cwd, 'o' root, x agent_authored FROM VALUES (true), (false) AS v(x)")
+    lines = spark.sql("SELECT 'a' sha, false is_ignored, 3L additions, 1L deletions FROM range(2)")
+    one = report.one_row_per_commit(report.commit_stats(twice, lines)).first()
+    assert (one.agent_authored, one.additions, one.file_count) == (True, 6, 2)
+
+
+def test_spans_cover_what_intervals_do(spark):
+    from chronoloom.operators import intervals as I
+
+    points = spark.sql(
+        "SELECT 'p' provider, 's' session_id, CAST(t AS TIMESTAMP) ts, 'm' model, o ord FROM VALUES "
+        "('2024-01-01 23:59:00', 1L), ('2024-01-01 23:59:00', 2L), ('2024-01-02 00:01:00', 3L), ('2024-01-05 00:00:00', 4L) AS v(t, o)"
+    )
+    exact = spark.sql(
+        "SELECT 'p' provider, 's' session_id, CAST(a AS TIMESTAMP) start, CAST(b AS TIMESTAMP) end, 'x' model, 1L ord FROM VALUES "
+        "('2024-01-02 00:00:30', '2024-01-02 00:09:00'), ('2024-01-03', '2024-01-03') AS v(a, b)"
+    )
+    cap = 300_000_000
+    spans, whole = I.session_spans(points, exact, cap), I.session_intervals(points, exact, cap)
+    assert I.union_micros(spans, I.KEY).first().union_us == whole.agg(I.sum_micros().alias("u")).first().u == 600_000_000
+    assert spans.where("start = end").isEmpty()
