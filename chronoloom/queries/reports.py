@@ -103,8 +103,8 @@ def report_sql(dims: tuple[str, ...], tail: str = "", columns: str = "*", wanted
     return oracle(body, riv=iv, rhi=hi, agents="SELECT * FROM com WHERE agent_authored", **more)
 
 
-def _report(dims, window=False):
-    return lambda spark, d: report.grouped_report(_activity(spark, d, window), dims)
+def _report(dims, window=False, parts=report.PARTS):
+    return lambda spark, d: report.grouped_report(_activity(spark, d, window), dims, parts)
 
 
 query("AGG01_report_month_repo", report_sql(("month", "repo")))(_report(("month", "repo")))
@@ -198,9 +198,9 @@ query("AGG25_diagnostics", "SELECT CAST(sum(o_custkey % 3) AS BIGINT) AS malform
 _MR = ("month", "repo")
 _TOP = "ORDER BY {0}human_estimated_seconds DESC, ai_wall_seconds DESC, commit_count DESC, {1} LIMIT {2}"
 query("ORD01_calendar_order", report_sql(("day", "repo"), _TOP.format("day DESC, ", "day, repo", 30), "day, repo, human_estimated_seconds, ai_wall_seconds, commit_count"))(
-    lambda spark, d: report.ranked_report(_report(("day", "repo"))(spark, d), ("day", "repo")).select("day", "repo", "human_estimated_seconds", "ai_wall_seconds", "commit_count"))
+    lambda spark, d: report.ranked_report(_report(("day", "repo"), parts=report.ORDER_PARTS)(spark, d), ("day", "repo")).select("day", "repo", "human_estimated_seconds", "ai_wall_seconds", "commit_count"))
 query("ORD02_top_rows", report_sql(("cwd",), _TOP.format("", "cwd", 5), "cwd, human_estimated_seconds, ai_wall_seconds, commit_count"))(
-    lambda spark, d: report.ranked_report(_report(("cwd",))(spark, d), ("cwd",), 5).select("cwd", "human_estimated_seconds", "ai_wall_seconds", "commit_count"))
+    lambda spark, d: report.ranked_report(_report(("cwd",), parts=report.ORDER_PARTS)(spark, d), ("cwd",), 5).select("cwd", "human_estimated_seconds", "ai_wall_seconds", "commit_count"))
 query("AGG26_trend", f"SELECT day, {r3('sum(human_estimated_seconds)')} AS human_estimated_seconds FROM (" + report_sql(("day", "repo"), _TOP.format("day DESC, ", "day, repo", 30), "day, human_estimated_seconds") + ") GROUP BY day")(
     lambda spark, d: report.trend(report.ranked_report(_report(("day", "repo"))(spark, d), ("day", "repo")), "day"))
 query("AGG27_ranked_models", oracle("SELECT CASE WHEN model IN ('', 'unknown', '<synthetic>', '—') THEN '(no model)' ELSE model END AS model, CAST(sum(epoch_us(e) - epoch_us(s)) AS BIGINT) AS us, CAST(row_number() OVER (ORDER BY sum(epoch_us(e) - epoch_us(s)) DESC, 1) AS INTEGER) AS rank, greatest(count(*) OVER () - 3, 0) AS omitted FROM ivs GROUP BY 1 QUALIFY row_number() OVER (ORDER BY sum(epoch_us(e) - epoch_us(s)) DESC, 1) <= 3"))(

@@ -165,3 +165,11 @@ def test_spans_cover_what_intervals_do(spark):
     spans, whole = I.session_spans(points, exact, cap), I.session_intervals(points, exact, cap)
     assert I.union_micros(spans, I.KEY).first().union_us == whole.agg(I.sum_micros().alias("u")).first().u == 600_000_000
     assert spans.where("start = end").isEmpty()
+
+
+@pytest.mark.parametrize("dims", [("day", "repo"), ("cwd",)])
+def test_row_order_needs_no_models_and_no_lines(spark, dims):
+    from chronoloom.operators import report
+
+    got, want, relations = _same_columns(spark, dims, report.ORDER_PARTS, ["human_estimated_seconds", "ai_wall_seconds", "commit_count"])
+    assert got == want and got and not {"intervals", "all_commits", "files"} & relations
