@@ -202,7 +202,7 @@ query("ORD01_calendar_order", report_sql(("day", "repo"), _TOP.format("day DESC,
 query("ORD02_top_rows", report_sql(("cwd",), _TOP.format("", "cwd", 5), "cwd, human_estimated_seconds, ai_wall_seconds, commit_count"))(
     lambda spark, d: report.ranked_report(_report(("cwd",), parts=report.ORDER_PARTS)(spark, d), ("cwd",), 5).select("cwd", "human_estimated_seconds", "ai_wall_seconds", "commit_count"))
 query("AGG26_trend", f"SELECT day, {r3('sum(human_estimated_seconds)')} AS human_estimated_seconds FROM (" + report_sql(("day", "repo"), _TOP.format("day DESC, ", "day, repo", 30), "day, human_estimated_seconds") + ") GROUP BY day")(
-    lambda spark, d: report.trend(report.ranked_report(_report(("day", "repo"))(spark, d), ("day", "repo")), "day"))
+    lambda spark, d: report.trend(report.ranked_report(_report(("day", "repo"), parts=report.ORDER_PARTS)(spark, d), ("day", "repo")), "day"))
 query("AGG27_ranked_models", oracle("SELECT CASE WHEN model IN ('', 'unknown', '<synthetic>', '—') THEN '(no model)' ELSE model END AS model, CAST(sum(epoch_us(e) - epoch_us(s)) AS BIGINT) AS us, CAST(row_number() OVER (ORDER BY sum(epoch_us(e) - epoch_us(s)) DESC, 1) AS INTEGER) AS rank, greatest(count(*) OVER () - 3, 0) AS omitted FROM ivs GROUP BY 1 QUALIFY row_number() OVER (ORDER BY sum(epoch_us(e) - epoch_us(s)) DESC, 1) <= 3"))(
     lambda spark, d: report.ranked_models(_activity(spark, d).intervals.groupBy("model").agg(I.sum_micros().alias("us")), "us", 3))
 query("AGG29_concurrency", f"SELECT provider, CASE WHEN ai_wall_seconds > 0 THEN {r3('active_seconds / ai_wall_seconds')} ELSE 0.0 END AS concurrency FROM (" + report_sql(("provider",), wanted=("intervals", "wall")) + ")")(

@@ -173,3 +173,13 @@ def test_row_order_needs_no_models_and_no_lines(spark, dims):
 
     got, want, relations = _same_columns(spark, dims, report.ORDER_PARTS, ["human_estimated_seconds", "ai_wall_seconds", "commit_count"])
     assert got == want and got and not {"intervals", "all_commits", "files"} & relations
+
+
+def test_trend_counts_rows_without_time_too(spark, sql, monkeypatch):
+    from chronoloom.operators import report
+
+    seen = []
+    monkeypatch.setattr(report.Activity, "_keep", lambda act, df, old=report.Activity._keep: seen.append(df.columns) or old(act, df))
+    got = sorted(tuple(r) for r in QUERIES["AGG26_trend"](spark, SF).collect())
+    assert got == sorted(sql.execute(ORACLES["AGG26_trend"]).fetchall())
+    assert not [c for c in seen if "additions" in c or {"start", "model"} <= set(c)]
