@@ -228,7 +228,7 @@ query("JON03_interval_role", oracle(f"SELECT is_subagent, count(*) AS n, {sec('s
 query("JON04_token_records", oracle("SELECT provider, session_id, repo, root, cwd, model, epoch_us(ts) AS ts_us, input_tokens, output_tokens FROM tokr"))(
     lambda spark, d: _activity(spark, d).tokens.select(*KEY, "repo", "root", "cwd", "model", F.unix_micros("ts").alias("ts_us"), "input_tokens", "output_tokens"))
 query("JON05_seconds_by_label", f"SELECT cwd, c.repo, coalesce(round(active_seconds, 3), 0.0) AS active_seconds FROM ({oracle('SELECT DISTINCT cwd, repo FROM com')}) c LEFT JOIN (SELECT repo, sum(active_seconds) AS active_seconds FROM ({report_sql(('repo', 'root'), wanted=('intervals',))}) GROUP BY repo) r ON r.repo = c.repo")(
-    lambda spark, d: (lambda act: joins.seconds_by_label(act.commits.unionByName(act.agent_commits).select("cwd", "repo").distinct(), report.grouped_report(act, ("repo", "root"), ("intervals",)), ["active_seconds"]).withColumn("active_seconds", F.round("active_seconds", 3)))(_activity(spark, d)))
+    lambda spark, d: joins.seconds_by_label(bindings.commit_table(spark, d).select("cwd", "repo").distinct(), report.grouped_report(_activity(spark, d), ("repo", "root"), ("active",)), ["active_seconds"]).withColumn("active_seconds", F.round("active_seconds", 3)))
 query("JON06_two_key_lookup", "SELECT o_orderkey, coalesce(a.c_name, b.c_name) AS name FROM orders LEFT JOIN customer a ON a.c_custkey = CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END LEFT JOIN customer b ON b.c_custkey = o_orderkey")(
     lambda spark, d: joins.first_match(bindings.load(spark, d, "orders").withColumn("k1", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey"))), bindings.load(spark, d, "customer"), [("k1", "c_custkey"), ("o_orderkey", "c_custkey")], ["c_name"]).select("o_orderkey", F.col("c_name").alias("name")))
 query("JON08_legacy_unless_new", oracle("SELECT session_id, ord FROM ev WHERE event_type = 'view' AND session_id NOT IN (SELECT session_id FROM ev WHERE event_type = 'signup')"))(

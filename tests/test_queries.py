@@ -183,3 +183,14 @@ def test_trend_counts_rows_without_time_too(spark, sql, monkeypatch):
     got = sorted(tuple(r) for r in QUERIES["AGG26_trend"](spark, SF).collect())
     assert got == sorted(sql.execute(ORACLES["AGG26_trend"]).fetchall())
     assert not [c for c in seen if "additions" in c or {"start", "model"} <= set(c)]
+
+
+def test_seconds_by_label_keep_no_commits(spark, sql, monkeypatch):
+    from chronoloom.operators import report
+
+    seen = []
+    monkeypatch.setattr(report.Activity, "_keep", lambda act, df, old=report.Activity._keep: seen.append(df.columns) or old(act, df))
+    got = QUERIES["JON05_seconds_by_label"](spark, SF)
+    want = sql.execute(ORACLES["JON05_seconds_by_label"]).fetchall()
+    assert sorted((r.cwd, r.repo, round(r.active_seconds, 3)) for r in got.collect()) == sorted((a, b, round(c, 3)) for a, b, c in want)
+    assert not [c for c in seen if "sha" in c]
