@@ -165,6 +165,13 @@ def session_intervals(points: DataFrame, exact: DataFrame, cap_us: int) -> DataF
 # Windows, unions and calendars.
 
 
+def reaching(intervals: DataFrame, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """Intervals with any part in [since, until), whole: who wins a moment depends on their own starts."""
+    if since is not None:
+        intervals = intervals.where(F.col("end") > since)
+    return intervals if until is None else intervals.where(F.col("start") < until)
+
+
 def clipped(intervals: DataFrame, since: Column | None = None, until: Column | None = None) -> DataFrame:
     """Intervals within [since, until); empty ones go."""
     if since is not None:

@@ -24,10 +24,12 @@ from .intervals import (
     commit_signals,
     edges_of,
     extents,
+    gap_intervals,
     human_intervals,
     one_per_instant,
+    priority_sweep,
+    reaching,
     session_ends,
-    session_intervals,
     session_signals,
     session_spans,
     sum_micros,
@@ -39,7 +41,10 @@ TOKENS = ["input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_
 
 
 def commit_stats(commits: DataFrame, files: DataFrame) -> DataFrame:
-    """Commits with their counted and ignored lines; commits without a file are dropped."""
+    """Commits with their counted and ignored lines; commits without a file are dropped.
+
+    All rows of a sha get the same lines, so rows can be chosen before they are met.
+    """
     counted = ~F.col("is_ignored")
     sums = files.groupBy("sha").agg(
         *[F.sum(F.when(cond, F.col(c)).otherwise(0)).alias(f"{name}{c}") for name, cond in (("", counted), ("ignored_", ~counted)) for c in ("additions", "deletions")],
@@ -50,9 +55,9 @@ def commit_stats(commits: DataFrame, files: DataFrame) -> DataFrame:
 
 def one_row_per_commit(commits: DataFrame) -> DataFrame:
     """One row for each sha; the agent's side wins over the human one."""
-    names = [c for c in commits.columns if c != "sha"]
-    best = F.max_by(F.struct(*names), F.struct("agent_authored", *[c for c in ("cwd", "repo", "root", "ts") if c in names]))
-    return commits.groupBy("sha").agg(best.alias("c")).select("sha", *[F.col(f"c.{n}").alias(n) for n in names]).select(commits.columns)
+    best = Window.partitionBy("sha").orderBy(*[F.col(c).desc() for c in ("agent_authored", "cwd", "repo", "root", "ts") if c in commits.columns])
+    # Dealt by the key that sums are met by, so that one sort serves the choice and the join.
+    return commits.repartition("sha").withColumn("__n", F.row_number().over(best)).where("__n = 1").drop("__n")
 
 
 class Activity:
@@ -112,7 +117,9 @@ class Activity:
 
     @cached_property
     def intervals(self) -> DataFrame:
-        raw = clipped(session_intervals(self.points, self.tables.exact, self.cap_us), self.since, self.until)
+        # The sweep reads ranges several times; what does not reach into the window has no part in it.
+        ranges = self._keep(reaching(gap_intervals(self.points, self.cap_us), self.since, self.until))
+        raw = clipped(priority_sweep(ranges, reaching(self.tables.exact, self.since, self.until)), self.since, self.until)
         return self._keep(joins.with_role(raw, self._of_sessions))
 
     @cached_property
@@ -124,8 +131,8 @@ class Activity:
 
     @cached_property
     def all_commits(self) -> DataFrame:
-        # The sort of the join serves the choice of one row.
-        return self._keep(one_row_per_commit(commit_stats(self.tables.commits, self.tables.files)).transform(self._inside))
+        # Chosen and cut to the window before lines are met.
+        return self._keep(commit_stats(one_row_per_commit(self.tables.commits).transform(self._inside), self.tables.files))
 
     @cached_property
     def dated_commits(self) -> DataFrame:

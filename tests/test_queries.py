@@ -167,6 +167,35 @@ def test_spans_cover_what_intervals_do(spark):
     assert spans.where("start = end").isEmpty()
 
 
+def test_window_is_cut_before_the_sweep_and_before_lines_are_met(spark, monkeypatch):
+    """Ranges beyond the window are not swept, and winners stay those of the whole sweep; lines meet chosen commits."""
+    from chronoloom import bindings
+    from chronoloom.operators import intervals as I
+    from chronoloom.operators import report
+    from chronoloom.queries.reports import SINCE, UNTIL, _activity
+    from pyspark.sql import functions as F
+
+    given, met = [], []
+    sweep, stats = I.priority_sweep, report.commit_stats
+    monkeypatch.setattr(report, "priority_sweep", lambda ranges, exact: given.append((ranges, exact)) or sweep(ranges, exact), raising=False)
+    monkeypatch.setattr(report, "commit_stats", lambda commits, files: met.append(commits) or stats(commits, files))
+    t = bindings.tables(spark, SF)
+    edges = spark.sql(
+        f"SELECT 'p' provider, 's' session_id, TIMESTAMP '{SINCE}' + make_interval(0, 0, 0, 0, 0, a) start, TIMESTAMP '{SINCE}' + make_interval(0, 0, 0, 0, 0, b) end, "
+        "m model, n ord FROM VALUES (-90, 30, 'old', 1L), (-30, 10, 'new', 2L), (-80, 0, 'gone', 3L), (5, 6, 'unknown', 4L) AS v(a, b, m, n)"
+    )
+    t.exact = t.exact.unionByName(edges)
+    act = _activity(spark, SF, True, t)
+    since, until = (F.lit(x).cast("timestamp") for x in (SINCE, UNTIL))
+    rows = lambda df: sorted(tuple(r) for r in df.select(*I.KEY, "start", "end", "model").collect())
+    assert rows(act.intervals) == rows(I.clipped(I.session_intervals(t.points, t.exact, act.cap_us), since, until))
+    assert [r[4] for r in rows(act.intervals.where("session_id = 's'"))] == ["new", "old"]
+    beyond = (F.col("end") <= since) | (F.col("start") >= until)
+    assert given and all(df.where(beyond).isEmpty() and not df.isEmpty() for df in given[0])
+    assert not act.commits.isEmpty() and not met[0].isEmpty() and met[0].where((F.col("ts") < since) | (F.col("ts") >= until)).isEmpty()
+    act.release()
+
+
 @pytest.mark.parametrize("dims", [("day", "repo"), ("cwd",)])
 def test_row_order_needs_no_models_and_no_lines(spark, dims):
     from chronoloom.operators import report
