@@ -101,7 +101,8 @@ def matches(path: Column, globs: list[str] | tuple[str, ...]) -> Column:
     if not globs or len(globs) > MOST_PLAIN:
         return path.rlike(path_globs(globs)) if globs else F.lit(False)
     folders, ends, names, rest = _forms(globs)
-    hits = [path.contains(f"/{x}/") | path.startswith(f"{x}/") for x in folders] + [path.endswith(x) for x in ends]
+    rooted = F.concat(F.lit("/"), path)
+    hits = [rooted.contains(f"/{x}/") for x in folders] + [path.endswith(x) for x in ends]
     hits += [path.isin([*names, *(f"/{x}" for x in names)])] if names else []
     hits += [path.rlike(f"(?s)^(?:{'|'.join(map(glob_regex, rest))})$")] if rest else []
     return reduce(lambda a, b: a | b, hits)

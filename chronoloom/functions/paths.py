@@ -76,8 +76,11 @@ def path_parts(path: Column) -> dict[str, Column]:
     ``folders`` is the directories' text with a slash before and after each, so rules on
     directories are plain regular expressions. Empty, ``.`` and ``..`` parts are dropped.
     """
-    slashed = F.translate(path, "\\", "/")
-    whole = F.regexp_replace(F.concat(F.lit("/"), F.lower(slashed), F.lit("/")), r"/(?:\.{0,2}/)+", "/")
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    lowered = F.concat(F.lit("/"), F.lower(slashed), F.lit("/"))
+    # Few paths have parts to drop; bytes tell which.
+    loose = lowered.contains("//") | lowered.contains("/./") | lowered.contains("/../")
+    whole = F.when(loose, F.regexp_replace(lowered, r"/(?:\.{0,2}/)+", "/")).otherwise(lowered)
     name = F.substring_index(F.substring_index(whole, "/", -2), "/", 1)
     folders = F.left(whole, F.length(whole) - F.length(name) - F.when(name == "", 0).otherwise(1))
     written = F.substring_index(slashed, "/", -1)

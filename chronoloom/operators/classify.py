@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,8 +171,16 @@ def _hit(kind: str, rule: str, path: Column, parts: dict[str, Column]) -> Column
     }[kind]()
 
 
+#: Kinds for which a regular expression tries every place of a name, though a rule holds at one or is rare.
+_PLAIN = ("name_suffixes", "name_contains", "stem_suffixes", "cased_stem_suffixes")
+#: More rules of such a kind are one regular expression: methods of 8,000 bytes and more are never compiled.
+MOST_PLAIN = 8
+
+
 def _any_hit(kind: str, rules: tuple[str, ...], path: Column, parts: dict[str, Column]) -> Column:
-    """Whether any rule of a kind holds, as one expression."""
+    """Whether any rule of a kind holds, as one expression; a few plain texts are compared as bytes."""
+    if kind in _PLAIN and len(rules) <= MOST_PLAIN:
+        return reduce(lambda a, b: a | b, [_hit(kind, r, path, parts) for r in rules])
     folders, text = parts["folders"], "|".join(map(re.escape, rules))
     return {
         "globs": lambda: path.rlike(any_glob(rules)),
@@ -202,16 +211,23 @@ def _fallback(categories: tuple[Category, ...]) -> str:
 
 def with_category(df: DataFrame, path: str = "path", categories: tuple[Category, ...] = BUILTIN, name: str = "category") -> DataFrame:
     named, parts = _with_parts(df, path)
+    # Most paths are in no folder that any category names, which one look tells.
+    every = tuple(dict.fromkeys(r for c in categories for r in c.rules.get("directories", ())))
+    if every:
+        named = named.withColumn("__placed", _any_hit("directories", every, F.col(path), parts))
     case = F
     for c in categories:
         hits = [_any_hit(kind, c.rules[kind], F.col(path), parts) for kind in RULES if c.rules.get(kind)]
+        if c.rules.get("directories"):
+            at = [kind for kind in RULES if c.rules.get(kind)].index("directories")
+            hits[at] = F.col("__placed") & hits[at]
         if hits:
             condition = hits[0]
             for h in hits[1:]:
                 condition = condition | h
             case = case.when(F.coalesce(condition, F.lit(False)), c.name)
     out = F.lit(_fallback(categories)) if case is F else case.otherwise(_fallback(categories))
-    return named.withColumn(name, out).drop(*[f"__{k}" for k in parts])
+    return named.withColumn(name, out).drop("__placed", *[f"__{k}" for k in parts])
 
 
 def explain(df: DataFrame, path: str = "path", categories: tuple[Category, ...] = BUILTIN) -> DataFrame:

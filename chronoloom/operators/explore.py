@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +89,25 @@ def described(commits: DataFrame, files: DataFrame, category: str | None = None)
     )
 
 
+def told(commits: DataFrame, files: DataFrame, registry: tuple[Category, ...] = BUILTIN) -> DataFrame:
+    """Commits with a file, with what ``described`` adds: both come out of one pass over the files.
+
+    The files' categories must all be the registry's: each is one count, and a commit's counts are one row,
+    where ``summaries`` takes any names and gathers them in a second step.
+    """
+    # A generator of one row: else Spark would work out a path's rules once for each count.
+    lines = files.select("sha", F.explode(F.array(F.when(~F.col("is_ignored"), F.col("category")))).alias("category"))
+    counts = [F.count_if(F.col("category") == c.name).alias(f"__{i}") for i, c in enumerate(registry)]
+    met = commits.drop("file_count").join(lines.groupBy("sha").agg(*counts), "sha")
+    files_of = reduce(lambda a, b: a + b, [F.col(f"__{i}") for i in range(len(registry))])
+    entry = lambda i, c: F.when(F.col(f"__{i}") > 0, F.struct((-F.col(f"__{i}")).alias("n"), F.lit(i).alias("i"), F.lit(c.name).alias("category")))
+    top = F.slice(F.sort_array(F.array_compact(F.array(*[entry(i, c) for i, c in enumerate(registry)]))), 1, 3)
+    n = F.col("file_count")
+    head = F.when(n == 0, "no counted files").when(n == 1, "1 file · ").otherwise(F.concat(n.cast("string"), F.lit(" files · ")))
+    named = met.withColumn("file_count", files_of).withColumn("summary", F.concat(head, F.array_join(F.transform(top, lambda t: t["category"]), ", ")))
+    return named.withColumn("short_sha", F.substring("sha", 1, 9)).drop(*[f"__{i}" for i in range(len(registry))])
+
+
 def commits_touching(commits: DataFrame, files: DataFrame, category: str, repo: str = "", period: str = "", grain: str = "month") -> DataFrame:
     """Commits with changed lines in a category, with whole-commit counts."""
     told = described(scope(commits, repo, period, grain), files, category).where("touched > 0")
@@ -120,14 +141,16 @@ def dominant_category(files: DataFrame, registry: tuple[Category, ...] = BUILTIN
 def search_targets(commits: DataFrame, files: DataFrame, limit: int | None = MAX_TARGETS) -> DataFrame:
     """(kind, label, key, ord): repositories, then commits newest first, each path once with its newest commit.
 
-    Without a limit all of them, in no order.
+    Without a limit all of them, in no order. Commits may be ``told`` already; they are read three times.
     """
-    known = described(commits, files)
+    known = commits if "summary" in commits.columns else described(commits, files)
     repos = commits.groupBy("cwd").agg(F.min("repo").alias("repo"), F.min("root").alias("root"))
     a = repos.select(F.lit("repo").alias("kind"), F.concat("repo", F.lit(" ("), "root", F.lit(")")).alias("label"), F.col("cwd").alias("key"), F.lit(None).cast("timestamp").alias("ts"))
     b = known.select(F.lit("commit").alias("kind"), F.concat_ws(" ", "short_sha", "summary").alias("label"), F.col("sha").alias("key"), "ts")
-    newest = _counted(files).join(commits.select("sha", "cwd", "ts"), "sha").groupBy("cwd", "path").agg(F.max_by("sha", F.struct("ts", "sha")).alias("key"), F.max("ts").alias("ts"))
-    c = newest.select(F.lit("file").alias("kind"), F.col("path").alias("label"), "key", "ts")
+    # Few commits of a task share a path, so rows are dealt by it and sorted once, not summed up before too.
+    touched = _counted(files).join(commits.select("sha", "cwd", "ts"), "sha").select("cwd", "path", "ts", "sha").repartition("cwd", "path")
+    newest = touched.groupBy("cwd", "path").agg(F.max(F.struct("ts", "sha")).alias("last"))
+    c = newest.select(F.lit("file").alias("kind"), F.col("path").alias("label"), F.col("last.sha").alias("key"), F.col("last.ts").alias("ts"))
     rank = F.when(F.col("kind") == "repo", 0).otherwise(1)
     whole = a.unionByName(b).unionByName(c)
     if limit is None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import bindings
 from ..operators import explore, report
+from ..session import kept
 from .base import CAP, CREDIT, IDLE, fuzzy_sql, oracle, query, r3, sec
 
 REPO, PERIOD, DAY = "/work/root1/repo3", "2024-01", "2024-01-10"
@@ -21,6 +22,12 @@ def _at(f):
     return lambda spark, d: f(*_both(spark, d))
 
 
+def _targets(spark, d):
+    """Search targets of one's own commits, whose summaries are kept."""
+    t = bindings.tables(spark, d)
+    return explore.search_targets(kept(explore.told(t.commits.where("NOT agent_authored"), t.files)), t.files, None)
+
+
 _OVER = "SELECT c.cwd, repo, root, commits, additions, deletions, coalesce(files, 0) AS files, additions - deletions AS net_lines{more} FROM (SELECT cwd, min(repo) AS repo, min(root) AS root, count(*) AS commits, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions FROM mine GROUP BY cwd) c LEFT JOIN (SELECT cwd, count(DISTINCT path) AS files FROM mfiles WHERE NOT is_ignored GROUP BY cwd) f ON f.cwd = c.cwd"
 query("EXP01_overview", oracle(_OVER.format(more=", 0.0::DOUBLE AS active_seconds, 0.0::DOUBLE AS human_estimated_seconds")))(_at(lambda c, f: explore.overview(c, f).select("cwd", "repo", "root", "commits", "additions", "deletions", "files", "net_lines", "active_seconds", "human_estimated_seconds")))
 
@@ -50,7 +57,7 @@ _TARGETS = (
     "UNION ALL SELECT 'commit', left(c.sha, 9) || ' ' || coalesce(t.summary, 'no counted files'), c.sha FROM mine c LEFT JOIN told t USING (sha) "
     "UNION ALL SELECT 'file', path, arg_max(sha, row(ts, sha)) FROM mfiles WHERE NOT is_ignored GROUP BY cwd, path"
 )
-query("EXP09_search_targets", oracle(_TARGETS))(_at(lambda c, f: explore.search_targets(c, f, None).select("kind", "label", "key")))
+query("EXP09_search_targets", oracle(_TARGETS))(lambda spark, d: _targets(spark, d).select("kind", "label", "key"))
 query("EXP10_dominant_category", oracle("SELECT sha, CASE WHEN sum(n) > 0 THEN arg_max(category, row(n, list_position(['test', 'docs', 'config', 'assets', 'source', 'other'], category))) ELSE 'other' END AS category FROM (SELECT sha, category, sum(additions + deletions) AS n FROM cf WHERE NOT is_ignored GROUP BY sha, category) GROUP BY sha"))(
     lambda spark, d: explore.dominant_category(bindings.commit_files(spark, d)))
 query("EXP13_headline", oracle(f"SELECT (SELECT count(DISTINCT sha) FROM mine) AS commits, (SELECT count(*) FROM sess) AS sessions, (SELECT CAST(sum(additions) AS BIGINT) FROM mine) AS additions, (SELECT {sec('sum(epoch_us(e) - epoch_us(s))')} FROM hiv) AS human_seconds, (SELECT {sec('sum(epoch_us(e) - epoch_us(s))')} FROM ivs) AS ai_seconds"))(
@@ -79,4 +86,4 @@ _TOLD = (
 query("ORD04_search_top", oracle(
     f"SELECT kind, label, key, ts, score FROM targets JOIN hits USING (label) ORDER BY score DESC, length(label), label, key, kind LIMIT {explore.MAX_HITS}",
     targets=_TOLD, hits=fuzzy_sql("SELECT DISTINCT label FROM targets", "label", "srcfile1"),
-))(_at(lambda c, f: explore.search(explore.search_index(explore.search_targets(c, f, None)), "srcfile1")))
+))(lambda spark, d: explore.search(explore.search_index(_targets(spark, d)), "srcfile1"))

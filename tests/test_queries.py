@@ -196,6 +196,48 @@ def test_window_is_cut_before_the_sweep_and_before_lines_are_met(spark, monkeypa
     act.release()
 
 
+def test_told_commits_are_described_in_one_pass(spark):
+    """Commits with a file get what ``described`` gives them, without a second gathering, from code that can be compiled."""
+    import contextlib
+    import io
+    import re
+
+    from chronoloom import bindings
+    from chronoloom.operators import explore, report
+
+    commits = spark.sql("SELECT sha, TIMESTAMP '2024-01-01' ts FROM VALUES ('a'), ('b'), ('c'), ('none') AS v(sha)")
+    files = spark.sql(
+        "SELECT sha, path, i is_ignored, category, 1L additions, 0L deletions FROM VALUES ('a', 'p', false, 'docs'), ('a', 'q', false, 'test'), ('a', 'r', false, 'source'), "
+        "('a', 's', false, 'source'), ('a', 't', false, 'other'), ('b', 'u', true, 'docs'), ('c', 'v', false, 'docs'), ('c', 'w', true, 'test') AS v(sha, path, i, category)"
+    )
+    got = {r.sha: (r.summary, r.file_count, r.short_sha) for r in explore.told(commits, files).collect()}
+    assert got == {"a": ("5 files · source, test, docs", 5, "a"), "b": ("no counted files", 0, "b"), "c": ("1 file · docs", 1, "c")}
+    t = bindings.tables(spark, SF)
+    columns, told = ["sha", "summary", "file_count", "short_sha"], explore.told(t.commits, t.files)
+    of = lambda df: sorted(tuple(r) for r in df.select(columns).collect())
+    assert of(told) == of(explore.described(report.commit_stats(t.commits, t.files), t.files))
+    assert "ObjectHashAggregate" not in told._jdf.queryExecution().executedPlan().toString()
+    # Adaptive plans have no code before they run.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    t = bindings.tables(spark, SF)
+    with contextlib.redirect_stdout(io.StringIO()) as code:
+        explore.told(t.commits, t.files).explain("codegen")
+        t.files.explain("codegen")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code.getvalue()))) < 8000
+
+
+def test_path_rules_hold_to_the_last_byte(spark):
+    from chronoloom.operators.classify import with_category
+
+    paths = {
+        "a/x_test": "test", "a/x_test\n": "other", "a/xTest\n": "other", "a/x.test.q": "test", "a//./Docs/../b": "docs", "a\\docs\\b": "docs",
+        "./docs": "other", "a/.ci/b": "other", ".github/b": "config", "a.specs/b": "test", "given_a/b": "test", "img//b": "assets", "": "other", "..": "other",
+    }
+    got = with_category(spark.createDataFrame([(p,) for p in paths], "path string")).collect()
+    assert {r.path: r.category for r in got} == paths
+
+
 @pytest.mark.parametrize("dims", [("day", "repo"), ("cwd",)])
 def test_row_order_needs_no_models_and_no_lines(spark, dims):
     from chronoloom.operators import report
